@@ -87,21 +87,32 @@ def _quote(text: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != "_" else ch for ch in text)
 
 
-def block_texts(html: Column, class_names: list[str]) -> Column:
-    """Text of all blocks of the classes, joined by a space."""
-    texts = [
-        F.filter(F.transform(class_blocks(html, name), _plain), lambda x: x != "")
-        for name in class_names
-    ]
-    return unescape(F.array_join(F.concat(*texts), " "))
+def unescape_inner(html: Column) -> Column:
+    """Entities of a page resolved in one go, angle brackets kept escaped so that no tag appears."""
+    kept = F.regexp_replace(F.coalesce(html, F.lit("")), "(?i)&(lt|gt);", "&amp;$1;")
+    return unescape(kept)
+
 
+def plain(fragment: Column) -> Column:
+    """Text of a fragment of an ``unescape_inner`` page."""
+    text = strip_markup(fragment)
+    text = F.regexp_replace(F.regexp_replace(text, "(?i)&lt;", "<"), "(?i)&gt;", ">")
+    return collapse(text)
 
-def _plain(fragment: Column) -> Column:
-    return collapse(strip_markup(fragment))
+
+def plain_lines(html: Column) -> Column:
+    """Visible lines of an ``unescape_inner`` page."""
+    out = F.coalesce(html, F.lit(""))
+    for pattern in (SCRIPT, STYLE):
+        out = F.regexp_replace(out, pattern, " ")
+    out = F.regexp_replace(out, r"(?i)<br\s*/?>|</p>|</li>|</div>|</h\d>", "\n")
+    return F.filter(F.transform(F.split(out, r"\r\n|[\n\r]"), plain), lambda x: x != "")
 
 
-def fragment_text(fragment: Column) -> Column:
-    return collapse(unescape(strip_markup(fragment)))
+def block_texts(html: Column, class_names: list[str]) -> Column:
+    """Texts of all blocks of the classes, class by class; ``unescape_inner`` page."""
+    texts = [F.transform(class_blocks(html, name), plain) for name in class_names]
+    return F.filter(F.concat(*texts), lambda x: x != "")
 
 
 def class_attribute_has(html: Column, *needles: str) -> Column:

@@ -115,8 +115,8 @@ def _locate_after(marker: Column, text: Column, start: Column) -> Column:
 def truncate(c: Column, limit: int) -> Column:
     """Collapse white space; longer texts are cut and end with an ellipsis."""
     flat = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    cut = F.rtrim(F.substring(flat, 1, limit - 1))
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("…")))
+    cut = F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
+    return F.when(F.length(flat) <= limit, flat).otherwise(cut)
 
 
 def ngrams(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:

@@ -253,11 +253,11 @@ def installed_profile(installed: DataFrame, packages: DataFrame) -> DataFrame:
 
 
 def scoring_summary(scored: DataFrame) -> DataFrame:
-    """One row: rows, errors, rule escalations and verdict counts of a batch scoring run."""
+    """One row: rows, errors, disagreements with the expected label, verdict counts of a batch run."""
     return scored.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error").isNotNull()).alias("errors"),
-        F.count_if(F.col("verdict") != F.col("model_verdict")).alias("disagreements"),
+        F.count_if(F.col("error") != "").alias("errors"),
+        F.count_if(F.col("disagreement")).alias("disagreements"),
         *[F.count_if(F.col("verdict") == v).alias(f"n_{v.lower()}") for v in S.LABELS],
     )
 
