@@ -77,7 +77,7 @@ def dot(values: Column, weights: Column) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """Four fixed formats, then ISO 8601; null when none fits. UTC."""
+    """Four fixed formats, then ISO 8601, as wall-clock time; null when none fits."""
     text = F.trim(col(c))
     shapes = [
         (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -91,19 +91,20 @@ def parse_date(c: Column | str) -> Column:
     iso = F.when(
         text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), text.try_cast("timestamp")
     )
-    return F.coalesce(*fixed, iso)
+    return F.coalesce(*fixed, iso).cast("timestamp_ntz")
 
 
-def epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts)
+def wall_ms(ts: Column) -> Column:
+    """Milliseconds from 1970 to a wall-clock time, whatever the session's time zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def review_velocity(last: Column, first: Column, reviews: Column, window_days: int) -> Column:
     """Reviews per day of age (at least one day), per window, clamped."""
-    seconds = (F.unix_micros(parse_date(last)) - F.unix_micros(parse_date(first))) / F.lit(1e6)
-    age = F.greatest(seconds / 86400.0, F.lit(1.0))
+    elapsed = F.timestamp_diff("SECOND", parse_date(first), parse_date(last))
+    age = F.greatest(elapsed / 86400.0, F.lit(1.0))
     rate = clamp01((reviews / age) / float(max(window_days, 1)))
-    return F.when(age.isNotNull() & seconds.isNotNull() & (reviews > 0), rate).otherwise(F.lit(0.0))
+    return F.when(elapsed.isNotNull() & (reviews > 0), rate).otherwise(F.lit(0.0))
 
 
 def night_flag(ms: Column, utc_offset: Column | int = 0) -> Column:

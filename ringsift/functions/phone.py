@@ -98,60 +98,61 @@ def def_code_text(n: Column | str) -> Column:
     )
 
 
-def _flag(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+# Every class is one regular expression over the canonical form, so a test refers to its column once
+# and stays small when it is pushed below a projection.
+_MOBILE = "9[0-9]{2}"
+_LANDLINE = "|".join(str(c) for c in S.LANDLINE_CODES)
+_TOLLFREE = "|".join(str(c) for c in S.TOLLFREE_CODES)
+_EMERGENCY = "|".join(S.EMERGENCY_CODES)
+_NATIONAL = rf"\+7(?:(?:{_EMERGENCY})$|{_MOBILE}|{_LANDLINE}|{_TOLLFREE})"
+_PLACEHOLDER = r"\+7.+0{6}$"
+
 
+def _matches(n: Column | str, pattern: str) -> Column:
+    return F.coalesce(col(n).rlike("^" + pattern), F.lit(False))
 
-def _code_or_short(n: Column, test: Column) -> Column:
-    return _flag((F.length(national_part(n)) >= 3) & test)
+
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
 def is_mobile(n: Column | str) -> Column:
-    return _code_or_short(col(n), def_code(n).between(*S.MOBILE_CODES))
+    return _matches(n, rf"\+7{_MOBILE}")
 
 
 def is_landline(n: Column | str) -> Column:
-    return _code_or_short(col(n), def_code(n).isin(S.LANDLINE_CODES))
+    return _matches(n, rf"\+7(?:{_LANDLINE})")
 
 
 def is_tollfree(n: Column | str) -> Column:
-    return _code_or_short(col(n), def_code(n).isin(S.TOLLFREE_CODES))
+    return _matches(n, rf"\+7(?:{_TOLLFREE})")
 
 
 def is_short_code(n: Column | str) -> Column:
-    rest = national_part(n)
-    return _flag(rest.isin(S.EMERGENCY_CODES) | rest.rlike("^[0-9]{1,4}$"))
+    return _matches(n, r"\+7[0-9]{1,4}$")
 
 
 def is_national(n: Column | str) -> Column:
-    rest = national_part(n)
-    return _flag(rest.isin(S.EMERGENCY_CODES)) | is_mobile(n) | is_landline(n) | is_tollfree(n)
+    return _matches(n, _NATIONAL)
 
 
 def is_placeholder(n: Column | str) -> Column:
-    rest = national_part(n)
-    return _flag((F.length(rest) >= 7) & rest.rlike("0{6,}$"))
+    """A code followed by six or more zeros."""
+    return _matches(n, _PLACEHOLDER)
 
 
 def is_valid(n: Column | str) -> Column:
-    return is_national(n) & ~is_placeholder(n)
+    return _matches(n, rf"(?!{_PLACEHOLDER}){_NATIONAL}")
 
 
 def is_foreign(n: Column | str) -> Column:
-    c = col(n)
-    return _flag(c.startswith("+") & ~c.startswith("+7"))
+    return _matches(n, r"\+(?!7)")
 
 
 def is_plausible(n: Column | str) -> Column:
     """A full national number that is not a filler."""
-    c = col(n)
-    rest = national_part(c)
-    return _flag(
-        (F.length(c) == 12)
-        & is_national(c)
-        & ~rest.rlike(r"^(\d)\1+$")
-        & ~rest.isin(S.FAKE_NATIONAL_DIGITS)
-    )
+    fillers = "|".join(S.FAKE_NATIONAL_DIGITS)
+    return _matches(n, rf"(?=.{{12}}$)(?!\+7(?:(\d)\1+|{fillers})$){_NATIONAL}")
 
 
 def number_type(n: Column | str) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import phone
@@ -42,13 +46,32 @@ def read_feed(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.na.fill("")
 
 
+#: The upper half of a one-byte code page, read byte by byte and as windows-1251.
+_BYTES = bytes(b for b in range(0x80, 0x100) if b != 0x98)
+_AS_LATIN, _AS_CYRILLIC = _BYTES.decode("latin-1"), _BYTES.decode("cp1251")
+
+
+def from_cp1251(c: Column) -> Column:
+    """Text that was read as ISO 8859-1 but is windows-1251; Spark's readers lack that code page."""
+    return F.translate(c, _AS_LATIN, _AS_CYRILLIC)
+
+
+def to_cp1251(c: Column) -> Column:
+    """The reverse, for writing."""
+    return F.translate(c, _AS_CYRILLIC, _AS_LATIN)
+
+
 def read_plan(spark: SparkSession, path: str, encoding: str = "windows-1251") -> DataFrame:
     """Numbering plan: ``;``-separated code, start, end, capacity, operator, region.
 
     Short lines and lines whose numbers cannot be read (the header among them) are dropped.
     """
     names = ["code", "start", "end", "capacity", "operator", "region"]
-    raw = spark.read.csv(path, sep=";", schema=S.string_schema(names), encoding=encoding, comment="#")
+    cyrillic = encoding == "windows-1251"
+    read_as = "iso-8859-1" if cyrillic else encoding
+    raw = spark.read.csv(path, sep=";", schema=S.string_schema(names), encoding=read_as, comment="#")
+    if cyrillic:
+        raw = raw.withColumns({c: from_cp1251(F.col(c)) for c in ("operator", "region")})
     typed = raw.filter(F.col("region").isNotNull()).select(
         F.trim("code").try_cast("bigint").alias("def_code"),
         F.trim("start").try_cast("bigint").alias("start_number"),
@@ -222,22 +245,21 @@ def parse_blocklist(lines: DataFrame, order: str) -> DataFrame:
     return unique.filter((F.col("kind") != "regex") | compiles("pattern"))
 
 
-def compiles(pattern: str) -> Column:
-    """Is the text a regular expression? Tested in batches, only where there is one."""
-    import re
+def _is_pattern(text: str | None) -> bool:
+    try:
+        return text is not None and re.compile(text) is not None
+    except re.error:
+        return False
 
-    import pandas as pd
 
-    def test(s: pd.Series) -> pd.Series:
-        def ok(x: str | None) -> bool:
-            try:
-                return x is not None and re.compile(x) is not None
-            except re.error:
-                return False
+@F.pandas_udf(T.BooleanType())
+def _compiles(s: pd.Series) -> pd.Series:
+    return s.map(_is_pattern)
 
-        return s.map(ok)
 
-    return F.pandas_udf(test, "boolean")(F.col(pattern))
+def compiles(pattern: str) -> Column:
+    """Is the text a regular expression? Tested in batches of distinct patterns."""
+    return _compiles(F.col(pattern))
 
 
 CORPUS_COLUMNS = ["packageName", "label", "category"]
