@@ -157,7 +157,7 @@ def numbers_in_html(html: Column) -> Column:
         lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x),
     )
     loose = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (FORMATTED, COMPACT)]
-    numbers = F.transform(F.concat(tel, *loose), phone.normalize)
+    numbers = F.transform(F.concat(tel, *loose), lambda x: phone.normalize(x))
     return F.array_distinct(F.filter(numbers, phone.is_plausible))
 
 

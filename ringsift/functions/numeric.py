@@ -13,14 +13,15 @@ def col(c: Column | str) -> Column:
 
 
 def clamp01(c: Column | str) -> Column:
-    """Into [0, 1]; NaN and infinities become 0."""
+    """Into [0, 1]; NaN and infinities become 0, null stays null."""
     c = col(c).cast("double")
     bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    return F.when(bad, F.lit(0.0)).when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Into [low, high]; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def safe_float(c: Column | str, default: float = 0.0) -> Column:

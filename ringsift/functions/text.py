@@ -121,14 +121,13 @@ def truncate(c: Column, limit: int) -> Column:
 
 def ngrams(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams, all of the first size, then of the next."""
-    parts = []
-    for n in sizes:
+
+    def of_size(n: int) -> Column:
         last = F.length(c) - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.substr(c, i, F.lit(n))))
-    return F.concat(*parts)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
+
+    return F.concat(*[of_size(n) for n in sizes])
 
 
 def strip_label(c: Column, limit: int = 200) -> Column:

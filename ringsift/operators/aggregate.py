@@ -308,6 +308,25 @@ def vocabulary(counts: DataFrame, max_size: int) -> DataFrame:
     return top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 1)
 
 
+def encode_ngrams(df: DataFrame, key: str, text: str, vocab: DataFrame, length: int = 64) -> DataFrame:
+    """Ids of the n-grams of a text: size 3 first, then 4, then 5; 1 for unknown, padded with 0.
+
+    The vocabulary has a fixed maximal size and is broadcast; a text is put together from its own
+    n-grams only.
+    """
+    grams = df.select(F.col(key), F.posexplode_outer(T.ngrams(F.lower(F.col(text)))).alias("_pos", "token"))
+    kept = grams.filter(F.col("_pos").isNull() | (F.col("_pos") < length))
+    ids = kept.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+    per = ids.groupBy(key).agg(
+        F.array_sort(
+            F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(1)).alias("id"))))
+        ).alias("_g")
+    )
+    found = F.transform("_g", lambda g: g["id"].cast("int"))
+    padded = F.slice(F.concat(found, F.array_repeat(F.lit(0), length)), 1, length)
+    return per.select(key, padded.alias("ids"))
+
+
 def source_viability(pages: DataFrame, category: Column) -> DataFrame:
     """Per host: phones, tel links, complaint words and size, and what the host is good for."""
     from ..functions import html as H

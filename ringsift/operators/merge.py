@@ -133,7 +133,7 @@ def distinct_parts(column: str, sep: str | None = ";") -> Column:
     """
     values = F.collect_set(F.nullif(F.col(column), F.lit("")))
     if sep is not None:
-        values = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, sep), F.trim)))
+        values = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, sep), lambda x: F.trim(x))))
     return F.array_sort(F.array_distinct(F.filter(values, lambda v: v != "")))
 
 
