@@ -239,19 +239,22 @@ def tune_binary(df: DataFrame, positive: Column, score: str, floor: float) -> Da
     spark = df.sparkSession
     chosen = spark.range(1).select(F.coalesce(best["cent"], F.lit(50)).alias("cent"))
     cent = chosen.scalar()
-    # Thresholds .10 ... block - .05 in thirty even steps, in millionths.
+    # Thresholds .10 ... block - .05 in thirty even steps, in millionths. The steps go down when the
+    # block threshold is below .15.
     step = (cent * CENT - 150_000) / F.lit(29.0)
+    gap = F.col("s") - 100_000
     below = counts.filter(F.col("s") < cent * CENT)
-    place = F.when(step > 0, F.floor((F.col("s") - 100_000) / step)).otherwise(
-        F.when(F.col("s") >= 100_000, F.lit(29)).otherwise(F.lit(-1))
-    )
-    index = F.least(F.greatest(place, F.lit(-1)), F.lit(29))
+    last_in = F.least(F.greatest(F.floor(gap / F.nullif(step, F.lit(0.0))), F.lit(-1)), F.lit(29))
+    first_in = F.least(F.greatest(F.ceil(gap / F.nullif(step, F.lit(0.0))), F.lit(0)), F.lit(30))
+    index = F.when(step > 0, last_in).when(step < 0, first_in).when(gap >= 0, F.lit(29)).otherwise(F.lit(-1))
     binned = below.groupBy(index.alias("i")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     grid = spark.range(30).select(F.col("id").alias("i"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
     cells = binned.unionByName(grid).groupBy("i").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.orderBy(F.desc("i"))
-    bands = cells.select("i", F.sum("pos").over(above).alias("p"), F.sum("neg").over(above).alias("n"))
-    good = bands.filter((F.col("i") >= 0) & (F.col("p") + F.col("n") > 0) & (F.col("p") / (F.col("p") + F.col("n")) >= 0.5))
+    # At most 32 rows.
+    down, up = Window.orderBy(F.desc("i")), Window.orderBy("i")
+    total = lambda c: F.when(step < 0, F.sum(c).over(up)).otherwise(F.sum(c).over(down))
+    bands = cells.select("i", total("pos").alias("p"), total("neg").alias("n")).filter(F.col("i").between(0, 29))
+    good = bands.filter((F.col("p") + F.col("n") > 0) & (F.col("p") / (F.col("p") + F.col("n")) >= 0.5))
     first = good.agg(F.min("i")).scalar()
     block = cent / 100.0
     fallback = F.greatest(F.lit(0.10), block - 0.20)

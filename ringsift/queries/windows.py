@@ -147,7 +147,7 @@ def _(t: Tables):
 
 
 @query("wn14_oversample_rare", """SELECT label, copy, count(*) AS rows FROM (SELECT key, label, 0::BIGINT AS copy FROM classed UNION ALL
-    SELECT c.key, c.label, i FROM classed c JOIN (SELECT label, count(*) AS n FROM classed GROUP BY label) s ON s.label = c.label, range(1, 20) k(i) WHERE s.n < 100000 AND i <= greatest(1, 100000 // s.n)) x GROUP BY ALL""")
+    SELECT c.key, c.label, i FROM classed c JOIN (SELECT label, count(*) AS n FROM classed GROUP BY label) s ON s.label = c.label, range(1, 2000) k(i) WHERE s.n < 100000 AND i <= greatest(1, 100000 // s.n)) x GROUP BY ALL""")
 def _(t: Tables):
     out = sample.oversample_rare(t.classed, "label", "key", ["reputationScore", "prefixRisk"], 100_000)
     return out.groupBy("label", "copy").agg(F.count(F.lit(1)).alias("rows"))
@@ -216,7 +216,7 @@ def _(t: Tables):
 
 
 _RANGES = """(SELECT *, sum(size) OVER (ORDER BY def_code, start_number) - size AS before FROM (SELECT def_code, start_number, operator, region, least(end_number, coalesce(lead(start_number) OVER (PARTITION BY def_code ORDER BY start_number) - 1, 9999999)) - start_number + 1 AS size
-    FROM (SELECT def_code, start_number, max(struct_pack(e := end_number, o := operator, r := region)) AS m, m.e AS end_number, m.o AS operator, m.r AS region FROM numbering_plan GROUP BY 1, 2) u WHERE def_code BETWEEN 900 AND 999) v WHERE size > 0)"""
+    FROM (SELECT def_code, start_number, m.e AS end_number, m.o AS operator, m.r AS region FROM (SELECT def_code, start_number, max(struct_pack(e := end_number, o := operator, r := region)) AS m FROM numbering_plan GROUP BY 1, 2) u0) u WHERE def_code BETWEEN 900 AND 999) v WHERE size > 0)"""
 
 
 @query("wn24_plan_numbers", f"""WITH r AS (SELECT * FROM {_RANGES} z), total AS (SELECT sum(size) AS s FROM r),
