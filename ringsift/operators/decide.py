@@ -472,16 +472,23 @@ def list_confidence(given: Column, category: Column, source: Column) -> Column:
 
 
 def first_rule(text: Column, rules: list[tuple], default: tuple) -> Column:
-    """Struct of the values of the first rule (word, value, ...) whose word occurs in the text."""
+    """Struct of the values v0, v1, ... of the first rule (word, value, ...) whose word occurs in the text.
 
-    def values(row: tuple) -> Column:
-        return F.struct(*[F.lit(v).alias(f"v{i}") for i, v in enumerate(row)])
+    The rules are one constant array that is walked once per text.
+    """
 
-    out = None
-    for word, *rest in rules:
-        test = text.contains(word)
-        out = F.when(test, values(tuple(rest))) if out is None else out.when(test, values(tuple(rest)))
-    return out.otherwise(values(default))
+    def values(row: tuple) -> list[Column]:
+        return [F.lit(v).alias(f"v{i}") for i, v in enumerate(row)]
+
+    table = F.array(*[F.struct(F.lit(word).alias("word"), *values(tuple(rest))) for word, *rest in rules])
+    hit = F.try_element_at(F.filter(table, lambda r: F.contains(text, r["word"])), F.lit(1))
+    found = F.when(hit.isNotNull(), F.struct(*[hit[f"v{i}"].alias(f"v{i}") for i in range(len(default))]))
+    return F.coalesce(found, F.struct(*values(default)))
+
+
+def _once(value: Column, fn) -> Column:
+    """fn(value) with the value computed a single time."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def organisation_type(label: Column, bucket_hint: Column) -> Column:
@@ -489,14 +496,19 @@ def organisation_type(label: Column, bucket_hint: Column) -> Column:
     from ..rules import ORGANISATION_WORDS
 
     text = F.lower(F.coalesce(label, F.lit("")))
-    found = F.when(text == "", F.struct(F.lit("other").alias("v0"), F.lit(0.78).alias("v1"))).otherwise(
-        first_rule(text, ORGANISATION_WORDS, ("other", 0.80))
-    )
-    promoted = bucket_hint.isNotNull() & (bucket_hint != "") & (found["v0"] == "other")
-    return F.struct(
-        F.when(promoted, bucket_hint).otherwise(found["v0"]).alias("category"),
-        F.when(promoted, F.greatest(found["v1"], F.lit(0.85))).otherwise(found["v1"]).alias("confidence"),
-    )
+    hint = F.coalesce(bucket_hint, F.lit(""))
+    unknown = F.when(text == "", 0.78).otherwise(0.80)
+
+    def named(r: Column) -> Column:
+        other = r["v0"] == "other"
+        conf = F.when(other, unknown).otherwise(r["v1"])
+        promoted = other & (hint != "")
+        return F.struct(
+            F.when(promoted, hint).otherwise(r["v0"]).alias("category"),
+            F.when(promoted, F.greatest(conf, F.lit(0.85))).otherwise(conf).alias("confidence"),
+        )
+
+    return _once(first_rule(text, ORGANISATION_WORDS, ("other", 0.80)), named)
 
 
 def app_category_of(df: DataFrame, known: DataFrame, package: str, label: str, out: str = "category") -> DataFrame:
@@ -509,8 +521,9 @@ def app_category_of(df: DataFrame, known: DataFrame, package: str, label: str, o
 
     table = known.select(F.col("package").alias(package), F.col("category").alias("_known"))
     found = lookup_join(df, table, [package])
-    by_package = first_rule(F.lower(F.col(package)), PACKAGE_WORDS, (None,))["v0"]
-    by_label = first_rule(F.lower(F.coalesce(F.col(label), F.lit(""))), LABEL_WORDS, (None,))["v0"]
+    none = F.lit(None).cast("string")
+    by_package = first_rule(F.lower(F.col(package)), PACKAGE_WORDS, (none,))["v0"]
+    by_label = first_rule(F.lower(F.coalesce(F.col(label), F.lit(""))), LABEL_WORDS, (none,))["v0"]
     value = F.coalesce(F.col("_known"), by_package, by_label, F.lit("OTHER"))
     blank = F.trim(F.coalesce(F.col(package), F.lit(""))) == ""
     return found.withColumn(out, F.when(blank, F.lit("OTHER")).otherwise(value)).drop("_known")

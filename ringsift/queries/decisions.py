@@ -97,10 +97,10 @@ def _(t: Tables):
     return rows.groupBy("l_quantity", "v", "m").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("dec06_verdict_formats", "SELECT three, binary, count(*) AS rows FROM (SELECT CASE WHEN p_block >= 0.5 THEN 2 WHEN p_warn >= 0.1 THEN 1 ELSE 0 END AS three, CASE WHEN p_block >= 0.5 THEN 2 WHEN p_block >= 0.2 THEN 1 ELSE 0 END AS binary FROM scores) x GROUP BY ALL", ints="three binary")
+@query("dec06_verdict_formats", "SELECT three, two, count(*) AS rows FROM (SELECT CASE WHEN p_block >= 0.5 THEN 2 WHEN p_warn >= 0.1 THEN 1 ELSE 0 END AS three, CASE WHEN p_block >= 0.5 THEN 2 WHEN p_block >= 0.2 THEN 1 ELSE 0 END AS two FROM scores) x GROUP BY ALL", ints="three two")
 def _(t: Tables):
-    rows = t.scores.select(D.verdict_id("three_class", F.col("p_block"), F.col("p_warn"), 0.5, 0.1).alias("three"), D.verdict_id("binary", F.col("p_block"), None, 0.5, 0.2).alias("binary"))
-    return rows.groupBy("three", "binary").agg(F.count(F.lit(1)).alias("rows"))
+    rows = t.scores.select(D.verdict_id("three_class", F.col("p_block"), F.col("p_warn"), 0.5, 0.1).alias("three"), D.verdict_id("binary", F.col("p_block"), None, 0.5, 0.2).alias("two"))
+    return rows.groupBy("three", "two").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # Flags of a decision, from its id, for the device rules.
