@@ -1 +1,116 @@
-"""Queries."""
+"""The event path as streams. The event file is replayed and the output is compared as a table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import jobs as J
+from ..streaming import run as R
+from .bindings import VIEWS, Tables, _render
+from .events import SGD_SQL, labelled_calls
+from .registry import query
+
+
+class StreamTables(Tables):
+    """The event views over the event file read as a stream."""
+
+    def base(self, name: str) -> DataFrame:
+        static = super().base(name)
+        if name != "events":
+            return static
+        return R.file_stream(self.spark, self.folder, static.schema, "events.parquet")
+
+    def view(self, name: str) -> DataFrame:
+        """One view that needs nothing but the events."""
+        return self.spark.sql(_render(VIEWS[name], "spark"), events=self.base("events"))
+
+
+def _streams(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.folder)
+
+
+@query("st01_ingest", "SELECT id, ts FROM calls WHERE ts > (SELECT max(ts) FROM calls) - 1209600000")
+def _(t: Tables):
+    last = t.calls.agg(F.max("ts")).collect()[0][0]
+    return R.run_to_table(J.ingest(_streams(t).view("calls"), last), "ingest").select("id", "ts")
+
+
+@query("st02_unique_labels", "SELECT id, ts FROM calls")
+def _(t: Tables):
+    calls = _streams(t).view("calls").select("id", "ts")
+    twice = calls.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_again")
+    return R.run_to_table(J.unique_labels(twice), "unique").select("id", "ts")
+
+
+_PASTGONE = "EXISTS (SELECT 1 FROM calls m WHERE m.number = c.number AND m.direction = 'INCOMING' AND m.state IN ('MISSED', 'REJECTED') AND m.ts < c.ts AND m.ts >= c.ts - 2592000000)"
+
+
+@query("st03_immediate_labels", f"""SELECT id, CASE WHEN direction = 'OUTGOING' OR (state = 'ANSWERED' AND duration_ms >= 15000) THEN 'ALLOW' ELSE 'BLOCK' END AS label, direction = 'INCOMING' AND state = 'MISSED' AS deferred FROM calls c
+    WHERE number IS NOT NULL AND (direction = 'INCOMING' OR {_PASTGONE})""")
+def _(t: Tables):
+    return R.run_to_table(J.immediate_labels(_streams(t).view("calls")), "labels").select("id", "label", "deferred")
+
+
+@query("st04_deferred_labels", """SELECT m.id, m.ts + 86400000 AS due FROM calls m WHERE m.direction = 'INCOMING' AND m.state = 'MISSED' AND m.number IS NOT NULL AND m.ts + 86400000 < (SELECT max(ts) FROM calls WHERE number IS NOT NULL AND (state = 'MISSED' OR direction = 'OUTGOING')) - 86400000
+    AND NOT EXISTS (SELECT 1 FROM calls o WHERE o.number = m.number AND o.direction = 'OUTGOING' AND o.ts BETWEEN m.ts AND m.ts + 86400000)""")
+def _(t: Tables):
+    return R.run_to_table(J.deferred_labels(_streams(t).view("calls")), "deferred").select("id", "due")
+
+
+def _past(days: int, test: str) -> str:
+    return f"(SELECT count(*) FROM calls h WHERE h.number = c.number AND h.ts < c.ts AND h.ts >= c.ts - {days * 86400000} AND {test})"
+
+
+@query("st05_lookback_features", f"""SELECT id, {_past(7, 'true')} AS calls_7d, {_past(30, "h.state = 'REJECTED'")} > 0 AS rejected_30d, CASE WHEN {_past(30, 'true')} > 0 THEN {_past(30, "h.state = 'ANSWERED'")} / {_past(30, 'true')} ELSE 0.0 END AS answer_rate_30d FROM calls c WHERE number IS NOT NULL""", "calls_7d answer_rate_30d")
+def _(t: Tables):
+    out = R.run_to_table(J.lookback_features(_streams(t).view("calls")), "lookback")
+    return out.select("id", "calls_7d", "rejected_30d", "answer_rate_30d")
+
+
+@query("st07_linked_calls")
+def _(t: Tables):
+    s = _streams(t)
+    out = J.linked_calls(s.view("calls"), s.view("snapshots"), s.view("decisions"))
+    return R.run_to_table(out, "links")
+
+
+@query("st10_user_models", f"{SGD_SQL} SELECT user, id, rn AS steps, p AS p_before, b AS bias FROM w WHERE rn > 0", "p_before bias")
+def _(t: Tables):
+    class _Labelled:
+        calls = _streams(t).view("calls")
+
+    out = R.run_to_table(J.user_models(labelled_calls(_Labelled())), "models")
+    return out.select("user", "id", "steps", "p_before", "bias")
+
+
+@query("st11_prefix_marks", """SELECT user, prefix, id, least(n, 50) AS marks FROM (SELECT user, substr(number, 1, 6) AS prefix, id, count(*) OVER (PARTITION BY user, substr(number, 1, 6) ORDER BY ts RANGE BETWEEN 2592000000 PRECEDING AND CURRENT ROW) AS n
+    FROM decisions WHERE starts_with(number, '+7') AND user_action IN ('NOT_SPAM', 'UNBLOCK')) x WHERE n >= 5""")
+def _(t: Tables):
+    marks = _streams(t).view("decisions").filter(F.col("user_action").isin("NOT_SPAM", "UNBLOCK"))
+    return R.run_to_table(J.prefix_marks(marks), "marks").select("user", "prefix", "id", "marks")
+
+
+@query("st12_cached_lookups")
+def _(t: Tables):
+    k = F.col("id") % 3
+    lookups = _streams(t).view("decisions").withColumn("source", F.when(k == 0, "2gis").when(k == 1, "negative").otherwise("offline"))
+    return R.run_to_table(J.cached_lookups(lookups), "cache")
+
+
+@query("st13_user_thresholds")
+def _(t: Tables):
+    d = _streams(t).view("decisions").filter("user_action is not null")
+    late = F.col("ts") > 1_705_000_000_000
+    rows = d.select("user", "id", "ts", F.col("user_action").alias("action"), F.when(late, 1).otherwise(0).alias("model_version"))
+    return R.run_to_table(J.user_thresholds(rows), "thresholds")
+
+
+@query("st14_notification_ingest", """SELECT u.id, u.user, u.package, CASE a.category WHEN 'BANK' THEN 'BANK' WHEN 'INVESTMENTS' THEN 'BANK' WHEN 'MARKETPLACE' THEN 'MARKETPLACE' WHEN 'DELIVERY' THEN 'MARKETPLACE' ELSE 'OTHER' END AS bucket, u.ts FROM usage u LEFT JOIN known_apps a USING (package)""")
+def _(t: Tables):
+    return R.run_to_table(J.notification_ingest(_streams(t).view("usage"), t.known_apps), "notifications")
+
+
+@query("ag42_daily_verdicts_stream", "SELECT (ts // 86400000) * 86400000 AS day_start, verdict, count(*) AS n FROM decisions WHERE (ts // 86400000 + 1) * 86400000 <= (SELECT max(ts) FROM decisions) - 86400000 GROUP BY ALL", ints="day_start")
+def _(t: Tables):
+    return R.run_to_table(J.daily_verdicts(_streams(t).view("decisions")), "daily")
