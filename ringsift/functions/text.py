@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from .numeric import col, contains_any
+from .once import let
 
 #: Phrases such as "not spam" are taken out before words are counted.
 NEGATED = r"(?U)\bне\s+(?:мошен|спам|реклам|опасн)\w*"
@@ -36,25 +37,31 @@ def count_word(c: Column, word: str) -> Column:
     return F.floor((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word))
 
 
+def _count_all(clean: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [count_word(clean, w) for w in words]).cast("bigint")
+
+
 def count_words(c: Column, words: list[str]) -> Column:
     """Occurrences of all words, negated phrases left out."""
-    text = without_negated(c)
-    return reduce(lambda a, b: a + b, [count_word(text, w) for w in words]).cast("bigint")
+    return let(without_negated(c), lambda text: _count_all(text, words))
 
 
 def evidence_categories(c: Column) -> Column:
     """Sorted categories a review text falls into."""
-    text = without_negated(c)
-    tests = [F.when(text.contains(name.lower()), F.lit(name)) for name in S.EVIDENCE_CATEGORIES]
-    tests.append(F.when(contains_any(text, S.EVIDENCE_FRAUD), F.lit("мошенничество")))
-    tests.append(F.when(contains_any(text, S.EVIDENCE_WARN), F.lit("спам")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*tests))))
+
+    def found(text: Column) -> Column:
+        tests = [F.when(text.contains(name.lower()), F.lit(name)) for name in S.EVIDENCE_CATEGORIES]
+        tests.append(F.when(contains_any(text, S.EVIDENCE_FRAUD), F.lit("мошенничество")))
+        tests.append(F.when(contains_any(text, S.EVIDENCE_WARN), F.lit("спам")))
+        return F.array_sort(F.array_distinct(F.array_compact(F.array(*tests))))
+
+    return let(without_negated(c), found)
 
 
 def has_signal(c: Column, categories: Column) -> Column:
     """Any non-neutral category, or any fraud or warning word."""
-    return F.exists(categories, lambda x: ~x.isin(S.NEUTRAL_CATEGORIES)) | (
-        count_words(c, S.EVIDENCE_FRAUD + S.EVIDENCE_WARN) > 0
+    return F.exists(categories, lambda x: ~x.isin(S.NEUTRAL_CATEGORIES)) | let(
+        without_negated(c), lambda text: contains_any(text, S.EVIDENCE_FRAUD + S.EVIDENCE_WARN)
     )
 
 
@@ -94,18 +101,22 @@ def page_date(c: Column) -> Column:
 
 def section_between(text: Column, starts: list[str], ends: list[str]) -> Column:
     """From the earliest start marker to the nearest end marker behind it; '' without a start."""
-    lower = F.lower(text)
-    none = F.lit(0)
-    first = F.array_min(
-        F.filter(F.array(*[F.locate(m.lower(), lower) for m in starts]), lambda p: p > none)
-    )
-    stops = F.array(
-        *[_locate_after(F.lit(m.lower()), lower, first + 1) for m in ends], F.length(text) + 1
-    )
-    stop = F.array_min(F.filter(stops, lambda p: p > none))
-    return F.when(first.isNull(), F.lit("")).otherwise(
-        F.trim(F.substr(text, first, stop - first))
-    )
+
+    def positive(marks: Column) -> Column:
+        return F.array_min(F.filter(marks, lambda p: p > 0))
+
+    def cut(pair: Column) -> Column:
+        body, low = pair["t"], pair["l"]
+        first = positive(F.array(*[_locate_after(F.lit(m.lower()), low, F.lit(1)) for m in starts]))
+
+        def from_start(start: Column) -> Column:
+            stops = [_locate_after(F.lit(m.lower()), low, start + 1) for m in ends]
+            stop = positive(F.array(*stops, F.length(body) + 1))
+            return F.trim(F.substr(body, start, stop - start))
+
+        return F.coalesce(let(first, from_start), F.lit(""))
+
+    return let(F.struct(text.alias("t"), F.lower(text).alias("l")), cut)
 
 
 def _locate_after(marker: Column, text: Column, start: Column) -> Column:

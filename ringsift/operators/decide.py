@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions import phone
 from ..functions import text as T
 from ..functions.numeric import clip, contains_any, safe_float
+from ..functions.once import let
 
 # --- weak labels ------------------------------------------------------------
 
@@ -486,11 +487,6 @@ def first_rule(text: Column, rules: list[tuple], default: tuple) -> Column:
     return F.coalesce(found, F.struct(*values(default)))
 
 
-def _once(value: Column, fn) -> Column:
-    """fn(value) with the value computed a single time."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def organisation_type(label: Column, bucket_hint: Column) -> Column:
     """Struct(category, confidence) of an organisation's type label."""
     from ..rules import ORGANISATION_WORDS
@@ -508,7 +504,7 @@ def organisation_type(label: Column, bucket_hint: Column) -> Column:
             F.when(promoted, F.greatest(conf, F.lit(0.85))).otherwise(conf).alias("confidence"),
         )
 
-    return _once(first_rule(text, ORGANISATION_WORDS, ("other", 0.80)), named)
+    return let(first_rule(text, ORGANISATION_WORDS, ("other", 0.80)), named)
 
 
 def app_category_of(df: DataFrame, known: DataFrame, package: str, label: str, out: str = "category") -> DataFrame:

@@ -86,10 +86,14 @@ USAGE_GROUPS = {
 }
 
 
+def _latest_apps(calls: DataFrame, usage: DataFrame, attach: bool) -> DataFrame:
+    values = {f"_{n}": _at(F.col("category").isin(cats)) for n, cats in USAGE_GROUPS.items()}
+    return latest_before(calls, "id", usage, ["user"], "ts", values, width=HOUR_MS, attach=attach)
+
+
 def recent_apps(calls: DataFrame, usage: DataFrame, minutes: int = 30) -> DataFrame:
     """Four flags: an app of the group was in the foreground shortly before the call."""
-    values = {f"_{n}": _at(F.col("category").isin(cats)) for n, cats in USAGE_GROUPS.items()}
-    found = latest_before(calls, "id", usage, ["user"], "ts", values, width=HOUR_MS)
+    found = _latest_apps(calls, usage, True)
     for name in USAGE_GROUPS:
         hit = F.col(f"_{name}") >= F.col("ts") - minutes * MINUTE_MS
         found = found.withColumn(name, F.coalesce(hit, F.lit(False))).drop(f"_{name}")
@@ -97,12 +101,12 @@ def recent_apps(calls: DataFrame, usage: DataFrame, minutes: int = 30) -> DataFr
 
 
 def recent_notifications(calls: DataFrame, notifications: DataFrame, buckets: tuple[str, ...] = ("BANK", "MARKETPLACE"),
-                         minutes: int = 10) -> DataFrame:
+                         minutes: int = 10, attach: bool = True) -> DataFrame:
     """Notifications per bucket in [t - window, t)."""
     sums = {
         f"notif_{b.lower()}": (F.when(F.col("bucket") == b, 1).otherwise(0), minutes * MINUTE_MS) for b in buckets
     }
-    return lookback_sums(calls, "id", notifications, ["user"], "ts", sums)
+    return lookback_sums(calls, "id", notifications, ["user"], "ts", sums, attach=attach)
 
 
 # --- labels -----------------------------------------------------------------
@@ -190,76 +194,69 @@ def device_features(calls: DataFrame, usage: DataFrame, notifications: DataFrame
 
     ``enabled`` has keys call_log, contacts, usage, notifications, carrier; all on by default.
     """
+    from .. import schema as S
+
     on = {"call_log": True, "contacts": True, "usage": True, "notifications": True, "carrier": True} | (enabled or {})
-    base = calls
     w30, w7 = 30 * DAY_MS, 7 * DAY_MS
     zero = F.lit(0.0)
-    out = base
+    # Every look-back asks for the bare calls; the answers are put together by id at the end.
+    asks = calls.select("id", "user", "number", "ts")
+    answers: list[DataFrame] = []
+    values = {n: zero for n in S.DEVICE_FEATURES}
     if on["call_log"]:
-        # One timeline per number serves five features, one per prefix the sixth.
         sums = {
             "_n30": (F.lit(1), w30),
             "_ok30": (F.when(F.col("state") == "ANSWERED", 1).otherwise(0), w30),
             "_rej30": (F.when(F.col("state") == "REJECTED", 1).otherwise(0), w30),
         }
-        out = lookback_sums(out, "id", calls, ["number"], "ts", sums)
+        answers.append(lookback_sums(asks, "id", calls, ["number"], "ts", sums, attach=False))
         gone = F.col("state").isin("MISSED", "REJECTED")
         seen = latest_before(calls, "id", calls, ["number"], "ts", {"_gone": _at(gone)})
         marks = seen.withColumn("_follow", (F.col("direction") == "OUTGOING") & F.col("_gone").isNotNull())
-        out = latest_before(
-            out, "id", marks, ["number"], "ts",
-            {
-                "_missed": _at(F.col("state") == "MISSED"),
-                "_outgoing": _at(F.col("direction") == "OUTGOING"),
-                "_followed": _at(F.col("_follow")),
-            },
-        )
-        out = out.withColumn("_p", F.when(F.col("number").startswith("+"), F.substring("number", 1, 5)))
-        keyed = calls.withColumn("_p", F.when(F.col("number").startswith("+"), F.substring("number", 1, 5)))
-        out = lookback_sums(out, "id", keyed, ["_p"], "ts", {"_pref7": (F.lit(1), w7)}).drop("_p")
+        last = {
+            "_missed": _at(F.col("state") == "MISSED"),
+            "_outgoing": _at(F.col("direction") == "OUTGOING"),
+            "_followed": _at(F.col("_follow")),
+        }
+        answers.append(latest_before(asks, "id", marks, ["number"], "ts", last, attach=False))
+        prefix = F.when(F.col("number").startswith("+"), F.substring("number", 1, 5))
+        keyed = asks.withColumn("_p", prefix)
+        answers.append(lookback_sums(keyed, "id", keyed, ["_p"], "ts", {"_pref7": (F.lit(1), w7)}, attach=False))
         silent = F.col("_outgoing").isNull() | (F.col("_outgoing") <= F.col("_missed"))
         recent = (F.col("_missed") >= F.col("ts") - DAY_MS) & silent
-        log = {
-            "previously_rejected": (F.col("_rej30") > 0).cast("double"),
+        values |= {
+            "previously_rejected": F.coalesce(F.col("_rej30") > 0, F.lit(False)).cast("double"),
             "prev_missed_no_callback_24h": F.coalesce(recent, F.lit(False)).cast("double"),
             "prev_outgoing_after_missed": F.coalesce(F.col("_followed") >= F.col("ts") - w7, F.lit(False)).cast("double"),
-            "same_prefix_call_count_7d_norm": F.least(F.col("_pref7"), F.lit(10.0)) / 10.0,
+            "same_prefix_call_count_7d_norm": F.least(F.coalesce("_pref7", zero), F.lit(10.0)) / 10.0,
             "answer_rate_for_number_norm": F.when(F.col("_n30") > 0, F.col("_ok30") / F.col("_n30")).otherwise(zero),
         }
-    else:
-        log = {
-            n: zero for n in ("previously_rejected", "prev_missed_no_callback_24h", "prev_outgoing_after_missed",
-                              "same_prefix_call_count_7d_norm", "answer_rate_for_number_norm")
-        }
-    out = out.withColumns(log)
-    if on["contacts"]:
-        known = contacts.select("user", "number").distinct().withColumn("_c", F.lit(1.0))
-        out = out.join(known, ["user", "number"], "left").withColumn("is_contact", F.coalesce("_c", zero)).drop("_c")
-    else:
-        out = out.withColumn("is_contact", zero)
     if on["usage"]:
-        out = recent_apps(out, usage)
+        answers.append(_latest_apps(asks, usage, False))
         for name in USAGE_GROUPS:
-            out = out.withColumn(f"{name}_30m", F.col(name).cast("double")).drop(name)
-    else:
-        out = out.withColumns({f"{name}_30m": zero for name in USAGE_GROUPS})
+            hit = F.col(f"_{name}") >= F.col("ts") - 30 * MINUTE_MS
+            values[f"{name}_30m"] = F.coalesce(hit, F.lit(False)).cast("double")
     if on["notifications"]:
-        out = recent_notifications(out, notifications)
+        answers.append(recent_notifications(asks, notifications, attach=False))
         for b in ("bank", "marketplace"):
-            out = out.withColumn(f"notif_{b}_recent_10m", (F.col(f"notif_{b}") > 0).cast("double")).drop(f"notif_{b}")
-    else:
-        out = out.withColumns({"notif_bank_recent_10m": zero, "notif_marketplace_recent_10m": zero})
+            values[f"notif_{b}_recent_10m"] = F.coalesce(F.col(f"notif_{b}") > 0, F.lit(False)).cast("double")
+    out = asks
+    for found in answers:
+        out = out.join(found, "id", "left")
+    if on["contacts"]:
+        known = contacts.select("user", "number").distinct().withColumn("_contact", F.lit(1.0))
+        out = out.join(known, ["user", "number"], "left")
+        values["is_contact"] = F.coalesce("_contact", zero)
     local = F.coalesce(F.col("number").startswith("+7"), F.lit(False)) & F.lit(user_country == "ru")
-    out = out.withColumns({
+    values |= {
         "is_night_time": night_flag(F.col("ts")).cast("double"),
         "is_weekend": weekend_flag(F.col("ts")).cast("double"),
         "hidden_number": F.col("number").isNull().cast("double"),
         "is_short_code": phone.is_short_code("number").cast("double"),
-        "same_carrier_as_user": local.cast("double") if on["carrier"] else zero,
-    })
-    from .. import schema as S
-
-    return out.select("id", "user", "number", "ts", *S.DEVICE_FEATURES)
+    }
+    if on["carrier"]:
+        values["same_carrier_as_user"] = local.cast("double")
+    return out.select("id", "user", "number", "ts", *[values[n].alias(n) for n in S.DEVICE_FEATURES])
 
 
 def device_probability(features: Column, weights: Column, bias: Column) -> Column:

@@ -14,21 +14,44 @@ from ..functions import phone
 from ..functions.numeric import round_even
 
 
+#: Canonical numbers are cut here before they are counted: +7 and seven digits.
+FOLD_CHARS = 9
+
+
 def _labelled(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label").isin(S.LABELS))
 
 
-def _count(test: Column) -> Column:
-    return F.count_if(test)
+def folded(df: DataFrame) -> DataFrame:
+    """Counts per (prefix of nine characters, operator bucket): all that the tables below need.
+
+    The rows are read and shuffled once; prefixes and buckets are few, so partial aggregation
+    shrinks hot ones before the shuffle. Columns number and operator keep their meaning, so the
+    result can be given to every function of this module in place of the rows.
+    """
+    bucket = phone.operator_bucket("operator") if "operator" in df.columns else F.lit("unknown")
+    return (
+        _labelled(df)
+        .groupBy(F.substring("number", 1, FOLD_CHARS).alias("number"), bucket.alias("bucket"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("label") == "BLOCK").alias("n_block"),
+            F.count_if(F.col("label") == "WARN").alias("n_warn"),
+        )
+    )
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df if "n_block" in df.columns else folded(df)
 
 
 def label_totals(df: DataFrame) -> DataFrame:
     """One row: labelled rows and the overall block and warn rates."""
-    n = F.count(F.lit(1))
-    return _labelled(df).agg(
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return _counts(df).agg(
         n.alias("source_rows"),
-        (_count(F.col("label") == "BLOCK") / F.greatest(n, F.lit(1))).alias("block_rate"),
-        (_count(F.col("label") == "WARN") / F.greatest(n, F.lit(1))).alias("warn_rate"),
+        (F.coalesce(F.sum("n_block"), F.lit(0)) / F.greatest(n, F.lit(1))).alias("block_rate"),
+        (F.coalesce(F.sum("n_warn"), F.lit(0)) / F.greatest(n, F.lit(1))).alias("warn_rate"),
     )
 
 
@@ -71,17 +94,16 @@ def entropy_of_shares(block: Column, warn: Column) -> Column:
 
 def _risk(df: DataFrame, keys: dict[str, Column], alpha: float, min_samples: int) -> DataFrame:
     """Smoothed block share per group, pulled towards the overall block rate."""
-    national = _labelled(df).filter(F.col("number").startswith("+7"))
-    per = national.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
-        F.count(F.lit(1)).alias("seen_count"),
-        _count(F.col("label") == "BLOCK").alias("block_count"),
+    counts = _counts(df)
+    per = counts.filter(F.col("number").startswith("+7")).groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
+        F.sum("n").alias("seen_count"), F.sum("n_block").alias("block_count")
     )
     per = per.filter(F.col("seen_count") >= min_samples)
     for k in keys:
         per = per.filter(F.col(k).isNotNull() & (F.col(k) != ""))
     return per.select(
         *keys,
-        smoothed(F.col("block_count"), F.col("seen_count"), rates(df)["block_rate"], alpha).alias("risk"),
+        smoothed(F.col("block_count"), F.col("seen_count"), rates(counts)["block_rate"], alpha).alias("risk"),
         "seen_count",
     )
 
@@ -101,11 +123,10 @@ def operator_code_risk(df: DataFrame, alpha: float = 20.0, min_samples: int = 5)
 
     The prior counts every labelled row, the groups only rows with a known operator.
     """
-    bucket = phone.operator_bucket("operator")
     return _risk(
-        df,
+        _counts(df),
         {
-            "bucket": F.when(bucket != "unknown", bucket),
+            "bucket": F.when(F.col("bucket") != "unknown", F.col("bucket")),
             "def_code": phone.def_code_text("number"),
         },
         alpha,
@@ -127,7 +148,7 @@ def operator_code_risk_joined(
     national = _labelled(labels).filter(F.col("number").startswith("+7"))
     # Labels are folded per number first, so a hot number is one row in the join.
     per_number = national.groupBy("number").agg(
-        F.count(F.lit(1)).alias("n"), _count(F.col("label") == "BLOCK").alias("b")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "BLOCK").alias("b")
     )
     joined = per_number.join(operator_by_number(metadata, order), "number")
     per = (
@@ -143,13 +164,10 @@ def operator_code_risk_joined(
     )
 
 
-def operator_bucket_by_code(metadata: DataFrame, min_samples: int = 3, min_share: float = 0.5) -> DataFrame:
+def operator_bucket_by_code(df: DataFrame, min_samples: int = 3, min_share: float = 0.5) -> DataFrame:
     """Most common operator bucket per code when it holds the majority; ties go to the first name."""
-    bucket = phone.operator_bucket("operator")
-    known = metadata.filter(F.col("number").startswith("+7") & (bucket != "unknown"))
-    per = known.groupBy(phone.def_code_text("number").alias("def_code"), bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    known = _counts(df).filter(F.col("number").startswith("+7") & (F.col("bucket") != "unknown"))
+    per = known.groupBy(phone.def_code_text("number").alias("def_code"), "bucket").agg(F.sum("n").alias("n"))
     top = (
         per.filter(F.col("def_code") != "")
         .groupBy("def_code")
@@ -167,27 +185,21 @@ def operator_bucket_by_code(metadata: DataFrame, min_samples: int = 3, min_share
 def prefix_histogram(
     df: DataFrame, lengths: tuple[int, ...] = (5, 6, 9), alpha: float = 10.0, min_samples: int = 3
 ) -> DataFrame:
-    """Block and warn shares, seen count and entropy per prefix, for several lengths at once.
-
-    Counts are taken at the longest prefix; the shorter ones are rolled up from those counts, so
-    the rows are read and shuffled once.
-    """
-    longest = max(lengths)
-    national = _labelled(df).filter(F.col("number").startswith("+7"))
-    base = national.groupBy(F.substring("number", 1, longest).alias("_p")).agg(
-        F.count(F.lit(1)).alias("n"),
-        _count(F.col("label") == "BLOCK").alias("b"),
-        _count(F.col("label") == "WARN").alias("w"),
-    )
+    """Block and warn shares, seen count and entropy per prefix, for several lengths at once, all
+    rolled up from one set of counts."""
+    if max(lengths) > FOLD_CHARS:
+        raise ValueError(f"prefixes are counted up to {FOLD_CHARS} characters")
+    counts = _counts(df)
     levels = F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))
     per = (
-        base.select("*", levels.alias("prefix_length"))
-        .groupBy("prefix_length", F.expr("substring(_p, 1, prefix_length)").alias("prefix"))
-        .agg(F.sum("n").alias("seen_count"), F.sum("b").alias("b"), F.sum("w").alias("w"))
+        counts.filter(F.col("number").startswith("+7"))
+        .select("*", levels.alias("prefix_length"))
+        .groupBy("prefix_length", F.expr("substring(number, 1, prefix_length)").alias("prefix"))
+        .agg(F.sum("n").alias("seen_count"), F.sum("n_block").alias("b"), F.sum("n_warn").alias("w"))
         .filter(F.col("seen_count") >= min_samples)
     )
     n, b, w = F.col("seen_count"), F.col("b"), F.col("w")
-    overall = rates(df)
+    overall = rates(counts)
     return per.select(
         "prefix_length",
         "prefix",

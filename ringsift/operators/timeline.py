@@ -83,12 +83,14 @@ def latest_before(
     inclusive: bool = False,
     width: int = DAY_MS,
     following: bool = False,
+    attach: bool = True,
 ) -> DataFrame:
     """For every target row the greatest of each value among earlier events of its key.
 
     ``values`` usually are ``when(test, ts)``, so the result is the time of the latest such
     event. With ``following`` the smallest value among later events is found instead.
-    Adds the value columns to ``targets``; null when there is no such event.
+    Adds the value columns to ``targets``; null when there is no such event. Without ``attach``
+    only the id and the values come back, so that several look-backs can share their targets.
     """
     names = list(values)
     facts = events.select(*keys, ts, *[v.alias(n) for n, v in values.items()])
@@ -106,7 +108,7 @@ def latest_before(
     found = out.filter(F.col("_id").isNotNull()).select(
         F.col("_id").alias(target_id), *[F.col(f"_r_{n}").alias(n) for n in names]
     )
-    return targets.join(found, target_id, "left")
+    return targets.join(found, target_id, "left") if attach else found
 
 
 def lookback_sums(
@@ -117,6 +119,7 @@ def lookback_sums(
     ts: str,
     sums: dict[str, tuple[Column, int]],
     width: int = HOUR_MS,
+    attach: bool = True,
 ) -> DataFrame:
     """For every target row sums of event values with ``t - window <= event < t``.
 
@@ -157,4 +160,4 @@ def lookback_sums(
             ]
         )
     )
-    return targets.join(found, target_id, "left").fillna(0.0, subset=names)
+    return targets.join(found, target_id, "left").fillna(0.0, subset=names) if attach else found

@@ -17,7 +17,8 @@ from ..operators.sizing import write_once
 
 @dataclass
 class RiskTables:
-    """Statistics of labelled numbers; every table is written once and read by all look-ups."""
+    """Statistics of labelled numbers. The counts behind them are written once; all tables are small
+    roll-ups of those counts."""
 
     prefix_risk: DataFrame
     code_risk: DataFrame
@@ -28,15 +29,16 @@ class RiskTables:
 
     @classmethod
     def build(cls, labelled: DataFrame) -> RiskTables:
-        """From rows (number, label, operator)."""
-        hist = write_once(stats.prefix_histogram(labelled), "prefix-histogram")
+        """From rows (number, label, operator); the rows are read once."""
+        counts = write_once(stats.folded(labelled), "label-counts")
+        hist = write_once(stats.prefix_histogram(counts), "prefix-histogram")
         return cls(
-            write_once(stats.prefix_risk(labelled), "prefix-risk"),
-            write_once(stats.code_risk(labelled), "code-risk"),
-            write_once(stats.operator_code_risk(labelled), "operator-code-risk"),
-            write_once(stats.operator_bucket_by_code(labelled), "operator-by-code"),
+            stats.prefix_risk(counts),
+            stats.code_risk(counts),
+            stats.operator_code_risk(counts),
+            stats.operator_bucket_by_code(counts),
             hist,
-            write_once(stats.histogram_header(labelled, hist), "histogram-header"),
+            stats.histogram_header(counts, hist),
         )
 
     def level(self, length: int) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import html as H
 from ..functions import phone
 from ..functions import text as T
 from ..functions.numeric import contains_any
+from ..functions.once import let, settle
 from ..operators import decide
 
 # Host part -> source, tried in this order.
@@ -68,19 +69,22 @@ UNWANTED = "нежелательный звонок"
 
 
 def source_of(url: Column) -> Column:
-    host = F.lower(H.host(url))
-    out = None
-    for part, source in HOSTS:
-        test = host.contains(part)
-        out = F.when(test, source) if out is None else out.when(test, source)
-    return out.otherwise(F.lit("unknown"))
+    def named(host: Column) -> Column:
+        out = None
+        for part, source in HOSTS:
+            test = host.contains(part)
+            out = F.when(test, source) if out is None else out.when(test, source)
+        return out.otherwise(F.lit("unknown"))
+
+    return let(F.lower(H.host(url)), named)
 
 
 def path_number(digits: Column) -> Column:
     """Number written as plain digits in an address."""
-    d = phone.digits(digits)
-    ok = ((F.length(d) == 11) & d.rlike("^[78]")) | ((F.length(d) == 10) & d.rlike("^[9843]"))
-    return F.when(ok, phone.normalize(d, False))
+    return let(
+        phone.digits(digits),
+        lambda d: F.when(d.rlike("^(?:[78][0-9]{10}|[9843][0-9]{9})$"), F.concat(F.lit("+7"), F.right(d, F.lit(10)))),
+    )
 
 
 def number_of_url(source: Column, url: Column) -> Column:
@@ -91,18 +95,21 @@ def number_of_url(source: Column, url: Column) -> Column:
     return out
 
 
-def number_links(source: Column, html: Column, text: Column) -> Column:
+def number_links(source: Column, html: Column, text: Column, sources: list[str] | None = None) -> Column:
     """Distinct numbers a page links to, then those in its text."""
     hosts = {}
     for part, name in HOSTS:
         hosts.setdefault(name, part)
     out = None
     for name, (path, digits) in NUMBER_PATHS.items():
+        if sources is not None and name not in sources:
+            continue
         site = hosts[name].replace(".", r"\.")
         shape = rf"(?i)(?:{site}{path}|href=[\"']{path})(\d{{{digits}}})(?=[\"'/?#<\s]|$)"
         found = F.transform(F.regexp_extract_all(html, F.lit(shape), F.lit(1)), path_number)
         out = F.when(source == name, found) if out is None else out.when(source == name, found)
-    linked = F.coalesce(out, F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    linked = none if out is None else F.coalesce(out, none)
     return F.array_distinct(F.filter(F.concat(linked, H.numbers_in_text(text)), lambda n: n.isNotNull()))
 
 
@@ -149,7 +156,7 @@ class _Page:
 
     names = {
         "url": "url", "html": "_html", "text": "_text", "title": "page_title", "description": "_description",
-        "number": "_number", "lines": "_lines",
+        "number": "_number",
     }
 
     def __getattr__(self, name: str) -> Column:
@@ -207,7 +214,7 @@ def _bloha() -> Column:
         return F.transform(H.numbers_in_text(line), lambda n: _candidate(
             number=n, section=line, categories=cats, confidence=conf, kind="blacklist_article", sure=True))
 
-    return F.flatten(F.transform(P.lines, of_line))
+    return F.flatten(F.transform(H.plain_lines(P.html), of_line))
 
 
 def _getscam() -> Column:
@@ -404,44 +411,45 @@ def _badcall() -> Column:
 _DDL = "struct<" + ",".join(f"{n}:{t}" for n, t in _TYPES) + ">"
 
 
-def _rules() -> dict[str, Column]:
-    rules = {
-        "spravportal": _spravportal(), "callfilter": _callfilter(), "zvonili": _zvonili(), "moshelovka": _moshelovka(),
-        "bloha": _bloha(), "getscam": _getscam(), "prozvonok": _prozvonok(), "zvonkoff": _zvonkoff(),
-        "ktozvonil": _ktozvonil(), "callfilter_info": _callfilter_info(), "scamcall": _scamcall(),
-        "kto_zvonil_tel": _kto_zvonil_tel(), "abonentik": _abonentik(), "badcall": _badcall(),
-    }
-    for name, (classes, conf, rel) in BLOCK_SITES.items():
-        if name not in rules:
-            rules[name] = _blocks(classes, conf, rel)
-    return rules
+_RULES = {
+    "spravportal": _spravportal, "callfilter": _callfilter, "zvonili": _zvonili, "moshelovka": _moshelovka,
+    "bloha": _bloha, "getscam": _getscam, "prozvonok": _prozvonok, "zvonkoff": _zvonkoff, "ktozvonil": _ktozvonil,
+    "callfilter_info": _callfilter_info, "scamcall": _scamcall, "kto_zvonil_tel": _kto_zvonil_tel,
+    "abonentik": _abonentik, "badcall": _badcall,
+}
+SITES = sorted(set(_RULES) | set(BLOCK_SITES))
+
+
+def _rule(source: str) -> Column:
+    return _RULES[source]() if source in _RULES else _blocks(*BLOCK_SITES[source])
 
 
-def prepare(pages: DataFrame) -> DataFrame:
-    """Source, number, text, title, description and lines of every page that is a page."""
+def prepare(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """Source, number, text, title and description of every page that is a page."""
     base = pages.filter(~H.looks_like_sitemap(F.col("url"), F.col("html")) & ~H.is_antibot(F.col("html")))
-    base = base.withColumn("source", source_of(F.col("url"))).withColumn("_html", H.unescape_inner(F.col("html")))
+    base = settle(base, {"source": source_of(F.col("url"))})
+    if sources is not None:
+        base = base.filter(F.col("source").isin(sources))
+    base = base.withColumn("_html", H.unescape_inner(F.col("html"))).drop("html")
     inner_title = F.regexp_extract("_html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     meta = r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)"""
-    return base.withColumns({
+    return settle(base, {
         "_text": H.plain(F.col("_html")),
         "page_title": F.substring(F.trim(inner_title), 1, 200),
         "_description": F.trim(F.regexp_extract("_html", meta, 1)),
-        "_lines": H.plain_lines(F.col("_html")),
         "_number": number_of_url(F.col("source"), F.col("url")),
     })
 
 
 def raw_candidates(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """Raw candidates of all known sites, in one pass over the pages."""
-    rules = _rules()
-    chosen = {k: v for k, v in rules.items() if sources is None or k in sources}
-    known = prepare(pages).filter(F.col("source").isin(list(chosen)))
+    chosen = SITES if sources is None else sources
+    known = prepare(pages, chosen)
     found = None
-    for name, value in chosen.items():
+    for name in chosen:
         test = F.col("source") == name
-        found = F.when(test, value) if found is None else found.when(test, value)
-    links = F.size(number_links(F.col("source"), F.col("_html"), F.col("_text"))).cast("bigint")
+        found = F.when(test, _rule(name)) if found is None else found.when(test, _rule(name))
+    links = F.size(number_links(F.col("source"), F.col("_html"), F.col("_text"), chosen)).cast("bigint")
     rows = known.select("url", "source", "page_title", F.col("_text").alias("full_text"), links.alias("links"), F.explode(found).alias("c"))
     return rows.filter(F.col("c.number").isNotNull())
 
@@ -449,9 +457,9 @@ def raw_candidates(pages: DataFrame, sources: list[str] | None = None) -> DataFr
 def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int = 500, full_limit: int = 2000) -> DataFrame:
     """Evidence rows. Whole texts are examined; only the stored excerpts are cut."""
     rows = raw_candidates(pages, sources).select("url", "source", "page_title", "full_text", "links", "c.*")
-    rows = rows.withColumn("section", F.trim(F.regexp_replace("section", r"\s+", " ")))
-    rows = rows.withColumn("_cats", T.evidence_categories(F.col("section")))
-    rows = rows.withColumns({
+    rows = settle(rows, {"section": F.trim(F.regexp_replace("section", r"\s+", " "))})
+    rows = settle(rows, {
+        "_cats": T.evidence_categories(F.col("section")),
         "_fraud": T.count_words(F.col("section"), S.EVIDENCE_FRAUD),
         "_warn": T.count_words(F.col("section"), S.EVIDENCE_WARN),
         "_pos": T.count_words(F.col("section"), S.EVIDENCE_POSITIVE),
@@ -463,25 +471,26 @@ def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int
     extra = F.when(empty & F.col("fallback").isNotNull(), F.array("fallback")).otherwise(none)
     listed = F.when(F.col("source") == "moshelovka", F.array(F.lit("мошенничество"), F.lit("blacklist"))).otherwise(none)
     before = F.array_sort(F.array_distinct(F.filter(F.concat("categories", "_cats", extra), lambda x: F.trim(x) != "")))
-    rows = rows.withColumn("_before", before).withColumn("_all", F.array_sort(F.array_distinct(F.concat("_before", listed))))
+    rows = settle(rows, {"_before": before})
     judged = F.concat_ws(" ", "section", F.array_join("_before", ";"))
     hits = F.col("_fraud") + F.col("_warn")
-    rows = rows.withColumns({
+    rows = settle(rows, {
+        "_all": F.array_sort(F.array_distinct(F.concat("_before", listed))),
         "fraud_hits": T.count_words(judged, S.EVIDENCE_FRAUD),
         "warn_hits": T.count_words(judged, S.EVIDENCE_WARN),
         "negative": F.when(F.col("count_hits"), F.greatest("negative", hits)).otherwise(F.col("negative")),
         "positive": F.when(F.col("count_positive"), F.greatest("positive", F.col("_pos"))).otherwise(F.col("positive")),
     })
-    rows = rows.withColumn(
-        "reviews", F.when(F.col("reviews") > 0, F.col("reviews")).when(F.col("count_positive"), F.greatest(F.col("negative") + F.col("positive"), F.lit(1))).otherwise(F.col("reviews")))
+    votes = F.greatest(F.col("negative") + F.col("positive"), F.lit(1))
+    reviews = F.when((F.col("reviews") <= 0) & F.col("count_positive"), votes).otherwise(F.col("reviews"))
     conf = F.when((F.col("_fraud") > 0) & F.col("fraud_confidence").isNotNull(), F.col("fraud_confidence")).otherwise(F.col("confidence"))
     verdict = decide.evidence_label(
         F.col("source"), F.col("fraud_hits"), F.col("warn_hits"), F.col("negative"), F.col("positive"), F.col("neutral"),
-        F.col("reviews"), conf)
+        reviews, conf)
     reliability = F.lit(0.5)
     for name, value in S.SOURCE_RELIABILITY.items():
         reliability = F.when(F.col("source") == name, F.lit(value)).otherwise(reliability)
-    rows = rows.withColumn("_v", verdict).filter(F.col("_v").isNotNull())
+    rows = settle(rows, {"_v": verdict}).filter(F.col("_v").isNotNull())
     cats = F.array_join("_all", ";")
     filled = F.when(cats != "", cats).when(F.col("_v.label_hint") == "WARN", UNWANTED).otherwise("мошенничество")
     return rows.select(

@@ -15,6 +15,7 @@ from .scalars import any_of, class_sql, norm_sql
 # The entities that occur in the pages, resolved one after the other.
 _STRIP = "regexp_replace(regexp_replace(regexp_replace({h}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 _ENT = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
+_ENT = "replace(replace(" + _ENT + ", '&copy;', '©'), '&middot;', '·')"
 _FLAT = "trim(regexp_replace({x}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
 
 
@@ -98,7 +99,7 @@ def _(t: Tables):
 
 
 # Numbers in the posts are written in one of two ways; digits on either side do not occur there.
-_RAWP = "list_concat(regexp_extract_all(text, '(?:\\+7|8)[\\s().-]*\\d{3}[\\s().-]*\\d{3}[\\s().-]*\\d{2}[\\s().-]*\\d{2}'), regexp_extract_all(text, '(?:\\+?7|8)\\d{10}'))"
+_RAWP = "list_concat(regexp_extract_all(text, '(?:\\+7|8)[\\s().-]*\\d{3}[\\s().-]*\\d{3}[\\s().-]*\\d{2}[\\s().-]*\\d{2}'), regexp_extract_all(text, '(?:^|[^0-9])((?:\\+?7|8)\\d{10})(?:[^0-9]|$)', 1))"
 _PLAUS = class_sql("n")["national"]
 
 
@@ -210,7 +211,6 @@ def _(t: Tables):
 
 _evidence("pg01_review_blocks", ["znum", "netrubi", "ktozvonil", "znomer", "phoneregion"])
 _evidence("pg02_sections", ["spravportal", "callfilter", "zvonili", "moshelovka", "bloha", "getscam"])
-_evidence("pg03_cards", ["prozvonok"])
 _evidence("pg04_class_fallbacks", ["zvonkoff", "ktozvonil"])
 _evidence("pg11_block_sites", ["znum", "netrubi", "znomer", "phoneregion"])
 
@@ -226,7 +226,17 @@ def _numbered(rows):
     return rows.select(F.substring("normalized_number", 6, 7).cast("bigint").alias("page_id"), "label_hint", "evidence_type", "negative_count", "review_count", "categories", "source_confidence", "source_reliability")
 
 
-@query("pg05_status_labels", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'BLOCK' ELSE 'WARN' END AS label_hint, CASE page_id % 3 WHEN 0 THEN 'blacklist' ELSE 'review' END AS evidence_type, CASE page_id % 3 WHEN 0 THEN 2 ELSE 1 END AS negative_count, 4 AS review_count,
+@query("pg03_cards", """SELECT page_id, 'WARN' AS label_hint, 'listing_review' AS evidence_type, 2 AS negative_count, 2 AS review_count, 'спам' AS categories, 0.70 AS source_confidence, 0.65 AS source_reliability FROM pages""",
+       "source_confidence source_reliability", "negative_count review_count")
+def _(t: Tables):
+    digits = F.concat(F.lit("7916"), F.lpad(F.col("page_id").cast("string"), 7, "0"))
+    cards = F.concat(
+        F.lit('<main><div class="card w-100 mb-3"><a href="/nomer/'), digits, F.lit('">номер</a> Тип: опрос</div><div class="card w-100 mb-3">без номера, спам</div></main>'))
+    rows = t.pages.select(F.concat(F.lit("https://prozvonok.ru/otzyvy/"), "page_id").alias("url"), F.concat("html", cards).alias("html"))
+    return _numbered(G.evidence(rows, ["prozvonok"]))
+
+
+@query("pg05_status_labels", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'BLOCK' ELSE 'WARN' END AS label_hint, CASE page_id % 3 WHEN 0 THEN 'blacklist' ELSE 'review' END AS evidence_type, CASE page_id % 3 WHEN 1 THEN 3 ELSE 2 END AS negative_count, 4 AS review_count,
     CASE page_id % 3 WHEN 0 THEN 'мошенничество' WHEN 1 THEN 'реклама;спам' ELSE 'спам' END AS categories, CASE page_id % 3 WHEN 0 THEN 0.85 ELSE 0.74 END AS source_confidence, 0.78 AS source_reliability FROM pages""", "source_confidence source_reliability", "negative_count review_count")
 def _(t: Tables):
     k = F.col("page_id") % 3
@@ -239,7 +249,7 @@ def _(t: Tables):
 
 
 @query("pg06_carousel", """SELECT page_id, 'BLOCK' AS label_hint, 'listing_review' AS evidence_type, 2 AS negative_count, 2 AS review_count, 'мошенничество' AS categories, 0.84 AS source_confidence, 0.78 AS source_reliability FROM pages
-    UNION ALL SELECT page_id, 'WARN', 'review', 2, 2, 'реклама;спам', 0.77, 0.65 FROM pages""", "source_confidence source_reliability", "negative_count review_count")
+    UNION ALL SELECT page_id, 'WARN', 'review', 4, 4, 'реклама;спам', 0.77, 0.65 FROM pages""", "source_confidence source_reliability", "negative_count review_count")
 def _(t: Tables):
     digits = F.concat(F.lit("7916"), F.lpad(F.col("page_id").cast("string"), 7, "0"))
     block = F.concat(
@@ -258,7 +268,7 @@ def _(t: Tables):
 
 
 @query("pg08_category_links", """SELECT page_id, 'BLOCK' AS label_hint, 'blacklist' AS evidence_type, 3 AS negative_count, 3 AS review_count, 'вымогательство;мошенничество;спам;фишинг' AS categories, CASE WHEN page_id % 2 = 0 THEN 0.92 ELSE 0.9 END AS source_confidence, 0.74 AS source_reliability FROM pages""",
-       "source_confidence source_reliability")
+       "source_confidence source_reliability", "negative_count review_count")
 def _(t: Tables):
     rating = F.when(F.col("page_id") % 2 == 0, "1.5 из 5").otherwise("4 из 5")
     block = F.concat(F.lit('<a href="/category/fishing">a</a><a href="/category/vymogatelstvo">b</a><a href="/category/spam">c</a>'), rating)
@@ -266,7 +276,7 @@ def _(t: Tables):
     return out.withColumn("negative_count", F.least("negative_count", F.lit(3))).withColumn("review_count", F.least("review_count", F.lit(3)))
 
 
-@query("pg09_colour_items", """SELECT page_id, 'WARN' AS label_hint, 'review' AS evidence_type, 1 AS negative_count, 2 AS review_count, 'нежелательный звонок;спам' AS categories, 0.62 AS source_confidence, 0.55 AS source_reliability FROM pages""",
+@query("pg09_colour_items", """SELECT page_id, 'WARN' AS label_hint, 'review' AS evidence_type, 3 AS negative_count, 3 AS review_count, 'нежелательный звонок;спам' AS categories, 0.62 AS source_confidence, 0.55 AS source_reliability FROM pages""",
        "source_confidence source_reliability", "negative_count review_count")
 def _(t: Tables):
     block = F.lit('<ul><li class="list-group-item list-group-item-danger">опрос</li><li class="list-group-item list-group-item-warning">ничего</li><li class="list-group-item list-group-item-success">хорошо</li></ul>')
