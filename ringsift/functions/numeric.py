@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -103,9 +105,13 @@ def wall_ms(ts: Column) -> Column:
 def review_velocity(last: Column, first: Column, reviews: Column, window_days: int) -> Column:
     """Reviews per day of age (at least one day), per window, clamped."""
     elapsed = F.timestamp_diff("SECOND", parse_date(first), parse_date(last))
-    age = F.greatest(elapsed / 86400.0, F.lit(1.0))
-    rate = clamp01((reviews / age) / float(max(window_days, 1)))
-    return F.when(elapsed.isNotNull() & (reviews > 0), rate).otherwise(F.lit(0.0))
+
+    def rate(seconds: Column) -> Column:
+        age = F.greatest(seconds / 86400.0, F.lit(1.0))
+        value = clamp01((reviews / age) / float(max(window_days, 1)))
+        return F.when(seconds.isNotNull() & (reviews > 0), value).otherwise(F.lit(0.0))
+
+    return let(elapsed, rate)
 
 
 def night_flag(ms: Column, utc_offset: Column | int = 0) -> Column:

@@ -31,30 +31,45 @@ def weak_label(allow: Column, reputation: Column, in_black: Column) -> Column:
     zero = F.lit(0)
     neg = F.coalesce(r["negative_count"], zero)
     pos = F.coalesce(r["positive_count"], zero)
-    neu = F.coalesce(r["neutral_count"], zero)
-    reviews = F.greatest(F.coalesce(r["review_count"], zero), neg + pos + neu)
-    views = F.coalesce(r["view_count"], zero)
-    search = F.coalesce(r["search_volume"], zero)
-    search = F.when((search <= 0) & (views > 0), views).otherwise(search)
-    total = F.greatest(neg + pos + neu, reviews, F.lit(1))
-    neg_ratio, pos_ratio = neg / total, pos / total
-    flags = T.category_flags(r["categories"])
-    fraud, tele = flags["has_fraud_category"] > 0, flags["has_telemarketing_category"] > 0
-    conf = F.coalesce(r["source_confidence"], F.lit(0.5))
-    boost = 1.0 + (F.coalesce(r["source_reliability"], F.lit(0.5)) - 0.5) * 0.4
-    src = F.coalesce(r["source"], F.lit("reviews"))
+    votes = neg + pos + F.coalesce(r["neutral_count"], zero)
+    reviews = F.greatest(F.coalesce(r["review_count"], zero), votes)
+    views, search = F.coalesce(r["view_count"], zero), F.coalesce(r["search_volume"], zero)
+    total = F.greatest(votes, reviews, F.lit(1))
+    text = F.lower(F.coalesce(r["categories"], F.lit("")))
+    facts = F.struct(
+        neg.alias("neg"),
+        reviews.alias("reviews"),
+        F.when((search <= 0) & (views > 0), views).otherwise(search).alias("search"),
+        (neg / total).alias("neg_ratio"),
+        (pos / total).alias("pos_ratio"),
+        contains_any(text, S.FRAUD_WORDS).alias("fraud"),
+        contains_any(text, S.TELEMARKETING_WORDS).alias("tele"),
+        (1.0 + (F.coalesce(r["source_reliability"], F.lit(0.5)) - 0.5) * 0.4).alias("boost"),
+        F.coalesce(r["source_confidence"], F.lit(0.5)).alias("conf"),
+        F.coalesce(r["source"], F.lit("reviews")).alias("src"),
+    )
     a_conf = F.coalesce(allow["source_confidence"], F.lit(0.7))
     a_weight = F.when(a_conf < 0.35, 0.25).otherwise(F.bround(clip(a_conf * 2.0, 0.5, 2.0), 2))
+
+    def by_reputation(f: Column) -> Column:
+        def weight(w: float) -> Column:
+            return F.bround(w * f["boost"], 2)
+
+        proven = (f["neg_ratio"] >= 0.5) | (f["neg"] >= 2) | (f["conf"] >= 0.8)
+        return (
+            F.when(f["fraud"] & proven, _answer("BLOCK", weight(1.7), f["src"]))
+            .when((f["neg_ratio"] >= 0.75) & (f["reviews"] >= 3), _answer("BLOCK", weight(1.5), f["src"]))
+            .when(f["tele"] | (f["neg_ratio"] >= 0.35), _answer("WARN", weight(1.0), f["src"]))
+            .when((f["search"] >= 500) & (f["reviews"] <= 2), _answer("WARN", weight(0.8), f["src"]))
+            .when((f["pos_ratio"] >= 0.75) & (f["reviews"] >= 3), _answer("ALLOW", 0.9, f["src"]))
+            .otherwise(_answer("WARN", 0.5, f["src"]))
+        )
+
     return (
         F.when(allow.isNotNull(), _answer("ALLOW", a_weight, F.coalesce(allow["source"], F.lit("whitelist_official"))))
         .when(in_black, _answer("BLOCK", 2.0, F.coalesce(r["source"], F.lit("blacklist"))))
         .when(r.isNull(), _answer("WARN", 0.25, "unknown"))
-        .when(fraud & ((neg_ratio >= 0.5) | (neg >= 2) | (conf >= 0.8)), _answer("BLOCK", F.bround(1.7 * boost, 2), src))
-        .when((neg_ratio >= 0.75) & (reviews >= 3), _answer("BLOCK", F.bround(1.5 * boost, 2), src))
-        .when(tele | (neg_ratio >= 0.35), _answer("WARN", F.bround(1.0 * boost, 2), src))
-        .when((search >= 500) & (reviews <= 2), _answer("WARN", F.bround(0.8 * boost, 2), src))
-        .when((pos_ratio >= 0.75) & (reviews >= 3), _answer("ALLOW", 0.9, src))
-        .otherwise(_answer("WARN", 0.5, src))
+        .otherwise(let(facts, by_reputation))
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.numeric import round_count
+from ..functions.once import settle
 from .sizing import lookup_join, write_once
 
 Quota = Callable[[Column], Column]
@@ -84,10 +85,9 @@ def pick(
     target = df if strata else df.withColumn("_one", F.lit(1))
     out = lookup_join(target, cuts, own)
     allowed = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    for name in quotas:
-        hit = allowed & F.coalesce(row_hash(key, seed) <= F.col(f"_cut_{name}"), F.lit(False))
-        out = out.withColumn(name, hit)
-    return out.drop("_one", *[f"_cut_{n}" for n in quotas])
+    h = row_hash(key, seed)
+    flags = {n: allowed & F.coalesce(h <= F.col(f"_cut_{n}"), F.lit(False)) for n in quotas}
+    return settle(out, flags).drop("_one", *[f"_cut_{n}" for n in quotas])
 
 
 def hash_rank(df: DataFrame, key: str, seed: int, out: str = "position", prefix_chars: int = 4) -> DataFrame:
@@ -198,9 +198,13 @@ def enrich_cold_allow(entries: DataFrame, key: str, fraction: float, seed: int =
     def u(i: int) -> Column:
         return uniform(key, seed + 100 + i)
 
-    reviews = F.floor(u(1) * 10) + 1
-    positive = F.greatest(F.lit(1), F.bround(reviews * (0.70 + 0.30 * u(2))).cast("bigint"))
-    raw_negative = F.bround(reviews * (0.10 * u(3))).cast("bigint")
+    drawn = F.struct(
+        (F.floor(u(1) * 10) + 1).alias("reviews"), (0.70 + 0.30 * u(2)).alias("good"), (0.10 * u(3)).alias("bad")
+    )
+    marked = settle(marked, {"_d": drawn})
+    reviews = F.col("_d.reviews")
+    positive = F.greatest(F.lit(1), F.bround(reviews * F.col("_d.good")).cast("bigint"))
+    raw_negative = F.bround(reviews * F.col("_d.bad")).cast("bigint")
     negative = F.when(positive + raw_negative > reviews, F.greatest(F.lit(0), reviews - positive)).otherwise(raw_negative)
     neutral = F.greatest(F.lit(0), reviews - positive - negative)
     values = {
@@ -216,8 +220,8 @@ def enrich_cold_allow(entries: DataFrame, key: str, fraction: float, seed: int =
     }
     out = marked
     hit = F.col("_hit")
-    out = out.withColumns({n: F.when(hit, v).otherwise(F.col(n)) for n, v in values.items()})
-    return out.withColumn("synthetic", hit).drop("_hit")
+    changed = {n: F.when(hit, v).otherwise(F.col(n)) for n, v in values.items()}
+    return settle(out, {**changed, "synthetic": hit}).drop("_hit", "_d")
 
 
 def thin_cold_allow(entries: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from .. import schema as S
 from ..functions import phone
 from ..functions import text as T
 from ..functions.numeric import clamp01, log_share, review_velocity
+from ..functions.once import settle
 from ..operators import lookup, sample, stats
 from ..operators.sizing import write_once
 
@@ -130,13 +131,18 @@ def compact_features(df: DataFrame, tables: RiskTables, number: str = "normalize
     neg, pos, neu = (given(c, 0) for c in ("negative_count", "positive_count", "neutral_count"))
     votes = neg + pos + neu
     raw_reviews = given("review_count", 0)
-    reviews = F.when(raw_reviews <= 0, votes).otherwise(raw_reviews)
     search, views = given("search_volume", 0), given("view_count", 0)
-    ratio = neg / F.greatest(votes, reviews, F.lit(1))
-    flags = T.category_flags(given("categories", ""))
-    digits = phone.digits(n)
-    kind = phone.number_type(n)
-    bucket = F.col("_bucket_name")
+    # What several features share is settled first; the features themselves are then plain columns.
+    out = settle(out, {
+        "_digits": phone.digits(n),
+        "_kind": phone.number_type(n),
+        "_reviews": F.when(raw_reviews <= 0, votes).otherwise(raw_reviews),
+        "_flags": F.struct(*[c.alias(k) for k, c in T.category_flags(given("categories", "")).items()]),
+        "_votes": votes,
+    })
+    digits, kind, reviews, bucket = F.col("_digits"), F.col("_kind"), F.col("_reviews"), F.col("_bucket_name")
+    flags = {k: F.col(f"_flags.{k}") for k in ("has_fraud_category", "has_telemarketing_category", "has_finance_category")}
+    ratio = neg / F.greatest(F.col("_votes"), reviews, F.lit(1))
     flag = lambda c: c.cast("double")
     raw = given("raw_number", "")
     values = {
@@ -170,7 +176,7 @@ def compact_features(df: DataFrame, tables: RiskTables, number: str = "normalize
         "noMetadata": no_metadata_flag(raw_reviews, search, views, allow | black, flags),
         "prefixRisk": clamp01(F.col("prefixRisk")),
     }
-    return out.withColumns(values).drop("_bucket_name")
+    return out.withColumns(values).drop("_bucket_name", "_digits", "_kind", "_reviews", "_flags", "_votes")
 
 
 def metadata_record(entries: DataFrame, tables: RiskTables) -> DataFrame:

@@ -1 +1,89 @@
-"""Queries."""
+"""Model fitting at scale."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import decide as D
+from ..operators import evaluate as V
+from ..plans import model as M
+from .bindings import Tables
+from .registry import query
+
+FEATURES = ["reputationScore", "prefixRisk", "sourceConfidence", "digitEntropy"]
+
+
+def _rows(t: Tables):
+    label = F.when(F.col("label") == "ALLOW", 0.0).when(F.col("label") == "WARN", 1.0).otherwise(2.0)
+    # The label leans on two features, so that there is something to learn.
+    signal = F.when(F.col("reputationScore") + F.col("prefixRisk") > 1.2, 2.0).when(F.col("prefixRisk") < 0.3, 0.0).otherwise(label)
+    return t.classed.withColumn("y", signal)
+
+
+@query("ml01_logistic")
+def _(t: Tables):
+    rows = M.with_class_weight(_rows(t), "y", 3)
+    model = M.logistic(FEATURES, "y", "class_weight").fit(rows)
+    tested = M.score(model, rows, ["p_allow", "p_warn", "p_block"])
+    return V.per_class_metrics(tested, "y", "prediction", [0.0, 1.0, 2.0])
+
+
+@query("ml01_forest")
+def _(t: Tables):
+    rows = _rows(t)
+    model = M.forest(FEATURES, "y", trees=20, depth=6).fit(rows)
+    return V.per_class_metrics(M.score(model, rows, ["p_allow", "p_warn", "p_block"]), "y", "prediction", [0.0, 1.0, 2.0])
+
+
+@query("ml02_platt")
+def _(t: Tables):
+    rows = t.scores.select((F.col("y") == 2).cast("int").alias("b"), "p_block")
+    a, b = M.platt(rows, "b", "p_block")
+    done = rows.withColumn("calibrated", M.platt_map(F.col("p_block"), a, b))
+    before, after = V.calibration_error(done, "b", "p_block"), V.calibration_error(done, "b", "calibrated")
+    return before.select(F.lit("before").alias("stage"), "ece").unionByName(after.select(F.lit("after").alias("stage"), "ece"))
+
+
+@query("ml02_isotonic", """WITH RECURSIVE x AS (SELECT p_block AS p, count(*) AS n, avg(CASE WHEN y = 2 THEN 1.0 ELSE 0.0 END) AS m FROM scores GROUP BY p_block),
+    i AS (SELECT a.p, min(b2.v) AS lowest FROM x a JOIN (SELECT s.p AS s, e.p AS e, sum(k.n * k.m) / sum(k.n) AS v FROM x s JOIN x e ON e.p >= s.p JOIN x k ON k.p BETWEEN s.p AND e.p GROUP BY s.p, e.p) b2 ON b2.e >= a.p AND b2.s <= a.p GROUP BY a.p, b2.s)
+    SELECT x.p AS p_block, max(i.lowest) AS calibrated, any_value(x.n) AS n FROM x JOIN i ON i.p = x.p GROUP BY x.p""", "p_block calibrated", places=5)
+def _(t: Tables):
+    rows = t.scores.select((F.col("y") == 2).cast("int").alias("b"), "p_block")
+    return M.isotonic(rows, "b", "p_block").groupBy("p_block").agg(F.max("calibrated").alias("calibrated"), F.count(F.lit(1)).alias("n"))
+
+
+@query("ml03_cross_validation")
+def _(t: Tables):
+    return M.k_fold_metrics(_rows(t), "key", FEATURES, "y", 3, k=3)
+
+
+@query("ml04_search")
+def _(t: Tables):
+    from ..operators.sample import stratified_split
+
+    rows = stratified_split(_rows(t).withColumn("c", F.col("y").cast("string")), "c", "key")
+    return M.search(rows.filter("split = 'train'"), rows.filter("split = 'val'"), FEATURES, "y", 3, 2, 0.9, [0.0, 0.05])
+
+
+@query("ml05_smote")
+def _(t: Tables):
+    return M.smote(_rows(t), "y", 0.0, "key", FEATURES, copies=1)
+
+
+@query("ml06_fine_tune")
+def _(t: Tables):
+    rows = _rows(t)
+    fixed = D.corrected_label(F.when(F.col("key") % 2 == 0, "not_spam").otherwise("fraud"), D.label_name(F.col("y").cast("int")))
+    y = F.when(fixed["label"] == "ALLOW", 0.0).when(fixed["label"] == "WARN", 1.0).otherwise(2.0)
+    feedback = rows.select(*FEATURES, y.alias("y"), fixed["weight"].alias("weight"))
+    model = M.fine_tune(rows, feedback, FEATURES, "y")
+    return V.confusion(M.score(model, rows, ["p_allow", "p_warn", "p_block"]), "y", "prediction")
+
+
+@query("ml08_teacher_student")
+def _(t: Tables):
+    rows = M.teacher_scores(_rows(t), FEATURES, "y", 3, rounds=3, depth=3)
+    soft = M.soft_targets([F.col(f"teacher_{c}") for c in range(3)], 2.0)
+    rows = rows.withColumns({f"soft_{c}": soft[c] for c in range(3)})
+    out = M.student(rows, FEATURES, "y", 3, (8,), 15)
+    return out.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("rows"), F.avg("soft_2").alias("mean_soft_block"))
