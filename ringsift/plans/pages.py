@@ -727,3 +727,8 @@ def listed_businesses(pages: DataFrame) -> DataFrame:
     pairs = pairs.select("url", "position", F.col("p.n").alias("name"), F.col("p.t").alias("normalized_number")).dropna(subset=["name", "normalized_number"])
     return pairs.filter(~F.substring("normalized_number", 3, 10).rlike(r"^(\d)\1{9}$")).withColumn(
         "category", decide.business_category(F.col("name")))
+
+
+def source_of_text(url: str) -> str:
+    """Source of one address, for choosing rules when a job is written."""
+    return next((source for part, source in HOSTS if part in url.lower()), "unknown")
