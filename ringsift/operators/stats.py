@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import phone
 from ..functions.numeric import round_even
+from ..functions.once import settle
 
 
 #: Canonical numbers are cut here before they are counted: +7 and seven digits.
@@ -22,27 +23,30 @@ def _labelled(df: DataFrame) -> DataFrame:
     return df.filter(F.col("label").isin(S.LABELS))
 
 
-def folded(df: DataFrame) -> DataFrame:
+def folded(df: DataFrame, operators: bool = True) -> DataFrame:
     """Counts per (prefix of nine characters, operator bucket): all that the tables below need.
 
-    The rows are read and shuffled once; prefixes and buckets are few, so partial aggregation
-    shrinks hot ones before the shuffle. Columns number and operator keep their meaning, so the
-    result can be given to every function of this module in place of the rows.
+    The rows are read and shuffled once. They are counted by the operator as written, so that
+    partial aggregation shrinks hot prefixes first and the bucket is found for a few distinct
+    names instead of for every row. Column number keeps its meaning, so the result can be given
+    to every function of this module in place of the rows.
     """
-    bucket = phone.operator_bucket("operator") if "operator" in df.columns else F.lit("unknown")
-    return (
-        _labelled(df)
-        .groupBy(F.substring("number", 1, FOLD_CHARS).alias("number"), bucket.alias("bucket"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("label") == "BLOCK").alias("n_block"),
-            F.count_if(F.col("label") == "WARN").alias("n_warn"),
-        )
+    keys = [F.substring("number", 1, FOLD_CHARS).alias("number")]
+    if operators:
+        keys.append(F.col("operator"))
+    counts = _labelled(df).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("label") == "BLOCK").alias("n_block"),
+        F.count_if(F.col("label") == "WARN").alias("n_warn"),
     )
+    if not operators:
+        return counts
+    sums = [F.sum(c).alias(c) for c in ("n", "n_block", "n_warn")]
+    return settle(counts, {"bucket": phone.operator_bucket("operator")}).groupBy("number", "bucket").agg(*sums)
 
 
-def _counts(df: DataFrame) -> DataFrame:
-    return df if "n_block" in df.columns else folded(df)
+def _counts(df: DataFrame, operators: bool = False) -> DataFrame:
+    return df if "n_block" in df.columns else folded(df, operators)
 
 
 def label_totals(df: DataFrame) -> DataFrame:
@@ -95,7 +99,9 @@ def entropy_of_shares(block: Column, warn: Column) -> Column:
 def _risk(df: DataFrame, keys: dict[str, Column], alpha: float, min_samples: int) -> DataFrame:
     """Smoothed block share per group, pulled towards the overall block rate."""
     counts = _counts(df)
-    per = counts.filter(F.col("number").startswith("+7")).groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
+    # The keys are found for the few counted prefixes; a filter on them must not go back to the rows.
+    keyed = settle(counts.filter(F.col("number").startswith("+7")), {f"_{k}": c for k, c in keys.items()})
+    per = keyed.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(
         F.sum("n").alias("seen_count"), F.sum("n_block").alias("block_count")
     )
     per = per.filter(F.col("seen_count") >= min_samples)
@@ -124,7 +130,7 @@ def operator_code_risk(df: DataFrame, alpha: float = 20.0, min_samples: int = 5)
     The prior counts every labelled row, the groups only rows with a known operator.
     """
     return _risk(
-        _counts(df),
+        _counts(df, True),
         {
             "bucket": F.when(F.col("bucket") != "unknown", F.col("bucket")),
             "def_code": phone.def_code_text("number"),
@@ -136,9 +142,9 @@ def operator_code_risk(df: DataFrame, alpha: float = 20.0, min_samples: int = 5)
 
 def operator_by_number(metadata: DataFrame, order: str) -> DataFrame:
     """Operator bucket of a number: the last row in ``order`` with a known operator wins."""
-    bucket = phone.operator_bucket("operator")
-    known = metadata.filter(F.col("number").startswith("+7") & (bucket != "unknown"))
-    return known.groupBy("number").agg(F.max_by(bucket, F.col(order)).alias("bucket"))
+    named = metadata.filter(F.col("number").startswith("+7") & (F.trim("operator") != ""))
+    latest = named.groupBy("number").agg(F.max_by("operator", F.col(order)).alias("operator"))
+    return settle(latest, {"bucket": phone.operator_bucket("operator")}).drop("operator")
 
 
 def operator_code_risk_joined(
@@ -152,7 +158,8 @@ def operator_code_risk_joined(
     )
     joined = per_number.join(operator_by_number(metadata, order), "number")
     per = (
-        joined.groupBy("bucket", phone.def_code_text("number").alias("def_code"))
+        settle(joined, {"def_code": phone.def_code_text("number")})
+        .groupBy("bucket", "def_code")
         .agg(F.sum("n").alias("seen_count"), F.sum("b").alias("block_count"))
         .filter((F.col("seen_count") >= min_samples) & (F.col("def_code") != ""))
     )
@@ -166,8 +173,9 @@ def operator_code_risk_joined(
 
 def operator_bucket_by_code(df: DataFrame, min_samples: int = 3, min_share: float = 0.5) -> DataFrame:
     """Most common operator bucket per code when it holds the majority; ties go to the first name."""
-    known = _counts(df).filter(F.col("number").startswith("+7") & (F.col("bucket") != "unknown"))
-    per = known.groupBy(phone.def_code_text("number").alias("def_code"), "bucket").agg(F.sum("n").alias("n"))
+    known = _counts(df, True).filter(F.col("number").startswith("+7") & (F.col("bucket") != "unknown"))
+    coded = settle(known, {"def_code": phone.def_code_text("number")})
+    per = coded.groupBy("def_code", "bucket").agg(F.sum("n").alias("n"))
     top = (
         per.filter(F.col("def_code") != "")
         .groupBy("def_code")

@@ -9,6 +9,7 @@ from ..operators import lookup as L
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import stats
+from ..operators.sizing import write_once
 from .bindings import Tables
 from .registry import query
 from .scalars import bucket_sql, def_text_sql
@@ -72,10 +73,15 @@ _MIXED = f"""(SELECT prefix, risk FROM ({_risk(6, 10, 3)}) a WHERE CAST(substr(p
     UNION ALL SELECT prefix, risk FROM ({_risk(5, 10, 3)}) b WHERE prefix <> '+7901' UNION ALL SELECT prefix, risk FROM ({_risk(4, 10, 3)}) c)"""
 
 
+def _counts(t: Tables):
+    return write_once(stats.folded(t.labeled), "label-counts")
+
+
 def _mixed(t: Tables):
-    six = stats.prefix_risk(t.labeled, 6).filter(F.substring("prefix", 6, 1).cast("int") % 2 == 0)
-    five = stats.prefix_risk(t.labeled, 5).filter("prefix <> '+7901'")
-    return six.unionByName(five).unionByName(stats.prefix_risk(t.labeled, 4)).select("prefix", "risk")
+    counts = _counts(t)
+    six = stats.prefix_risk(counts, 6).filter(F.substring("prefix", 6, 1).cast("int") % 2 == 0)
+    five = stats.prefix_risk(counts, 5).filter("prefix <> '+7901'")
+    return six.unionByName(five).unionByName(stats.prefix_risk(counts, 4)).select("prefix", "risk")
 
 
 _BACK = f"LEFT JOIN {_MIXED} a ON a.prefix = substr(n.normalized_number, 1, 6) LEFT JOIN {_MIXED} b ON b.prefix = substr(n.normalized_number, 1, 5) LEFT JOIN {_MIXED} c ON c.prefix = substr(n.normalized_number, 1, 4)"
@@ -99,7 +105,7 @@ def _(t: Tables):
 @query("jn08_single_length_share", f"""SELECT n.id, CASE WHEN n.id % 5 = 0 THEN 0.0 ELSE coalesce(a.risk, 0.0) END AS share3, CASE WHEN n.id % 5 = 0 THEN 0.0 ELSE coalesce(b.risk, 0.0) END AS share7
     FROM numbers n LEFT JOIN ({_risk(5, 10, 3)}) a ON a.prefix = substr(n.normalized_number, 1, 5) LEFT JOIN ({_risk(9, 10, 3)}) b ON b.prefix = substr(n.normalized_number, 1, 9)""", "share3 share7")
 def _(t: Tables):
-    hist = stats.prefix_histogram(t.labeled, (5, 9))
+    hist = write_once(stats.prefix_histogram(t.labeled, (5, 9)), "histogram")
     allowed = F.col("id") % 5 == 0
     a = L.prefix_share_lookup(t.numbers, hist.filter("prefix_length = 5"), 5, "share3", allowed=allowed)
     return L.prefix_share_lookup(a, hist.filter("prefix_length = 9"), 9, "share7", allowed=allowed).select("id", "share3", "share7")
@@ -116,8 +122,9 @@ _ASK = "CASE n.id % 4 WHEN 0 THEN 'mts' WHEN 1 THEN 'other' WHEN 2 THEN 'unknown
 def _(t: Tables):
     k = F.col("id") % 4
     asked = t.numbers.withColumn("operator_bucket", F.when(k == 0, "mts").when(k == 1, "other").when(k == 2, "unknown").otherwise("tele2"))
-    a = L.code_risk_lookup(asked, stats.code_risk(t.labeled), 0.44, out="code_risk")
-    return L.operator_code_risk_lookup(a, stats.operator_code_risk(t.labeled), 0.44, out="operator_code_risk").select("id", "code_risk", "operator_code_risk")
+    counts = _counts(t)
+    a = L.code_risk_lookup(asked, stats.code_risk(counts), 0.44, out="code_risk")
+    return L.operator_code_risk_lookup(a, stats.operator_code_risk(counts), 0.44, out="operator_code_risk").select("id", "code_risk", "operator_code_risk")
 
 
 _MODE = f"""(SELECT def_code, bucket FROM (SELECT def_code, bucket, n, sum(n) OVER (PARTITION BY def_code) AS total, row_number() OVER (PARTITION BY def_code ORDER BY n DESC, bucket) AS rn FROM (
