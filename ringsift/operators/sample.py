@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numeric import round_count
 from ..functions.once import settle
-from .sizing import lookup_join, write_once
+from .sizing import bounded_broadcast, lookup_join, write_once
 
 Quota = Callable[[Column], Column]
 
@@ -44,7 +44,7 @@ def hash_cuts(
     # At most 16^prefix_chars rows per stratum.
     upto = Window.partitionBy(*strata).orderBy("_b")
     whole = Window.partitionBy(*strata)
-    hist = hist.withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(whole))
+    hist = write_once(hist, "hash-histogram").withColumn("_cum", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(whole))
     wanted = F.array(
         *[
             F.struct(
@@ -59,11 +59,11 @@ def hash_cuts(
         .filter((F.col("_q.k") > F.col("_cum") - F.col("_n")) & (F.col("_q.k") <= F.col("_cum")))
         .select(*strata, "_b", F.col("_q.name").alias("_name"), (F.col("_q.k") - F.col("_cum") + F.col("_n")).alias("_r"))
     )
-    inside = Window.partitionBy(*strata, "_b").orderBy("_h")
-    border = rows.join(crossing.select(*strata, "_b").distinct(), [*strata, "_b"], "left_semi").withColumn(
-        "_rn", F.row_number().over(inside)
-    )
-    found = crossing.join(border, [*strata, "_b"]).filter(F.col("_rn") == F.col("_r"))
+    # One row per stratum and quota; counted before it is broadcast.
+    crossing = bounded_broadcast(crossing)
+    inside = Window.partitionBy(*strata, "_b", "_name").orderBy("_h")
+    border = rows.join(crossing, [*strata, "_b"]).withColumn("_rn", F.row_number().over(inside))
+    found = border.filter(F.col("_rn") == F.col("_r"))
     return found.groupBy(*strata).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_h"))).alias(name) for name in quotas]
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.events import BLOCK_STEP, WARN_STEP
 from ..streaming import jobs as J
 from ..streaming import run as R
 from .bindings import VIEWS, Tables, _render
@@ -68,7 +69,15 @@ def _(t: Tables):
     return out.select("id", "calls_7d", "rejected_30d", "answer_rate_30d")
 
 
-@query("st07_linked_calls")
+_NEAR = "(w.sid IS NOT NULL AND abs(s.ts - w.sts) <= 600000)"
+
+
+@query("st07_linked_calls", f"""WITH RECURSIVE l AS (SELECT number, id, ts, 0 AS k FROM snapshots UNION ALL SELECT number, id, ts, 1 FROM decisions WHERE verdict = 'BLOCK' UNION ALL SELECT number, id, ts, 2 FROM calls),
+    s AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY ts, k, id) AS rn FROM l WHERE number IS NOT NULL),
+    w AS (SELECT number, 0::BIGINT AS rn, -1::BIGINT AS id, 9 AS k, CAST(NULL AS BIGINT) AS sid, CAST(NULL AS BIGINT) AS sts, CAST(NULL AS BIGINT) AS bts, CAST(NULL AS BIGINT) AS link, false AS ours FROM (SELECT DISTINCT number FROM s) n UNION ALL
+    SELECT s.number, s.rn, s.id, s.k, CASE WHEN s.k = 0 THEN s.id WHEN s.k = 2 AND {_NEAR} THEN NULL ELSE w.sid END, CASE WHEN s.k = 0 THEN s.ts WHEN s.k = 2 AND {_NEAR} THEN NULL ELSE w.sts END, CASE WHEN s.k = 1 THEN s.ts ELSE w.bts END,
+    CASE WHEN s.k = 2 AND {_NEAR} THEN w.sid END, s.k = 2 AND {_NEAR} AND coalesce(w.bts >= s.ts - 600000, false) FROM w JOIN s ON s.number = w.number AND s.rn = w.rn + 1)
+    SELECT id, link AS snapshot_id, ours AS blocked_by_us FROM w WHERE k = 2""")
 def _(t: Tables):
     s = _streams(t)
     out = J.linked_calls(s.view("calls"), s.view("snapshots"), s.view("decisions"))
@@ -91,14 +100,31 @@ def _(t: Tables):
     return R.run_to_table(J.prefix_marks(marks), "marks").select("user", "prefix", "id", "marks")
 
 
-@query("st12_cached_lookups")
+_TTL = "CASE w.src WHEN '2gis' THEN 30 WHEN 'negative' THEN 2 ELSE 7 END * 86400000::BIGINT"
+_HIT = f"(w.stored IS NOT NULL AND s.ts - w.stored <= {_TTL})"
+
+
+@query("st12_cached_lookups", f"""WITH RECURSIVE s AS (SELECT number, id, ts, CASE id % 3 WHEN 0 THEN '2gis' WHEN 1 THEN 'negative' ELSE 'offline' END AS source, row_number() OVER (PARTITION BY number ORDER BY ts, id) AS rn FROM decisions),
+    w AS (SELECT number, 0::BIGINT AS rn, -1::BIGINT AS id, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS BIGINT) AS stored, false AS hit FROM (SELECT DISTINCT number FROM s) n UNION ALL
+    SELECT s.number, s.rn, s.id, CASE WHEN {_HIT} THEN w.src ELSE s.source END, CASE WHEN {_HIT} THEN w.stored ELSE s.ts END, {_HIT} FROM w JOIN s ON s.number = w.number AND s.rn = w.rn + 1)
+    SELECT id, hit, src AS answered_by FROM w WHERE rn > 0""")
 def _(t: Tables):
     k = F.col("id") % 3
     lookups = _streams(t).view("decisions").withColumn("source", F.when(k == 0, "2gis").when(k == 1, "negative").otherwise("offline"))
     return R.run_to_table(J.cached_lookups(lookups), "cache")
 
 
-@query("st13_user_thresholds")
+def _bounded(now: str, start: float, table: dict, low: float, high: float) -> str:
+    """One threshold step: a new version starts afresh, marks count from the fifth on."""
+    base = f"CASE WHEN s.v <> w.v THEN {start}::DOUBLE ELSE w.{now} END"
+    step = "CASE s.action " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in table.items()) + " ELSE 0.0 END"
+    return f"CASE WHEN s.rn >= 5 THEN least({high}, greatest({low}, {base} + {step})) ELSE {base} END"
+
+
+@query("st13_user_thresholds", f"""WITH RECURSIVE s AS (SELECT user, id, user_action AS action, CASE WHEN ts > 1705000000000 THEN 1 ELSE 0 END AS v, row_number() OVER (PARTITION BY user ORDER BY ts, id) AS rn FROM decisions WHERE user_action IS NOT NULL),
+    w AS (SELECT user, 0::BIGINT AS rn, -1::BIGINT AS id, 0 AS v, 0.35::DOUBLE AS warn, 0.70::DOUBLE AS block FROM (SELECT DISTINCT user FROM s) u UNION ALL
+    SELECT s.user, s.rn, s.id, s.v, {_bounded('warn', 0.35, WARN_STEP, 0.15, 0.50)}, {_bounded('block', 0.70, BLOCK_STEP, 0.50, 0.85)} FROM w JOIN s ON s.user = w.user AND s.rn = w.rn + 1)
+    SELECT user, id, warn AS warn_threshold, block AS block_threshold FROM w WHERE rn > 0""", "warn_threshold block_threshold")
 def _(t: Tables):
     d = _streams(t).view("decisions").filter("user_action is not null")
     late = F.col("ts") > 1_705_000_000_000
