@@ -146,7 +146,25 @@ def _(t: Tables):
     return V.binned_mi(t.scores, "y", ["p_block", "p_warn", "l_discount"])
 
 
-@query("ag22_permutation_importance")
+def _perm_auc(a: str, b: str, rows: str) -> str:
+    """AUC of 0.6 a + 0.4 b for BLOCK by ranks."""
+    m = f"CAST(round((0.6::DOUBLE * {a} + 0.4::DOUBLE * {b}) * 1000000) AS BIGINT)"
+    return f"""(SELECT (sum(r) FILTER (pos) - count(*) FILTER (pos)::DOUBLE * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos)::DOUBLE * count(*) FILTER (NOT pos)) FROM (
+        SELECT pos, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS r FROM (SELECT label = 'BLOCK' AS pos, {m} AS m FROM {rows}) x) y)"""
+
+
+def _shuffled(column: str, seed: int) -> str:
+    return f"""(SELECT a.*, b.v FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || key)) AS pos FROM classed) a JOIN (SELECT "{column}" AS v, row_number() OVER (ORDER BY md5('{seed + 1}:' || key)) AS pos FROM classed) b USING (pos))"""
+
+
+_S, _K = '"reputationScore"', '"prefixRisk"'
+_BASEAUC = _perm_auc(_S, _K, "classed")
+_IMP = " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, {_BASEAUC} - {_perm_auc(*(('v', _K) if i == 0 else (_S, 'v')), _shuffled(name, 42 + 1000 * i + 10 * r))} AS d"
+    for i, name in enumerate(("reputationScore", "prefixRisk")) for r in range(2))
+
+
+@query("ag22_permutation_importance", f"SELECT feature, avg(d) AS importance FROM ({_IMP}) z GROUP BY feature", "importance")
 def _(t: Tables):
     rows = t.classed.select("key", "label", "reputationScore", "prefixRisk")
     score = 0.6 * F.col("reputationScore") + 0.4 * F.col("prefixRisk")
