@@ -340,7 +340,7 @@ def caller_info(numbers: DataFrame, registry: DataFrame, geocoder: DataFrame, ca
     found = registry_lookup(numbers, registry)
     geo = geocoder.select(F.col("def_code").alias("_code"), F.col("region").alias("_geo_region"))
     found = found.withColumn("_code", phone.def_code("normalized_number").cast("bigint"))
-    found = found.join(F.broadcast(geo), "_code", "left")
+    found = found.join(bounded_broadcast(geo), "_code", "left")
     rows = cache.select(
         "normalized_number", F.struct("operator", "region", "source", "ts").alias("_c")
     )

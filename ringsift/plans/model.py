@@ -19,18 +19,17 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numeric import clip, logit, sigmoid
 from ..operators import evaluate
+from ..operators.aggregate import class_balanced_weights
 from ..operators.sample import row_hash, uniform
-from ..operators.sizing import write_once
+from ..operators.sizing import lookup_join, write_once
 
 # --- batch models -----------------------------------------------------------
 
 
 def with_class_weight(df: DataFrame, label: str, classes: int) -> DataFrame:
-    """Inverse-frequency weight per row; one row per class is broadcast."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    sizes = sizes.select(label, (total / (F.lit(float(classes)) * F.col("_n"))).alias("class_weight")).limit(classes)
-    return df.join(F.broadcast(sizes), label)
+    """Inverse-frequency weight per row."""
+    weights = class_balanced_weights(df, label, classes).select(label, F.col("weight").alias("class_weight"))
+    return lookup_join(df, write_once(weights, "class-weights"), [label])
 
 
 def logistic(features: list[str], label: str, weight: str | None = None, reg: float = 0.0) -> Pipeline:
@@ -265,7 +264,6 @@ def predict_with(features: DataFrame, models: DataFrame) -> DataFrame:
     """Device probability and verdict of every call under the user's own weights, else the defaults."""
     from ..operators.decide import device_verdict
     from ..operators.events import device_probability
-    from ..operators.sizing import lookup_join
 
     found = lookup_join(features, write_once(models.select("user", "weights", "bias"), "models"), ["user"])
     weights = F.coalesce("weights", F.array(*[F.lit(w) for w in S.DEVICE_WEIGHTS]))

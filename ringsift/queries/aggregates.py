@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import html as H
 from ..operators import aggregate as A
 from ..operators import merge as M
 from ..operators import quality as Q
@@ -286,13 +285,6 @@ def _(t: Tables):
     return M.review_rollup(t.reputation_raw)
 
 
-@query("ag40_source_viability")
-def _(t: Tables):
-    host = F.lower(H.host(F.col("url")))
-    kind = F.when(F.length(host) % 3 == 0, "directory").when(F.length(host) % 3 == 1, "blacklist").otherwise("forum")
-    return A.source_viability(t.web, kind)
-
-
 @query("ag41_reputation_union", f"""SELECT normalized_number, {_NUM}, max(last_review_at) AS last_review_at, coalesce(min(nullif(first_seen_at, '')), '') AS first_seen_at, coalesce(max(nullif(detail_date, '')), '') AS detail_date,
     coalesce(arg_min(nullif(page_title, ''), CASE WHEN page_title <> '' THEN ord END), '') AS page_title, {_SET.format(c='categories', s=';')} AS categories, array_to_string(list_sort(list(DISTINCT source)), '+') AS source FROM reputation_raw GROUP BY 1""", "source_confidence source_reliability")
 def _(t: Tables):

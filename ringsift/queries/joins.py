@@ -217,9 +217,10 @@ def _(t: Tables):
 def _(t: Tables):
     k = F.col("id") % 4
     now = F.lit(1_700_000_000_000)
-    source = F.when(k == 0, "2gis").when(k == 1, "negative").when(k == 2, "offline")
-    cache = t.numbers.filter(k < 3).groupBy("normalized_number").agg(F.max("id").alias("id")).select(
-        "normalized_number", F.lit("op").alias("operator"), F.lit("reg").alias("region"), source.alias("source"), (now - (F.col("id") % 35) * 86_400_000).alias("ts"))
+    source = F.when(k == 0, "2gis").when(k == 1, "negative").otherwise("offline")
+    age = F.when(k == 3, F.lit(400)).otherwise(F.col("id") % 35)
+    cache = t.numbers.groupBy("normalized_number").agg(F.max("id").alias("id")).select(
+        "normalized_number", F.lit("op").alias("operator"), F.lit("reg").alias("region"), source.alias("source"), (now - age * 86_400_000).alias("ts"))
     geo = t.region.select(F.lit(495).cast("bigint").alias("def_code"), F.lit("Москва").alias("region")).distinct()
     found = L.caller_info(t.numbers, t.numbering_plan, geo, cache, now)
     return found.join(t.numbers, "normalized_number").select("id", "operator", "region", "found_by")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import html as H
 from ..functions import text as T
+from ..operators import aggregate as A
 from ..plans import pages as G
 from .bindings import Tables, num
 from .registry import query
@@ -114,6 +115,27 @@ def _(t: Tables):
     return t.directory.select("page_id", F.explode(H.numbers_in_html(F.col("html"))).alias("normalized_number"))
 
 
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+_PHONES = f"""(SELECT page_id, count(DISTINCT n) AS c FROM (SELECT page_id, {norm_sql('p')} AS n FROM (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '(?i)href\\s*=\\s*{_Q}tel:({_NQ}+){_Q}', 1), {_RAWP.replace('text', 'html')})) AS p FROM web) a) b
+    WHERE length(n) = 12 AND {_PLAUS} AND NOT ({' OR '.join(f"substr(n, 3) = repeat('{d}', 10)" for d in range(10))}) GROUP BY page_id)"""
+_KINDS = "CASE length(host) % 3 WHEN 0 THEN 'directory' WHEN 1 THEN 'blacklist' ELSE 'forum' END"
+_HAS, _WORDS = "(phones >= 1 OR tel_links >= 1)", "(complaint_words >= 2)"
+
+
+def _viable(small_js: str, small: str, a: str, b: str, c: str, d: str) -> str:
+    return f"""CASE WHEN html_length < 1500 AND js_required THEN {small_js} WHEN html_length < 1500 THEN {small} WHEN category = 'directory' AND {_HAS} THEN {a} WHEN category = 'blacklist' AND {_HAS} AND {_WORDS} THEN {a}
+        WHEN category = 'blacklist' AND {_HAS} THEN {b} WHEN category = 'blacklist' AND {_WORDS} THEN {c} WHEN category = 'forum' AND {_WORDS} THEN {b} ELSE {d} END"""
+
+
+@query("ag40_source_viability", f"""SELECT *, {_viable("'NEEDS_BROWSER'", "'CLOSED'", "'VIABLE'", "'VIABLE'", "'NEEDS_BROWSER'", "'NO_FRAUD_SIGNAL'")} AS kind, {_viable('2', '0', '1', '2', '2', '3')} AS priority FROM (SELECT host, {_KINDS} AS category, count(*) AS pages, sum(coalesce(c, 0))::BIGINT AS phones,
+    sum(tels)::BIGINT AS tel_links, sum(words)::BIGINT AS complaint_words, max(size) AS html_length, bool_or(js) AS js_required FROM (SELECT w.page_id, {_HOST} AS host, ph.c, len(regexp_extract_all(html, '(?i)href\\s*=\\s*{_Q}tel:({_NQ}+){_Q}', 1)) AS tels,
+    length(html) AS size, regexp_matches(html, '(?i)<div[^>]+id={_Q}(?:app|root|__next|__nuxt){_Q}') AS js, ({_hits(S.EVIDENCE_FRAUD + S.EVIDENCE_WARN)}) AS words FROM (SELECT *, {_CLEAN} AS z FROM (SELECT *, {text_sql('html')} AS text FROM web) v) w LEFT JOIN {_PHONES} ph ON ph.page_id = w.page_id) x GROUP BY host) y""", ints="priority")
+def _(t: Tables):
+    host = F.lower(H.host(F.col("url")))
+    kind = F.when(F.length(host) % 3 == 0, "directory").when(F.length(host) % 3 == 1, "blacklist").otherwise("forum")
+    return A.source_viability(t.web, kind)
+
+
 @query("sc59_page_links")
 def _(t: Tables):
     return t.pages.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("position", "link"))

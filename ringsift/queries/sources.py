@@ -136,8 +136,6 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.app_corpus.select(F.trim("package").alias("packageName"), "label", F.trim("category").alias("category")).filter("packageName <> ''")
     path = _csv(t, rows.coalesce(1), "corpus")
-    wide = t.app_corpus.select(F.concat(F.lit("a,b,c,d"), F.col("ord")).alias("value")).limit(3)
-    wide.write.mode("append").text(path + "-wide")
     return feeds.read_corpus(t.spark, path)
 
 

@@ -39,13 +39,13 @@ _KEYS = ", ".join(M.SNAPSHOT_KEY)
 _SAME = " AND ".join(f"m.{c} IS NOT DISTINCT FROM s.{c}" for c in M.SNAPSHOT_KEY)
 
 
-@query("wn04_append_snapshots", f"""SELECT {_KEYS}, ord FROM reputation_raw WHERE ord % 2 = 0 UNION ALL SELECT {_KEYS}, ord FROM (SELECT {_KEYS}, ord, row_number() OVER (PARTITION BY {_KEYS} ORDER BY ord) AS rn
+@query("wn04_append_snapshots", f"""SELECT {_KEYS}, ord FROM reputation_raw UNION ALL SELECT {_KEYS}, ord FROM (SELECT {_KEYS}, ord, row_number() OVER (PARTITION BY {_KEYS} ORDER BY ord) AS rn
     FROM (SELECT * REPLACE (negative_count % 2 AS negative_count, CAST('' AS VARCHAR) AS detail_date, substr(last_review_at, 1, 7) AS last_review_at) FROM reputation_raw) q WHERE {valid_sql('normalized_number')}) s
-    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM reputation_raw m WHERE m.ord % 2 = 0 AND {_SAME})""")
+    WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM reputation_raw m WHERE {_SAME})""")
 def _(t: Tables):
     r = t.reputation_raw
     shards = r.withColumns({"negative_count": F.col("negative_count") % 2, "detail_date": F.lit(""), "last_review_at": F.substring("last_review_at", 1, 7)})
-    return M.append_snapshots(r.filter("ord % 2 = 0"), shards, "ord").select(*M.SNAPSHOT_KEY, "ord")
+    return M.append_snapshots(r, shards, "ord").select(*M.SNAPSHOT_KEY, "ord")
 
 
 @query("wn05_new_evidence", """SELECT normalized_number, source, url, ord FROM (SELECT *, row_number() OVER (PARTITION BY normalized_number, source, url ORDER BY ord) AS rn FROM reputation_raw) x
