@@ -10,7 +10,7 @@ from ..functions.numeric import clamp01
 from .sizing import bounded_broadcast, lookup_join, write_once
 
 SUBSCRIBERS = 10_000_000
-#: A prefix of this many characters (+ and five digits) has at most 10^5 values.
+#: A prefix of this many characters (+7 and digits) has at most 10^4 values in the statistics.
 SMALL_PREFIX = 6
 
 

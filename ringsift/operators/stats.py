@@ -49,6 +49,11 @@ def _counts(df: DataFrame, operators: bool = False) -> DataFrame:
     return df if "n_block" in df.columns else folded(df, operators)
 
 
+def _national() -> Column:
+    """+7 and digits only, so a prefix of k characters has at most 10^(k - 2) values."""
+    return F.col("number").rlike(r"^\+7[0-9]*$")
+
+
 def label_totals(df: DataFrame) -> DataFrame:
     """One row: labelled rows and the overall block and warn rates."""
     n = F.coalesce(F.sum("n"), F.lit(0))
@@ -100,7 +105,7 @@ def _risk(df: DataFrame, keys: dict[str, Column], alpha: float, min_samples: int
     """Smoothed block share per group, pulled towards the overall block rate."""
     counts = _counts(df)
     # The keys are found for the few counted prefixes; a filter on them must not go back to the rows.
-    keyed = settle(counts.filter(F.col("number").startswith("+7")), {f"_{k}": c for k, c in keys.items()})
+    keyed = settle(counts.filter(_national()), {f"_{k}": c for k, c in keys.items()})
     per = keyed.groupBy(*[F.col(f"_{k}").alias(k) for k in keys]).agg(
         F.sum("n").alias("seen_count"), F.sum("n_block").alias("block_count")
     )
@@ -173,7 +178,7 @@ def operator_code_risk_joined(
 
 def operator_bucket_by_code(df: DataFrame, min_samples: int = 3, min_share: float = 0.5) -> DataFrame:
     """Most common operator bucket per code when it holds the majority; ties go to the first name."""
-    known = _counts(df, True).filter(F.col("number").startswith("+7") & (F.col("bucket") != "unknown"))
+    known = _counts(df, True).filter(_national() & (F.col("bucket") != "unknown"))
     coded = settle(known, {"def_code": phone.def_code_text("number")})
     per = coded.groupBy("def_code", "bucket").agg(F.sum("n").alias("n"))
     top = (
@@ -200,7 +205,7 @@ def prefix_histogram(
     counts = _counts(df)
     levels = F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]))
     per = (
-        counts.filter(F.col("number").startswith("+7"))
+        counts.filter(_national())
         .select("*", levels.alias("prefix_length"))
         .groupBy("prefix_length", F.expr("substring(number, 1, prefix_length)").alias("prefix"))
         .agg(F.sum("n").alias("seen_count"), F.sum("n_block").alias("b"), F.sum("n_warn").alias("w"))

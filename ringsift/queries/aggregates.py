@@ -87,7 +87,7 @@ def _(t: Tables):
 
 @query("ag07_bucket_by_code", f"SELECT def_code, bucket FROM {_MODE} m")
 def _(t: Tables):
-    return stats.operator_bucket_by_code(t.labeled, min_share=0.17).select("def_code", "bucket")
+    return stats.operator_bucket_by_code(t.labeled, min_share=0.15).select("def_code", "bucket")
 
 
 _LW = "lower(categories)"

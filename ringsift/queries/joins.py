@@ -128,7 +128,7 @@ def _(t: Tables):
 
 
 _MODE = f"""(SELECT def_code, bucket FROM (SELECT def_code, bucket, n, sum(n) OVER (PARTITION BY def_code) AS total, row_number() OVER (PARTITION BY def_code ORDER BY n DESC, bucket) AS rn FROM (
-    SELECT {_DEF} AS def_code, {bucket_sql('operator')} AS bucket, count(*) AS n FROM labeled WHERE {bucket_sql('operator')} <> 'unknown' GROUP BY 1, 2) a) b WHERE rn = 1 AND total >= 3 AND n / total >= 0.17)"""
+    SELECT {_DEF} AS def_code, {bucket_sql('operator')} AS bucket, count(*) AS n FROM labeled WHERE {bucket_sql('operator')} <> 'unknown' GROUP BY 1, 2) a) b WHERE rn = 1 AND total >= 3 AND n / total >= 0.15)"""
 
 
 @query("jn10_resolve_bucket", f"""SELECT n.id, coalesce(CASE n.id % 5 WHEN 0 THEN 'mts' WHEN 1 THEN 'unknown' END, CASE WHEN n.id % 5 = 2 THEN 'mvno' END, m.bucket, 'unknown') AS operator_bucket
@@ -139,7 +139,7 @@ def _(t: Tables):
         "given": F.when(k == 0, " MTS ").when(k == 1, "unknown").when(k == 3, "nobody").otherwise(""),
         "name": F.when(k == 2, "Йота").otherwise(""),
     })
-    table = stats.operator_bucket_by_code(t.labeled, min_share=0.17)
+    table = stats.operator_bucket_by_code(t.labeled, min_share=0.15)
     return L.resolve_bucket(asked, table, F.col("given"), F.col("name")).select("id", "operator_bucket")
 
 
