@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mixing, neardup, quality, sharding
+from . import contamination, mainpage, mixing, neardup, quality, secrets, sharding, warc
 from .common import table
 
 
@@ -18,10 +18,22 @@ def op2_perplexity_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents"))
 
 
+def op3_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.score(table(spark, folder, "documents"))
+
+
+def op4_path_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return mainpage.main_text(table(spark, folder, "pages"))
+
+
 def op5_suffix_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op8_setsketch_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"))
 
@@ -32,7 +44,11 @@ def op9_pfair_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hash_tree, op2_perplexity_rules, op5_suffix_decontamination, op8_setsketch_groups, op9_pfair_mixture)
+    f.__name__: f
+    for f in (
+        op1_hash_tree, op2_perplexity_rules, op3_secret_forest, op4_path_ratios, op5_suffix_decontamination, op6_warc_archive,
+        op8_setsketch_groups, op9_pfair_mixture,
+    )
 }
 
 ORACLES: dict[str, str] = {
