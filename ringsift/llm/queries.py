@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mainpage, mixing, neardup, quality, secrets, sharding, warc
+from . import contamination, mainpage, mixing, neardup, quality, repeats, secrets, sharding, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op7_prefix_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.cleaned(table(spark, folder, "documents")).drop("kept")
+
+
 def op8_setsketch_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "documents"))
 
@@ -47,7 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree, op2_perplexity_rules, op3_secret_forest, op4_path_ratios, op5_suffix_decontamination, op6_warc_archive,
-        op8_setsketch_groups, op9_pfair_mixture,
+        op7_prefix_intervals, op8_setsketch_groups, op9_pfair_mixture,
     )
 }
 
