@@ -31,7 +31,7 @@ from .common import stored
 #: Compressed bytes at which a file ends, and page bytes of a range.
 FILE_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
 #: Bins of the histogram of page_id.
-BINS = 1 << 16
+BINS = 1 << 12
 #: Payloads of at least so many bytes are stored once.
 LEAST_REVISIT = 0
 #: Pages carry no time of capture.
