@@ -20,9 +20,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; further columns of the input, whatever their names, are left out."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def spread(df: DataFrame, *names: str) -> DataFrame:
+    """Deal rows by key to as many tasks as the session names, for work that weighs more than its bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
 
 
 def cell(key: Column) -> Column:

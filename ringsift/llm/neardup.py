@@ -8,9 +8,10 @@ candidates. The similarity of candidates is estimated from both sketches and bot
 likelihood, and what is not clearly below the threshold is confirmed on the full sets.
 
 Equal sets are folded into one representative first. In a bucket every member is paired with the
-least one only; the links found make components. Buckets that still hold several components are then
-compared block against block, and only pairs across components are confirmed. No task ever holds
-more than two blocks, and pairs inside a component are never written out.
+least one only; the links found make components. Members that are not in the component of their
+bucket's leader then meet other leaders, drawn by hash, for ``ROUNDS`` rounds. Buckets that still
+hold several components are compared block against block, and only pairs across components are
+confirmed. No task ever holds more than two blocks, and pairs inside a component are never written.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 from .textscan import BLANKS, Block, blocks, mix, windows, words
 
 SHINGLE = 4
@@ -37,6 +38,10 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 LEAST_ESTIMATE = 0.6
 #: Members of a block of a bucket, and pairs of one leader that one task confirms.
 BLOCK, LEADER_PAIRS = 512, 64
+#: Rounds of drawn leaders; what they leave is compared block against block.
+ROUNDS = 2
+#: Equal registers below which a pair is not estimated in a block: seven standard errors below 0.8.
+LEAST_EQUAL = REGISTERS // 2
 
 _FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -197,12 +202,25 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked[i] = 100 * both >= PERCENT * (len(lead) + len(x) - both)
         return group.select(["a", "b"]).filter(pa.array(linked))
 
-    return held.groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
+    return spread(held, "a", "part").groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _drawn(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a bucket's leader, drawn anew each turn, and the members that are not in its component."""
+    at = _labelled(buckets, labels)
+    draw = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("label").alias("label"))).alias("lead")
+    led = at.groupBy("band", "key").agg(draw, F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h")
+    pairs = at.join(led, ["band", "key"]).filter("label <> lead.label")
+    return pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs across components in buckets that hold several, estimated block against block."""
-    at = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    at = _labelled(buckets, labels)
     mixed = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h")
     split = at.join(mixed.select("band", "key", (F.floor(F.col("_n") / BLOCK) + 1).alias("_b")), ["band", "key"])
     split = split.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("_b"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)))
@@ -221,6 +239,7 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame
                 continue
             # A pair is looked at in the first band that it shares.
             j = j[(keys[j, :band] != keys[i, :band]).all(axis=1)] if band else j
+            j = j[(held[j] == held[i]).sum(axis=1) >= LEAST_EQUAL]
             if len(j):
                 j = j[estimate(held[j], held[i][None, :], n[j].astype(float), np.full(len(j), float(n[i]))) >= LEAST_ESTIMATE]
             out_a.append(np.minimum(ids[i], ids[j]))
@@ -228,7 +247,7 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame
         none = [np.zeros(0, dtype=np.int64)]
         return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
 
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    return spread(rows, "band", "key", "x", "y").groupBy("band", "key", "x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,6 +273,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("label").alias("a"), F.col("id").alias("b"))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id, kept.
 
@@ -278,10 +301,13 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = stored(_sets(docs, buckets.select("id").distinct()), "sets")
     first = stored(_confirm(stars, sets), "links")
     copies = same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    buckets = buckets.select("band", "key", "id")
     labels = components(first.union(copies))
-    more = stored(_across(buckets.select("band", "key", "id"), labels, one).join(stars, ["a", "b"], "left_anti").distinct(), "across")
-    second = _confirm(more, sets)
-    labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(second).union(copies))
+    for turn in range(ROUNDS):
+        drawn = stored(_likely(_drawn(buckets, labels, turn).join(stars, ["a", "b"], "left_anti"), one), "drawn")
+        labels = components(_edges(labels).union(_confirm(drawn, sets)))
+    more = stored(_across(buckets, labels, one).distinct(), "across")
+    labels = components(_edges(labels).union(_confirm(more, sets)))
 
     named = known.join(labels.select("id", "label"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id"))
     out = sketches.join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
