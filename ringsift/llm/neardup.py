@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 from .textscan import BLANKS, Block, blocks, mix, windows, words
 
 SHINGLE = 4
@@ -37,8 +37,11 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 LEAST_ESTIMATE = 0.6
 #: Members of a block of a bucket, and pairs of one leader that one task confirms.
 BLOCK, LEADER_PAIRS = 512, 64
+#: Across components, a pair needs so many equal registers (seven standard errors below 0.8), and then an
+#: estimate from a finer sketch of so many registers (five standard errors below 0.8).
+LEAST_EQUAL, FINE, LEAST_FINE = REGISTERS // 2, 512, 0.71
 
-_FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_FACTORS = mix(np.arange(1, REGISTERS + FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +64,12 @@ def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return value[new], row[new]
 
 
-def registers(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def registers(value: np.ndarray, starts: np.ndarray, fine: bool = False) -> np.ndarray:
     """Registers of the sets that begin at ``starts``: one row of 16-bit numbers each."""
-    out = np.empty((len(starts), REGISTERS), dtype=np.uint16)
-    for i in range(REGISTERS):
-        least = np.minimum.reduceat(value * _FACTORS[i], starts)
+    factors = _FACTORS[REGISTERS:] if fine else _FACTORS[:REGISTERS]
+    out = np.empty((len(starts), len(factors)), dtype=np.uint16)
+    for i, factor in enumerate(factors):
+        least = np.minimum.reduceat(value * factor, starts)
         x = -np.log1p(-((least >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)) / RATE
         out[:, i] = np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
     return out
@@ -162,7 +166,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and the sorted shingles (64-bit numbers, as bytes) of the named documents."""
+    """id, the sorted shingles (64-bit numbers, as bytes) and a finer sketch of the named documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,12 +174,16 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 value, row = shingles(block)
                 cuts = np.searchsorted(row, np.arange(len(block) + 1))
                 held = [value[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(block))]
-                n = [len(h) // 8 for h in held]
+                some = np.flatnonzero(np.diff(cuts))
+                fine: list[bytes | None] = [None] * len(block)
+                if len(some):
+                    for r, x in zip(some, registers(value, cuts[some], fine=True)):
+                        fine[r] = x.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(block)), pa.array(n, pa.int64()), pa.array(held, pa.binary())], names=["id", "n", "shingles"]
+                    [batch.column(0).slice(block.first, len(block)), pa.array(held, pa.binary()), pa.array(fine, pa.binary())], names=["id", "shingles", "fine"]
                 )
 
-    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id bigint, n bigint, shingles binary")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id bigint, shingles binary, fine binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,22 +205,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked[i] = 100 * both >= PERCENT * (len(lead) + len(x) - both)
         return group.select(["a", "b"]).filter(pa.array(linked))
 
-    return held.groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
+    return spread(held, "a", "part").groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
 
 
-def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs across components in buckets that hold several, estimated block against block."""
     at = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("_l < _h")
     split = at.join(mixed.select("band", "key", (F.floor(F.col("_n") / BLOCK) + 1).alias("_b")), ["band", "key"])
     split = split.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("_b"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b") - 1)))
     dealt = split.select("band", "key", "id", "label", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    rows = dealt.join(reps.select("id", "n", "sketch"), "id")
+    rows = dealt.join(reps.select("id", "n", "sketch").join(sets.select("id", "fine"), "id"), "id")
 
     def run(group: pa.Table) -> pa.Table:
         ids, label, n, mine = (group.column(c).to_numpy() for c in ("id", "label", "n", "mine"))
         band, x, y = (group.column(c)[0].as_py() for c in ("band", "x", "y"))
         held = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        finer = np.frombuffer(b"".join(group.column("fine").to_pylist()), dtype=np.uint16).reshape(-1, FINE)
         keys = held.view(np.uint64)
         out_a, out_b = [], []
         for i in np.flatnonzero(mine == x):
@@ -221,14 +230,15 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame
                 continue
             # A pair is looked at in the first band that it shares.
             j = j[(keys[j, :band] != keys[i, :band]).all(axis=1)] if band else j
+            j = j[(held[j] == held[i]).sum(axis=1) >= LEAST_EQUAL]
             if len(j):
-                j = j[estimate(held[j], held[i][None, :], n[j].astype(float), np.full(len(j), float(n[i]))) >= LEAST_ESTIMATE]
+                j = j[estimate(finer[j], finer[i][None, :], n[j].astype(float), np.full(len(j), float(n[i]))) >= LEAST_FINE]
             out_a.append(np.minimum(ids[i], ids[j]))
             out_b.append(np.maximum(ids[i], ids[j]))
         none = [np.zeros(0, dtype=np.int64)]
         return pa.table({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
 
-    return rows.groupBy("band", "key", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    return spread(rows, "band", "key", "x", "y").groupBy("band", "key", "x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,7 +289,7 @@ def groups(docs: DataFrame) -> DataFrame:
     first = stored(_confirm(stars, sets), "links")
     copies = same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     labels = components(first.union(copies))
-    more = stored(_across(buckets.select("band", "key", "id"), labels, one).join(stars, ["a", "b"], "left_anti").distinct(), "across")
+    more = stored(_across(buckets.select("band", "key", "id"), labels, one, sets).join(stars, ["a", "b"], "left_anti").distinct(), "across")
     second = _confirm(more, sets)
     labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(second).union(copies))
 
