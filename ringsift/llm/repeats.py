@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,10 @@ MAP_BITS, BUCKET_BYTES = 28, 8 << 20
 #: Runs that a task folds at a time, and suffixes that are sorted at a time.
 FOLD, SORTED = 1 << 19, 1 << 17
 
-RUN = np.dtype([("anchor", "u8"), ("doc", "i8"), ("text", "i8"), ("start", "i8"), ("windows", "i4"), ("left", "i4")])
-SPAN = np.dtype([("doc", "i8"), ("text", "i8"), ("start", "i8"), ("end", "i8")])
-SPANS = "doc_id bigint, text_hash bigint, start bigint, end bigint"
+#: What is known of a run, and of a covered span; ``text`` tells rows of one doc_id apart.
+RUN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("windows", "u1"), ("left", "i2")])
+SPAN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("end", "i4")])
+SPANS = "doc_id bigint, text_hash int, start int, end int"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -143,12 +145,31 @@ def _known(marks: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _pack(records: np.ndarray) -> bytes:
+    """Records column by column, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(records[c]).tobytes() for c in records.dtype.names), 3)
+
+
+def _unpack(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    out = [np.zeros(0, dtype=kind)]
+    for part in filter(None, parts):
+        raw = zstandard.decompress(part)
+        records = np.empty(len(raw) // kind.itemsize, dtype=kind)
+        at = 0
+        for c in kind.names:
+            size = len(records) * kind[c].itemsize
+            records[c] = np.frombuffer(raw, dtype=kind[c], count=len(records), offset=at)
+            at += size
+        out.append(records)
+    return np.concatenate(out)
+
+
 class _Fold:
     """Equal runs of a task: the one of the least document is kept, the others are covered."""
 
     def __init__(self, bits: int) -> None:
-        self.bits, self.runs, self.keys, self.bytes = bits, [], [], []
-        self.count = 0
+        self.bits, self.count = bits, 0
+        self.runs, self.keys, self.anchors, self.bytes = [], [], [], []
 
     def add(self, block: Block, doc: np.ndarray, marks: np.ndarray) -> None:
         row, start, windows, anchor = runs(block)
@@ -156,12 +177,12 @@ class _Fold:
         row, start, windows, anchor = row[use], start[use], windows[use], anchor[use]
         if not len(row):
             return
-        text = span_hash(block, block.offsets[:-1], block.offsets[1:]).view(np.int64)
         found = np.empty(len(row), dtype=RUN)
-        found["anchor"], found["doc"], found["text"], found["windows"] = anchor, doc[row], text[row], windows
+        found["doc"], found["text"], found["windows"] = doc[row], _text_hash(block)[row], windows
         found["start"] = start - block.offsets[row]
         found["left"] = np.where(found["start"] > 0, block.data[np.maximum(start - 1, 0)], -1)
         self.runs.append(found)
+        self.anchors.append(anchor)
         self.keys.append(span_hash(block, start, start + windows + LENGTH - 1))
         size = windows + LENGTH - 1
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -179,17 +200,21 @@ class _Fold:
         other = order[found["doc"][order] > owner]
         spans = _merged(found[other], size[other])
         kept = order[first]
-        bucket = _bucket(found["anchor"], self.bits)
+        bucket = _bucket(np.concatenate(self.anchors), self.bits)
         rows = []
         for b, at in _dealt(bucket, kept[np.argsort(bucket[kept], kind="stable")]):
             places = np.repeat(begin[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(size[at].sum())
-            rows.append((b, found[at].tobytes(), data[places].tobytes(), b""))
+            rows.append((b, _pack(found[at]), zstandard.compress(data[places].tobytes(), 3), b""))
         if len(spans):
-            rows.append((int(spans["text"][0] & ((1 << self.bits) - 1)), b"", b"", spans.tobytes()))
+            rows.append((int(spans["text"][0]) & ((1 << self.bits) - 1), b"", b"", _pack(spans)))
         for at in range(0, len(rows), 64):
             part = list(zip(*rows[at : at + 64]))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *[pa.array(x, pa.binary()) for x in part[1:]]], names=["bucket", "runs", "data", "spans"])
-        self.runs, self.keys, self.bytes, self.count = [], [], [], 0
+        self.runs, self.keys, self.anchors, self.bytes, self.count = [], [], [], [], 0
+
+
+def _text_hash(block: Block) -> np.ndarray:
+    return span_hash(block, block.offsets[:-1], block.offsets[1:]).astype(np.uint32).view(np.int32)
 
 
 def _merged(found: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -209,7 +234,7 @@ def joined(spans: np.ndarray) -> np.ndarray:
     group = np.cumsum(change)
     # Ends grow along a document; the group number keeps documents apart in one running maximum.
     base = np.int64(spans["end"].max()) + 1
-    reach = np.maximum.accumulate(spans["end"] + group * base) - group * base
+    reach = np.maximum.accumulate(spans["end"].astype(np.int64) + group * base) - group * base
     new = change.copy()
     new[1:] |= spans["start"][1:] > reach[:-1]
     first = np.flatnonzero(new)
@@ -254,52 +279,43 @@ def intervals(lcp: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int,
 
 
 def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Spans of a bucket that stand in a smaller document as well."""
-    size = found["windows"].astype(np.int64) + LENGTH - 1
-    begin = np.cumsum(size) - size
-    order = np.argsort(found["anchor"], kind="stable")
-    anchor = found["anchor"][order]
-    again = np.zeros(len(order), dtype=bool)
-    again[1:] = anchor[1:] == anchor[:-1]
-    again[:-1] |= again[1:]
-    order = order[again]
-    out = []
-    # Anchors are taken in groups of bounded size; one anchor value beyond that is split in _scan.
-    edges = np.flatnonzero(np.append(True, found["anchor"][order][1:] != found["anchor"][order][:-1])) if len(order) else np.zeros(0, dtype=np.int64)
-    weight = np.cumsum(found["windows"][order])
-    at = 0
-    while at < len(edges):
-        base = weight[edges[at] - 1] if edges[at] else 0
-        stop = int(np.searchsorted(weight[np.append(edges[at + 1 :], len(order)) - 1], base + SORTED, side="right")) + at + 1
-        stop = min(max(stop, at + 1), len(edges))
-        mine = order[edges[at] : edges[stop] if stop < len(edges) else len(order)]
-        out.append(_scan(found[mine], data, begin[mine], size[mine]))
-        at = stop
-    return np.concatenate(out) if out else np.zeros(0, dtype=SPAN)
-
-
-def _scan(found: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of a bucket's runs that stand in a smaller document as well.
+
+    Suffixes are worked off in parts by the hash of their first ``LENGTH`` bytes: suffixes that share
+    a prefix of that length share the part, so no part grows with the number of runs of one anchor.
+    """
     windows = found["windows"].astype(np.int64)
+    size = windows + LENGTH - 1
+    begin = np.cumsum(size) - size
     run = np.repeat(np.arange(len(found)), windows)
     shift = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = begin[run] + shift
-    parts = len(run) // (2 * SORTED) + 1
-    if parts == 1:
-        return _intervals(found, data, run, shift, start, begin[run] + size[run])
-    # Suffixes with a common prefix of LENGTH share the hash of that prefix, so they stay together.
-    whole = Block(0, 0, data, np.zeros(1, dtype=np.int64))
-    part = span_hash(whole, start, start + LENGTH) % np.uint64(parts)
-    at = [np.flatnonzero(part == i) for i in range(parts)]
-    return joined(np.concatenate([_intervals(found, data, run[x], shift[x], start[x], (begin[run] + size[run])[x]) for x in at]))
+    prefix = span_hash(Block(0, 0, data, np.zeros(1, dtype=np.int64)), start, start + LENGTH)
+    order = np.argsort(prefix)
+    doc = found["doc"][run]
+    # The byte before; a run's first window counts as preceded by something of its own.
+    left = np.where(shift > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1 - run)
+    # Only prefixes that stand in several documents and after different bytes can begin a maximal repeat.
+    first = np.flatnonzero(np.append(True, prefix[order][1:] != prefix[order][:-1])) if len(order) else np.zeros(0, dtype=np.int64)
+    if not len(first):
+        return np.zeros(0, dtype=SPAN)
+    varies = lambda x: np.minimum.reduceat(x[order], first) != np.maximum.reduceat(x[order], first)
+    use = order[np.repeat(varies(doc) & varies(left), np.diff(np.append(first, len(order))))]
+    parts = len(use) // SORTED + 1
+    part = prefix[use] % np.uint64(parts)
+    out = []
+    for i in range(parts):
+        at = use[part == i]
+        if len(at):
+            out.append(_scan(found, data, run[at], shift[at], start[at], (begin + size)[run[at]], left[at]))
+    return joined(np.concatenate(out)) if out else np.zeros(0, dtype=SPAN)
 
 
-def _intervals(found: np.ndarray, data: np.ndarray, run: np.ndarray, shift: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _scan(found: np.ndarray, data: np.ndarray, run: np.ndarray, shift: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Covered spans from the left-maximal common-prefix intervals of the suffixes data[start:end]."""
     order, lcp = suffix_array(data, start, end)
-    run, shift, start = run[order], shift[order], start[order]
+    run, shift, left = run[order], shift[order], left[order]
     doc = found["doc"][run]
-    # The byte before; a run's first window counts as preceded by something of its own.
-    left = np.where(shift > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1 - run)
     out_at, out_length = [], []
     for length, first, last in intervals(lcp):
         part = left[first : last + 1]
@@ -307,8 +323,9 @@ def _intervals(found: np.ndarray, data: np.ndarray, run: np.ndarray, shift: np.n
             continue  # not left-maximal: the interval of the string one byte longer to the left holds it
         docs = doc[first : last + 1]
         at = first + np.flatnonzero(docs > docs.min())
-        out_at.append(at)
-        out_length.append(np.full(len(at), length))
+        if len(at):
+            out_at.append(at)
+            out_length.append(np.full(len(at), length))
     if not out_at:
         return np.zeros(0, dtype=SPAN)
     at, length = np.concatenate(out_at), np.concatenate(out_length)
@@ -337,9 +354,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from fold.flush()
 
     def reduce(group: pa.Table) -> pa.Table:
-        columns = {c: b"".join(group.column(c).to_pylist()) for c in ("runs", "data", "spans")}
-        found = _covered(np.frombuffer(columns["runs"], dtype=RUN), np.frombuffer(columns["data"], dtype=np.uint8))
-        spans = joined(np.concatenate([np.frombuffer(columns["spans"], dtype=SPAN), found]))
+        runs_, data, spans = (group.column(c).to_pylist() for c in ("runs", "data", "spans"))
+        text = np.frombuffer(b"".join(zstandard.decompress(x) for x in data if x), dtype=np.uint8)
+        spans = joined(np.concatenate([_unpack(spans, SPAN), _covered(_unpack(runs_, RUN), text)]))
         return pa.table({n: pa.array(spans[c]) for n, c in zip(("doc_id", "text_hash", "start", "end"), SPAN.names)})
 
     entries = named.mapInArrow(emit, "bucket bigint, runs binary, data binary, spans binary")
@@ -363,7 +380,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for block in blocks(batch.column(4)):
                 part = batch.slice(block.first, len(block))
-                text = span_hash(block, block.offsets[:-1], block.offsets[1:]).view(np.int64)
+                text = _text_hash(block)
                 removed, pieces, kept = [], [], []
                 for r in range(len(block)):
                     whole = block.data[block.offsets[r] : block.offsets[r + 1]]
