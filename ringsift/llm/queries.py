@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mainpage, mixing, neardup, quality, repeats, secrets, sharding, warc
+from . import contamination, mainpage, mixing, neardup, quality, repeats, scoring, secrets, sharding, warc
 from .common import table
 
 
@@ -47,11 +47,15 @@ def op9_pfair_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "position", "release", "deadline")
 
 
+def op10_elias_fano_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree, op2_perplexity_rules, op3_secret_forest, op4_path_ratios, op5_suffix_decontamination, op6_warc_archive,
-        op7_prefix_intervals, op8_setsketch_groups, op9_pfair_mixture,
+        op7_prefix_intervals, op8_setsketch_groups, op9_pfair_mixture, op10_elias_fano_scores,
     )
 }
 
