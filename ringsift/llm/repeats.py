@@ -33,9 +33,9 @@ from .textscan import Block, blocks, mix, span_hash
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Bits of the map of anchor values (32 MB), and bytes of text for one bucket.
-MAP_BITS, BUCKET_BYTES = 28, 8 << 20
+MAP_BITS, BUCKET_BYTES = 28, 2 << 20
 #: Runs that a task folds at a time, and suffixes that are sorted at a time.
-FOLD, SORTED = 1 << 19, 1 << 17
+FOLD, SORTED = 1 << 18, 1 << 15
 
 #: What is known of a run, and of a covered span; ``text`` tells rows of one doc_id apart.
 RUN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("windows", "u1"), ("left", "i2")])
