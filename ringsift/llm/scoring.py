@@ -34,7 +34,7 @@ PRIOR = 500.0
 #: Log-probabilities are kept in steps of 1/4096; sums of base and model in whole billionths and millionths.
 STEP, BASE_UNIT, UNIT = 4096, 10**9, 10**6
 #: Tokens that a task deals at a time, and tokens of a bucket.
-CHUNK, BUCKET_TOKENS = 1 << 20, 5 << 19
+CHUNK, BUCKET_TOKENS = 1 << 19, 5 << 18
 #: Numbers of words: place in the short list, or a hash of 43 bits with this mark.
 MARK = np.uint64(1 << 43)
 WORD_BITS = 44
