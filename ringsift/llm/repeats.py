@@ -35,7 +35,7 @@ REACH = LENGTH - GRAM + 1
 #: Bits of the map of anchor values (32 MB), and bytes of text for one bucket.
 MAP_BITS, BUCKET_BYTES = 28, 2 << 20
 #: Runs that a task folds at a time, and suffixes that are sorted at a time.
-FOLD, SORTED = 1 << 18, 1 << 15
+FOLD, SORTED = 1 << 17, 1 << 14
 
 #: What is known of a run, and of a covered span; ``text`` tells rows of one doc_id apart.
 RUN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("windows", "u1"), ("left", "i2")])
@@ -287,14 +287,15 @@ def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
     windows = found["windows"].astype(np.int64)
     size = windows + LENGTH - 1
     begin = np.cumsum(size) - size
-    run = np.repeat(np.arange(len(found)), windows)
-    shift = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = begin[run] + shift
+    # Four bytes each: a bucket holds far fewer than 2^31 bytes.
+    run = np.repeat(np.arange(len(found), dtype=np.int32), windows)
+    shift = np.arange(len(run), dtype=np.int32) - np.repeat((np.cumsum(windows) - windows).astype(np.int32), windows)
+    start = begin.astype(np.int32)[run] + shift
     prefix = span_hash(Block(0, 0, data, np.zeros(1, dtype=np.int64)), start, start + LENGTH)
     order = np.argsort(prefix)
     doc = found["doc"][run]
     # The byte before; a run's first window counts as preceded by something of its own.
-    left = np.where(shift > 0, data[np.maximum(start - 1, 0)].astype(np.int64), -1 - run)
+    left = np.where(shift > 0, data[np.maximum(start - 1, 0)].astype(np.int32), -1 - run)
     # Only prefixes that stand in several documents and after different bytes can begin a maximal repeat.
     first = np.flatnonzero(np.append(True, prefix[order][1:] != prefix[order][:-1])) if len(order) else np.zeros(0, dtype=np.int64)
     if not len(first):
