@@ -39,7 +39,7 @@ LEAST_ESTIMATE = 0.6
 BLOCK, LEADER_PAIRS = 512, 64
 #: Across components, a pair needs so many equal registers (seven standard errors below 0.8), and then an
 #: estimate from a finer sketch of so many registers (five standard errors below 0.8).
-LEAST_EQUAL, FINE, LEAST_FINE = REGISTERS // 2, 512, 0.71
+LEAST_EQUAL, FINE, LEAST_FINE = REGISTERS // 2, 1024, 0.735
 
 _FACTORS = mix(np.arange(1, REGISTERS + FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
