@@ -161,8 +161,8 @@ def numbers_in_html(html: Column) -> Column:
     return F.array_distinct(F.filter(numbers, phone.is_plausible))
 
 
-def links(html: Column, base_url: Column, limit: int | None = 25) -> Column:
-    """Distinct page links on the host of the page, fragments cut, static files left out."""
+def links(html: Column, base_url: Column, limit: int | None = None) -> Column:
+    """Distinct page links on the host of the page, fragments cut, static files left out; all of them, unless a limit is given."""
     raw = F.regexp_extract_all(
         F.coalesce(html, F.lit("")), F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1)
     )

@@ -305,13 +305,12 @@ def _(t: Tables):
     return _numbered(G.evidence(_site(t, "kto_zvonil_tel", block), ["kto_zvonil_tel"]))
 
 
-@query("pg08_category_links", """SELECT page_id, 'BLOCK' AS label_hint, 'blacklist' AS evidence_type, 3 AS negative_count, 3 AS review_count, 'вымогательство;мошенничество;спам;фишинг' AS categories, CASE WHEN page_id % 2 = 0 THEN 0.92 ELSE 0.9 END AS source_confidence, 0.74 AS source_reliability FROM pages""",
+@query("pg08_category_links", """SELECT page_id, 'BLOCK' AS label_hint, 'blacklist' AS evidence_type, 5 AS negative_count, 5 AS review_count, 'вымогательство;мошенничество;спам;фишинг' AS categories, CASE WHEN page_id % 2 = 0 THEN 0.92 ELSE 0.9 END AS source_confidence, 0.74 AS source_reliability FROM pages""",
        "source_confidence source_reliability", "negative_count review_count")
 def _(t: Tables):
     rating = F.when(F.col("page_id") % 2 == 0, "1.5 из 5").otherwise("4 из 5")
     block = F.concat(F.lit('<a href="/category/fishing">a</a><a href="/category/vymogatelstvo">b</a><a href="/category/spam">c</a>'), rating)
-    out = _numbered(G.evidence(_site(t, "abonentik", block), ["abonentik"]))
-    return out.withColumn("negative_count", F.least("negative_count", F.lit(3))).withColumn("review_count", F.least("review_count", F.lit(3)))
+    return _numbered(G.evidence(_site(t, "abonentik", block), ["abonentik"]))
 
 
 @query("pg09_colour_items", """SELECT page_id, 'WARN' AS label_hint, 'review' AS evidence_type, 3 AS negative_count, 3 AS review_count, 'нежелательный звонок;спам' AS categories, 0.62 AS source_confidence, 0.55 AS source_reliability FROM pages""",
@@ -325,8 +324,7 @@ def _(t: Tables):
     SELECT page_id, (length(l) - length(replace(l, 'мошен', ''))) // 5 + (length(l) - length(replace(l, 'спам', ''))) // 4 AS negative_count, CASE WHEN page_id % 5 = 1 THEN 7 ELSE (length(l) - length(replace(l, 'мошен', ''))) // 5 + (length(l) - length(replace(l, 'спам', ''))) // 4 END AS review_count,
     CASE WHEN page_id % 5 = 1 THEN 120 ELSE 0 END AS search_volume FROM (SELECT page_id, lower({text_sql('html')}) AS l FROM web) a) b""", ints="negative_count review_count search_volume")
 def _(t: Tables):
-    w = t.web.join(t.numbers, F.col("page_id") == F.col("id"))
-    out = G.keyword_reputation(w.withColumn("url", F.col("page_id").cast("string")), "neberitrubku", F.concat(F.lit("+7916"), F.lpad(F.col("page_id").cast("string"), 7, "0")))
+    out = G.keyword_reputation(t.web.withColumn("url", F.col("page_id").cast("string")), "neberitrubku", F.concat(F.lit("+7916"), F.lpad(F.col("page_id").cast("string"), 7, "0")))
     return out.select(F.col("url").cast("bigint").alias("page_id"), "negative_count", "review_count", "search_volume", "categories")
 
 
