@@ -34,8 +34,9 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Bits of the map of anchor values (32 MB), and bytes of text for one bucket.
 MAP_BITS, BUCKET_BYTES = 28, 2 << 20
-#: Runs that a task folds at a time, and suffixes that are sorted at a time.
-FOLD, SORTED = 1 << 17, 1 << 14
+#: Runs that a task folds at a time, suffixes that are sorted at a time, and runs whose bytes are looked at in
+#: one go (numbers of eight bytes are made for each byte).
+FOLD, SORTED, STRETCH = 1 << 17, 1 << 14, 1 << 12
 
 #: What is known of a run, and of a covered span; ``text`` tells rows of one doc_id apart.
 RUN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("windows", "u1"), ("left", "i2")])
@@ -84,6 +85,15 @@ def runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return row[begin], at[begin], count, least[begin]
 
 
+def _stretches(n: int) -> Iterator[slice]:
+    return (slice(i, min(i + STRETCH, n)) for i in range(0, n, STRETCH))
+
+
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), then those of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _bucket(anchor: np.ndarray, bits: int) -> np.ndarray:
     return (anchor >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(anchor), dtype=np.int64)
 
@@ -184,9 +194,7 @@ class _Fold:
         self.runs.append(found)
         self.anchors.append(anchor)
         self.keys.append(span_hash(block, start, start + windows + LENGTH - 1))
-        size = windows + LENGTH - 1
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        self.bytes.append(block.data[at])
+        self.bytes += [block.data[_places(start[s], windows[s] + LENGTH - 1)] for s in _stretches(len(row))]
         self.count += len(row)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -203,8 +211,8 @@ class _Fold:
         bucket = _bucket(np.concatenate(self.anchors), self.bits)
         rows = []
         for b, at in _dealt(bucket, kept[np.argsort(bucket[kept], kind="stable")]):
-            places = np.repeat(begin[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(size[at].sum())
-            rows.append((b, _pack(found[at]), zstandard.compress(data[places].tobytes(), 3), b""))
+            text = np.concatenate([data[_places(begin[at[s]], size[at[s]])] for s in _stretches(len(at))])
+            rows.append((b, _pack(found[at]), zstandard.compress(text.tobytes(), 3), b""))
         if len(spans):
             rows.append((int(spans["text"][0]) & ((1 << self.bits) - 1), b"", b"", _pack(spans)))
         for at in range(0, len(rows), 64):
@@ -278,6 +286,16 @@ def intervals(lcp: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int,
             stack.append((depth, first))
 
 
+def _prefixes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Hash of the first ``LENGTH`` bytes of each window of the runs."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for s in _stretches(len(begin)):
+        low, high = int(begin[s][0]), int(begin[s][-1] + windows[s][-1]) + LENGTH - 1
+        start = _places(begin[s] - low, windows[s])
+        out.append(span_hash(Block(0, 0, data[low:high], np.zeros(1, dtype=np.int64)), start, start + LENGTH))
+    return np.concatenate(out)
+
+
 def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Spans of a bucket's runs that stand in a smaller document as well.
 
@@ -291,7 +309,7 @@ def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
     run = np.repeat(np.arange(len(found), dtype=np.int32), windows)
     shift = np.arange(len(run), dtype=np.int32) - np.repeat((np.cumsum(windows) - windows).astype(np.int32), windows)
     start = begin.astype(np.int32)[run] + shift
-    prefix = span_hash(Block(0, 0, data, np.zeros(1, dtype=np.int64)), start, start + LENGTH)
+    prefix = _prefixes(data, begin, windows)
     order = np.argsort(prefix)
     doc = found["doc"][run]
     # The byte before; a run's first window counts as preceded by something of its own.
