@@ -82,7 +82,8 @@ def runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     pieces = (n + REACH - 1) // REACH
     begin = np.repeat(first, pieces) + REACH * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     count = np.minimum(REACH, np.repeat(first + n, pieces) - begin)
-    return row[begin], at[begin], count, least[begin]
+    # Least hashes are small numbers; mixed again they spread over all buckets and all bits of the map.
+    return row[begin], at[begin], count, mix(least[begin])
 
 
 def _stretches(n: int) -> Iterator[slice]:
