@@ -63,9 +63,11 @@ def to_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def title(html: Column, limit: int = 200) -> Column:
+def title(html: Column, limit: int | None = None) -> Column:
+    """Title without markup, white space collapsed; the whole of it, unless a limit is given."""
     raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(F.trim(unescape(raw)), 1, limit)
+    text = collapse(unescape(F.regexp_replace(raw, TAG, " ")))
+    return F.substring(text, 1, limit) if limit else text
 
 
 def meta_description(html: Column) -> Column:
@@ -161,6 +163,19 @@ def numbers_in_html(html: Column) -> Column:
     return F.array_distinct(F.filter(numbers, phone.is_plausible))
 
 
+def _without_dots(p: Column) -> Column:
+    """An absolute path with its "." and ".." segments worked off; the root stays."""
+    parts = F.split(p, "/")
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(last.isin(".", ".."), F.concat(kept, F.lit("/"))).otherwise(F.when(kept == "", "/").otherwise(kept))
+
+
 def links(html: Column, base_url: Column, limit: int | None = None) -> Column:
     """Distinct page links on the host of the page, fragments cut, static files left out; all of them, unless a limit is given."""
     raw = F.regexp_extract_all(
@@ -168,21 +183,27 @@ def links(html: Column, base_url: Column, limit: int | None = None) -> Column:
     )
     base = host(base_url)
     root = F.concat(scheme(base_url), F.lit("://"), base)
-    folder = F.concat(root, F.regexp_replace(F.coalesce(F.nullif(path(base_url), F.lit("")), F.lit("/")), "[^/]*$", ""))
+    folder = F.regexp_replace(F.coalesce(F.nullif(path(base_url), F.lit("")), F.lit("/")), "[^/]*$", "")
+
+    def on_host(p: Column) -> Column:
+        way = F.regexp_extract(p, r"^[^?#]*", 0)
+        return F.concat(root, _without_dots(way), F.substr(p, F.length(way) + 1))
 
     def absolute(h: Column) -> Column:
         return (
             F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme(base_url), F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(root, h))
+            .when(h.startswith("/"), on_host(h))
             .when(h.startswith("?"), F.concat(root, path(base_url), h))
-            .otherwise(F.concat(folder, h))
+            .otherwise(on_host(F.concat(folder, h)))
         )
 
     def usable(h: Column) -> Column:
         return (F.length(h) > 0) & ~h.rlike(r"^(tel:|mailto:|javascript:|#|data:)")
 
-    plain = F.filter(F.transform(raw, lambda h: F.trim(F.replace(h, F.lit("&amp;"), F.lit("&")))), usable)
+    # Entities are resolved for all links of a page in one call; no address holds the separator.
+    resolved = F.split(unescape(F.array_join(raw, "\x01")), "\x01")
+    plain = F.filter(F.transform(resolved, lambda h: F.trim(h)), usable)
     full = F.filter(
         F.transform(plain, absolute),
         lambda u: scheme(u).isin("http", "https")
@@ -206,12 +227,18 @@ def last_page(html: Column, link_class: str = "pagination-list__link") -> Column
     )
 
 
-def looks_like_sitemap(url: Column, body: Column) -> Column:
+# How many characters crawlers look at for the marks of a site map and for the words of a
+# guard, and the size from which a page is not taken for one guard's. Parameters, off by default.
+SITEMAP_HEAD, ANTIBOT_HEAD, ANTIBOT_SIZE = 512, 4000, 5000
+
+
+def looks_like_sitemap(url: Column, body: Column, head: int | None = None) -> Column:
+    """A site map, by its marks or by its address. The whole body counts, or its first ``head`` characters."""
     trimmed = F.regexp_replace(body, r"^\s+", "")
-    head = F.lower(F.substring(trimmed, 1, 512))
+    marks = F.lower(F.substring(trimmed, 1, head) if head else trimmed)
     return F.coalesce(
-        head.contains("<urlset")
-        | head.contains("<sitemapindex")
+        marks.contains("<urlset")
+        | marks.contains("<sitemapindex")
         | url.endswith(".xml")
         | url.endswith(".xml.gz")
         | (F.lower(url).contains("sitemap") & trimmed.startswith("<?xml")),
@@ -233,11 +260,13 @@ def sitemap_locations(url: Column, body: Column) -> Column:
     return F.array_distinct(F.filter(found, near))
 
 
-def is_antibot(html: Column) -> Column:
-    """An interstitial page of a bot guard."""
-    lower = F.lower(F.substring(html, 1, 4000))
+def is_antibot(html: Column, head: int | None = None, size: int | None = None) -> Column:
+    """A page of a bot guard, by its words. The whole page counts, or its first ``head`` characters; one guard's
+    words may be asked for on pages of less than ``size`` characters only."""
+    lower = F.lower(F.substring(html, 1, head) if head else html)
+    small = F.length(html) < size if size else F.lit(True)
     return F.coalesce(
-        ((F.length(html) < 5000) & lower.contains("проверка браузера"))
+        (small & lower.contains("проверка браузера"))
         | (lower.contains("cloudflare") & (lower.contains("attention required") | lower.contains("just a moment"))),
         F.lit(False),
     )

@@ -65,22 +65,25 @@ def has_signal(c: Column, categories: Column) -> Column:
     )
 
 
-def _largest_number(c: Column, pattern: str, cap: int) -> Column:
+# Counts above these are not believed by crawlers. Parameters, off by default.
+VIEWS_BELIEVED, REVIEWS_BELIEVED = 5_000_000, 5000
+
+
+def _largest_number(c: Column, pattern: str, most: int | None) -> Column:
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    values = F.filter(F.transform(found, lambda x: x.cast("bigint")), lambda v: v <= cap)
+    values = F.transform(found, lambda x: x.try_cast("bigint"))
+    values = values if most is None else F.filter(values, lambda v: v <= most)
     return F.coalesce(F.array_max(values), F.lit(0).cast("bigint"))
 
 
-def view_count(c: Column) -> Column:
-    """Largest number in front of a word for views, requests or searches."""
-    return _largest_number(
-        c, r"(?iu)(?<!\d)(\d{1,7})\s+(?:просмотр|запрос|поиск)", 5_000_000
-    )
+def view_count(c: Column, most: int | None = None) -> Column:
+    """Largest number in front of a word for views, requests or searches; numbers above ``most`` do not count."""
+    return _largest_number(c, r"(?iu)(?<!\d)(\d+)\s+(?:просмотр|запрос|поиск)", most)
 
 
-def review_count(c: Column) -> Column:
-    """Largest number in front of a word for reviews or ratings."""
-    return _largest_number(c, r"(?iu)(?<!\d)(\d{1,5})\s+(?:отзыв|оценк|оценок)", 5000)
+def review_count(c: Column, most: int | None = None) -> Column:
+    """Largest number in front of a word for reviews or ratings; numbers above ``most`` do not count."""
+    return _largest_number(c, r"(?iu)(?<!\d)(\d+)\s+(?:отзыв|оценк|оценок)", most)
 
 
 def page_date(c: Column) -> Column:
@@ -123,9 +126,11 @@ def _locate_after(marker: Column, text: Column, start: Column) -> Column:
     return F.call_function("locate", marker, text, start)
 
 
-def truncate(c: Column, limit: int) -> Column:
-    """Collapse white space; longer texts are cut and end with an ellipsis."""
+def truncate(c: Column, limit: int | None) -> Column:
+    """Collapse white space; texts longer than a limit, if there is one, are cut and end with an ellipsis."""
     flat = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    if limit is None:
+        return flat
     cut = F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))
     return F.when(F.length(flat) <= limit, flat).otherwise(cut)
 

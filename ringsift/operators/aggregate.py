@@ -264,10 +264,10 @@ def scoring_summary(scored: DataFrame) -> DataFrame:
 
 
 def row_count_gates(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
-    """One row per table with fewer rows than it needs; counting stops at the floor."""
+    """One row per table with fewer rows than it needs."""
     out = None
     for name, (df, floor) in tables.items():
-        part = df.limit(floor).agg(F.count(F.lit(1)).alias("rows_seen")).select(
+        part = df.agg(F.count(F.lit(1)).alias("rows_seen")).select(
             F.lit(name).alias("table_name"), "rows_seen", F.lit(floor).cast("bigint").alias("floor")
         )
         out = part if out is None else out.unionByName(part)
@@ -276,15 +276,15 @@ def row_count_gates(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
 
 def prefix_override_candidates(
     marks: DataFrame, now_ms: Column, allowed: DataFrame, dismissed: DataFrame,
-    min_marks: int = 5, days: int = 30, keep: int = 50, length: int = 6,
+    min_marks: int = 5, days: int = 30, keep: int | None = None, length: int = 6,
 ) -> DataFrame:
     """Prefixes a user keeps marking as not spam, allow-listed and dismissed ones left out.
 
-    A prefix remembers its newest ``keep`` marks, so its count stops there.
+    All marks count, unless a prefix remembers its newest ``keep`` marks only; then its count stops there.
     """
     recent = marks.filter(F.col("number").startswith("+7") & (F.col("ts") >= now_ms - days * 86_400_000))
     per = recent.groupBy("user", F.substring("number", 1, length).alias("prefix")).agg(
-        F.least(F.count(F.lit(1)), F.lit(keep)).alias("marks"), F.max("ts").alias("last_seen")
+        (F.count(F.lit(1)) if keep is None else F.least(F.count(F.lit(1)), F.lit(keep))).alias("marks"), F.max("ts").alias("last_seen")
     )
     return (
         per.filter(F.col("marks") >= min_marks)

@@ -389,10 +389,10 @@ def personally_allowed(numbers: DataFrame, allowed: DataFrame, prefixes: DataFra
     """
     live = retained(allowed, now_ms, RETENTION_MS["personal_allow"]).select("user", "number").distinct()
     out = numbers.join(live.withColumn("_n", F.lit(True)), ["user", "number"], "left")
-    marks = prefixes.select("user", "prefix").distinct().filter(F.length("prefix").between(1, 16))
+    marks = prefixes.select("user", "prefix").distinct().filter(F.length("prefix") >= 1)
     tries = (
         numbers.select("user", "number").distinct()
-        .withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("number"), F.lit(16))), lambda i: F.substr(F.col("number"), F.lit(1), i))))
+        .withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("number")), lambda i: F.substr(F.col("number"), F.lit(1), i))))
     )
     hits = tries.join(marks, ["user", "prefix"], "left_semi").select("user", "number").distinct()
     out = out.join(hits.withColumn("_p", F.lit(True)), ["user", "number"], "left")

@@ -359,8 +359,10 @@ def sample_plan_numbers(
 ) -> DataFrame:
     """Numbers drawn from mobile ranges in proportion to capacity, known and suspect ones left out.
 
-    Three times as many picks are tried as numbers are wanted; the first good ones stay. Every pick is a position on the line of all capacities. The line is cut into cells, so the
-    pick finds its range by an equi join.
+    Three times as many picks are tried as numbers are wanted, and twice as many again while too few of
+    them are good; the first good ones stay, so more picks never change the earlier ones. A plan without
+    enough free numbers is an error. Every pick is a position on the line of all capacities. The line is
+    cut into cells, so the pick finds its range by an equi join.
     """
     from .lookup import disjoint_ranges
     from .timeline import running
@@ -374,28 +376,38 @@ def sample_plan_numbers(
         ranges.withColumn("_all", F.lit(1)), ["_all"], "_line", {"before": ("sum", F.col("size"))}, F.col("def_code")
     )
     total = ranges.agg(F.sum("size")).scalar()
-    asked = spark.range(3 * count).select(
-        F.col("id"), F.floor(uniform("id", seed) * total).cast("bigint").alias("position")
-    )
     first, last = F.floor(F.col("before") / cell), F.floor((F.col("before") + F.col("size") - 1) / cell)
     cells = placed.withColumn("_cell", F.explode(F.sequence(first, last)))
-    hits = asked.withColumn("_cell", F.floor(F.col("position") / cell)).join(cells, "_cell").filter(
-        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("size"))
-    )
     subscriber = F.lpad((F.col("start_number") + F.col("position") - F.col("before")).cast("string"), 7, "0")
-    numbers = hits.select(
-        F.concat(F.lit("+7"), F.col("def_code").cast("string"), subscriber).alias("normalized_number"),
-        "id",
-        F.when(F.coalesce("operator", F.lit("")) == "", F.col("region"))
-        .otherwise(F.concat_ws(", ", "operator", "region")).alias("name"),
-        F.col("region").alias("city"),
-    )
-    unique = numbers.groupBy("normalized_number").agg(
-        F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.min_by("city", "id").alias("city")
-    )
-    good = unique.join(seen.select("normalized_number").distinct(), "normalized_number", "left_anti").join(
-        suspects.select("normalized_number").distinct(), "normalized_number", "left_anti"
-    )
+
+    def drawn(tries: int) -> DataFrame:
+        asked = spark.range(tries).select(
+            F.col("id"), F.floor(uniform("id", seed) * total).cast("bigint").alias("position")
+        )
+        hits = asked.withColumn("_cell", F.floor(F.col("position") / cell)).join(cells, "_cell").filter(
+            (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("size"))
+        )
+        numbers = hits.select(
+            F.concat(F.lit("+7"), F.col("def_code").cast("string"), subscriber).alias("normalized_number"),
+            "id",
+            F.when(F.coalesce("operator", F.lit("")) == "", F.col("region"))
+            .otherwise(F.concat_ws(", ", "operator", "region")).alias("name"),
+            F.col("region").alias("city"),
+        )
+        unique = numbers.groupBy("normalized_number").agg(
+            F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.min_by("city", "id").alias("city")
+        )
+        return unique.join(seen.select("normalized_number").distinct(), "normalized_number", "left_anti").join(
+            suspects.select("normalized_number").distinct(), "normalized_number", "left_anti"
+        )
+
+    tries, good = 3 * count, drawn(3 * count)
+    while good.count() < count:
+        # After so many picks hardly a number of the plan is left untried.
+        if tries > 64 * (ranges.agg(F.sum("size")).first()[0] or 0):
+            raise ValueError(f"the plan holds fewer than {count} free numbers")
+        tries *= 2
+        good = drawn(tries)
     return good.orderBy("id").limit(count).select(
         "normalized_number",
         "name",

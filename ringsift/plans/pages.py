@@ -323,7 +323,7 @@ def _verdict_part(key: Column, i: int) -> Column:
 
 
 def _scamcall() -> Column:
-    slides = F.slice(F.split(P.html, r"""<div class=["']otziv_slide_item["'][^>]*>"""), 2, 1_000_000)
+    slides = F.filter(F.split(P.html, r"""<div class=["']otziv_slide_item["'][^>]*>"""), lambda _, i: i > 0)
     pair = (
         r"""(?is)<a[^>]+href=["']/phone/(\d{9,11})[^"']*["'][^>]+class=["']otziv_tel["'][^>]*>[\d\s]+</a>\s*"""
         r"""<p[^>]+class=["']review_item review_item_([\w\-]+)["'][^>]*>([^<]+)</p>"""
@@ -435,7 +435,7 @@ def prepare(pages: DataFrame, sources: list[str] | None = None) -> DataFrame:
     meta = r"""(?is)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)"""
     return settle(base, {
         "_text": H.plain(F.col("_html")),
-        "page_title": F.substring(F.trim(inner_title), 1, 200),
+        "page_title": F.trim(inner_title),
         "_description": F.trim(F.regexp_extract("_html", meta, 1)),
         "_number": number_of_url(F.col("source"), F.col("url")),
     })
@@ -454,8 +454,12 @@ def raw_candidates(pages: DataFrame, sources: list[str] | None = None) -> DataFr
     return rows.filter(F.col("c.number").isNotNull())
 
 
-def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int = 500, full_limit: int = 2000) -> DataFrame:
-    """Evidence rows. Whole texts are examined; only the stored excerpts are cut."""
+def _excerpt(column: str, limit: int | None) -> Column:
+    return F.substring(column, 1, limit) if limit else F.col(column)
+
+
+def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int | None = None, full_limit: int | None = None) -> DataFrame:
+    """Evidence rows. Whole texts are examined and kept; limits cut the kept texts only."""
     rows = raw_candidates(pages, sources).select("url", "source", "page_title", "full_text", "links", "c.*")
     rows = settle(rows, {"section": F.trim(F.regexp_replace("section", r"\s+", " "))})
     rows = settle(rows, {
@@ -496,8 +500,8 @@ def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int
     return rows.select(
         F.col("number").alias("normalized_number"), "source", "url", F.col("_v.label_hint").alias("label_hint"),
         F.when(F.col("source") == "moshelovka", "blacklist").otherwise(F.col("kind")).alias("evidence_type"),
-        F.substring("section", 1, text_limit).alias("evidence_text"),
-        F.substring("full_text", 1, full_limit).alias("full_text"), "page_title",
+        _excerpt("section", text_limit).alias("evidence_text"),
+        _excerpt("full_text", full_limit).alias("full_text"), "page_title",
         F.col("_v.negative_count").alias("negative_count"), F.col("positive").alias("positive_count"),
         F.col("neutral").alias("neutral_count"), F.col("_v.review_count").alias("review_count"),
         F.col("views").alias("view_count"), F.col("links").alias("related_count"), filled.alias("categories"),
@@ -590,7 +594,7 @@ def directory_rows(pages: DataFrame, source: str, suspects: DataFrame) -> DataFr
     return drop_known(flat, suspects, "normalized_number", exempt)
 
 
-def post_candidates(posts: DataFrame, group: int, known: DataFrame, limit: int = 200) -> DataFrame:
+def post_candidates(posts: DataFrame, group: int, known: DataFrame, limit: int | None = None) -> DataFrame:
     """Numbers in user posts, known suspects left out, first post of a number kept."""
     from ..sources.feeds import user_posts
 

@@ -207,8 +207,8 @@ def _(t: Tables):
     return A.verdict_counts_since(t.decisions, t.decisions.agg(F.max("ts")).scalar() - 864_000_000)
 
 
-@query("ag33_prefix_overrides", """SELECT user, prefix, least(n, 50) AS marks, last_seen FROM (SELECT user, substr(number, 1, 6) AS prefix, count(*) AS n, max(ts) AS last_seen FROM feedback
-    WHERE action IN ('NOT_SPAM', 'UNBLOCK') AND ts >= (SELECT max(ts) FROM feedback) - 2592000000 GROUP BY 1, 2) x WHERE least(n, 50) >= 5
+@query("ag33_prefix_overrides", """SELECT user, prefix, n AS marks, last_seen FROM (SELECT user, substr(number, 1, 6) AS prefix, count(*) AS n, max(ts) AS last_seen FROM feedback
+    WHERE action IN ('NOT_SPAM', 'UNBLOCK') AND ts >= (SELECT max(ts) FROM feedback) - 2592000000 GROUP BY 1, 2) x WHERE n >= 5
     AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.user = x.user AND substr(c.number, 1, 6) = x.prefix)""")
 def _(t: Tables):
     f = t.feedback

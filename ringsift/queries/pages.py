@@ -37,7 +37,7 @@ def _(t: Tables):
     return t.pages.select("page_id", F.size(H.to_lines(F.col("html"))).alias("n_lines"))
 
 
-@query("sc51_titles", f"""SELECT page_id, substr(trim({_ENT.format(x="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), 1, 200) AS title, trim({_ENT.format(x="regexp_extract(html, '(?is)<meta[^>]+name=[' || chr(34) || chr(39) || ']description[' || chr(34) || chr(39) || '][^>]+content=[' || chr(34) || chr(39) || ']([^' || chr(34) || chr(39) || ']+)', 1)")}) AS description FROM pages""")
+@query("sc51_titles", f"""SELECT page_id, {_FLAT.format(x=_ENT.format(x="regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')"))} AS title, trim({_ENT.format(x="regexp_extract(html, '(?is)<meta[^>]+name=[' || chr(34) || chr(39) || ']description[' || chr(34) || chr(39) || '][^>]+content=[' || chr(34) || chr(39) || ']([^' || chr(34) || chr(39) || ']+)', 1)")}) AS description FROM pages""")
 def _(t: Tables):
     return t.pages.select("page_id", H.title(F.col("html")).alias("title"), H.meta_description(F.col("html")).alias("description"))
 
@@ -90,11 +90,11 @@ def _(t: Tables):
     return t.texts.select("doc_id", T.has_signal(c, T.evidence_categories(c)).alias("has_signal"))
 
 
-def _largest(words: str, digits: int, cap: int) -> str:
-    return f"coalesce(list_max(list_filter([CAST(v AS BIGINT) FOR v IN regexp_extract_all(text, '(?i)(?:^|[^0-9])([0-9]{{1,{digits}}})\\s+(?:{words})', 1)], lambda x: x <= {cap})), 0)"
+def _largest(words: str) -> str:
+    return f"coalesce(list_max([TRY_CAST(v AS BIGINT) FOR v IN regexp_extract_all(text, '(?i)(?:^|[^0-9])([0-9]+)\\s+(?:{words})', 1)]), 0)"
 
 
-@query("sc57_text_counts", f"SELECT doc_id, {_largest('просмотр|запрос|поиск', 7, 5000000)} AS views, {_largest('отзыв|оценк|оценок', 5, 5000)} AS reviews FROM texts")
+@query("sc57_text_counts", f"SELECT doc_id, {_largest('просмотр|запрос|поиск')} AS views, {_largest('отзыв|оценк|оценок')} AS reviews FROM texts")
 def _(t: Tables):
     return t.texts.select("doc_id", T.view_count(F.col("text")).alias("views"), T.review_count(F.col("text")).alias("reviews"))
 
@@ -337,7 +337,7 @@ def _(t: Tables):
 
 _TEL = f"""(SELECT DISTINCT page_id, url, html, n FROM (SELECT page_id, url, html, {norm_sql('p')} AS n FROM (SELECT page_id, url, html, unnest(list_concat(regexp_extract_all(html, '(?i)href\\s*=\\s*{_Q}tel:({_NQ}+){_Q}', 1), {_RAWP.replace('text', 'html')})) AS p FROM directory) a) b
     WHERE length(n) = 12 AND {_PLAUS} AND NOT ({' OR '.join(f"substr(n, 3) = repeat('{d}', 10)" for d in range(10))}))"""
-_TITLE = f"""substr(trim({_ENT.format(x="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), 1, 200)"""
+_TITLE = f"""{_FLAT.format(x=_ENT.format(x="regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')"))}"""
 
 
 @query("pg12_directory_rows", f"""SELECT normalized_number, url, name, category, 'directory' AS source, CASE WHEN category IN ('medical', 'bank') THEN 0.85 ELSE 0.70 END AS source_confidence FROM (

@@ -128,8 +128,8 @@ def _(t: Tables):
     return _fed(t).select("id", D.fine_tune_weight(F.col("id") % 2 == 1, c["weight"]).alias("weight"))
 
 
-@query("prj12_antibot_pages", """SELECT page_id, (length(h) < 5000 AND contains(lower(substr(h, 1, 4000)), 'проверка браузера')) OR
-    (contains(lower(substr(h, 1, 4000)), 'cloudflare') AND (contains(lower(substr(h, 1, 4000)), 'attention required') OR contains(lower(substr(h, 1, 4000)), 'just a moment'))) AS guarded
+@query("prj12_antibot_pages", """SELECT page_id, contains(lower(h), 'проверка браузера') OR
+    (contains(lower(h), 'cloudflare') AND (contains(lower(h), 'attention required') OR contains(lower(h), 'just a moment'))) AS guarded
     FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Проверка браузера ' || html WHEN 1 THEN 'Cloudflare: Just a moment ' || html ELSE html END AS h FROM pages) x""")
 def _(t: Tables):
     k = F.col("page_id") % 3

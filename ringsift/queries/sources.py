@@ -158,7 +158,7 @@ def _(t: Tables):
     return _sitemap(t).select("page_id", F.explode(H.sitemap_locations(F.col("url"), F.col("body"))).alias("location"))
 
 
-@query("src14_is_sitemap", "SELECT page_id, contains(lower(substr(ltrim(html), 1, 512)), '<urlset') OR contains(lower(substr(ltrim(html), 1, 512)), '<sitemapindex') OR ends_with(url, '.xml') OR ends_with(url, '.xml.gz') OR (contains(lower(url), 'sitemap') AND starts_with(ltrim(html), '<?xml')) AS page, true AS map FROM pages")
+@query("src14_is_sitemap", "SELECT page_id, contains(lower(html), '<urlset') OR contains(lower(html), '<sitemapindex') OR ends_with(url, '.xml') OR ends_with(url, '.xml.gz') OR (contains(lower(url), 'sitemap') AND starts_with(ltrim(html), '<?xml')) AS page, true AS map FROM pages")
 def _(t: Tables):
     maps = _sitemap(t).select("page_id", H.looks_like_sitemap(F.col("url"), F.col("body")).alias("map"))
     own = t.pages.select("page_id", H.looks_like_sitemap(F.col("url"), F.col("html")).alias("page"))
