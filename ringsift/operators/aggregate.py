@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import text as T
 from .merge import distinct_parts
-from .sizing import bounded_broadcast
 
 SUMS = ["negative_count", "positive_count", "neutral_count", "review_count"]
 MAXIMA = ["search_volume", "view_count", "related_count", "source_confidence", "source_reliability"]
@@ -312,12 +311,11 @@ def vocabulary(counts: DataFrame, max_size: int) -> DataFrame:
 def encode_ngrams(df: DataFrame, key: str, text: str, vocab: DataFrame, length: int = 64) -> DataFrame:
     """Ids of the n-grams of a text: size 3 first, then 4, then 5; 1 for unknown, padded with 0.
 
-    The vocabulary has a fixed maximal size and is counted before it is broadcast; a text is put
-    together from its own n-grams only.
+    The vocabulary is joined without a hint; a text is put together from its own n-grams only.
     """
     grams = df.select(F.col(key), F.posexplode_outer(T.ngrams(F.lower(F.col(text)))).alias("_pos", "token"))
     kept = grams.filter(F.col("_pos").isNull() | (F.col("_pos") < length))
-    ids = kept.join(bounded_broadcast(vocab.select("token", "id")), "token", "left")
+    ids = kept.join(vocab.select("token", "id"), "token", "left")
     per = ids.groupBy(key).agg(
         F.array_sort(
             F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(1)).alias("id"))))

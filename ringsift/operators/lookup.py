@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import phone
 from ..functions.numeric import clamp01
-from .sizing import bounded_broadcast, lookup_join, write_once
+from .sizing import lookup_join, salted_join, write_once
 
 SUBSCRIBERS = 10_000_000
-#: A prefix of this many characters (+7 and digits) has at most 10^4 values in the statistics.
-SMALL_PREFIX = 6
 
 
 # --- numbering plan ---------------------------------------------------------
@@ -61,7 +59,7 @@ def numbering_lookup(
         "_sub", F.when(usable, F.substring(national, 4, 7).try_cast("bigint"))
     )
     asked = asked.withColumn("_cell", F.floor(F.col("_sub") / cell))
-    cells = bounded_broadcast(range_cells(plan, cell)).alias("p")
+    cells = range_cells(plan, cell).alias("p")
     hit = (
         (F.col("_code") == F.col("p.def_code"))
         & (F.col("_cell") == F.col("p.cell"))
@@ -102,8 +100,7 @@ def prefix_lookup(
 ) -> DataFrame:
     """Look up the first ``length`` characters, then shorter ones; null when nothing fits.
 
-    ``table`` is unique on ``prefix``. Levels of up to six characters are bounded by their
-    digits and broadcast; longer ones are broadcast only after a count.
+    ``table`` is unique on ``prefix``. Every level is an equi join.
     """
     out = df
     hits = []
@@ -113,10 +110,7 @@ def prefix_lookup(
             F.struct(*values).alias(f"_h{level}"),
         )
         out = out.withColumn(f"_p{level}", F.substring(F.col(number), 1, level))
-        if level <= SMALL_PREFIX:
-            out = out.join(F.broadcast(part), f"_p{level}", "left")
-        else:
-            out = lookup_join(out, part, [f"_p{level}"])
+        out = lookup_join(out, part, [f"_p{level}"])
         hits.append(F.col(f"_h{level}"))
     best = F.coalesce(*hits)
     out = out.withColumn("_best", best)
@@ -188,7 +182,7 @@ def code_risk_lookup(
 ) -> DataFrame:
     """Risk by three-digit code (at most 1000 rows), else the fallback."""
     part = table.select(F.col("def_code").alias("_code"), F.col("risk").alias("_risk"))
-    found = df.withColumn("_code", phone.def_code_text(number)).join(F.broadcast(part), "_code", "left")
+    found = df.withColumn("_code", phone.def_code_text(number)).join(part, "_code", "left")
     other = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
     value = F.coalesce(clamp01(F.col("_risk")), other)
     free = F.col(number).isNull() | (allowed if allowed is not None else F.lit(False))
@@ -206,7 +200,7 @@ def operator_code_risk_lookup(
     found = (
         df.withColumn("_code", phone.def_code_text(number))
         .withColumn("_bucket", F.when(F.col(bucket) != "unknown", F.col(bucket)))
-        .join(F.broadcast(part), ["_bucket", "_code"], "left")
+        .join(part, ["_bucket", "_code"], "left")
     )
     other = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
     free = F.col(number).isNull() | (allowed if allowed is not None else F.lit(False))
@@ -222,7 +216,7 @@ def resolve_bucket(
     from .. import schema as S
 
     part = table.select(F.col("def_code").alias("_code"), F.col("bucket").alias("_code_bucket"))
-    found = df.withColumn("_code", phone.def_code_text(number)).join(F.broadcast(part), "_code", "left")
+    found = df.withColumn("_code", phone.def_code_text(number)).join(part, "_code", "left")
 
     def known(c: Column) -> Column:
         return F.when(c.isin(S.OPERATOR_BUCKETS), c)
@@ -261,24 +255,37 @@ def append_unseen(master: DataFrame, fresh: DataFrame, on: str) -> DataFrame:
     return master.unionByName(drop_known(fresh, master, on))
 
 
-def blocked_numbers(numbers: DataFrame, exact: DataFrame, masks: DataFrame, number: str = "normalized_number",
-                    max_masks: int = 1000) -> DataFrame:
+#: A mask that begins with plain digits, which every number that it meets begins with; alternatives
+#: and optional last digits are left to the masks without a prefix.
+_ANCHORED = r"^\^((?:\\[+])?[0-9]+)(?=$|[^0-9?*{+|])"
+_WHOLE_PREFIX = r"^\^(?:\\[+])?[0-9]+(?:[.][*])?$"
+
+
+def mask_groups(masks: DataFrame) -> DataFrame:
+    """One row per prefix that masks begin with (empty for the others): whether the prefix alone is a
+    mask, and the alternation of the rest, null if there is none."""
+    found = masks.select("pattern").distinct().filter("pattern is not null")
+    begins = F.when(~F.col("pattern").contains("|"), F.replace(F.regexp_extract("pattern", _ANCHORED, 1), F.lit("\\"), F.lit("")))
+    plain = F.col("pattern").rlike(_WHOLE_PREFIX)
+    rest = F.sort_array(F.collect_set(F.when(~plain, F.concat(F.lit("(?:"), "pattern", F.lit(")")))))
+    return found.groupBy(F.coalesce(begins, F.lit("")).alias("_prefix")).agg(
+        F.max(plain).alias("_whole"), F.when(F.size(rest) > 0, F.array_join(rest, "|")).alias("_rest")
+    )
+
+
+def blocked_numbers(numbers: DataFrame, exact: DataFrame, masks: DataFrame, number: str = "normalized_number") -> DataFrame:
     """Add ``blocked_by``: exact, mask or null. Exact hits are settled before masks are tried.
 
-    Up to ``max_masks`` masks become one alternation in a single pass; more are joined.
+    A number meets the masks of its own prefixes by an equi join; masks without a prefix are one group
+    that all numbers share, spread over tasks by salt.
     """
     keys = exact.select(F.col(number)).distinct().withColumn("_exact", F.lit(True))
     found = numbers.join(keys, number, "left")
-    patterns = [r[0] for r in masks.select("pattern").distinct().limit(max_masks + 1).collect()]
     open_ = F.col("_exact").isNull()
-    if len(patterns) <= max_masks:
-        test = F.col(number).rlike("|".join(f"(?:{p})" for p in sorted(patterns))) if patterns else F.lit(False)
-        hit = F.when(open_, test)
-        out = found.withColumn("_mask", hit)
-    else:
-        rest = found.filter(open_).select(number).distinct()
-        hits = rest.join(masks.select("pattern").distinct(), F.expr(f"{number} rlike pattern"), "left_semi")
-        out = found.join(hits.withColumn("_mask", F.lit(True)), number, "left")
+    rest = found.filter(open_ & F.col(number).isNotNull()).select(number).distinct()
+    asked = rest.withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length(number)), lambda n: F.substring(F.col(number), F.lit(1), n))))
+    met = salted_join(asked, mask_groups(masks), ["_prefix"], "inner").filter(F.col("_whole") | F.expr(f"coalesce(`{number}` rlike _rest, false)"))
+    out = found.join(met.select(number).distinct().withColumn("_mask", F.lit(True)), number, "left")
     by = F.when(~open_, "exact").when(F.coalesce(F.col("_mask"), F.lit(False)), "mask")
     return out.withColumn("blocked_by", by).drop("_exact", "_mask")
 
@@ -340,7 +347,7 @@ def caller_info(numbers: DataFrame, registry: DataFrame, geocoder: DataFrame, ca
     found = registry_lookup(numbers, registry)
     geo = geocoder.select(F.col("def_code").alias("_code"), F.col("region").alias("_geo_region"))
     found = found.withColumn("_code", phone.def_code("normalized_number").cast("bigint"))
-    found = found.join(bounded_broadcast(geo), "_code", "left")
+    found = lookup_join(found, geo, ["_code"])
     rows = cache.select(
         "normalized_number", F.struct("operator", "region", "source", "ts").alias("_c")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.numeric import round_count
 from ..functions.once import settle
-from .sizing import bounded_broadcast, lookup_join, write_once
+from .sizing import lookup_join, write_once
 
 Quota = Callable[[Column], Column]
 
@@ -59,8 +59,7 @@ def hash_cuts(
         .filter((F.col("_q.k") > F.col("_cum") - F.col("_n")) & (F.col("_q.k") <= F.col("_cum")))
         .select(*strata, "_b", F.col("_q.name").alias("_name"), (F.col("_q.k") - F.col("_cum") + F.col("_n")).alias("_r"))
     )
-    # One row per stratum and quota; counted before it is broadcast.
-    crossing = bounded_broadcast(crossing)
+    # One row per stratum and quota.
     inside = Window.partitionBy(*strata, "_b", "_name").orderBy("_h")
     border = rows.join(crossing, [*strata, "_b"]).withColumn("_rn", F.row_number().over(inside))
     found = border.filter(F.col("_rn") == F.col("_r"))
@@ -75,7 +74,7 @@ def pick(
 ) -> DataFrame:
     """Add one boolean column per quota: the row is among the first k of its stratum.
 
-    The cuts are a tiny table; it is written once, counted and then broadcast.
+    The cuts have one row per stratum; they are written once, so that Spark knows their bytes.
     """
     pool = df if eligible is None else df.filter(eligible)
     own = strata or []

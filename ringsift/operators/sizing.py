@@ -1,4 +1,4 @@
-"""Broadcast only what is known to be small; spread what is not."""
+"""Look-up joins and derived tables; nothing here depends on a count of rows."""
 
 from __future__ import annotations
 
@@ -7,25 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: A look-up table above this many rows is joined by shuffle.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def write_once(df: DataFrame, label: str) -> DataFrame:
     """A derived look-up table, written once and read back."""
     return materialise(df, label)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; at most ``max_rows + 1`` are looked at.
-
-    Above the bound the table comes back without a hint, so the join shuffles and adaptive
-    execution splits skewed partitions.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 32
 ) -> DataFrame:
@@ -40,10 +26,10 @@ def salted_join(
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    big: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Join a unique-key look-up table: broadcast below the bound, salted shuffle above it."""
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(table), on, how)
-    return salted_join(big, table, on, how)
+def lookup_join(big: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a unique-key look-up table without a hint.
+
+    Spark broadcasts it by its bytes, known or measured while running; else adaptive execution splits
+    skewed keys. Where a key is known to be hot, ``salted_join`` spreads it whatever the settings.
+    """
+    return big.join(table, on, how)

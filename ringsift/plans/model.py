@@ -160,10 +160,12 @@ def smote(df: DataFrame, label: str, minority: object, key: str, features: list[
 # --- teacher and student ----------------------------------------------------
 
 
-def teacher_scores(df: DataFrame, features: list[str], label: str, classes: int, rounds: int = 20, depth: int = 5) -> DataFrame:
-    """Boosted trees one against the rest; scores are normalised to sum to one."""
-    train = VectorAssembler(inputCols=features, outputCol="raw_features").transform(df)
-    out = train
+def teacher_scores(df: DataFrame, features: list[str], label: str, classes: int, rounds: int = 20, depth: int = 5,
+                   on: DataFrame | None = None) -> DataFrame:
+    """Boosted trees one against the rest; scores are normalised to sum to one. ``on`` names other rows to score."""
+    assembler = VectorAssembler(inputCols=features, outputCol="raw_features")
+    train = assembler.transform(df)
+    out = train if on is None else assembler.transform(on)
     for c in range(classes):
         target = train.withColumn("_y", (F.col(label) == c).cast("double"))
         fit = GBTClassifier(featuresCol="raw_features", labelCol="_y", maxIter=rounds, maxDepth=depth, seed=42).fit(target)
@@ -195,14 +197,15 @@ def soft_targets(probs: list[Column], temperature: float) -> list[Column]:
     return [p / total for p in powers]
 
 
-def student(df: DataFrame, features: list[str], label: str, classes: int, hidden: tuple[int, ...] = (32, 16), rounds: int = 50) -> DataFrame:
-    """A small perceptron on the same features."""
+def student(df: DataFrame, features: list[str], label: str, classes: int, hidden: tuple[int, ...] = (32, 16), rounds: int = 50,
+            on: DataFrame | None = None) -> DataFrame:
+    """A small perceptron on the same features. ``on`` names other rows to score."""
     layers = [len(features), *hidden, classes]
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="raw_features"),
         MultilayerPerceptronClassifier(featuresCol="raw_features", labelCol=label, layers=layers, maxIter=rounds, seed=42),
     ])
-    return score(pipe.fit(df), df, [f"student_{c}" for c in range(classes)])
+    return score(pipe.fit(df), df if on is None else on, [f"student_{c}" for c in range(classes)])
 
 
 # --- online learning --------------------------------------------------------

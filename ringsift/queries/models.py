@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decide as D
 from ..operators import evaluate as V
+from ..operators.sample import stratified_split
 from ..plans import model as M
 from .bindings import Tables
 from .registry import query
@@ -20,19 +21,25 @@ def _rows(t: Tables):
     return t.classed.withColumn("y", signal)
 
 
+def _held_out(rows):
+    """Rows to fit on, and rows to score: four fifths and one tenth of every class."""
+    parts = stratified_split(rows.withColumn("_c", F.col("y").cast("string")), "_c", "key")
+    return tuple(parts.filter(F.col("split") == name).drop("_c", "split") for name in ("train", "test"))
+
+
 @query("ml01_logistic")
 def _(t: Tables):
-    rows = M.with_class_weight(_rows(t), "y", 3)
-    model = M.logistic(FEATURES, "y", "class_weight").fit(rows)
-    tested = M.score(model, rows, ["p_allow", "p_warn", "p_block"])
+    seen, unseen = _held_out(_rows(t))
+    model = M.logistic(FEATURES, "y", "class_weight").fit(M.with_class_weight(seen, "y", 3))
+    tested = M.score(model, unseen, ["p_allow", "p_warn", "p_block"])
     return V.per_class_metrics(tested, "y", "prediction", [0.0, 1.0, 2.0])
 
 
 @query("ml01_forest")
 def _(t: Tables):
-    rows = _rows(t)
-    model = M.forest(FEATURES, "y", trees=20, depth=6).fit(rows)
-    return V.per_class_metrics(M.score(model, rows, ["p_allow", "p_warn", "p_block"]), "y", "prediction", [0.0, 1.0, 2.0])
+    seen, unseen = _held_out(_rows(t))
+    model = M.forest(FEATURES, "y", trees=20, depth=6).fit(seen)
+    return V.per_class_metrics(M.score(model, unseen, ["p_allow", "p_warn", "p_block"]), "y", "prediction", [0.0, 1.0, 2.0])
 
 
 @query("ml02_platt")
@@ -59,8 +66,6 @@ def _(t: Tables):
 
 @query("ml04_search")
 def _(t: Tables):
-    from ..operators.sample import stratified_split
-
     rows = stratified_split(_rows(t).withColumn("c", F.col("y").cast("string")), "c", "key")
     return M.search(rows.filter("split = 'train'"), rows.filter("split = 'val'"), FEATURES, "y", 3, 2, 0.9, [0.0, 0.05])
 
@@ -82,8 +87,9 @@ def _(t: Tables):
 
 @query("ml08_teacher_student")
 def _(t: Tables):
-    rows = M.teacher_scores(_rows(t), FEATURES, "y", 3, rounds=3, depth=3)
+    seen, unseen = _held_out(_rows(t))
+    scored = M.teacher_scores(seen, FEATURES, "y", 3, rounds=3, depth=3, on=unseen)
     soft = M.soft_targets([F.col(f"teacher_{c}") for c in range(3)], 2.0)
-    rows = rows.withColumns({f"soft_{c}": soft[c] for c in range(3)})
-    out = M.student(rows, FEATURES, "y", 3, (8,), 15)
+    scored = scored.withColumns({f"soft_{c}": soft[c] for c in range(3)})
+    out = M.student(seen, FEATURES, "y", 3, (8,), 15, on=scored)
     return out.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("rows"), F.avg("soft_2").alias("mean_soft_block"))

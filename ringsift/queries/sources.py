@@ -135,7 +135,7 @@ def _(t: Tables):
 @query("src11_strict_corpus", "SELECT package AS packageName, label, trim(category) AS category FROM app_corpus WHERE trim(package) <> ''")
 def _(t: Tables):
     rows = t.app_corpus.select(F.trim("package").alias("packageName"), "label", F.trim("category").alias("category")).filter("packageName <> ''")
-    path = _csv(t, rows.coalesce(1), "corpus")
+    path = _csv(t, rows, "corpus")
     return feeds.read_corpus(t.spark, path)
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force and literal cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,11 +73,11 @@ def test_salted_join_keeps_every_row(spark):
     assert out.filter("v is null").count() == 1
 
 
-def test_lookup_join_above_the_bound_is_the_same(spark):
+def test_lookup_join_and_salted_join_agree(spark):
     big = spark.createDataFrame([(i % 7, i) for i in range(50)], "k int, i int")
     small = spark.createDataFrame([(k, k * 1.0) for k in range(5)], "k int, v double")
     a = sizing.lookup_join(big, small, ["k"]).orderBy("i").collect()
-    b = sizing.lookup_join(big, small, ["k"], max_rows=2).select(*sizing.lookup_join(big, small, ["k"]).columns).orderBy("i").collect()
+    b = sizing.salted_join(big, small, ["k"]).select(*sizing.lookup_join(big, small, ["k"]).columns).orderBy("i").collect()
     assert a == b
 
 
@@ -84,9 +85,22 @@ def test_blocked_by_list_then_mask(spark):
     numbers = spark.createDataFrame([("+79161111111",), ("+78001111111",), ("+74951111111",)], "normalized_number string")
     exact = spark.createDataFrame([("+79161111111",)], "normalized_number string")
     masks = spark.createDataFrame([(r"^\+7800",), (r"^\+7916",)], "pattern string")
-    for limit in (1000, 1):
-        got = {r[0]: r["blocked_by"] for r in L.blocked_numbers(numbers, exact, masks, max_masks=limit).collect()}
-        assert got == {"+79161111111": "exact", "+78001111111": "mask", "+74951111111": None}
+    got = {r[0]: r["blocked_by"] for r in L.blocked_numbers(numbers, exact, masks).collect()}
+    assert got == {"+79161111111": "exact", "+78001111111": "mask", "+74951111111": None}
+
+
+def test_masks_of_all_kinds_meet_what_their_patterns_meet(spark):
+    values = ["+78001111111", "+78051111117", "+79531234567", "+7953", "112", "84951112233", "", "+7", "+74991"]
+    numbers = spark.createDataFrame([(v,) for v in values] + [(None,), ("112",)], "normalized_number string")
+    none = spark.createDataFrame([], "normalized_number string")
+    patterns = [r"^\+7800", r"^\+7953.*7$", r"^\+780?5", r"^\+7800|^112$", "^8495.*", "2$", r"^\+7953.*", r"^\+749{2}1", r"^\+7$", "^$", r"^\+7[89]5", "^11+2"]
+    for chosen in [[p] for p in patterns] + [patterns[:3], patterns[3:6], []]:
+        masks = spark.createDataFrame([(p,) for p in chosen] + [(None,)], "pattern string")
+        got = [(r[0], r["blocked_by"]) for r in L.blocked_numbers(numbers, none, masks).collect()]
+        assert len(got) == len(values) + 2
+        for value, by in got:
+            met = value is not None and any(re.search(p, value) for p in chosen)
+            assert by == ("mask" if met else None), (chosen, value)
 
 
 def _classes(spark, n=1000):
