@@ -6,12 +6,14 @@ run, so texts are cut into runs, and equal windows always meet under one anchor
 
 1. Anchor values that occur in two documents or more are found and noted in a bitmap of fixed size;
    other runs hold nothing that repeats. The bitmap may name too many runs, never too few.
-2. A task folds equal runs: all but the one in the least document are covered already. The one left
-   goes to the bucket of its anchor value, so a passage of many copies is one row per task there.
+2. A task folds equal runs: those outside the least document are covered already. The first one of
+   that document goes to the bucket of its anchor value, so a passage of many copies is one row per
+   task there; of its further copies in the same document only the places go along.
 3. In a bucket, all suffixes of the runs are sorted and their longest common prefixes computed. A
    stack scan yields the common-prefix intervals of ``LENGTH`` or more; intervals whose occurrences
    are preceded by different bytes (or open a run) are the maximal repeats, with all occurrences.
-   Every occurrence outside the least document is covered.
+   Every occurrence outside the least document is covered, and so are the same bytes of the copies
+   of its run.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ FOLD, SORTED, STRETCH = 1 << 17, 1 << 14, 1 << 12
 
 #: What is known of a run, and of a covered span; ``text`` tells rows of one doc_id apart.
 RUN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("windows", "u1"), ("left", "i2")])
+#: A further copy of the run with this number, in the same document.
+COPY = np.dtype([("run", "i4"), ("text", "i4"), ("start", "i4")])
 SPAN = np.dtype([("doc", "i8"), ("text", "i4"), ("start", "i4"), ("end", "i4")])
 SPANS = "doc_id bigint, text_hash int, start int, end int"
 
@@ -176,7 +180,7 @@ def _unpack(parts: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 class _Fold:
-    """Equal runs of a task: the one of the least document is kept, the others are covered."""
+    """Equal runs of a task: the first of the least document is kept with the places of its copies there, the others are covered."""
 
     def __init__(self, bits: int) -> None:
         self.bits, self.count = bits, 0
@@ -208,17 +212,24 @@ class _Fold:
         owner = found["doc"][order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         other = order[found["doc"][order] > owner]
         spans = _merged(found[other], size[other])
-        kept = order[first]
+        place = np.flatnonzero(first)
+        kept = order[place]
+        # Copies in the document of the kept run come right behind it.
+        copies = np.add.reduceat((found["doc"][order] == owner).astype(np.int64), place) - 1
         bucket = _bucket(np.concatenate(self.anchors), self.bits)
         rows = []
-        for b, at in _dealt(bucket, kept[np.argsort(bucket[kept], kind="stable")]):
+        for b, group in _dealt(bucket[kept], np.argsort(bucket[kept], kind="stable")):
+            at = kept[group]
             text = np.concatenate([data[_places(begin[at[s]], size[at[s]])] for s in _stretches(len(at))])
-            rows.append((b, _pack(found[at]), zstandard.compress(text.tobytes(), 3), b""))
+            copy = found[order[_places(place[group] + 1, copies[group])]]
+            again = np.empty(len(copy), dtype=COPY)
+            again["run"], again["text"], again["start"] = np.repeat(np.arange(len(at)), copies[group]), copy["text"], copy["start"]
+            rows.append((b, _pack(found[at]), zstandard.compress(text.tobytes(), 3), _pack(again) if len(again) else b"", b""))
         if len(spans):
-            rows.append((int(spans["text"][0]) & ((1 << self.bits) - 1), b"", b"", _pack(spans)))
+            rows.append((int(spans["text"][0]) & ((1 << self.bits) - 1), b"", b"", b"", _pack(spans)))
         for at in range(0, len(rows), 64):
             part = list(zip(*rows[at : at + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *[pa.array(x, pa.binary()) for x in part[1:]]], names=["bucket", "runs", "data", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *[pa.array(x, pa.binary()) for x in part[1:]]], names=["bucket", "runs", "data", "copies", "spans"])
         self.runs, self.keys, self.anchors, self.bytes, self.count = [], [], [], [], 0
 
 
@@ -297,8 +308,19 @@ def _prefixes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> np.nd
     return np.concatenate(out)
 
 
-def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Spans of a bucket's runs that stand in a smaller document as well.
+def _copies(runs_: list[bytes], copies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a bucket's entries, and their copies by the number of the run in all of them."""
+    found, again, n = [np.zeros(0, dtype=RUN)], [np.zeros(0, dtype=COPY)], 0
+    for r, c in zip(runs_, copies):
+        found.append(_unpack([r], RUN))
+        again.append(_unpack([c], COPY))
+        again[-1]["run"] += n
+        n += len(found[-1])
+    return np.concatenate(found), np.concatenate(again)
+
+
+def _covered(found: np.ndarray, data: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Spans of a bucket's runs, and of the copies of these, that stand in a smaller document as well.
 
     Suffixes are worked off in parts by the hash of their first ``LENGTH`` bytes: suffixes that share
     a prefix of that length share the part, so no part grows with the number of runs of one anchor.
@@ -328,11 +350,28 @@ def _covered(found: np.ndarray, data: np.ndarray) -> np.ndarray:
         at = use[part == i]
         if len(at):
             out.append(_scan(found, data, run[at], shift[at], start[at], (begin + size)[run[at]], left[at]))
-    return joined(np.concatenate(out)) if out else np.zeros(0, dtype=SPAN)
+    return _placed(joined(np.concatenate(out)), found, copies) if out else np.zeros(0, dtype=SPAN)
+
+
+def _placed(spans: np.ndarray, found: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Spans inside runs (``doc`` is the number of the run) as spans of the run's text and of its copies."""
+    own = np.empty(len(found), dtype=COPY)
+    own["run"], own["text"], own["start"] = np.arange(len(found)), found["text"], found["start"]
+    every = np.concatenate([own, copies])
+    every = every[np.argsort(every["run"], kind="stable")]
+    count = np.bincount(every["run"], minlength=len(found))
+    begin = np.cumsum(count) - count
+    run = spans["doc"]
+    at = every[_places(begin[run], count[run])]
+    out = np.repeat(spans, count[run])
+    out["doc"], out["text"] = found["doc"][at["run"]], at["text"]
+    out["start"] += at["start"]
+    out["end"] += at["start"]
+    return joined(out)
 
 
 def _scan(found: np.ndarray, data: np.ndarray, run: np.ndarray, shift: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Covered spans from the left-maximal common-prefix intervals of the suffixes data[start:end]."""
+    """Covered spans inside the runs (``doc`` is the number of the run), from the left-maximal common-prefix intervals of the suffixes data[start:end]."""
     order, lcp = suffix_array(data, start, end)
     run, shift, left = run[order], shift[order], left[order]
     doc = found["doc"][run]
@@ -350,8 +389,8 @@ def _scan(found: np.ndarray, data: np.ndarray, run: np.ndarray, shift: np.ndarra
         return np.zeros(0, dtype=SPAN)
     at, length = np.concatenate(out_at), np.concatenate(out_length)
     out = np.empty(len(at), dtype=SPAN)
-    out["doc"], out["text"] = doc[at], found["text"][run[at]]
-    out["start"] = found["start"][run[at]] + shift[at]
+    out["doc"], out["text"] = run[at], 0
+    out["start"] = shift[at]
     out["end"] = out["start"] + length
     return joined(out)
 
@@ -374,12 +413,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from fold.flush()
 
     def reduce(group: pa.Table) -> pa.Table:
-        runs_, data, spans = (group.column(c).to_pylist() for c in ("runs", "data", "spans"))
+        runs_, data, copies, spans = (group.column(c).to_pylist() for c in ("runs", "data", "copies", "spans"))
         text = np.frombuffer(b"".join(zstandard.decompress(x) for x in data if x), dtype=np.uint8)
-        spans = joined(np.concatenate([_unpack(spans, SPAN), _covered(_unpack(runs_, RUN), text)]))
+        found, again = _copies(runs_, copies)
+        spans = joined(np.concatenate([_unpack(spans, SPAN), _covered(found, text, again)]))
         return pa.table({n: pa.array(spans[c]) for n, c in zip(("doc_id", "text_hash", "start", "end"), SPAN.names)})
 
-    entries = named.mapInArrow(emit, "bucket bigint, runs binary, data binary, spans binary")
+    entries = named.mapInArrow(emit, "bucket bigint, runs binary, data binary, copies binary, spans binary")
     return spread(entries, "bucket").groupBy("bucket").applyInArrow(reduce, SPANS)
 
 

@@ -211,6 +211,18 @@ def test_repeated_bytes(docs, rows, empty):
     assert repeats.cleaned(empty).count() == 0
 
 
+def test_repeated_bytes_within_the_larger_document(spark):
+    passage, line = prose(700, 40), "one and the same line of a page, again and again and again, to its end\n"
+    texts = [(3, f"{prose(701, 9)} {passage} {prose(702, 9)}"), (4, line + prose(703, 5)), (10, f"{prose(704, 9)} {passage} {prose(705, 300)} {passage} {prose(706, 9)}"), (11, line * 30), (12, "ab" * 300), (2, "ab" * 40)]
+    schema = "doc_id bigint, text string"
+    apart = spark.createDataFrame(spark.sparkContext.parallelize(texts, len(texts)), schema)
+    assert apart.rdd.glom().map(len).collect() == [1] * len(texts)
+    got = {r.doc_id: r.kept.decode() for r in repeats.cleaned(apart).collect()}
+    whole = {r.doc_id: r.kept.decode() for r in repeats.cleaned(spark.createDataFrame(texts, schema).coalesce(1)).collect()}
+    assert got == whole and got[3] == texts[0][1] and got[4] == texts[1][1]
+    assert passage[5:-5] not in got[10] and "of a page" not in got[11] and got[12] == ""
+
+
 def test_common_prefix_intervals():
     data = np.frombuffer(b"banana", dtype=np.uint8)
     order, lcp = repeats.suffix_array(data, np.arange(6), np.full(6, 6))
