@@ -1,8 +1,8 @@
 """Scores of texts by an n-gram trie in Elias-Fano form.
 
 Words with a share of 2^-SHORT of all training tokens or more make a short list, of 2^SHORT entries at
-most, which every task holds with exact counts; all other words share the rest evenly. A bigram model
-on top is smoothed towards these probabilities (Dirichlet prior): its counts are never gathered in one
+most, which every task holds; the counts of all other words are joined to the buckets whose bigrams end
+in them, so the probability of a word is its own count's, listed or not. A bigram model on top is smoothed towards these probabilities (Dirichlet prior): its counts are never gathered in one
 place. Bigrams are dealt to buckets by context, those of short-listed contexts by context and word,
 whose number of occurrences is known already. A bucket counts its training bigrams and builds a trie:
 contexts, pointers to their successors and the successors themselves (relative to the context) are
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, stored
-from .textscan import BLANKS, blocks, mix, words
+from .textscan import BLANKS, Block, blocks, mix, words
 
 #: Documents whose crc32(doc_id as text) leaves this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
@@ -38,6 +38,8 @@ CHUNK, BUCKET_TOKENS = 1 << 19, 5 << 18
 #: Numbers of words: place in the short list, or a hash of 43 bits with this mark.
 MARK = np.uint64(1 << 43)
 WORD_BITS = 44
+#: Context of a text's first token, dealt like a listed one; no list is that long.
+START = MARK - np.uint64(1)
 END = mix(np.array([0x3C2F733E], dtype=np.uint64))[0]
 
 
@@ -152,15 +154,12 @@ class Trie:
 
 
 class Lower:
-    """Exact counts of the short list; every other word has an even share of what is left."""
+    """Counts of the short list, and what makes probabilities of these and of counts given."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int, ends: int) -> None:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
         self.tokens, self.types, self.ends = tokens, types, ends
-        rest = tokens - int(self.counts.sum()) + 1
-        self.rare = rest / (tokens + 1) / (types - len(hashes) + 1)
-        self.logs = np.log10(self.counts / (tokens + 1)) if len(hashes) else np.zeros(0)
 
     def number(self, word: np.ndarray) -> np.ndarray:
         """Number of each word: its place in the short list, or its marked hash."""
@@ -170,19 +169,47 @@ class Lower:
         at = np.minimum(np.searchsorted(self.hashes, word), len(self.hashes) - 1)
         return np.where(self.hashes[at] == word, at.astype(np.uint64), other)
 
-    def log_p(self, number: np.ndarray) -> np.ndarray:
-        out = np.full(len(number), np.log10(self.rare))
+    def log_p(self, number: np.ndarray, words_: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """By the short list, or by the counts of the (sorted) words given; a word never seen weighs as one seen once."""
+        n = np.ones(len(number), dtype=np.int64)
         listed = number < MARK
-        out[listed] = self.logs[number[listed].astype(np.int64)]
-        return out
+        n[listed] = self.counts[number[listed].astype(np.int64)]
+        if len(words_):
+            at = np.minimum(np.searchsorted(words_, number), len(words_) - 1)
+            n = np.where(words_[at] == number, counts[at], n)
+        return np.log10(n / (self.tokens + 1))
 
 
 def _held_out(doc: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS == HELD_OUT for x in doc.to_pylist()], dtype=bool)
 
 
-def _lower(docs: DataFrame) -> Broadcast:
-    """Count the training tokens; the short list and three totals reach the driver."""
+def _bucket(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    spread_key = np.where(context < MARK, context * np.uint64(0x9E3779B97F4A7C15) + word, context)
+    return (mix(spread_key) % np.uint64(buckets)).astype(np.int64)
+
+
+def _tokens(block: Block, lower: Lower) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens per row, the number of each token (those of a row, then its end), and the place of each row's first."""
+    found = words(block, BLANKS, lower=True)
+    n = np.bincount(found.row, minlength=len(block))
+    size = n + 1
+    token = np.full(int(size.sum()), END, dtype=np.uint64)
+    token[np.arange(len(found)) + found.row] = found.hash
+    return size, lower.number(token), np.cumsum(size) - size
+
+
+def _bigrams(number: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context of each token, and the tokens that go to a bucket: all but a listed first one."""
+    context = np.empty(len(number), dtype=np.uint64)
+    context[1:] = number[:-1]
+    context[opens] = START
+    return context, np.flatnonzero((context != START) | (number >= MARK))
+
+
+def _lower(docs: DataFrame) -> tuple[Broadcast, DataFrame]:
+    """Count the training tokens; the short list and three totals reach the driver, the words seen twice or more
+    outside of it stay a table: number, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -218,9 +245,45 @@ def _lower(docs: DataFrame) -> Broadcast:
     table = stored(docs.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     end = int(END.view(np.int64))
     tokens, types, ends = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
-    listed = table.filter((F.col("n") * (1 << SHORT) >= tokens) | (F.col("word") == end)).toPandas()
+    short = (F.col("n") * (1 << SHORT) >= tokens) | (F.col("word") == end)
+    listed = table.filter(short).toPandas()
     lower = Lower(listed["word"].to_numpy(np.int64).view(np.uint64), listed["n"].to_numpy(np.int64), tokens, types, ends)
-    return docs.sparkSession.sparkContext.broadcast(lower)
+    number = F.shiftrightunsigned("word", 64 - 43).bitwiseOR(F.lit(int(MARK)))
+    others = table.filter(~short).groupBy(number.alias("number")).agg(F.sum("n").alias("n")).filter("n > 1")
+    return docs.sparkSession.sparkContext.broadcast(lower), others
+
+
+def _wanted(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
+    """bucket, number: words outside the short list that end a bigram of the bucket, once per chunk at least."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(held)
+            pairs = pairs[np.lexsort((pairs["number"], pairs["bucket"]))]
+            new = np.ones(len(pairs), dtype=bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            pairs = pairs[new]
+            for at in range(0, len(pairs), 1 << 16):
+                part = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("bucket", "number")], names=["bucket", "number"])
+            held.clear()
+
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                _, number, opens = _tokens(block, shared.value)
+                context, at = _bigrams(number, opens)
+                at = at[number[at] >= MARK]
+                pairs = np.empty(len(at), dtype=[("bucket", "i8"), ("number", "i8")])
+                pairs["bucket"], pairs["number"] = _bucket(context[at], number[at], buckets), number[at]
+                held.append(pairs)
+                if sum(map(len, held)) > CHUNK:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(emit, "bucket bigint, number bigint")
 
 
 ENTRY = ["u8", "u8", "u4", "u4"]
@@ -236,7 +299,7 @@ def score(docs: DataFrame) -> DataFrame:
     and every token has the same probability. Further columns are left out; an empty table stays empty.
     """
     docs = docs.select("doc_id", "text")
-    shared = _lower(docs)
+    shared, others = _lower(docs)
     buckets = max(1, shared.value.tokens // BUCKET_TOKENS + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +316,7 @@ def score(docs: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (row[1:] != row[:-1]))) if len(order) else order
             times = np.diff(np.append(first, len(order)))
             context, word, row = context[first], word[first], row[first]
-            spread_key = np.where(context < MARK, context * np.uint64(0x9E3779B97F4A7C15) + word, context)
-            bucket = (mix(spread_key) % np.uint64(buckets)).astype(np.int64)
+            bucket = _bucket(context, word, buckets)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             listed = _pack(*[np.concatenate([t[i] for t in table]).astype(k) for i, k in enumerate(DOCS)])
@@ -272,29 +334,21 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             doc, out = batch.column(0), _held_out(batch.column(0))
             for block in blocks(batch.column(1)):
-                found = words(block, BLANKS, lower=True)
-                n = np.bincount(found.row, minlength=len(block))
-                # The tokens of a row, then its end.
-                size = n + 1
-                ends = np.cumsum(size) - 1
-                token = np.full(int(size.sum()), END, dtype=np.uint64)
-                token[np.arange(len(found)) + found.row] = found.hash
-                number, row = lower.number(token), np.repeat(np.arange(len(block)), size)
-                opens = ends - n
-                follows = np.ones(len(token), dtype=bool)
-                follows[opens] = False
-                at = np.flatnonzero(follows)
-                held.append((number[at - 1], number[at], row[at] + rows))
-                # What needs no bucket: the first token's score, and the base of short-listed tokens.
+                size, number, opens = _tokens(block, lower)
+                row = np.repeat(np.arange(len(block)), size)
+                context, at = _bigrams(number, opens)
+                held.append((context[at], number[at], row[at] + rows))
+                # What needs no bucket: the score of a short-listed first token, and the base of short-listed tokens.
                 listed = number < MARK
-                base = np.zeros(len(token), dtype=np.int64)
+                first = np.where(listed[opens], np.rint(lower.log_p(number[opens], number[:0], number[:0]) * UNIT), 0).astype(np.int64)
+                base = np.zeros(len(number), dtype=np.int64)
                 if len(lower.counts):
                     base[listed] = np.rint(np.log10(lower.counts[number[listed].astype(np.int64)] + 1.0) * BASE_UNIT).astype(np.int64)
                 sums = lambda x: np.add.reduceat(x, opens) if len(opens) else x[:0]  # noqa: E731, B023
                 mine = doc.slice(block.first, len(block))
                 table.append((
                     mine.fill_null(0).to_numpy(zero_copy_only=False), mine.is_valid().to_numpy(zero_copy_only=False), ~out[block.first : block.last], size,
-                    sums(listed.astype(np.int64)), sums(base), np.rint(lower.log_p(number[opens]) * UNIT).astype(np.int64),
+                    sums(listed.astype(np.int64)), sums(base), first,
                 ))
                 rows += len(block)
                 if sum(len(h[0]) for h in held) > CHUNK:
@@ -302,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
         if rows:
             yield from flush()
 
-    def reduce(group: pa.Table) -> pa.Table:
+    def reduce(group: pa.Table, rare_words: pa.Table) -> pa.Table:
         lower: Lower = shared.value
         parts = [_unpack(x, ENTRY) for x in group.column("entries").to_pylist()]
         trains = [_unpack(x, ["u1"])[0] for x in group.column("train").to_pylist()]
@@ -319,14 +373,16 @@ def score(docs: DataFrame) -> DataFrame:
         # Occurrences of each context: known for the short list, counted here for the rest.
         keys, at = np.unique(contexts, return_inverse=True)
         totals = np.bincount(at, counts, minlength=len(keys)) if len(keys) else np.zeros(0)
-        listed = keys < MARK
-        totals[listed] = lower.counts[keys[listed].astype(np.int64)] if listed.any() else 0
-        low = lower.log_p(successors)
-        seen = counts > 0
+        listed, begins = keys < MARK, contexts == START
+        inner = listed & (keys != START)
+        totals[inner] = lower.counts[keys[inner].astype(np.int64)] if inner.any() else 0
+        other, place = np.unique(rare_words.column("number").to_numpy().astype(np.uint64), return_index=True)
+        low = lower.log_p(successors, other, rare_words.column("n").to_numpy()[place])
+        seen = (counts > 0) & ~begins
         trie = Trie(contexts[seen], successors[seen], counts[seen], totals[at][seen], 10.0 ** low[seen])
         hit, logs = trie.find(contexts, successors)
         backed = np.rint(np.log10(PRIOR / (totals + PRIOR)) * STEP) / STEP
-        logs = np.where(hit, logs, backed[at] + low)
+        logs = np.where(begins, low, np.where(hit, logs, backed[at] + low))
         rare = ~listed[at] if len(at) else np.zeros(0, dtype=bool)
         base = np.where(rare, np.rint(np.log10(totals[at] + 1.0) * BASE_UNIT), 0).astype(np.int64)
         known = rare & (totals[at] > 0)
@@ -361,7 +417,8 @@ def score(docs: DataFrame) -> DataFrame:
         })
 
     dealt = docs.mapInArrow(deal, "bucket bigint, chunk bigint, entries binary, train binary, docs binary")
-    summed = spread(dealt, "bucket").groupBy("bucket").applyInArrow(reduce, "chunk bigint, sums binary, docs binary")
+    rare_words = _wanted(docs, shared, buckets).join(others, "number").select("bucket", "number", "n")
+    summed = spread(dealt, "bucket").groupBy("bucket").cogroup(spread(rare_words, "bucket").groupBy("bucket")).applyInArrow(reduce, "chunk bigint, sums binary, docs binary")
     return spread(summed, "chunk").groupBy("chunk").applyInArrow(
         finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )

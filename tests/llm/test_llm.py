@@ -310,6 +310,19 @@ def test_scores(docs, rows, empty):
     assert scoring.score(empty).count() == 0
 
 
+def test_scores_of_words_outside_the_short_list(docs, rows, monkeypatch):
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in scoring.score(docs).collect()}
+    monkeypatch.setattr(scoring, "SHORT", 4)
+    lower, others = scoring._lower(docs.select("doc_id", "text"))
+    assert 0 < len(lower.value.counts) < 10 and others.count() > 10
+    monkeypatch.setattr(scoring, "BUCKET_TOKENS", 500)
+    got = scoring.score(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[tuple(r)[:3]]
+        assert (r.n_known, r.train_tokens) == w[:2] and r.base_score == pytest.approx(w[2], rel=1e-7) and abs(r.score - w[3]) < 3e-4 * r.n_tokens
+
+
 def test_elias_fano():
     values = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 5000)).astype(np.uint64)
     held = scoring.EliasFano(values, 1 << 40)
