@@ -4,7 +4,9 @@ A page becomes a row of text nodes with their root-to-leaf tag paths. For each p
 text and its punctuation are added up and set against the number of its nodes; both ratios go to the
 nodes, are smoothed along the page, and their product is compared with its own spread over the page.
 The nodes above the threshold name the content: the deepest section that holds them is the article.
-What markup or names declare as menu, notice, advert, form, comment and the like never takes part.
+What markup declares as menu, footer, hidden and the like never takes part. An element whose class, id
+or role is such a name goes unless most of the page stands in it; a form, or an element with such a name
+as a piece of a longer one, goes only if the ratios of all its paths are below their spread.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 #: Elements that are never part of an article.
-ASIDE = frozenset("nav footer aside form menu button select dialog fieldset head".split())
+ASIDE = frozenset("nav footer aside menu button select dialog head".split())
+#: Elements that may be a part of their own or stand around the whole page.
+FORMS = frozenset("form fieldset".split())
 #: Words in class, id or role that name such parts.
 NAMES = frozenset(
     "ad ads advert advertisement adbox adslot adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside "
@@ -37,30 +41,42 @@ NAMES = frozenset(
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Element:
-    __slots__ = ("name", "parent", "dropped", "depth", "path")
+    __slots__ = ("name", "parent", "dropped", "doubt", "depth", "path")
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool) -> None:
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Element | None, dropped: bool, doubt: int = 0) -> None:
+        self.name, self.parent, self.doubt = name, parent, doubt
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.depth = 0 if parent is None else parent.depth + 1
         self.path = name if parent is None else f"{parent.path}/{name}"
 
 
-def _is_aside(name: str, attributes: str, above: Element) -> bool:
+#: What is said of an element: nothing, that its text decides, that it is a part of its own, that it never takes part.
+PLAIN, LOOSE, NAMED, ASIDES = range(4)
+
+
+def _doubt(name: str, attributes: str, above: Element) -> int:
     if name in ASIDE or (name == "header" and not re.search(r"/(article|main)(/|$)", above.path)):
-        return True
+        return ASIDES
+    out = LOOSE if name in FORMS else PLAIN
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(not NAMES.isdisjoint(_WORD.findall((m[2] or m[3] or m[4] or "").lower())) for m in _NAMED.finditer(attributes))
+        return out
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NONE.search(value)):
+            return ASIDES
+        if key in ("class", "id", "role"):
+            if not NAMES.isdisjoint(value.split()):
+                out = NAMED
+            elif not NAMES.isdisjoint(_WORD.findall(value)):
+                out = max(out, LOOSE)
+    return out
 
 
 def nodes(page: str) -> list[tuple[Element, str, bool]]:
@@ -113,7 +129,8 @@ def nodes(page: str) -> list[tuple[Element, str, bool]]:
                 here = here.parent
             if here.name in SELF_CLOSING[name]:
                 at = here.parent
-        at = Element(name, at, not at.dropped and _is_aside(name, m[3], at))
+        doubt = PLAIN if at.dropped else _doubt(name, m[3], at)
+        at = Element(name, at, doubt == ASIDES, doubt)
     text(len(page))
     return out
 
@@ -126,11 +143,9 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return (np.convolve(values, _BELL) / np.convolve(np.ones(len(values)), _BELL))[2:-2]
 
 
-def content(found: list[tuple[Element, str, bool]]) -> list[int]:
-    """Numbers of the nodes whose fused path ratio reaches the spread over the page, at least the best one."""
+def _ratios(found: list[tuple[Element, str, bool]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Numbers of the nodes that are not blank, and length and punctuation of their paths per node."""
     inked = [i for i, (_, t, _) in enumerate(found) if not t.isspace()]
-    if not inked:
-        return []
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for i in inked:
         element, t, _ = found[i]
@@ -138,9 +153,15 @@ def content(found: list[tuple[Element, str, bool]]) -> list[int]:
         marks[element.path] += len(_PUNCTUATION.findall(t))
         count[element.path] += 1
     paths = [found[i][0].path for i in inked]
-    ratio = _smooth(np.array([length[p] / count[p] for p in paths]))
-    punctuation = _smooth(np.array([(1 + marks[p]) / count[p] for p in paths]))
-    fused = ratio * punctuation
+    return inked, np.array([length[p] / count[p] for p in paths]), np.array([(1 + marks[p]) / count[p] for p in paths])
+
+
+def content(found: list[tuple[Element, str, bool]], smooth: bool = True) -> list[int]:
+    """Numbers of the nodes whose fused path ratio reaches the spread over the page, at least the best one."""
+    inked, ratio, punctuation = _ratios(found)
+    if not inked:
+        return []
+    fused = _smooth(ratio) * _smooth(punctuation) if smooth else ratio * punctuation
     least = min(fused.std(), fused.max())
     return [i for i, v in zip(inked, fused) if v >= least]
 
@@ -157,9 +178,58 @@ def _inside(element: Element, root: Element) -> bool:
     return element is root
 
 
+def _above(element: Element | None) -> Iterator[Element]:
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def _without(found: list[tuple[Element, str, bool]], gone: set[Element]) -> list[tuple[Element, str, bool]]:
+    """Nodes outside the elements; a block that began in one of them begins at the next node left."""
+    out, began = [], False
+    for element, t, fresh in found:
+        if not gone.isdisjoint(_above(element)):
+            began |= fresh
+        else:
+            out.append((element, t, fresh or began))
+            began = False
+    return out
+
+
+def _parts(found: list[tuple[Element, str, bool]]) -> set[Element]:
+    """Named elements that go: all but those with most of the text, if no article or main stands outside of them."""
+    size, articles, total = defaultdict(int), set(), 0
+    for element, t, _ in found:
+        if not t.isspace():
+            total += len(t)
+            for e in _above(element):
+                if e.doubt == NAMED:
+                    size[e] += len(t)
+                if e.name in ("article", "main"):
+                    articles.add(e)
+    return {e for e, n in size.items() if 2 * n <= total or any(e not in _above(a) and a not in _above(e) for a in articles)}
+
+
+def _idle(found: list[tuple[Element, str, bool]]) -> set[Element]:
+    """Loose elements that go: those without a path above the threshold, a main heading, or most of the text."""
+    held = {e for i in content(found, smooth=False) for e in _above(found[i][0])}
+    size, total = defaultdict(int), 0
+    for element, t, _ in found:
+        above = list(_above(element))
+        if any(e.name == "h1" for e in above):
+            held.update(above)
+        total += len(t.strip())
+        for e in above:
+            if e.doubt == LOOSE:
+                size[e] += len(t.strip())
+    return {e for e, n in size.items() if e not in held and 2 * n <= total}
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is no text."""
     found = nodes(page or "")
+    found = _without(found, _parts(found))
+    found = _without(found, _idle(found))
     chosen = content(found)
     if not chosen:
         return ""

@@ -243,6 +243,23 @@ def test_main_text(spark):
     assert mainpage.main_text(pages.limit(0)).count() == 0 and html.unescape("&copy") == "©"
 
 
+@pytest.mark.parametrize("wrapper", [
+    'form action="/x"', 'div class="no-sidebar"', 'div class="page with-sidebar"', 'div id="search-result-article"', 'div style="overflow:hidden"', 'div class="overflow-hidden"',
+    'div aria-hidden="false"', 'div data-state="hidden"', 'div class="post-share-enabled"', 'section class="widget"',
+])
+def test_wrappers_of_the_page_stay(wrapper):
+    body = '<div class="entry-header"><h1>Head line</h1></div><p>First part, of some length, with marks in it.</p><p>Second part, longer than the menu, it goes on.</p>'
+    page = f'<body><nav>Menu one</nav><{wrapper}>{body}<div class="share">Tell it, to all</div><div class="post-share">Send</div></{wrapper.split()[0]}><div hidden>Not seen, at all.</div><div id="comments"><p>Reader says, hello.</p></div></body>'
+    assert mainpage.extract(page) == "Head line First part, of some length, with marks in it. Second part, longer than the menu, it goes on."
+
+
+def test_hidden_and_named_parts_go():
+    body = "<article><h1>Head</h1><p>First part, of some length, with marks in it.</p>"
+    for part in ('div hidden=""', 'div aria-hidden="true"', 'div style="color:red; display: none"', 'div class="x sidebar"', 'div role="search"', "form"):
+        assert mainpage.extract(f"{body}<{part}>Other text</{part.split()[0]}></article>") == "Head First part, of some length, with marks in it.", part
+    assert mainpage.extract(f'{body}</article><div id="comments">{"<p>Reader says, hello, again, and more.</p>" * 9}</div>') == "Head First part, of some length, with marks in it."
+
+
 def test_archives_come_back(spark, tmp_path):
     rows_ = [(5, "http://x/ä b", "same"), (2, "u", "same"), (9, None, None), (7, "u", ""), (3, "u", "x" * 100000), (4, "u", prose(1, 3000)), (2, "v", "same"), (None, "u", "same"), (-8, "u", "other")]
     pages = spark.createDataFrame([(*r, "z") for r in rows_], "page_id bigint, url string, html string, record_type string")
