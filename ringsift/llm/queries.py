@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mainpage, mixing, neardup, quality, repeats, scoring, secrets, sharding, warc
+from . import contamination, exactdup, mainpage, mixing, neardup, quality, repeats, scoring, secrets, sharding, spelling, warc, whitening
 from .common import table
 
 
@@ -51,11 +51,24 @@ def op10_elias_fano_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score(table(spark, folder, "documents"))
 
 
+def op11_golomb_exchange(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.groups(table(spark, folder, "documents"))
+
+
+def op12_pivotal_grams(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree, op2_perplexity_rules, op3_secret_forest, op4_path_ratios, op5_suffix_decontamination, op6_warc_archive,
         op7_prefix_intervals, op8_setsketch_groups, op9_pfair_mixture, op10_elias_fano_scores,
+        op11_golomb_exchange, op12_pivotal_grams, op13_whitening,
     )
 }
 
@@ -64,4 +77,5 @@ ORACLES: dict[str, str] = {
     + f"""SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot,
         CAST(slot * {mixing.BLOCK_ROWS} + within AS BIGINT) AS position, CAST((block * q) // a AS BIGINT) AS release,
         CAST(((block + 1) * q + a - 1) // a AS BIGINT) AS deadline FROM z WHERE slot < stop""",
+    "op11_golomb_exchange": exactdup.GROUPS_SQL,
 }
