@@ -1,11 +1,13 @@
 """Streaming jobs. Each one equals a batch operator when the same events are replayed.
 
-Stateful jobs keep one value per key: a trimmed list or a small record. Events of a key are
-handled in (ts, id) order within a micro-batch; the size of a batch is set at the source.
+Jobs whose result depends on the order of events let the rows of a key wait until the watermark has
+passed them and then handle them by event time, so files and batches may come in any order that the
+watermark's delay allows. Keys that stay idle beyond their look-back give their state back.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import Any
 
@@ -24,26 +26,87 @@ from .run import with_event_time
 MINUTE_MS = 60_000
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="mergesort")
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait in a list until the watermark has passed them; then ``step`` gets them by event time.
 
+    A key has one timer per batch, at its earliest waiting row. ``rows`` names the columns that wait
+    (ts first), ``order`` how they are sorted, ``kept`` the schema of the key's value. A key without a
+    row for ``horizon`` milliseconds of event time forgets everything.
+    """
 
-class _Keyed(StatefulProcessor):
-    """One JSON-free value state of a fixed schema."""
-
-    state_schema = ""
+    rows = ""
+    order = ["ts", "id"]
+    kept = ""
+    horizon: int | None = None
+    output: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("value", self.state_schema)
+        self.names = [f.strip().split()[0] for f in self.rows.split(",")]
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.value = handle.getValueState("value", self.kept)
+        self.seen = handle.getValueState("seen", "ts bigint")
 
     def load(self, empty: tuple) -> tuple:
         return tuple(self.value.get()) if self.value.exists() else empty
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                columns = [[None if v is None or v is pd.NA or v != v else v for v in c] if k == "O" and n != "x" else c
+                           for n in self.names for c, k in [(pdf[n].tolist(), pdf[n].dtype.kind)]]
+                columns = [[list(v) for v in c] if n == "x" else c for n, c in zip(self.names, columns)]
+                self.waiting.appendList(list(zip(*columns)))
+                first = min(columns[0]) if first is None else min(first, *columns[0])
+        if first is not None:
+            self.handle.registerTimer(int(first) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] < passed]
+        if due:
+            rest = [tuple(r) for r in rows if r[0] >= passed]
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(int(min(r[0] for r in rest)) + 1)
+            frame = pd.DataFrame([tuple(r) for r in due], columns=self.names).sort_values(self.order, kind="stable", ignore_index=True)
+            last = int(frame["ts"].iloc[-1])
+            self.seen.update((last,))
+            if self.horizon is not None:
+                self.handle.registerTimer(last + self.horizon + 1)
+            yield self.step(key, frame)
+        elif not rows and self.horizon is not None and self.seen.exists() and self.seen.get()[0] + self.horizon < passed:
+            self.forget()
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.value.clear()
+        self.seen.clear()
+
     def close(self) -> None:
         pass
 
 
+def _ordered(rows: DataFrame, keys: list[str], processor: StatefulProcessor, output: str, delay: str, initial: DataFrame | None = None) -> DataFrame:
+    """Run an ordered processor over a stream that has ``ts``."""
+    timed = with_event_time(rows, delay=delay)
+    start = None if initial is None else initial.groupBy(*keys)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime", initialState=start)
+
+
+def _before(ts: np.ndarray, marked: np.ndarray, known: int | None) -> np.ndarray:
+    """The latest marked time before each time (strictly), -1 if none; ``known`` is the latest before all of them."""
+    first = -1 if known is None else known
+    running = np.concatenate([[first], np.maximum.accumulate(np.maximum(np.where(marked, ts, -1), first))])
+    return running[np.searchsorted(ts, ts, side="left")]
+
+
 # --- ingest -----------------------------------------------------------------
 
 
@@ -80,94 +143,52 @@ def daily_verdicts(records: DataFrame, delay: str = "1 day") -> DataFrame:
 # --- labels -----------------------------------------------------------------
 
 
-class _ImmediateLabels(_Keyed):
-    state_schema = "last_gone bigint"
+class _ImmediateLabels(_InOrder):
+    rows = "ts bigint, id bigint, user bigint, direction string, state string, duration_ms bigint"
+    kept = "gone bigint"
 
     def __init__(self, window_ms: int):
-        self.window_ms = window_ms
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        (gone,) = self.load((None,))
-        out, waiting = [], []
-        for r in _in_order(rows, ["ts", "id"]).itertuples():
-            if waiting and waiting[0] < r.ts:
-                gone, waiting = max([gone or 0, *waiting]), []
-            if r.direction == "OUTGOING":
-                label = "ALLOW" if gone is not None and gone >= r.ts - self.window_ms else None
-            elif r.state == "ANSWERED":
-                label = "ALLOW" if r.duration_ms >= 15_000 else "BLOCK"
-            else:
-                label = "BLOCK" if r.state in ("REJECTED", "MISSED") else None
-            if label:
-                out.append((r.id, r.user, r.number, r.ts, label, r.direction == "INCOMING" and r.state == "MISSED"))
-            if r.direction == "INCOMING" and r.state in ("MISSED", "REJECTED"):
-                waiting.append(r.ts)
-        if waiting:
-            gone = max([gone or 0, *waiting])
-        if gone is not None:
-            self.value.update((int(gone),))
-        yield pd.DataFrame(out, columns=["id", "user", "number", "ts", "label", "deferred"])
+        self.horizon = window_ms
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        (known,) = self.load((None,))
+        ts, state = rows["ts"].to_numpy(), rows["state"].to_numpy()
+        out = (rows["direction"] == "OUTGOING").to_numpy()
+        missed = ~out & (state == "MISSED")
+        gone = missed | (~out & (state == "REJECTED"))
+        last = _before(ts, gone, known)
+        answered = ~out & (state == "ANSWERED")
+        long = (rows["duration_ms"] >= 15_000).to_numpy()
+        allow = (out & (last >= 0) & (last >= ts - self.horizon)) | (answered & long)
+        block = (answered & ~long) | gone
+        if gone.any():
+            self.value.update((int(ts[gone].max()),))
+        found = rows[["id", "user", "ts"]].assign(number=key[0], label=np.where(allow, "ALLOW", "BLOCK"), deferred=missed)
+        return found[allow | block][["id", "user", "number", "ts", "label", "deferred"]]
 
 
 LABEL_SCHEMA = "id bigint, user bigint, number string, ts bigint, label string, deferred boolean"
 
 
-def immediate_labels(calls: DataFrame, days: int = 30) -> DataFrame:
+def immediate_labels(calls: DataFrame, days: int = 30, delay: str = "1 day") -> DataFrame:
     """Implicit labels; an outgoing call is ALLOW after an earlier missed or rejected one."""
     known = calls.filter(F.col("number").isNotNull())
-    return known.groupBy("number").transformWithStateInPandas(
-        _ImmediateLabels(days * DAY_MS), LABEL_SCHEMA, "Append", "None")
-
-
-class _DeferredLabels(_Keyed):
-    state_schema = "ids array<bigint>, users array<bigint>, missed array<bigint>, outgoing array<bigint>"
-
-    def __init__(self, window_ms: int):
-        self.window_ms = window_ms
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        ids, users, missed, outgoing = (list(x) for x in self.load(([], [], [], [])))
-        for pdf in rows:
-            for r in pdf.itertuples():
-                if r.direction == "OUTGOING":
-                    outgoing.append(r.ts)
-                else:
-                    ids.append(r.id)
-                    users.append(r.user)
-                    missed.append(r.ts)
-                    self.handle.registerTimer(int(r.ts + self.window_ms + 1))
-        self._store(ids, users, missed, outgoing, timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(columns=["id", "user", "number", "ts", "label", "due"])
-
-    def _store(self, ids: list, users: list, missed: list, outgoing: list, watermark: int) -> None:
-        keep_from = min([watermark, *missed])
-        self.value.update((ids, users, missed, sorted(o for o in outgoing if o >= keep_from)))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        ids, users, missed, outgoing = (list(x) for x in self.load(([], [], [], [])))
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        out, rest = [], ([], [], [])
-        for i, u, t in zip(ids, users, missed):
-            if t + self.window_ms < now:
-                if not any(t <= o <= t + self.window_ms for o in outgoing):
-                    out.append((i, u, key[0], t, "BLOCK", t + self.window_ms))
-            else:
-                for part, v in zip(rest, (i, u, t)):
-                    part.append(v)
-        self._store(*rest, outgoing, now)
-        yield pd.DataFrame(out, columns=["id", "user", "number", "ts", "label", "due"])
+    return _ordered(known, ["number"], _ImmediateLabels(days * DAY_MS), LABEL_SCHEMA, delay)
 
 
 def deferred_labels(calls: DataFrame, hours: int = 24, delay: str = "1 day") -> DataFrame:
     """BLOCK for a missed call once the window behind it has passed without a call back.
 
-    A timer per missed call fires when the watermark passes the end of its window.
+    Missed calls are joined with the calls back inside the window; what the watermark passes without a
+    partner comes out of the outer join with nulls.
     """
-    gone = (F.col("direction") == "INCOMING") & (F.col("state") == "MISSED")
-    used = calls.filter(F.col("number").isNotNull() & (gone | (F.col("direction") == "OUTGOING")))
-    return with_event_time(used, delay=delay).groupBy("number").transformWithStateInPandas(
-        _DeferredLabels(hours * HOUR_MS),
-        "id bigint, user bigint, number string, ts bigint, label string, due bigint", "Append", "EventTime")
+    timed = with_event_time(calls.filter(F.col("number").isNotNull()), delay=delay)
+    missed = timed.filter((F.col("direction") == "INCOMING") & (F.col("state") == "MISSED"))
+    missed = missed.select("id", "user", "number", "ts", F.col("event_time").alias("missed_at"))
+    back = timed.filter(F.col("direction") == "OUTGOING").select(F.col("number").alias("_number"), F.col("event_time").alias("_back_at"))
+    near = f"number = _number AND _back_at >= missed_at AND _back_at <= missed_at + INTERVAL {hours} HOURS"
+    alone = missed.join(back, F.expr(near), "left_outer").filter(F.col("_number").isNull())
+    return alone.select("id", "user", "number", "ts", F.lit("BLOCK").alias("label"), (F.col("ts") + hours * HOUR_MS).alias("due"))
 
 
 def own_block_labels(decisions: DataFrame) -> DataFrame:
@@ -180,198 +201,355 @@ def own_block_labels(decisions: DataFrame) -> DataFrame:
 # --- look-backs -------------------------------------------------------------
 
 
-class _Lookback(_Keyed):
-    """Events of a number within thirty days: time, state code, direction code."""
+class _Lookback(_InOrder):
+    """Counts of a number's events up to each time cell, and the events of a cell by cell.
 
-    state_schema = "ts array<bigint>, kind array<int>"
-    ANSWERED, MISSED, REJECTED, OUT = 1, 2, 3, 10
+    A look-back is a difference of two running counts. Only the cells at its edges are read; a cell
+    goes once the longest look-back has passed it.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        ts, kind = (np.array(x, dtype=np.int64) for x in self.load(([], [])))
-        batch = _in_order(rows, ["ts", "id"])
-        code = batch["state"].map({"ANSWERED": 1, "MISSED": 2, "REJECTED": 3}).fillna(0).astype(int) + np.where(
-            batch["direction"] == "OUTGOING", self.OUT, 0)
-        ts, kind = np.concatenate([ts, batch["ts"]]), np.concatenate([kind, code])
-        order = np.argsort(ts, kind="stable")
-        ts, kind = ts[order], kind[order]
-        state = kind % self.OUT
-        first = lambda days: np.searchsorted(ts, batch["ts"] - days * DAY_MS, side="left")
-        here = np.searchsorted(ts, batch["ts"], side="left")
-        upto = lambda test: np.concatenate([[0], np.cumsum(test)])
-        answered, rejected = upto(state == self.ANSWERED), upto(state == self.REJECTED)
-        last = lambda test: np.concatenate([[-1], np.maximum.accumulate(np.where(test, ts, -1))]) if len(ts) else np.array([-1])
-        missed_at, out_at = last(state == self.MISSED)[here], last(kind >= self.OUT)[here]
-        f7, f30 = first(7), first(30)
-        n30 = here - f30
-        yield pd.DataFrame({
-            "id": batch["id"].to_numpy(),
-            "calls_7d": (here - f7).astype(float),
-            "rejected_30d": (rejected[here] - rejected[f30]) > 0,
-            "answer_rate_30d": np.where(n30 > 0, (answered[here] - answered[f30]) / np.maximum(n30, 1), 0.0),
-            "missed_no_callback": (missed_at >= 0) & (missed_at >= batch["ts"].to_numpy() - DAY_MS) & (out_at <= missed_at),
-        })
-        keep = ts >= ts[-1] - 30 * DAY_MS
-        self.value.update((ts[keep].tolist(), kind[keep].astype(int).tolist()))
+    rows = "ts bigint, id bigint, state string, direction string"
+    kept = "n bigint, answered bigint, rejected bigint, missed_at bigint, out_at bigint"
+    DAYS = 30
 
+    def __init__(self, cell_ms: int):
+        self.cell_ms = cell_ms
+        self.horizon = self.DAYS * DAY_MS
 
-def lookback_features(calls: DataFrame) -> DataFrame:
-    """Four look-back features of every call, from a trimmed list per number."""
-    known = calls.filter(F.col("number").isNotNull())
-    return known.groupBy("number").transformWithStateInPandas(
-        _Lookback(),
-        "id bigint, calls_7d double, rejected_30d boolean, answer_rate_30d double, missed_no_callback boolean",
-        "Append", "None")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.starts = handle.getMapState("starts", "cell bigint", "n bigint, answered bigint, rejected bigint")
+        self.events = handle.getMapState("events", "cell bigint", "ts array<bigint>, state array<int>")
+
+    def forget(self) -> None:
+        super().forget()
+        self.starts.clear()
+        self.events.clear()
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        n, answered, rejected, missed_at, out_at = self.load((0, 0, 0, None, None))
+        ts = rows["ts"].to_numpy(dtype=np.int64)
+        state = rows["state"].map({"ANSWERED": 1, "REJECTED": 2, "MISSED": 3}).fillna(0).to_numpy(dtype=np.int32)
+        out = (rows["direction"] == "OUTGOING").to_numpy()
+        missed, called = _before(ts, state == 3, missed_at), _before(ts, out, out_at)
+
+        starts = {k[0]: tuple(v) for k, v in self.starts.iterator()} if self.starts.exists() else {}
+        cell = ts // self.cell_ms
+        total = np.array([n, answered, rejected], dtype=np.int64)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for c in np.unique(cell).tolist():
+            at = slice(*np.searchsorted(cell, [c, c + 1]))
+            if c not in starts:
+                starts[c] = tuple(total.tolist())
+                self.starts.updateValue((c,), starts[c])
+                old: tuple = ([], [])
+            else:
+                old = tuple(self.events.getValue((c,)))
+            held[c] = np.concatenate([np.array(old[0], dtype=np.int64), ts[at]]), np.concatenate([np.array(old[1], dtype=np.int32), state[at]])
+            self.events.updateValue((c,), (held[c][0].tolist(), held[c][1].tolist()))
+            total += [at.stop - at.start, int((state[at] == 1).sum()), int((state[at] == 2).sum())]
+        cells = sorted(starts)
+
+        def upto(x: np.ndarray) -> np.ndarray:
+            """n, answered and rejected before each time."""
+            asked, counts = x // self.cell_ms, np.empty((len(x), 3), dtype=np.int64)
+            for c in np.unique(asked).tolist():
+                at = slice(*np.searchsorted(asked, [c, c + 1]))
+                if c in starts:
+                    if c not in held:
+                        held[c] = tuple(np.array(v) for v in self.events.getValue((c,)))
+                    times, states = held[c]
+                    k = np.searchsorted(times, x[at], side="left")
+                    inside = np.stack([np.arange(len(times) + 1), *[np.concatenate([[0], np.cumsum(states == s)]) for s in (1, 2)]], axis=1)
+                    counts[at] = inside[k] + np.array(starts[c])
+                else:
+                    later = bisect.bisect(cells, c)
+                    counts[at] = starts[cells[later]] if later < len(cells) else total
+            return counts
+
+        here = upto(ts)
+        week, month = here - upto(ts - 7 * DAY_MS), here - upto(ts - self.DAYS * DAY_MS)
+        oldest = (int(ts[-1]) - self.DAYS * DAY_MS) // self.cell_ms
+        for c in cells:
+            if c < oldest:
+                self.starts.removeKey((c,))
+                self.events.removeKey((c,))
+        last = lambda mask, known: int(ts[mask].max()) if mask.any() else known
+        self.value.update((*total.tolist(), last(state == 3, missed_at), last(out, out_at)))
+        return pd.DataFrame({
+            "id": rows["id"],
+            "calls_7d": week[:, 0].astype(float),
+            "rejected_30d": month[:, 2] > 0,
+            "answer_rate_30d": month[:, 1] / np.maximum(month[:, 0], 1),
+            "missed_no_callback": (missed >= 0) & (missed >= ts - DAY_MS) & (called <= missed),
+        })
 
 
-class _Links(_Keyed):
+def lookback_features(calls: DataFrame, delay: str = "1 day", cell_ms: int = DAY_MS) -> DataFrame:
+    """Four look-back features of every call, from running counts per number and time cell."""
+    known = calls.filter(F.col("number").isNotNull())
+    output = "id bigint, calls_7d double, rejected_30d boolean, answer_rate_30d double, missed_no_callback boolean"
+    return _ordered(known, ["number"], _Lookback(cell_ms), output, delay)
+
+
+class _AppWindows(_InOrder):
+    """Latest use per group of apps, and the notifications of a user within their window."""
+
+    rows = "ts bigint, id bigint, what string, category string"
+    kept = "used array<bigint>, bank array<bigint>, marketplace array<bigint>"
+
+    def __init__(self, groups: dict[str, list[str]], buckets: tuple[str, ...], used_ms: int, notified_ms: int):
+        self.groups, self.buckets = groups, buckets
+        self.used_ms, self.notified_ms = used_ms, notified_ms
+        self.horizon = max(used_ms, notified_ms)
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        used, *noted = self.load(([-1] * len(self.groups), *[[] for _ in self.buckets]))
+        ts, what, category = rows["ts"].to_numpy(), rows["what"].to_numpy(), rows["category"]
+        call = what == "call"
+        asked = ts[call]
+        found = {"id": rows["id"].to_numpy()[call]}
+        newest = []
+        for (name, apps), known in zip(self.groups.items(), used):
+            mark = (what == "usage") & category.isin(apps).to_numpy()
+            last = _before(ts, mark, known)[call]
+            found[name] = (last >= 0) & (last >= asked - self.used_ms)
+            newest.append(int(max(known, ts[mark].max())) if mark.any() else known)
+        kept = []
+        for bucket, known in zip(self.buckets, noted):
+            times = np.concatenate([np.array(known, dtype=np.int64), ts[(what == "notification") & (category == bucket).to_numpy()]])
+            found[f"notif_{bucket.lower()}"] = np.searchsorted(times, asked, side="left") - np.searchsorted(times, asked - self.notified_ms, side="left")
+            kept.append(times[times >= ts[-1] - self.notified_ms].tolist())
+        self.value.update((newest, *kept))
+        return pd.DataFrame(found)
+
+
+def app_windows(calls: DataFrame, usage: DataFrame, notifications: DataFrame, minutes: int = 30, notified_minutes: int = 10,
+                delay: str = "1 day") -> DataFrame:
+    """For every call: which groups of apps its user had open, and how many notifications came, shortly before."""
+    from ..operators.events import USAGE_GROUPS
+
+    def part(df: DataFrame, what: str, category: Column) -> DataFrame:
+        return df.select("user", "id", "ts", F.lit(what).alias("what"), category.alias("category"))
+
+    line = part(calls, "call", F.lit("")).unionByName(part(usage, "usage", F.col("category"))).unionByName(
+        part(notifications, "notification", F.col("bucket")))
+    flags = ", ".join(f"{n} boolean" for n in USAGE_GROUPS)
+    processor = _AppWindows(USAGE_GROUPS, ("BANK", "MARKETPLACE"), minutes * MINUTE_MS, notified_minutes * MINUTE_MS)
+    return _ordered(line, ["user"], processor, f"id bigint, {flags}, notif_bank bigint, notif_marketplace bigint", delay)
+
+
+class _Links(_InOrder):
     """Latest unlinked snapshot and latest BLOCK record of a number."""
 
-    state_schema = "snapshot_id bigint, snapshot_ts bigint, block_ts bigint"
+    rows = "ts bigint, id bigint, what string, rank int"
+    order = ["ts", "rank", "id"]
+    kept = "snapshot_id bigint, snapshot_ts bigint, block_ts bigint"
 
     def __init__(self, window_ms: int):
-        self.window_ms = window_ms
+        self.horizon = window_ms
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
         snap, snap_ts, block = self.load((None, None, None))
         out = []
-        for r in _in_order(rows, ["ts", "rank", "id"]).itertuples():
-            if r.what == "snapshot":
-                snap, snap_ts = r.id, r.ts
-            elif r.what == "block":
-                block = r.ts
+        for i, ts, what in zip(rows["id"].tolist(), rows["ts"].tolist(), rows["what"].tolist()):
+            if what == "snapshot":
+                snap, snap_ts = i, ts
+            elif what == "block":
+                block = ts
             else:
-                near = snap is not None and abs(r.ts - snap_ts) <= self.window_ms
-                ours = near and block is not None and block >= r.ts - self.window_ms
-                out.append((r.id, snap if near else None, ours))
+                near = snap is not None and ts - snap_ts <= self.horizon
+                out.append((i, snap if near else None, near and block is not None and block >= ts - self.horizon))
                 if near:
                     snap, snap_ts = None, None
-        as_int = lambda v: None if v is None else int(v)
-        self.value.update((as_int(snap), as_int(snap_ts), as_int(block)))
+        self.value.update((snap, snap_ts, block))
         frame = pd.DataFrame(out, columns=["id", "snapshot_id", "blocked_by_us"])
-        frame["snapshot_id"] = frame["snapshot_id"].astype("Int64")
-        yield frame
+        return frame.astype({"snapshot_id": "Int64", "id": "int64", "blocked_by_us": "bool"})
 
 
-def linked_calls(calls: DataFrame, snapshots: DataFrame, records: DataFrame, minutes: int = 10) -> DataFrame:
+def linked_calls(calls: DataFrame, snapshots: DataFrame, records: DataFrame, minutes: int = 10, delay: str = "1 day") -> DataFrame:
     """Calls with the snapshot they belong to, and whether we blocked them ourselves."""
     def part(df: DataFrame, what: str, rank: int) -> DataFrame:
         return df.select("number", "id", "ts", F.lit(what).alias("what"), F.lit(rank).alias("rank"))
 
     line = part(snapshots, "snapshot", 0).unionByName(
         part(records.filter(F.col("verdict") == "BLOCK"), "block", 1)).unionByName(part(calls, "call", 2))
-    return line.filter(F.col("number").isNotNull()).groupBy("number").transformWithStateInPandas(
-        _Links(minutes * MINUTE_MS), "id bigint, snapshot_id bigint, blocked_by_us boolean", "Append", "None")
+    known = line.filter(F.col("number").isNotNull())
+    return _ordered(known, ["number"], _Links(minutes * MINUTE_MS), "id bigint, snapshot_id bigint, blocked_by_us boolean", delay)
 
 
 # --- per-user state ---------------------------------------------------------
 
 
-class _UserModel(_Keyed):
-    state_schema = "version int, steps bigint, bias double, weights array<double>"
+class _UserModel(_InOrder):
+    """A user's weights; gradient steps follow one another, so they are taken one by one in event order."""
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    rows = "ts bigint, id bigint, label string, explicit boolean, model_version int, x array<double>"
+    kept = "version int, steps bigint, bias double, weights array<double>"
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        first = initialState.iloc[0]
+        self.value.update((int(first["model_version"]), int(first["steps"]), float(first["bias"]), [float(v) for v in first["weights"]]))
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
         w0, b0 = initial_weights()
         version, steps, b, w = self.load((0, 0, b0, w0.tolist()))
         w = np.array(w)
+        x = np.array(rows["x"].tolist(), dtype=float)
+        wanted = (rows["label"] == "BLOCK").to_numpy(dtype=float)
+        weight = np.where(rows["explicit"], EXPLICIT_WEIGHT, IMPLICIT_WEIGHT)
+        versions = rows["model_version"].tolist()
         out = []
-        for r in _in_order(rows, ["ts", "id"]).itertuples():
-            if r.model_version != version:
-                version, steps, b, w = r.model_version, 0, b0, w0.copy()
-            x = np.asarray(r.x, dtype=float)
-            weight = EXPLICIT_WEIGHT if r.explicit else IMPLICIT_WEIGHT
-            w, b, p = sgd_step(w, b, x, 1.0 if r.label == "BLOCK" else 0.0, weight)
+        for i in range(len(rows)):
+            if versions[i] != version:
+                version, steps, b, w = versions[i], 0, b0, w0.copy()
+            w, b, p = sgd_step(w, b, x[i], wanted[i], weight[i])
             steps += 1
-            out.append((key[0], r.id, steps, p, b, w.tolist()))
+            out.append((steps, p, b, w.tolist()))
         self.value.update((int(version), int(steps), float(b), w.tolist()))
-        yield pd.DataFrame(out, columns=["user", "id", "steps", "p_before", "bias", "weights"])
+        return pd.concat([rows[["id"]].assign(user=key[0]), pd.DataFrame(out, columns=["steps", "p_before", "bias", "weights"])], axis=1)[
+            ["user", "id", "steps", "p_before", "bias", "weights"]]
 
 
-def user_models(labels: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Weights of a user after every label. Another model version starts from the defaults."""
+def user_models(labels: DataFrame, initial: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
+    """Weights of a user after every label. Another model version starts from the defaults.
+
+    ``initial`` (user, model_version, steps, bias, weights), such as a fit over earlier labels, is where users go on from.
+    """
     x = F.array(*[F.col(c).cast("double") for c in S.DEVICE_FEATURES])
     rows = labels.select("user", "id", "ts", "label", "explicit", "model_version", x.alias("x"))
-    return rows.groupBy("user").transformWithStateInPandas(
-        _UserModel(), "user bigint, id bigint, steps bigint, p_before double, bias double, weights array<double>", "Append", "None")
+    output = "user bigint, id bigint, steps bigint, p_before double, bias double, weights array<double>"
+    start = None if initial is None else initial.select("user", F.col("model_version").cast("int"), "steps", "bias", "weights")
+    return _ordered(rows, ["user"], _UserModel(), output, delay, start)
 
 
-class _PrefixMarks(_Keyed):
-    state_schema = "marks array<bigint>"
+class _PrefixMarks(_InOrder):
+    rows = "ts bigint, id bigint"
+    kept = "marks array<bigint>"
 
-    def __init__(self, window_ms: int, keep: int, wanted: int):
-        self.window_ms, self.keep, self.wanted = window_ms, keep, wanted
+    def __init__(self, window_ms: int, keep: int | None, wanted: int):
+        self.horizon, self.keep, self.wanted = window_ms, keep, wanted
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        (marks,) = self.load(([],))
-        marks, out = list(marks), []
-        for r in _in_order(rows, ["ts", "id"]).itertuples():
-            marks = [m for m in marks if m >= r.ts - self.window_ms][-(self.keep - 1):] + [int(r.ts)]
-            if len(marks) >= self.wanted:
-                out.append((key[0], key[1], r.id, len(marks), int(r.ts)))
-        self.value.update((marks,))
-        yield pd.DataFrame(out, columns=["user", "prefix", "id", "marks", "last_seen"])
-
-
-def prefix_marks(marks: DataFrame, days: int = 30, keep: int = 50, wanted: int = 5) -> DataFrame:
-    """Prefixes that reach the wanted number of marks within the window; the newest fifty count."""
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        (old,) = self.load(([],))
+        ts = rows["ts"].to_numpy(dtype=np.int64)
+        times = np.concatenate([np.array(old, dtype=np.int64), ts])
+        here = len(old) + np.arange(len(ts)) + 1
+        n = here - np.searchsorted(times, ts - self.horizon, side="left")
+        n = n if self.keep is None else np.minimum(n, self.keep)
+        marks = times[times >= ts[-1] - self.horizon]
+        self.value.update(((marks if self.keep is None else marks[-self.keep:]).tolist(),))
+        found = pd.DataFrame({"user": key[0], "prefix": key[1], "id": rows["id"], "marks": n, "last_seen": ts})
+        return found[n >= self.wanted]
+
+
+def prefix_marks(marks: DataFrame, days: int = 30, keep: int | None = None, wanted: int = 5, delay: str = "1 day") -> DataFrame:
+    """Prefixes that reach the wanted number of marks within the window; ``keep`` bounds how many are remembered (``MARKS_KEPT``)."""
     rows = marks.filter(F.col("number").startswith("+7")).select(
         "user", F.substring("number", 1, 6).alias("prefix"), "id", "ts")
-    return rows.groupBy("user", "prefix").transformWithStateInPandas(
-        _PrefixMarks(days * DAY_MS, keep, wanted),
-        "user bigint, prefix string, id bigint, marks bigint, last_seen bigint", "Append", "None")
+    output = "user bigint, prefix string, id bigint, marks bigint, last_seen bigint"
+    return _ordered(rows, ["user", "prefix"], _PrefixMarks(days * DAY_MS, keep, wanted), output, delay)
+
 
+#: Fixed value: marks a device remembers per prefix.
+MARKS_KEPT = 50
 
-class _Cache(_Keyed):
-    state_schema = "source string, ts bigint"
+
+class _Cache(_InOrder):
+    rows = "ts bigint, id bigint, source string"
+    kept = "source string, ts bigint"
 
     def __init__(self, days: dict[str, int], other: int):
         self.days, self.other = days, other
+        self.horizon = max(other, *days.values()) * DAY_MS
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
         source, stored = self.load((None, None))
         out = []
-        for r in _in_order(rows, ["ts", "id"]).itertuples():
-            ttl = self.days.get(source, self.other) * DAY_MS
-            hit = stored is not None and r.ts - stored <= ttl
+        for i, ts, answer in zip(rows["id"].tolist(), rows["ts"].tolist(), rows["source"].tolist()):
+            hit = stored is not None and ts - stored <= self.days.get(source, self.other) * DAY_MS
             if not hit:
-                source, stored = r.source, int(r.ts)
-            out.append((r.id, hit, source))
+                source, stored = answer, ts
+            out.append((i, hit, source))
         self.value.update((source, stored))
-        yield pd.DataFrame(out, columns=["id", "hit", "answered_by"])
+        return pd.DataFrame(out, columns=["id", "hit", "answered_by"])
 
 
-def cached_lookups(lookups: DataFrame) -> DataFrame:
-    """Was a look-up answered from the cache? A miss stores the answer under its source's lifetime."""
+def cached_lookups(lookups: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Was a look-up answered from the cache? A miss stores the answer under its source's lifetime, in event time."""
     from ..operators.lookup import CACHE_DAYS, CACHE_DAYS_OTHER
 
-    return lookups.select("number", "id", "ts", "source").groupBy("number").transformWithStateInPandas(
-        _Cache(CACHE_DAYS, CACHE_DAYS_OTHER), "id bigint, hit boolean, answered_by string", "Append", "None")
+    rows = lookups.select("number", "id", "ts", "source")
+    return _ordered(rows, ["number"], _Cache(CACHE_DAYS, CACHE_DAYS_OTHER), "id bigint, hit boolean, answered_by string", delay)
+
 
+class _LiveCache(StatefulProcessor):
+    """One state per lifetime; Spark drops an answer when its time to live is over."""
 
-class _Thresholds(_Keyed):
-    state_schema = "version int, feedback bigint, warn double, block double"
+    def __init__(self, lifetimes_ms: dict[str, int], other_ms: int):
+        self.lifetimes, self.other = lifetimes_ms, other_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        spans = sorted({self.other, *self.lifetimes.values()})
+        self.answers = {ms: handle.getValueState(f"answer_{ms}", "source string", ms) for ms in spans}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = next((v.get()[0] for v in self.answers.values() if v.exists()), None)
+        found = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable", ignore_index=True)
+        hit = np.full(len(found), True)
+        if known is None:
+            known, hit[0] = found["source"].iloc[0], False
+            self.answers[self.lifetimes.get(known, self.other)].update((known,))
+        yield found[["id"]].assign(hit=hit, answered_by=known)
+
+    def close(self) -> None:
+        pass
+
+
+def live_lookups(lookups: DataFrame, lifetimes_ms: dict[str, int] | None = None, other_ms: int | None = None) -> DataFrame:
+    """As :func:`cached_lookups` by the clock: answers live as long in the state store as their source allows."""
+    from ..operators.lookup import CACHE_DAYS, CACHE_DAYS_OTHER
+
+    spans = {k: v * DAY_MS for k, v in CACHE_DAYS.items()} if lifetimes_ms is None else lifetimes_ms
+    other = CACHE_DAYS_OTHER * DAY_MS if other_ms is None else other_ms
+    return lookups.select("number", "id", "ts", "source").groupBy("number").transformWithStateInPandas(
+        _LiveCache(spans, other), "id bigint, hit boolean, answered_by string", "Append", "ProcessingTime")
+
+
+class _Thresholds(_InOrder):
+    rows = "ts bigint, id bigint, action string, model_version int"
+    kept = "version int, feedback bigint, warn double, block double"
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        first = initialState.iloc[0]
+        self.value.update((int(first["model_version"]), int(first["feedback"]), float(first["warn_threshold"]), float(first["block_threshold"])))
+
+    def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
         from ..operators.events import BLOCK_STEP, WARN_STEP
 
         version, n, warn, block = self.load((0, 0, 0.35, 0.70))
         out = []
-        for r in _in_order(rows, ["ts", "id"]).itertuples():
-            if r.model_version != version:
-                version, warn, block = r.model_version, 0.35, 0.70
+        for i, action, own in zip(rows["id"].tolist(), rows["action"].tolist(), rows["model_version"].tolist()):
+            if own != version:
+                version, warn, block = own, 0.35, 0.70
             n += 1
             if n >= 5:
-                warn = min(0.50, max(0.15, warn + WARN_STEP.get(r.action, 0.0)))
-                block = min(0.85, max(0.50, block + BLOCK_STEP.get(r.action, 0.0)))
-            out.append((key[0], r.id, warn, block))
+                warn = min(0.50, max(0.15, warn + WARN_STEP.get(action, 0.0)))
+                block = min(0.85, max(0.50, block + BLOCK_STEP.get(action, 0.0)))
+            out.append((key[0], i, warn, block))
         self.value.update((int(version), int(n), float(warn), float(block)))
-        yield pd.DataFrame(out, columns=["user", "id", "warn_threshold", "block_threshold"])
+        return pd.DataFrame(out, columns=["user", "id", "warn_threshold", "block_threshold"])
 
 
-def user_thresholds(feedback: DataFrame) -> DataFrame:
-    """Thresholds of a user after every piece of feedback; another model version resets them."""
+def user_thresholds(feedback: DataFrame, initial: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
+    """Thresholds of a user after every piece of feedback; another model version resets them.
+
+    ``initial`` (user, model_version, feedback, warn_threshold, block_threshold) is where users go on from.
+    """
     rows = feedback.select("user", "id", "ts", "action", "model_version")
-    return rows.groupBy("user").transformWithStateInPandas(
-        _Thresholds(), "user bigint, id bigint, warn_threshold double, block_threshold double", "Append", "None")
+    output = "user bigint, id bigint, warn_threshold double, block_threshold double"
+    start = None if initial is None else initial.select("user", F.col("model_version").cast("int"), "feedback", "warn_threshold", "block_threshold")
+    return _ordered(rows, ["user"], _Thresholds(), output, delay, start)
 
 
 # --- retention --------------------------------------------------------------

@@ -25,27 +25,36 @@ def with_event_time(df: DataFrame, ms: str | Column = "ts", delay: str = "1 day"
     return df.withColumn("event_time", F.timestamp_millis(c)).withWatermark("event_time", delay)
 
 
-def run_to_table(df: DataFrame, label: str, partition_by: list[str] | None = None, timeout: int = 600) -> DataFrame:
+def run_to_table(df: DataFrame, label: str, partition_by: list[str] | None = None, timeout: int | None = None,
+                 partitions: int | None = None, base: str | None = None, idle_batches: bool = True) -> DataFrame:
     """Run a stream over all data that is there and give its output as a table.
 
-    Output and checkpoint lie in the shared folder, so the run survives lost executors and a
-    restart goes on where it stopped.
+    Output and checkpoint lie in the shared folder, or under ``base``, where a later run goes on; so the
+    run survives lost executors and a restart goes on where it stopped. ``partitions`` is the number of
+    state partitions, which the first start fixes: the session's default parallelism if not given.
+    Without ``idle_batches`` only batches with data run: a job whose state lives by the clock would never
+    be done otherwise. ``timeout`` in seconds stops a stream that takes longer with an error; off by default.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+    base = base or scratch_path(spark, label)
+    out, checkpoint = f"{base}/rows", f"{base}/checkpoint"
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    # The number of state partitions is fixed at the first start. A local run needs one per core.
-    width = spark.conf.get("spark.sql.shuffle.partitions")
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(width), spark.sparkContext.defaultParallelism)))
+    settings = {"spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+                "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = writer.option("path", out).trigger(availableNow=True).start()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", width)
-    if not query.awaitTermination(timeout):
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream {label} did not end within {timeout} s")
     return spark.read.schema(df.schema).parquet(out)
