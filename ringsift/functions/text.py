@@ -146,10 +146,14 @@ def ngrams(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return F.concat(*[of_size(n) for n in sizes])
 
 
-def strip_label(c: Column, limit: int = 200) -> Column:
-    """Canonical Unicode composition, trimmed; over-long labels become ''."""
+#: Fixed value: characters of the longest label that the app corpus believes.
+LABEL_CHARS = 200
+
+
+def strip_label(c: Column, limit: int | None = None) -> Column:
+    """Canonical Unicode composition, trimmed; labels of more than ``limit`` characters (``LABEL_CHARS``) become ''."""
     text = F.trim(nfc(F.coalesce(c, F.lit(""))))
-    return F.when(F.length(text) > limit, F.lit("")).otherwise(text)
+    return text if limit is None else F.when(F.length(text) > limit, F.lit("")).otherwise(text)
 
 
 def nfc(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as T
-from .merge import distinct_parts
+from .merge import joined_parts
 
 SUMS = ["negative_count", "positive_count", "neutral_count", "review_count"]
 MAXIMA = ["search_volume", "view_count", "related_count", "source_confidence", "source_reliability"]
@@ -61,9 +61,9 @@ def reputation_union(df: DataFrame, order: str, number: str = "normalized_number
             F.min_by(_filled("page_title"), F.when(_filled("page_title").isNotNull(), F.col(order))),
             F.lit(""),
         ).alias("page_title"),
-        F.array_join(distinct_parts("categories"), ";").alias("categories"),
-        F.array_join(distinct_parts("source", None), "+").alias("source"),
     )
+    parts = joined_parts(df, number, {"categories": (";", ";"), "source": (None, "+")})
+    out = out.join(parts, number, "left").na.fill("", ["categories", "source"])
     return out.withColumn("review_count", _review_total())
 
 

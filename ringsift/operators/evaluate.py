@@ -7,9 +7,13 @@ with those counts.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import write_once
+
 MICRO = 1_000_000
 CENT = 10_000
 
@@ -290,32 +294,31 @@ def brier(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(score) - F.col(truth), F.lit(2))).alias("brier"))
 
 
-def auc(counts: DataFrame) -> DataFrame:
-    """Area under the ROC curve by ranks; equal scores share their rank. Input of ``score_counts``."""
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2.0)
-    return counts.withColumn("_w", won).agg(
-        (F.sum("_w") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc")
-    )
-
+def auc(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve by ranks; equal scores share their rank. Input of ``score_counts``, per key if keys are named.
 
-def auc_one_vs_rest(df: DataFrame, truth: str, scores: dict[int, str]) -> DataFrame:
-    """AUC of each class against the rest; all classes share one pass over the rows.
-
-    Scores are first counted per cell of 1/100, so no task holds more than 10^4 scores of a class.
+    Scores are first counted per cell of 1/100, so no task holds more than 10^4 scores of a key.
     """
     from .timeline import running
 
+    own = keys or ["_one"]
+    rows = counts if keys else counts.withColumn("_one", F.lit(1))
+    placed = running(rows, own, "s", {"_below": ("sum", F.col("neg"))}, F.floor(F.col("s") / CENT))
+    out = placed.groupBy(*own).agg(
+        (F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)) / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc")
+    )
+    return out if keys else out.select("auc")
+
+
+def auc_one_vs_rest(df: DataFrame, truth: str, scores: dict[int, str]) -> DataFrame:
+    """AUC of each class against the rest; all classes share one pass over the rows."""
     long = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(k).alias("class"), micro(F.col(c)).alias("s"), (F.col(truth) == k).alias("y")) for k, c in scores.items()])
         ).alias("x")
     ).select("x.*")
     counts = long.groupBy("class", "s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    placed = running(counts, ["class"], "s", {"below": ("sum", F.col("neg"))}, F.floor(F.col("s") / CENT))
-    return placed.groupBy("class").agg(
-        (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc")
-    )
+    return auc(counts, ["class"])
 
 
 def binned_mi(df: DataFrame, label: str, features: list[str], bins: int = 20) -> DataFrame:
@@ -397,20 +400,59 @@ def permuted(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     return left.join(right, "_pos").withColumn(column, F.col("_value")).select(*df.columns)
 
 
+#: Rounds of a keyed permutation, and the primes its coin tosses are taken modulo.
+ROUNDS, PRIMES = 24, (2_147_483_629, 2_147_483_647)
+
+
+def permutation_keys(seed: int, which: int) -> list[tuple[int, int, int]]:
+    """Per round an offset and the two factors of the coin, fixed by seed and number of the permutation."""
+    draw = random.Random(f"{seed}:{which}")
+    return [(draw.getrandbits(60), draw.randrange(1, PRIMES[1]), draw.randrange(PRIMES[1])) for _ in range(ROUNDS)]
+
+
+def permutation(position: Column, n: Column, keys: list[tuple[int, int, int]]) -> Column:
+    """A position in 0 .. n-1 under a keyed bijection of 0 .. n-1: rounds that swap x and k - x (mod n), or do not.
+
+    Both partners of a swap see the same coin, a hash of the greater one, so every round is its own inverse.
+    """
+    rounds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in keys])
+
+    def toss(x: Column, r: Column) -> Column:
+        partner = F.pmod(r["k"] - x, n)
+        coin = ((F.greatest(x, partner) % PRIMES[0]) * r["a"] + r["b"]) % PRIMES[1]
+        return F.when(coin % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(rounds, position, toss)
+
+
 def permutation_importance(
     df: DataFrame, key: str, truth: Column, score: Column, features: list[str], repeats: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Mean drop of AUC when a feature is shuffled; ``score`` is an expression over the features."""
-    base = auc(score_counts(df, truth, score)).scalar()
-    out = None
+    """Mean drop of AUC when a feature is shuffled; ``score`` is an expression over the features.
+
+    Every row gets one exact position by hash. For each feature and repeat a keyed permutation of the
+    positions says whose value a row gets, so all of them go through one exchange and one plan.
+    """
+    from .sample import hash_rank
+
+    ranked = hash_rank(df.select(key, truth.alias("_truth"), *features), key, seed, "_pos").withColumn("_pos", F.col("_pos") - 1)
+    ranked = write_once(ranked.drop(key), "positions")
+    n = F.lit(ranked.count()).cast("bigint")
+    moves = [F.struct(F.lit(-1).alias("which"), F.col("_pos").alias("to"), F.lit(None).cast("double").alias("value"))]
     for i, name in enumerate(features):
         for r in range(repeats):
-            shuffled = permuted(df, key, name, seed + 1000 * i + 10 * r)
-            drop = auc(score_counts(shuffled, truth, score)).select(
-                F.lit(name).alias("feature"), (base - F.col("auc")).alias("drop")
-            )
-            out = drop if out is None else out.unionByName(drop)
-    return out.groupBy("feature").agg(F.avg("drop").alias("importance"))
+            w = i * repeats + r
+            moves.append(F.struct(F.lit(w).alias("which"), permutation(F.col("_pos"), n, permutation_keys(seed, w)).alias("to"), F.col(name).cast("double").alias("value")))
+    sent = ranked.select(F.explode(F.array(*moves)).alias("m")).select(F.col("m.to").alias("_pos"), F.col("m.which").alias("_which"), F.col("m.value").alias("_value"))
+    feature = F.floor(F.col("_which") / repeats)
+    met = sent.join(ranked, "_pos").withColumns(
+        {name: F.when((F.col("_which") >= 0) & (feature == i), F.col("_value")).otherwise(F.col(name)) for i, name in enumerate(features)})
+    counts = met.groupBy("_which", micro(score).alias("s")).agg(F.count_if("_truth").alias("pos"), F.count_if(~F.col("_truth")).alias("neg"))
+    areas = write_once(auc(counts, ["_which"]), "areas")
+    base = areas.filter("_which = -1").select("auc").scalar()
+    named = F.array(*[F.lit(name) for name in features])
+    drops = areas.filter("_which >= 0").select(F.get(named, feature.cast("int")).alias("feature"), (base - F.col("auc")).alias("drop"))
+    return drops.groupBy("feature").agg(F.avg("drop").alias("importance"))
 
 
 # --- gates ------------------------------------------------------------------

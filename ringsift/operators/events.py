@@ -6,7 +6,7 @@ strict: an event does not see itself or what happens at the same millisecond.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phone
@@ -283,36 +283,33 @@ def top_contributions(names: list[str], values: list[Column], weights: list[Colu
 
 
 def clamped_walk(steps: DataFrame, keys: list[str], order: list[str], ts: str, delta: str, start: float,
-                 low: float, high: float, width: int = DAY_MS) -> DataFrame:
+                 low: float, high: float, width: int = DAY_MS, fan: int = 16) -> DataFrame:
     """Value per key after adding all deltas in order, clamped to [low, high] after every step.
 
-    x -> clamp(x + a, l, h) is closed under composition, so the steps of one time cell fold into
-    one such map, and the cells of a key are then folded in order. No task sees a whole key.
+    x -> clamp(x + a, l, h) is closed under composition. Steps are numbered per key, and in every
+    round ``fan`` maps that follow one another become one, until each key has a single map; so a key
+    is never gathered, and the number of rounds is the logarithm of its steps.
     """
+    from .timeline import running
 
-    def then(acc: Column, a: Column, lo: Column, hi: Column) -> Column:
-        bound = lambda x: F.greatest(lo, F.least(hi, x))
-        return F.struct(
-            (acc["a"] + a).alias("a"), bound(acc["l"] + a).alias("l"), bound(acc["h"] + a).alias("h")
-        )
-
-    lo, hi = F.lit(float(low)), F.lit(float(high))
-    unit = F.struct(F.lit(0.0).alias("a"), F.lit(float("-inf")).alias("l"), F.lit(float("inf")).alias("h"))
-    cells = steps.groupBy(*keys, F.floor(F.col(ts) / width).alias("_cell")).agg(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(delta).alias("_d")))).alias("_steps")
-    )
-    folded = cells.withColumn(
-        "_m", F.aggregate("_steps", unit, lambda acc, x: then(acc, x["_d"].cast("double"), lo, hi))
-    )
-    per_key = folded.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_cell", F.col("_m.a").alias("a"), F.col("_m.l").alias("l"), F.col("_m.h").alias("h")))).alias("_cells")
-    )
-    whole = F.aggregate(
-        "_cells",
-        F.lit(float(start)),
-        lambda x, m: F.greatest(m["l"], F.least(m["h"], x + m["a"])),
-    )
-    return per_key.select(*keys, whole.alias("value"))
+    columns = list(dict.fromkeys([*keys, *order, ts, delta]))
+    placed = running(steps.select(*columns), keys, ts, {"_before": ("sum", F.lit(1))}, F.floor(F.col(ts) / width))
+    same = Window.partitionBy(*keys, ts).orderBy(*order)
+    number = F.coalesce("_before", F.lit(0)) + F.row_number().over(same) - 1
+    maps = write_once(placed.select(*keys, number.alias("_i"), F.col(delta).cast("double").alias("_a"), F.lit(float(low)).alias("_l"), F.lit(float(high)).alias("_h")), "steps")
+    last = maps.agg(F.max("_i")).first()[0] or 0
+    nothing = {"_a": 0.0, "_l": float("-inf"), "_h": float("inf")}
+    while last:
+        slot = F.col("_i") % fan
+        wide = maps.groupBy(*keys, F.floor(F.col("_i") / fan).alias("_i")).agg(
+            *[F.max(F.when(slot == j, F.col(c))).alias(f"{c}{j}") for j in range(fan) for c in nothing])
+        a, lo, hi = (F.coalesce(F.col(f"{c}0"), F.lit(v)) for c, v in nothing.items())
+        for j in range(1, fan):
+            a_, lo_, hi_ = (F.coalesce(F.col(f"{c}{j}"), F.lit(v)) for c, v in nothing.items())
+            a, lo, hi = a + a_, F.greatest(lo_, F.least(hi_, lo + a_)), F.greatest(lo_, F.least(hi_, hi + a_))
+        maps = wide.select(*keys, "_i", a.alias("_a"), lo.alias("_l"), hi.alias("_h"))
+        last //= fan
+    return maps.select(*keys, F.greatest(F.col("_l"), F.least(F.col("_h"), F.lit(float(start)) + F.col("_a"))).alias("value"))
 
 
 # What one piece of feedback does to factor weights and thresholds.
@@ -352,6 +349,7 @@ def learned_thresholds(feedback: DataFrame, min_feedback: int = 5) -> DataFrame:
     block = clamped_walk(
         ordered.withColumn("delta", _step(F.col("action"), BLOCK_STEP)), ["user"], ["ts", "id"], "ts", "delta", 0.70, 0.50, 0.85
     )
+    # One row per user on both sides.
     return warn.withColumnRenamed("value", "warn_threshold").join(
         block.withColumnRenamed("value", "block_threshold"), "user"
     )

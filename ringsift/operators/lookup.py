@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import phone
 from ..functions.numeric import clamp01
-from .sizing import lookup_join, salted_join, write_once
+from ..functions.once import settle
+from .sizing import lookup_join, write_once
 
 SUBSCRIBERS = 10_000_000
 
@@ -228,6 +229,52 @@ def resolve_bucket(
     return found.withColumn(out, value).drop("_code", "_code_bucket")
 
 
+def levels_lookup(
+    df: DataFrame, levels: DataFrame, nine: DataFrame, fallback: Column, seen_log_norm: Column, given: Column, operator: Column,
+    number: str = "normalized_number", allowed: Column | None = None, prefix_table: bool = True, saturation: float = 30.0,
+    bucket: str = "operator_bucket",
+) -> DataFrame:
+    """What the seven look-ups above find, from one row of ``stats.prefix_levels`` and the shares at nine characters.
+
+    Adds the operator bucket, the risks by prefix, code, and operator and code, and the shares at five, six and nine characters.
+    """
+    from .. import schema as S
+
+    n = F.col(number)
+    code = phone.def_code_text(number)
+    key = F.when(n.rlike(r"^\+7[0-9]{4}"), F.substring(n, 1, 6)).otherwise(code)
+    free = allowed if allowed is not None else F.lit(False)
+    asked = settle(df, {"_key": key, "_nine": F.substring(n, 1, 9), "_begins": n.startswith(F.concat(F.lit("+7"), code))})
+    row = levels.select(F.col("key").alias("_key"), F.struct("six", "five", "code", "bucket", "operators").alias("_l"))
+    found = lookup_join(asked, row, ["_key"])
+    far = nine.filter(F.length("prefix") == 9).select(F.col("prefix").alias("_nine"), F.col("block_share").alias("_nine_share"))
+    found = lookup_join(found, far, ["_nine"])
+
+    def known(c: Column) -> Column:
+        return F.when(c.isin(S.OPERATOR_BUCKETS), c)
+
+    named = F.when(F.coalesce(operator, F.lit("")) != "", phone.operator_bucket(operator))
+    found = settle(found, {bucket: F.coalesce(known(F.lower(F.trim(given))), known(named), known(F.col("_l.bucket")), F.lit("unknown"))})
+    zero = F.lit(0.0)
+    six = F.col("_l.six")
+    seen = six["seen_count"].cast("double")
+    norm = F.when(seen_log_norm > 0, seen_log_norm).otherwise(F.log1p(F.lit(50.0)))
+    risk = F.coalesce(six["block_share"], F.when(n.startswith("+84"), F.lit(0.8)).otherwise(fallback)) if prefix_table else phone.legacy_prefix_risk(n)
+    hidden = n.isNull() | free
+    return found.withColumns({
+        "prefixRisk": F.when(hidden | (n == ""), zero).otherwise(risk),
+        "defCodeRisk": F.when(hidden, zero).otherwise(F.coalesce(clamp01(F.col("_l.code")), fallback)),
+        "defCodeOperatorRisk": F.when(hidden, zero).otherwise(F.coalesce(clamp01(F.try_element_at(F.col("_l.operators"), F.col(bucket))), fallback)),
+        "prefixBlockShare": clamp01(F.coalesce(six["block_share"], zero)),
+        "prefixWarnShare": clamp01(F.coalesce(six["warn_share"], zero)),
+        "prefixEntropy": clamp01(F.coalesce(six["entropy"], zero)),
+        "prefixSeenLog": F.coalesce(clamp01(F.log1p(seen) / norm), zero),
+        "prefixSampleSize": F.coalesce(clamp01(seen / saturation), zero),
+        "prefixBlockShare3": F.when(free, zero).otherwise(clamp01(F.coalesce(F.when(F.col("_begins"), F.col("_l.five")), zero))),
+        "prefixBlockShare7": F.when(free, zero).otherwise(clamp01(F.coalesce("_nine_share", zero))),
+    }).drop("_key", "_nine", "_begins", "_l", "_nine_share")
+
+
 # --- lists ------------------------------------------------------------------
 
 
@@ -276,18 +323,23 @@ def mask_groups(masks: DataFrame) -> DataFrame:
 def blocked_numbers(numbers: DataFrame, exact: DataFrame, masks: DataFrame, number: str = "normalized_number") -> DataFrame:
     """Add ``blocked_by``: exact, mask or null. Exact hits are settled before masks are tried.
 
-    A number meets the masks of its own prefixes by an equi join; masks without a prefix are one group
-    that all numbers share, spread over tasks by salt.
+    A number meets the masks of its own prefixes by an equi join, at the few lengths that masks have;
+    masks without a prefix are one expression that is tried in place.
     """
+    groups = write_once(mask_groups(masks), "masks")
     keys = exact.select(F.col(number)).distinct().withColumn("_exact", F.lit(True))
     found = numbers.join(keys, number, "left")
     open_ = F.col("_exact").isNull()
     rest = found.filter(open_ & F.col(number).isNotNull()).select(number).distinct()
-    asked = rest.withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length(number)), lambda n: F.substring(F.col(number), F.lit(1), n))))
-    met = salted_join(asked, mask_groups(masks), ["_prefix"], "inner").filter(F.col("_whole") | F.expr(f"coalesce(`{number}` rlike _rest, false)"))
+    # As many lengths as a number has characters at most.
+    lengths = groups.filter("_prefix <> ''").agg(F.collect_set(F.length("_prefix"))).scalar()
+    asked = rest.withColumn("_lengths", lengths).withColumn("_length", F.explode("_lengths")).filter(F.col("_length") <= F.length(number))
+    asked = asked.select(number, F.substr(F.col(number), F.lit(1), F.col("_length")).alias("_prefix"))
+    met = lookup_join(asked, groups.filter("_prefix <> ''"), ["_prefix"], "inner").filter(F.col("_whole") | F.expr(f"coalesce(`{number}` rlike _rest, false)"))
     out = found.join(met.select(number).distinct().withColumn("_mask", F.lit(True)), number, "left")
-    by = F.when(~open_, "exact").when(F.coalesce(F.col("_mask"), F.lit(False)), "mask")
-    return out.withColumn("blocked_by", by).drop("_exact", "_mask")
+    loose = groups.filter("_prefix = ''").select("_rest").scalar()
+    masked = F.coalesce(F.col("_mask"), F.lit(False)) | F.coalesce(F.rlike(F.col(number), loose), F.lit(False))
+    return out.withColumn("blocked_by", F.when(~open_, "exact").when(masked, "mask")).drop("_exact", "_mask")
 
 
 def feature_lookup(candidates: DataFrame, features: DataFrame, names: list[str],

@@ -125,23 +125,26 @@ def recent_distinct(
     return latest.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= limit)
 
 
-def distinct_parts(column: str, sep: str | None = ";") -> Column:
-    """Aggregate: sorted distinct parts of a joined text column.
+def joined_parts(df: DataFrame, key: str, columns: dict[str, tuple[str | None, str]]) -> DataFrame:
+    """Per key and column the sorted distinct parts of its texts, joined.
 
-    Whole values are made distinct map-side; they are split only once per group. Meant for
-    columns with a small vocabulary such as categories and sources.
+    ``columns`` maps a column to (what its texts are split at, or None; what the parts are joined by).
+    Parts are rows until they are distinct, so a key with many rows is shrunk before it is put together.
     """
-    values = F.collect_set(F.nullif(F.col(column), F.lit("")))
-    if sep is not None:
-        values = F.flatten(F.transform(values, lambda v: F.transform(F.split(v, sep), lambda x: F.trim(x))))
-    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v != "")))
+    def parts(name: str, sep: str | None) -> Column:
+        text = F.coalesce(F.col(name), F.lit(""))
+        pieces = F.array(text) if sep is None else F.transform(F.split(text, sep), lambda x: F.trim(x))
+        return F.transform(pieces, lambda x: F.struct(F.lit(name).alias("column"), x.alias("part")))
+
+    rows = df.select(key, F.explode(F.concat(*[parts(n, sep) for n, (sep, _) in columns.items()])).alias("_x")).select(key, "_x.*")
+    rows = rows.filter(F.col("part") != "").distinct()
+    return rows.groupBy(key).agg(*[
+        F.expr(f"coalesce(listagg(CASE WHEN column = '{n}' THEN part END, '{glue}') WITHIN GROUP (ORDER BY part), '')").alias(n)
+        for n, (_, glue) in columns.items()
+    ])
 
 
 def review_rollup(df: DataFrame, number: str = "normalized_number") -> DataFrame:
     """Sums of review counts and all categories of a number."""
-    return df.groupBy(number).agg(
-        F.sum("negative_count").alias("negative_count"),
-        F.sum("positive_count").alias("positive_count"),
-        F.sum("review_count").alias("review_count"),
-        F.array_join(distinct_parts("categories"), ";").alias("categories"),
-    )
+    sums = df.groupBy(number).agg(*[F.sum(c).alias(c) for c in ("negative_count", "positive_count", "review_count")])
+    return sums.join(joined_parts(df, number, {"categories": (";", ";")}), number, "left").na.fill("", ["categories"])

@@ -8,6 +8,7 @@ The key must be unique.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -358,10 +359,10 @@ def sample_plan_numbers(
 ) -> DataFrame:
     """Numbers drawn from mobile ranges in proportion to capacity, known and suspect ones left out.
 
-    Three times as many picks are tried as numbers are wanted, and twice as many again while too few of
-    them are good; the first good ones stay, so more picks never change the earlier ones. A plan without
-    enough free numbers is an error. Every pick is a position on the line of all capacities. The line is
-    cut into cells, so the pick finds its range by an equi join.
+    As many picks are tried as give the wanted number of good ones with near certainty; the first good
+    ones stay, so more picks never change the earlier ones. A plan without enough free numbers is an
+    error. Every pick is a position on the line of all capacities. The line is cut into cells, so the
+    pick finds its range by an equi join.
     """
     from .lookup import disjoint_ranges
     from .timeline import running
@@ -379,39 +380,44 @@ def sample_plan_numbers(
     cells = placed.withColumn("_cell", F.explode(F.sequence(first, last)))
     subscriber = F.lpad((F.col("start_number") + F.col("position") - F.col("before")).cast("string"), 7, "0")
 
-    def drawn(tries: int) -> DataFrame:
-        asked = spark.range(tries).select(
-            F.col("id"), F.floor(uniform("id", seed) * total).cast("bigint").alias("position")
-        )
-        hits = asked.withColumn("_cell", F.floor(F.col("position") / cell)).join(cells, "_cell").filter(
-            (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("size"))
-        )
-        numbers = hits.select(
-            F.concat(F.lit("+7"), F.col("def_code").cast("string"), subscriber).alias("normalized_number"),
-            "id",
-            F.when(F.coalesce("operator", F.lit("")) == "", F.col("region"))
-            .otherwise(F.concat_ws(", ", "operator", "region")).alias("name"),
-            F.col("region").alias("city"),
-        )
-        unique = numbers.groupBy("normalized_number").agg(
-            F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.min_by("city", "id").alias("city")
-        )
-        return unique.join(seen.select("normalized_number").distinct(), "normalized_number", "left_anti").join(
-            suspects.select("normalized_number").distinct(), "normalized_number", "left_anti"
-        )
-
-    tries, good = 3 * count, drawn(3 * count)
-    while good.count() < count:
-        # After so many picks hardly a number of the plan is left untried.
-        if tries > 64 * (ranges.agg(F.sum("size")).first()[0] or 0):
-            raise ValueError(f"the plan holds fewer than {count} free numbers")
-        tries *= 2
-        good = drawn(tries)
-    return good.orderBy("id").limit(count).select(
+    taken = seen.select("normalized_number").union(suspects.select("normalized_number")).distinct()
+    size, known = ranges.agg(F.sum("size")).first()[0] or 0, taken.count()
+    asked = spark.range(picks(size, size - known, count)).select(
+        F.col("id"), F.floor(uniform("id", seed) * total).cast("bigint").alias("position")
+    )
+    hits = asked.withColumn("_cell", F.floor(F.col("position") / cell)).join(cells, "_cell").filter(
+        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("size"))
+    )
+    numbers = hits.select(
+        F.concat(F.lit("+7"), F.col("def_code").cast("string"), subscriber).alias("normalized_number"),
+        "id",
+        F.when(F.coalesce("operator", F.lit("")) == "", F.col("region"))
+        .otherwise(F.concat_ws(", ", "operator", "region")).alias("name"),
+        F.col("region").alias("city"),
+    )
+    unique = numbers.groupBy("normalized_number").agg(
+        F.min("id").alias("id"), F.min_by("name", "id").alias("name"), F.min_by("city", "id").alias("city")
+    )
+    good = unique.join(taken, "normalized_number", "left_anti").withColumn("_all", F.lit(1))
+    ranked = running(good, ["_all"], "id", {"_before": ("sum", F.lit(1))}, F.floor(F.col("id") / 4096))
+    first = write_once(ranked.filter(F.coalesce("_before", F.lit(0)) < count).select(
         "normalized_number",
         "name",
         F.lit("personal_mobile").alias("category"),
         F.lit("numbering_plan_background").alias("source"),
         "city",
         F.lit(0.25).alias("source_confidence"),
-    )
+    ), "drawn")
+    if first.count() < count:
+        raise ValueError(f"the plan holds fewer than {count} free numbers")
+    return first
+
+
+def picks(size: int, free: int, wanted: int) -> int:
+    """How many picks out of ``size`` numbers hit ``wanted`` of ``free`` different ones, with near certainty."""
+    every = math.ceil(size * (math.log(max(size, 2)) + 20))
+    if free <= wanted:
+        return every
+    # All free numbers are hit alike; six standard deviations more than are wanted on average.
+    goal = wanted + 6 * math.sqrt(wanted) + 6
+    return every if goal >= free else min(every, math.ceil(-size * math.log1p(-goal / free)) + 1)

@@ -6,7 +6,7 @@ numbers, so partial aggregation shrinks hot prefixes before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -257,3 +257,55 @@ def quantise(histogram: DataFrame, length: int = 9) -> DataFrame:
         byte("entropy").alias("entropy_q"),
         F.least(F.col("seen_count").cast("bigint"), F.lit(4_294_967_295)).alias("seen"),
     ).orderBy("prefix_key")
+
+
+#: Operators that codes are known by.
+_NAMED = sorted(b for b in S.OPERATOR_BUCKETS if b != "unknown")
+
+
+def prefix_levels(df: DataFrame, alpha: float = 10.0, min_samples: int = 3, code_alpha: float = 20.0,
+                  code_samples: int = 5) -> DataFrame:
+    """All that is known about a number's first six characters, in one row: its own counts, those of its
+    five characters, of its code, and of every operator under the code.
+
+    ``key`` is a prefix of six characters, or a bare code for numbers without one. Every code that was
+    seen has its ten prefixes whether they were seen or not, so one equi join finds every level. At
+    most 11,000 rows and the few shorter numbers.
+    """
+    counts = _counts(df, True)
+    overall = rates(counts)
+    national = settle(counts.filter(_national()), {"code": phone.def_code_text("number"), "key": F.substring("number", 1, 6)})
+    sums = {"n": F.sum("n"), "b": F.sum("n_block"), "w": F.sum("n_warn")}
+    own = national.filter(F.col("code") != "").groupBy("code", "key").agg(
+        *[v.alias(k) for k, v in sums.items()],
+        *[F.sum(F.when(F.col("bucket") == o, F.col(c)).otherwise(0)).alias(f"{k}_{o}") for o in _NAMED for k, c in (("n", "n"), ("b", "n_block"))],
+    )
+    empty = F.array(*[F.concat(F.lit("+7"), "code", F.lit(str(i))) for i in range(10)], F.col("code"))
+    zeros = own.select("code").distinct().select("code", F.explode(empty).alias("key"))
+    rows = own.unionByName(zeros, allowMissingColumns=True).na.fill(0).groupBy("code", "key").agg(*[F.sum(c).alias(c) for c in own.columns[2:]])
+    code = Window.partitionBy("code")
+
+    def risk(b: Column, n: Column, a: float, least: int) -> Column:
+        return F.when(n >= least, smoothed(b, n, overall["block_rate"], a))
+
+    five = F.substring("key", 1, 5) == F.concat(F.lit("+7"), "code")
+    inside = F.when(five, F.col("n")).otherwise(0), F.when(five, F.col("b")).otherwise(0)
+    totals = rows.select(
+        "*", F.sum(inside[0]).over(code).alias("n5"), F.sum(inside[1]).over(code).alias("b5"),
+        *[F.sum(c).over(code).alias(f"c_{c}") for c in own.columns[2:]],
+    )
+    n, b, w = F.col("n"), F.col("b"), F.col("w")
+    whole = F.length("key") == 6
+    known = sum((F.col(f"c_n_{o}") for o in _NAMED[1:]), F.col(f"c_n_{_NAMED[0]}"))
+    most = F.greatest(*[F.col(f"c_n_{o}") for o in _NAMED])
+    top = F.coalesce(*[F.when(F.col(f"c_n_{o}") == most, F.lit(o)) for o in _NAMED])
+    return totals.select(
+        "key",
+        F.when(whole & (n >= min_samples), F.struct(
+            smoothed(b, n, overall["block_rate"], alpha).alias("block_share"), smoothed(w, n, overall["warn_rate"], alpha).alias("warn_share"),
+            label_entropy(n - b - w, b, w).alias("entropy"), n.alias("seen_count"))).alias("six"),
+        risk(F.col("b5"), F.col("n5"), alpha, min_samples).alias("five"),
+        risk(F.col("c_b"), F.col("c_n"), code_alpha, code_samples).alias("code"),
+        F.when((known >= 3) & (most / known >= 0.5), top).alias("bucket"),
+        F.create_map(*[x for o in _NAMED for x in (F.lit(o), risk(F.col(f"c_b_{o}"), F.col(f"c_n_{o}"), code_alpha, code_samples))]).alias("operators"),
+    )

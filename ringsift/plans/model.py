@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -83,21 +83,81 @@ def platt_map(score_col: Column, a: float, b: float) -> Column:
     return sigmoid(F.lit(a) * logit(score_col) + F.lit(b))
 
 
-def isotonic(df: DataFrame, truth: str, score_col: str, out: str = "calibrated") -> DataFrame:
-    """Monotone calibration. Equal scores are folded first, so the fit sees distinct scores only."""
-    folded = df.groupBy(evaluate.micro(F.col(score_col)).alias("s")).agg(
-        F.avg(F.col(truth).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    folded = folded.withColumn("x", F.col("s") / float(evaluate.MICRO))
-    fit = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(folded)
-    return fit.setFeaturesCol(score_col).setPredictionCol(out).transform(df)
+#: How many parts of the score line are merged at a time when blocks are pooled.
+POOL_FAN = 16
+
+
+def _pooled(group: pa.Table) -> pa.Table:
+    """Adjacent blocks pooled until their means rise; one row per block, in score order."""
+    group = group.sort_by("first")
+    blocks: list[list[float]] = []
+    for first, last, total, n in zip(*(group.column(c).to_pylist() for c in ("first", "last", "total", "n"))):
+        blocks.append([first, last, total, n])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, total, n = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + total, blocks[-1][3] + n]
+    columns = list(zip(*blocks))
+    cell = pa.array([group.column("cell")[0].as_py()] * len(blocks), pa.int64())
+    return pa.table({"cell": cell, "first": pa.array(columns[0], pa.int64()), "last": pa.array(columns[1], pa.int64()),
+                     "total": pa.array(columns[2], pa.float64()), "n": pa.array(columns[3], pa.int64())})
+
+
+def isotonic_blocks(df: DataFrame, truth: str, score_col: str) -> DataFrame:
+    """The blocks of a monotone fit: first, last (scores in millionths), value.
+
+    Equal scores are folded first. The score line is cut into cells, each cell is pooled on its own,
+    and the blocks of neighbouring cells are pooled again until one cell is left: pooling the pooled
+    gives what pooling everything at once would.
+    """
+    schema = "cell bigint, first bigint, last bigint, total double, n bigint"
+    folded = df.groupBy(evaluate.micro(F.col(score_col)).alias("first")).agg(
+        F.sum(F.col(truth).cast("double")).alias("total"), F.count(F.col(truth)).alias("n")).filter("first is not null and n > 0")
+    cells = (evaluate.MICRO + evaluate.CENT) // evaluate.CENT
+    blocks = folded.select(
+        F.greatest(F.lit(0), F.least(F.lit(cells), F.floor(F.col("first") / evaluate.CENT))).alias("cell"), "first", F.col("first").alias("last"), "total", "n")
+    blocks = blocks.groupBy("cell").applyInArrow(_pooled, schema)
+    while cells:
+        cells //= POOL_FAN
+        blocks = blocks.withColumn("cell", F.floor(F.col("cell") / POOL_FAN)).groupBy("cell").applyInArrow(_pooled, schema)
+    return blocks.select("first", "last", (F.col("total") / F.col("n")).alias("value"))
+
+
+def isotonic(df: DataFrame, truth: str, score_col: str, out: str = "calibrated", on: DataFrame | None = None) -> DataFrame:
+    """Monotone calibration: a score inside a block takes its value, one between two blocks lies on the line between them.
+
+    ``on`` names other rows to calibrate. At most 10^6 + 1 blocks go out, as scores are told at six decimals.
+    """
+    rows = write_once(isotonic_blocks(df, truth, score_col), "blocks").orderBy("first").toArrow()
+    ends = np.stack([rows.column("first").to_numpy(), rows.column("last").to_numpy()], axis=1).ravel() / float(evaluate.MICRO)
+    values = np.repeat(rows.column("value").to_numpy(), 2)
+    if not len(ends):
+        return (df if on is None else on).withColumn(out, F.lit(None).cast("double"))
+
+    @F.pandas_udf("double")
+    def line(scores: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(scores.to_numpy(dtype=float), ends, values)).where(scores.notna().to_numpy())
+
+    return (df if on is None else on).withColumn(out, line(F.col(score_col)))
 
 
 # --- validation and search --------------------------------------------------
 
 
+def folds(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """Add ``fold``, 0 to k - 1, cut by hash."""
+    return df.withColumn("fold", F.pmod(F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(k)))
+
+
+def objective(per_class: DataFrame, block: object, floor: float) -> DataFrame:
+    """Macro-F1 less 0.3 times what the block precision falls short of its floor."""
+    row = per_class.agg(F.avg("f1").alias("macro_f1"), F.max(F.when(F.col("class") == block, F.col("precision"))).alias("block_precision"))
+    gap = F.greatest(F.lit(0.0), F.lit(floor) - F.col("block_precision"))
+    return row.select("macro_f1", "block_precision", (F.col("macro_f1") - 0.3 * gap).alias("objective"))
+
+
 def k_fold_metrics(df: DataFrame, key: str, features: list[str], label: str, classes: int, k: int = 5, seed: int = 42) -> DataFrame:
     """Macro metrics per fold; folds are cut by hash."""
-    folded = df.withColumn("fold", F.pmod(F.conv(F.substring(row_hash(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(k)))
+    folded = write_once(folds(df.select(key, *features, label), key, k, seed), "folds")
     out = None
     for i in range(k):
         model = logistic(features, label).fit(folded.filter(F.col("fold") != i))
@@ -112,48 +172,99 @@ def k_fold_metrics(df: DataFrame, key: str, features: list[str], label: str, cla
 def search(train: DataFrame, test: DataFrame, features: list[str], label: str, classes: int, block: int,
            floor: float, grid: list[float]) -> DataFrame:
     """Grid over the regularisation with objective macro-F1 - 0.3 * shortfall of block precision."""
+    train, test = write_once(train.select(*features, label), "search-train"), write_once(test.select(*features, label), "search-test")
     out = None
     for i, reg in enumerate(grid):
         tested = logistic(features, label, reg=reg).fit(train).transform(test)
         per = evaluate.per_class_metrics(tested, label, "prediction", [float(c) for c in range(classes)])
-        row = per.agg(
-            F.avg("f1").alias("macro_f1"), F.max(F.when(F.col("class") == float(block), F.col("precision"))).alias("block_precision"))
-        gap = F.greatest(F.lit(0.0), F.lit(floor) - F.col("block_precision"))
-        row = row.select(F.lit(i).alias("ord"), F.lit(reg).alias("reg"), "macro_f1", "block_precision", (F.col("macro_f1") - 0.3 * gap).alias("objective"))
+        row = objective(per, float(block), floor).select(F.lit(i).alias("ord"), F.lit(reg).alias("reg"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def smote(df: DataFrame, label: str, minority: object, key: str, features: list[str], copies: int, k: int = 5,
-          seed: int = 42, cells: int = 256) -> DataFrame:
-    """Synthetic minority rows between a row and one of its near rows.
+#: Rows that one task compares with one another, and projections tried, when near rows are looked for.
+CELL_ROWS, TABLES = 2048, 8
+
+
+def _place(x: Column, cuts: list[float]) -> Column:
+    """Number of the part between the cuts that x lies in."""
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < x))
+
+
+def near_rows(df: DataFrame, key: str, features: list[str], k: int = 5, seed: int = 42, tables: int = TABLES,
+              cell_rows: int = CELL_ROWS) -> DataFrame:
+    """key, near (keys of the k nearest rows found), distance: one row per row of ``df``; keys are unique.
 
-    Near rows are the next k along a random projection inside a cell of that projection, so
-    every row meets at most k others. An approximation of the k nearest neighbours.
+    Every table draws its own directions and cuts the rows into cells at their quantiles along them, so
+    that a cell holds about ``cell_rows`` rows whatever their number. Rows are compared inside their
+    cells; the nearest of all tables stay. Ties go to the smaller key.
     """
+    rows = write_once(df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_p")), "points")
+    n = rows.count()
+    cells = max(1, -(-n // cell_rows))
+    # Cells are cut along few directions: each halves what the one before it left.
+    turns = max(1, min(len(features), int(np.log2(cells)) if cells > 1 else 1))
+    parts = int(np.ceil(cells ** (1.0 / turns)))
     rng = np.random.default_rng(seed)
-    direction = rng.normal(size=len(features))
-    direction = direction / np.linalg.norm(direction)
-    few = df.filter(F.col(label) == minority).select(key, *features)
-    along = F.lit(0.0)
-    for name, d in zip(features, direction):
-        along = along + F.col(name) * float(d)
-    few = few.withColumn("_x", along)
-    marks = F.array(*[F.lit((i + 1) / cells) for i in range(cells - 1)])
-    cuts = few.agg(F.percentile_approx("_x", marks, 10_000)).scalar()
-    few = few.withColumn("_cuts", cuts).withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
-    inside = Window.partitionBy("_cell").orderBy("_x", key)
-    point = F.array(*features)
-    near = F.array_compact(F.array(*[f(point, i).over(inside) for i in range(1, k + 1) for f in (F.lead, F.lag)]))
-    rows = few.withColumn("_p", point).withColumn("_near", F.slice(near, 1, k)).filter(F.size("_near") > 0)
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    marks = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
+    found = None
+    for table in range(tables):
+        ways = rng.normal(size=(turns, len(features)))
+        ways /= np.linalg.norm(ways, axis=1, keepdims=True)
+        along = [F.aggregate(F.zip_with("_p", F.array(*[F.lit(float(v)) for v in way]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for way in ways]
+        laid = rows.withColumns({f"_x{i}": c for i, c in enumerate(along)})
+        cell = F.lit(table)
+        if parts > 1:
+            cuts = laid.agg(*[F.percentile_approx(f"_x{i}", marks, 10_000).alias(f"_x{i}") for i in range(turns)]).first()
+            places = [_place(F.col(f"_x{i}"), cuts[f"_x{i}"]) for i in range(turns)]
+            cell = F.concat_ws(":", F.lit(table), *places)
+        laid = laid.select(key, "_p", cell.cast("string").alias("_cell"))
+        found = laid if found is None else found.unionByName(laid)
+    # Equal points pile up in one cell: it is split, and every part keeps more rows than are looked for.
+    sizes = found.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    found = found.join(sizes, "_cell").withColumn("_part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / (4 * cell_rows)))).drop("_n")
+    key_type = df.schema[key].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        keys = np.array(group.column(key).to_pylist(), dtype=object)
+        order = np.argsort(keys)
+        keys, points = keys[order], np.array(group.column("_p").to_pylist(), dtype=float)[order]
+        squares = (points**2).sum(axis=1)
+        at, to, apart = [], [], []
+        for i in range(0, len(keys), 512):
+            d = squares[i : i + 512, None] + squares[None, :] - 2 * points[i : i + 512] @ points.T
+            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(keys) - 1)]
+            at.append(np.repeat(np.arange(i, i + len(d)), best.shape[1]))
+            to.append(best.ravel())
+            gaps = points[at[-1]] - points[to[-1]]
+            apart.append((gaps**2).sum(axis=1))
+        at, to = np.concatenate(at), np.concatenate(to)
+        kind = group.schema.field(key).type
+        return pa.table({key: pa.array(keys[at].tolist(), kind), "_near": pa.array(keys[to].tolist(), kind), "_d": np.concatenate(apart)})
+
+    pairs = found.groupBy("_cell", "_part").applyInArrow(compare, f"`{key}` {key_type}, _near {key_type}, _d double")
+    # At most k candidates per row and table.
+    best = pairs.groupBy(key, "_near").agg(F.min("_d").alias("_d")).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_near"))), 1, k).alias("_b"))
+    return best.select(key, F.col("_b._near").alias("near"), F.sqrt(F.col("_b")[F.size("_b") - 1]["_d"]).alias("distance"))
+
+
+def smote(df: DataFrame, label: str, minority: object, key: str, features: list[str], copies: int, k: int = 5,
+          seed: int = 42, tables: int = TABLES, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Synthetic minority rows on the line between a row and one of its k nearest rows.
+
+    ``parent`` names the other row and ``t`` the place between the two; both are drawn by hash. A class
+    of one row has no near row and gets no copies.
+    """
+    few = df.filter(F.col(label) == minority)
+    near = near_rows(few, key, features, k, seed, tables, cell_rows)
     unit = F.concat_ws(":", F.col(key), F.col("copy"))
-    which = F.floor(uniform(unit, seed) * F.size("_near")).cast("int")
-    chosen = F.get("_near", which)
-    t = uniform(unit, seed + 1)
-    return rows.select(
-        F.col(key), "copy", F.lit(minority).alias(label),
-        *[(F.col(n) + t * (chosen[i] - F.col(n))).alias(n) for i, n in enumerate(features)],
+    drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    drawn = drawn.select(key, "copy", F.get("near", F.floor(uniform(unit, seed) * F.size("near")).cast("int")).alias("parent"), uniform(unit, seed + 1).alias("t"))
+    own, other = few.select(key, *features), few.select(F.col(key).alias("parent"), F.struct(*features).alias("_o"))
+    return drawn.join(own, key).join(other, "parent").select(
+        F.col(key), "copy", "parent", "t", F.lit(minority).alias(label),
+        *[(F.col(n) + F.col("t") * (F.col(f"_o.{n}") - F.col(n))).alias(n) for n in features],
     )
 
 
@@ -249,12 +360,15 @@ def online_models(labels: DataFrame) -> DataFrame:
         user, steps, (w, b) = None, 0, initial_weights()
         for pdf in batches:
             done = []
-            for u, y_, wt, x_ in zip(pdf["user"], pdf["y"], pdf["weight"], pdf["x"]):
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            for i, (u, y_, wt) in enumerate(zip(pdf["user"].tolist(), pdf["y"].tolist(), pdf["weight"].tolist())):
                 if u != user:
                     if user is not None:
                         done.append((user, steps, b, w.tolist()))
                     user, steps, (w, b) = u, 0, initial_weights()
-                w, b, _ = sgd_step(w, b, np.asarray(x_, dtype=float), y_, wt)
+                w, b, _ = sgd_step(w, b, x[i], y_, wt)
                 steps += 1
             yield pd.DataFrame(done, columns=["user", "steps", "bias", "weights"])
         if user is not None:

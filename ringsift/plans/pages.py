@@ -454,6 +454,10 @@ def raw_candidates(pages: DataFrame, sources: list[str] | None = None) -> DataFr
     return rows.filter(F.col("c.number").isNotNull())
 
 
+#: Fixed value: sites whose evidence keeps the text of the whole page; the others keep what they looked at.
+WHOLE_PAGE = ["spravportal", "callfilter", "zvonili", "moshelovka", "bloha", "getscam"]
+
+
 def _excerpt(column: str, limit: int | None) -> Column:
     return F.substring(column, 1, limit) if limit else F.col(column)
 
@@ -462,6 +466,7 @@ def evidence(pages: DataFrame, sources: list[str] | None = None, text_limit: int
     """Evidence rows. Whole texts are examined and kept; limits cut the kept texts only."""
     rows = raw_candidates(pages, sources).select("url", "source", "page_title", "full_text", "links", "c.*")
     rows = settle(rows, {"section": F.trim(F.regexp_replace("section", r"\s+", " "))})
+    rows = rows.withColumn("full_text", F.when(F.col("source").isin(WHOLE_PAGE), F.col("full_text")).otherwise(F.col("section")))
     rows = settle(rows, {
         "_cats": T.evidence_categories(F.col("section")),
         "_fraud": T.count_words(F.col("section"), S.EVIDENCE_FRAUD),

@@ -321,11 +321,23 @@ def _(t: Tables):
 _WS = "CASE action WHEN 'NOT_SPAM' THEN 0.02 WHEN 'UNBLOCK' THEN 0.02 WHEN 'IS_SCAM' THEN -0.02 WHEN 'MARK_SPAM' THEN -0.02 ELSE 0.0 END"
 
 
-@query("dec21_learned_warn", _fold(f"SELECT user, id, ts, ({_WS})::DOUBLE AS delta FROM (SELECT *, count(*) OVER (PARTITION BY user ORDER BY ts) AS n FROM feedback) f WHERE n >= 5", "user", 0.35, 0.15, 0.50), "value")
+_BS = "CASE action WHEN 'UNBLOCK' THEN 0.03 WHEN 'MARK_SPAM' THEN -0.02 ELSE 0.0 END"
+
+
+def _threshold(step: str, start: float, low: float, high: float) -> str:
+    return _fold(f"SELECT user, id, ts, ({step})::DOUBLE AS delta FROM (SELECT *, count(*) OVER (PARTITION BY user ORDER BY ts) AS n FROM feedback) f WHERE n >= 5", "user", start, low, high)
+
+
+@query("dec21_learned_warn", _threshold(_WS, 0.35, 0.15, 0.50), "value")
 def _(t: Tables):
     return E.learned_thresholds(t.feedback).select("user", F.col("warn_threshold").alias("value"))
 
 
+@query("dec21_learned_block", _threshold(_BS, 0.70, 0.50, 0.85), "value")
+def _(t: Tables):
+    return E.learned_thresholds(t.feedback).select("user", F.col("block_threshold").alias("value"))
+
+
 @query("dec22_risk_score_floor", """SELECT p_block, lifted, CAST(CASE WHEN lifted THEN greatest(round_even(p_block * 100, 0), 31) ELSE round_even(p_block * 100, 0) END AS BIGINT) AS score, count(*) AS rows FROM (SELECT p_block, l_quantity > 25 AS lifted FROM scores) x GROUP BY ALL""", "p_block")
 def _(t: Tables):
     lifted = F.col("l_quantity") > 25

@@ -153,14 +153,18 @@ def _perm_auc(a: str, b: str, rows: str) -> str:
         SELECT pos, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS r FROM (SELECT label = 'BLOCK' AS pos, {m} AS m FROM {rows}) x) y)"""
 
 
-def _shuffled(column: str, seed: int) -> str:
-    return f"""(SELECT a.*, b.v FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || key)) AS pos FROM classed) a JOIN (SELECT "{column}" AS v, row_number() OVER (ORDER BY md5('{seed + 1}:' || key)) AS pos FROM classed) b USING (pos))"""
+def _shuffled(column: str, seed: int, which: int, n: str = "(SELECT count(*) FROM classed)") -> str:
+    """The rows of classed with ``v``, the column's value of the row that a keyed permutation moves there."""
+    inner = f'SELECT "{column}" AS v, pos AS x FROM (SELECT *, row_number() OVER (ORDER BY md5(\'{seed}:\' || key)) - 1 AS pos FROM classed) p'
+    for k, a, b in V.permutation_keys(seed, which):
+        inner = f"SELECT v, CASE WHEN ((greatest(x, y) % {V.PRIMES[0]}) * {a}::BIGINT + {b}::BIGINT) % {V.PRIMES[1]} % 2 = 1 THEN y ELSE x END AS x FROM (SELECT v, x, ((({k}::BIGINT - x) % {n}) + {n}) % {n} AS y FROM ({inner}) a) b"
+    return f"(SELECT a.*, b.v FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || key)) - 1 AS x FROM classed) a JOIN ({inner}) b USING (x))"
 
 
 _S, _K = '"reputationScore"', '"prefixRisk"'
 _BASEAUC = _perm_auc(_S, _K, "classed")
 _IMP = " UNION ALL ".join(
-    f"SELECT '{name}' AS feature, {_BASEAUC} - {_perm_auc(*(('v', _K) if i == 0 else (_S, 'v')), _shuffled(name, 42 + 1000 * i + 10 * r))} AS d"
+    f"SELECT '{name}' AS feature, {_BASEAUC} - {_perm_auc(*(('v', _K) if i == 0 else (_S, 'v')), _shuffled(name, 42, 2 * i + r))} AS d"
     for i, name in enumerate(("reputationScore", "prefixRisk")) for r in range(2))
 
 

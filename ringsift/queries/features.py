@@ -84,6 +84,8 @@ _COMPACT = {
     "prefixSeenLog": f"coalesce(least(1.0, ln(1.0 + h.seen_count) / {_NORM}), 0.0)", "prefixEntropy": "coalesce(h.entropy, 0.0)", "prefixSampleSize": "coalesce(least(1.0, h.seen_count / 30.0), 0.0)",
     "reviewsLog": f"least(1.0, ln(1.0 + {_REV}) / ln(101.0))", "negativeRatio": _RAT, "searchVolumeLog": "least(1.0, ln(1.0 + e.search_volume) / ln(10001.0))", "hasFraudCategory": _one(_FLG["fraud"]), "hasTelemarketingCategory": _one(_FLG["tele"]),
     "noMetadata": f"CASE WHEN e.review_count > 0 OR e.search_volume > 0 OR e.view_count > 0 OR e.in_allow OR e.in_black OR {_FLG['fraud']} OR {_FLG['tele']} OR {_FLG['fin']} THEN 0.0 ELSE 1.0 END",
+    "isContact": "0.0", "callFrequency": "0.0", "isNightTime": "0.0", "recentBankApp": "0.0", "recentGovApp": "0.0", "recentMarketplaceApp": "0.0", "recentMessengerApp": "0.0", "previouslyRejected": "0.0",
+    "hiddenNumber": "0.0", "callerVerifyFailed": "0.0", "userBusinessActivity": "0.45", "usageAccessAvailable": "0.0", "spoofingPrefixFlag": _one(f"starts_with({_N}, '+8495')"),
     "prefixBlockShare3": f"CASE WHEN {_ALLOW} THEN 0.0 ELSE coalesce(h5.block_share, 0.0) END", "prefixBlockShare7": f"CASE WHEN {_ALLOW} THEN 0.0 ELSE coalesce(h9.block_share, 0.0) END",
 }
 _PARTS = _HIST.split(" UNION ALL ")
@@ -104,12 +106,14 @@ def _(t: Tables):
 _PN = f"(SELECT e.normalized_number AS num, {_OP.replace('hit.', 'x.hit.').replace('sub', 'x.sub')} AS operator, x.hit IS NOT NULL AND coalesce(x.hit.e >= x.sub, false) AS matched FROM {_ENTRY} e JOIN (SELECT n.normalized_number, max(struct_pack(s := p.start_number, e := p.end_number, o := p.operator, r := p.region, c := p.capacity, t := p.number_type)) AS hit, any_value(TRY_CAST(substr(n.normalized_number, 6) AS BIGINT)) AS sub FROM {_ENTRY} n LEFT JOIN numbering_plan p ON p.def_code = TRY_CAST(substr(n.normalized_number, 3, 3) AS BIGINT) AND p.start_number <= TRY_CAST(substr(n.normalized_number, 6) AS BIGINT) GROUP BY n.normalized_number) x ON x.normalized_number = e.normalized_number)"
 
 
-@query("ft02_operator_features", f"""SELECT num AS normalized_number, CASE WHEN matched THEN 1.0 ELSE 0.0 END AS "isValidRuRange", CASE WHEN b = 'mts' THEN 1.0 ELSE 0.0 END AS "operatorMts", CASE WHEN b = 'tele2' THEN 1.0 ELSE 0.0 END AS "operatorTele2", CASE WHEN b = 'mvno' THEN 1.0 ELSE 0.0 END AS "operatorMvno",
+@query("ft02_operator_features", f"""SELECT num AS normalized_number, CASE WHEN matched THEN 1.0 ELSE 0.0 END AS "isValidRuRange", CASE WHEN b = 'mts' THEN 1.0 ELSE 0.0 END AS "operatorMts", CASE WHEN b = 'tele2' THEN 1.0 ELSE 0.0 END AS "operatorTele2", CASE WHEN b = 'megafon' THEN 1.0 ELSE 0.0 END AS "operatorMegafon", CASE WHEN b = 'beeline' THEN 1.0 ELSE 0.0 END AS "operatorBeeline", CASE WHEN b = 'mvno' THEN 1.0 ELSE 0.0 END AS "operatorMvno",
     CASE WHEN starts_with(lower(src), 'whitelist') THEN 0.0 ELSE coalesce(o.risk, {_FALL}) END AS "defCodeOperatorRisk" FROM (SELECT x.*, {bucket_sql('operator')} AS b, e.source AS src FROM {_PN} x JOIN {_ENTRY} e ON e.normalized_number = x.num) y
-    LEFT JOIN {_OPC} o ON o.bucket = y.b AND o.def_code = {def_text_sql('y.num')}""", "isValidRuRange operatorMts operatorTele2 operatorMvno defCodeOperatorRisk")
+    LEFT JOIN {_OPC} o ON o.bucket = y.b AND o.def_code = {def_text_sql('y.num')}""", "isValidRuRange operatorMts operatorTele2 operatorMegafon operatorBeeline operatorMvno defCodeOperatorRisk")
 def _(t: Tables):
     entries = B.build_entries(t.whitelist, _aggregated(t), t.numbering_plan)
-    return X.compact_features(entries, _tables(t)).select("normalized_number", "isValidRuRange", "operatorMts", "operatorTele2", "operatorMvno", "defCodeOperatorRisk")
+    out = X.compact_features(entries, _tables(t)).select("normalized_number", "isValidRuRange", "operatorMts", "operatorTele2", "operatorMegafon", "operatorBeeline", "operatorMvno", "defCodeOperatorRisk")
+    assert set(out.columns[1:]) | set(_COMPACT) == set(S.COMPACT_FEATURES)
+    return out
 
 
 _TOT = f"greatest({_VOT}, greatest(e.review_count, {_VOT}), 1)::DOUBLE"

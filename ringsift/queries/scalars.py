@@ -251,7 +251,7 @@ def _(t: Tables):
     return t.texts.select("doc_id", *[c.alias(n) for n, c in T.category_flags("text").items()])
 
 
-@query("sc18_strip_label", """SELECT doc_id, CASE WHEN length(trim(nfc_normalize(text))) > 200 THEN '' ELSE trim(nfc_normalize(text)) END AS label FROM documents""")
+@query("sc18_strip_label", "SELECT doc_id, trim(nfc_normalize(text)) AS label FROM documents")
 def _(t: Tables):
     return t.documents.select("doc_id", T.strip_label(F.col("text")).alias("label"))
 

@@ -31,15 +31,16 @@ def to_russian(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: S.FIELD_TO_RU[c] for c in df.columns if c in S.FIELD_TO_RU})
 
 
-def read_feed(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = True) -> DataFrame:
     """Text columns of a CSV with translated headers. A missing file has no rows.
 
-    With ``columns`` the result has exactly these; absent ones are ''.
+    With ``columns`` the result has exactly these; absent ones are ''. Quoted values may hold line
+    breaks, so a file is read by one task; without ``multiline`` large files are split at line ends.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], S.string_schema(columns or S.RAW_REPUTATION_COLUMNS))
     df = to_english(
-        spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"', encoding="utf-8")
+        spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"', encoding="utf-8")
     )
     if columns is not None:
         df = df.select(*[F.col(c) if c in df.columns else F.lit("").alias(c) for c in columns])

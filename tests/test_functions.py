@@ -133,7 +133,9 @@ def test_ngrams_go_by_size(one):
 
 
 def test_counts_near_words(one):
-    assert one(T.view_count(F.col("x")), x="120 просмотров и 7000000 запросов, 45 поисков") == 120
+    text = "120 просмотров и 7000000 запросов, 45 поисков"
+    assert one(T.view_count(F.col("x")), x=text) == 7_000_000
+    assert one(T.view_count(F.col("x"), T.VIEWS_BELIEVED), x=text) == 120
     assert one(T.review_count(F.col("x")), x="12 отзывов, 9000 оценок") == 12
 
 
@@ -169,4 +171,5 @@ def test_last_page(one):
 
 def test_nfc(one):
     assert one(T.strip_label(F.col("x")), x=" ёлка ") == "ёлка"
-    assert one(T.strip_label(F.col("x")), x="a" * 201) == ""
+    assert one(T.strip_label(F.col("x")), x="a" * 201) == "a" * 201
+    assert one(T.strip_label(F.col("x"), T.LABEL_CHARS), x="a" * 201) == ""

@@ -44,7 +44,9 @@ def test_review_far_down_the_page_counts(spark):
     html = "<p>" + "слово " * 5000 + "</p><p>мошенники</p>"
     rows = _run(spark, "https://getscam.com/79161234567", html)
     assert [r["label_hint"] for r in rows] == ["BLOCK"]
-    assert len(rows[0]["evidence_text"]) == 500
+    assert rows[0]["evidence_text"].endswith("мошенники")
+    pages = spark.createDataFrame([("https://getscam.com/79161234567", html)], "url string, html string")
+    assert [len(r["evidence_text"]) for r in G.evidence(pages, text_limit=500).collect()] == [500]
 
 
 def test_state_harvest_finds_nested_objects(spark):
