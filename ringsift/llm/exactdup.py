@@ -163,13 +163,14 @@ def groups(docs: DataFrame, width: int = FINGERPRINT_BITS, sender_rows: int = SE
 
     suspects = marked.filter("suspect")
     named = suspects.select(F.col("doc_id").alias("_named")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lowered(F.col("text")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("_named")), "left_semi")
-    equal = texts.groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    equal = texts.select("doc_id", lowered(F.col("text")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
     equal = equal.select(F.sha2("text", 256).alias("text_sha256"), "group_size", "keep_id")
     # Of rows that repeat the doc_id that stays, the last place stays.
     first = suspects.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "place")).getField("place").alias("stays"))
-    found = suspects.join(equal.join(first, "text_sha256"), "text_sha256")
+    # Written, so that the join of the suspects is a stage of its own, which Spark can split where a text fills it.
+    found = suspects.join(stored(equal.join(first, "text_sha256"), "classes"), "text_sha256")
 
     single = marked.filter(~F.col("suspect"))
     alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
