@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,13 +48,17 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Element:
-    __slots__ = ("name", "parent", "dropped", "doubt", "depth", "path")
+    """An element of a page; elements are numbered as they open, tag paths as they are first met."""
 
-    def __init__(self, name: str, parent: Element | None, dropped: bool, doubt: int = 0) -> None:
-        self.name, self.parent, self.doubt = name, parent, doubt
+    __slots__ = ("name", "parent", "dropped", "doubt", "depth", "path", "number", "solid", "article")
+
+    def __init__(self, name: str, parent: Element | None, dropped: bool, doubt: int = 0, path: int = 0, number: int = 0) -> None:
+        self.name, self.parent, self.doubt, self.path, self.number = name, parent, doubt, path, number
         self.dropped = dropped or (parent is not None and parent.dropped)
         self.depth = 0 if parent is None else parent.depth + 1
-        self.path = name if parent is None else f"{parent.path}/{name}"
+        #: The nearest element from here up that is not inline, and whether an article or main is among them.
+        self.solid: Element = parent.solid if parent is not None and name in INLINE else self
+        self.article = name in ("article", "main") or (parent is not None and parent.article)
 
 
 #: What is said of an element: nothing, that its text decides, that it is a part of its own, that it never takes part.
@@ -62,7 +66,7 @@ PLAIN, LOOSE, NAMED, ASIDES = range(4)
 
 
 def _doubt(name: str, attributes: str, above: Element) -> int:
-    if name in ASIDE or (name == "header" and not re.search(r"/(article|main)(/|$)", above.path)):
+    if name in ASIDE or (name == "header" and not above.article):
         return ASIDES
     out = LOOSE if name in FORMS else PLAIN
     if not attributes or name in ("html", "body", "article", "main"):
@@ -79,10 +83,19 @@ def _doubt(name: str, attributes: str, above: Element) -> int:
     return out
 
 
-def nodes(page: str) -> list[tuple[Element, str, bool]]:
-    """Text nodes in page order: element, decoded text, and whether a block begins with it."""
+Node = tuple[Element, str, bool]
+
+
+def nodes(page: str) -> tuple[list[Element], list[Node]]:
+    """Elements as they open, and text nodes in page order: element, decoded text, and whether a block begins with it.
+
+    Every element is opened and closed once and an end tag without a start is passed over, so the
+    work grows with the page, however deep it is nested.
+    """
     at = Element("", None, False)
-    out: list[tuple[Element, str, bool]] = []
+    elements, out = [at], []
+    paths: dict[tuple[int, str], int] = {}
+    open_: Counter[str] = Counter()
     fresh, place, seek = True, 0, 0
 
     def text(end: int) -> None:
@@ -91,6 +104,12 @@ def nodes(page: str) -> list[tuple[Element, str, bool]]:
             out.append((at, html.unescape(page[place:end]), fresh))
             fresh = False
 
+    def close(last: Element) -> None:
+        nonlocal at
+        while at is not last.parent:
+            open_[at.name] -= 1
+            at = at.parent
+
     while (opened := page.find("<", seek)) >= 0:
         m = _TOKEN.match(page, opened)
         if m is None:  # a sign in the text
@@ -104,11 +123,11 @@ def nodes(page: str) -> list[tuple[Element, str, bool]]:
         if name not in INLINE:
             fresh = True
         if m[1]:
-            here = at
-            while here.parent is not None and here.name != name:
-                here = here.parent
-            if here.parent is not None:
-                at = here.parent
+            if open_[name] > 0:
+                here = at
+                while here.name != name:
+                    here = here.parent
+                close(here)
             continue
         if name in RAW:
             ends = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, place)
@@ -117,22 +136,21 @@ def nodes(page: str) -> list[tuple[Element, str, bool]]:
             continue
         if name in VOID:
             continue
+        here = at.solid
         if name in CLOSES_P:
-            here = at
-            while here.parent is not None and (here.name in INLINE):
-                here = here.parent
             if here.name == "p":
-                at = here.parent
+                close(here)
         elif name in SELF_CLOSING:
-            here = at
-            while here.parent is not None and here.name not in SELF_CLOSING[name] and (here.name in INLINE or here.name == "p"):
-                here = here.parent
+            while here.name == "p" and here.name not in SELF_CLOSING[name]:
+                here = here.parent.solid
             if here.name in SELF_CLOSING[name]:
-                at = here.parent
+                close(here)
         doubt = PLAIN if at.dropped else _doubt(name, m[3], at)
-        at = Element(name, at, doubt == ASIDES, doubt)
+        at = Element(name, at, doubt == ASIDES, doubt, paths.setdefault((at.path, name), len(paths) + 1), len(elements))
+        elements.append(at)
+        open_[name] += 1
     text(len(page))
-    return out
+    return elements, out
 
 
 _BELL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
@@ -143,7 +161,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return (np.convolve(values, _BELL) / np.convolve(np.ones(len(values)), _BELL))[2:-2]
 
 
-def _ratios(found: list[tuple[Element, str, bool]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+def _ratios(found: list[Node]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Numbers of the nodes that are not blank, and length and punctuation of their paths per node."""
     inked = [i for i, (_, t, _) in enumerate(found) if not t.isspace()]
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -156,7 +174,7 @@ def _ratios(found: list[tuple[Element, str, bool]]) -> tuple[list[int], np.ndarr
     return inked, np.array([length[p] / count[p] for p in paths]), np.array([(1 + marks[p]) / count[p] for p in paths])
 
 
-def content(found: list[tuple[Element, str, bool]], smooth: bool = True) -> list[int]:
+def content(found: list[Node], smooth: bool = True) -> list[int]:
     """Numbers of the nodes whose fused path ratio reaches the spread over the page, at least the best one."""
     inked, ratio, punctuation = _ratios(found)
     if not inked:
@@ -172,23 +190,27 @@ def _section(element: Element) -> Element:
     return element
 
 
-def _inside(element: Element, root: Element) -> bool:
-    while element.depth > root.depth:
-        element = element.parent
-    return element is root
-
-
-def _above(element: Element | None) -> Iterator[Element]:
-    while element is not None:
-        yield element
-        element = element.parent
+def _sums(elements: list[Element], own: dict[int, int]) -> list[int]:
+    """What stands in each element and all below it, from what stands in it itself, by number."""
+    out = [0] * len(elements)
+    for number, value in own.items():
+        out[number] = value
+    for e in reversed(elements):  # parents open before their children
+        if e.parent is not None:
+            out[e.parent.number] += out[e.number]
+    return out
 
 
-def _without(found: list[tuple[Element, str, bool]], gone: set[Element]) -> list[tuple[Element, str, bool]]:
+def _without(elements: list[Element], found: list[Node], gone: set[int]) -> list[Node]:
     """Nodes outside the elements; a block that began in one of them begins at the next node left."""
+    if not gone:
+        return found
+    left_out = [False] * len(elements)
+    for e in elements:
+        left_out[e.number] = e.number in gone or (e.parent is not None and left_out[e.parent.number])
     out, began = [], False
     for element, t, fresh in found:
-        if not gone.isdisjoint(_above(element)):
+        if left_out[element.number]:
             began |= fresh
         else:
             out.append((element, t, fresh or began))
@@ -196,60 +218,73 @@ def _without(found: list[tuple[Element, str, bool]], gone: set[Element]) -> list
     return out
 
 
-def _parts(found: list[tuple[Element, str, bool]]) -> set[Element]:
+def _parts(elements: list[Element], found: list[Node]) -> set[int]:
     """Named elements that go: all but those with most of the text, if no article or main stands outside of them."""
-    size, articles, total = defaultdict(int), set(), 0
+    own: dict[int, int] = defaultdict(int)
     for element, t, _ in found:
         if not t.isspace():
-            total += len(t)
-            for e in _above(element):
-                if e.doubt == NAMED:
-                    size[e] += len(t)
-                if e.name in ("article", "main"):
-                    articles.add(e)
-    return {e for e, n in size.items() if 2 * n <= total or any(e not in _above(a) and a not in _above(e) for a in articles)}
-
-
-def _idle(found: list[tuple[Element, str, bool]]) -> set[Element]:
+            own[element.number] += len(t)
+    size = _sums(elements, own)
+    articles = [e.name in ("article", "main") and size[e.number] > 0 for e in elements]
+    below = _sums(elements, {i: 1 for i, x in enumerate(articles) if x})
+    above = [0] * len(elements)
+    for e in elements:
+        if e.parent is not None:
+            above[e.number] = above[e.parent.number] + articles[e.parent.number]
+    gone = set()
+    for e in elements:
+        n = size[e.number]
+        if e.doubt == NAMED and n and (2 * n <= size[0] or below[0] > below[e.number] + above[e.number]):
+            gone.add(e.number)
+    return gone
+
+
+def _idle(elements: list[Element], found: list[Node]) -> set[int]:
     """Loose elements that go: those without a path above the threshold, a main heading, or most of the text."""
-    held = {e for i in content(found, smooth=False) for e in _above(found[i][0])}
-    size, total = defaultdict(int), 0
-    for element, t, _ in found:
-        above = list(_above(element))
-        if any(e.name == "h1" for e in above):
-            held.update(above)
-        total += len(t.strip())
-        for e in above:
-            if e.doubt == LOOSE:
-                size[e] += len(t.strip())
-    return {e for e, n in size.items() if e not in held and 2 * n <= total}
+    heading = [False] * len(elements)
+    for e in elements:
+        heading[e.number] = e.name == "h1" or (e.parent is not None and heading[e.parent.number])
+    chosen = set(content(found, smooth=False))
+    held: dict[int, int] = defaultdict(int)
+    own: dict[int, int] = defaultdict(int)
+    for i, (element, t, _) in enumerate(found):
+        own[element.number] += len(t.strip())
+        held[element.number] += i in chosen or heading[element.number]
+    size, kept = _sums(elements, own), _sums(elements, held)
+    return {e.number for e in elements if e.doubt == LOOSE and not kept[e.number] and 2 * size[e.number] <= size[0]}
 
 
 def extract(page: str | None) -> str:
     """The article's blocks in page order, joined by one space; empty if there is no text."""
-    found = nodes(page or "")
-    found = _without(found, _parts(found))
-    found = _without(found, _idle(found))
+    elements, found = nodes(page or "")
+    found = _without(elements, found, _parts(elements, found))
+    found = _without(elements, found, _idle(elements, found))
     chosen = content(found)
     if not chosen:
         return ""
+    last = list(range(len(elements)))
+    for e in reversed(elements):
+        if e.parent is not None:
+            last[e.parent.number] = max(last[e.parent.number], last[e.number])
+
+    def inside(element: Element, root: Element) -> bool:
+        return root.number <= element.number <= last[root.number]
+
     # The deepest section that holds all chosen nodes; an article element around the most text is one.
     root = _section(found[chosen[0]][0])
     for i in chosen[1:]:
-        while not _inside(found[i][0], root):
+        while not inside(found[i][0], root):
             root = root.parent
-    named = defaultdict(int)
+    own: dict[int, int] = defaultdict(int)
     for i in chosen:
-        element = found[i][0]
-        while element is not None:
-            if element.name in ("article", "main"):
-                named[element] += len(found[i][1])
-            element = element.parent
+        own[found[i][0].number] += len(found[i][1])
+    size = _sums(elements, own)
+    named = [e for e in elements if e.name in ("article", "main") and size[e.number]]
     if named:
-        best = max(named, key=lambda e: (named[e], -e.depth))
-        if 2 * named[best] >= sum(len(found[i][1]) for i in chosen):
+        best = max(named, key=lambda e: (size[e.number], -e.depth))
+        if 2 * size[best.number] >= size[0]:
             root = best
-    text = "".join((" " if fresh else "") + t for element, t, fresh in found if _inside(element, root))
+    text = "".join((" " if fresh else "") + t for element, t, fresh in found if inside(element, root))
     return " ".join(text.split())
 
 
