@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import spread, stored
 from .textscan import BLANKS, Block, blocks, mix, windows, words
 
-SHINGLE = 4
+#: Words of a shingle, unless a caller names another number.
+SHINGLE = 5
 #: Linked if 100 * intersection >= 80 * union.
 PERCENT = 80
 REGISTERS, BAND = 128, 4
@@ -44,14 +45,14 @@ LEAST_EQUAL, FINE, LEAST_FINE = REGISTERS // 2, 1024, 0.735
 _FACTORS = mix(np.arange(1, REGISTERS + FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingles(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def shingles(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all rows, sorted by row and value, and the number of each row."""
     word = words(block, BLANKS, lower=True)
-    value, at = windows(word, SHINGLE)
+    value, at = windows(word, size)
     row = word.row[at]
     count = np.bincount(word.row, minlength=len(block))
     first = np.concatenate([[0], np.cumsum(count)])[:-1]
-    for n in range(1, SHINGLE):
+    for n in range(1, size):
         short = np.flatnonzero(count == n)
         whole = np.zeros(len(short), dtype=np.uint64)
         for i in range(n):
@@ -106,13 +107,13 @@ def _comparable(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n, two halves of a digest of the set, registers; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                value, row = shingles(block)
+                value, row = shingles(block, size)
                 n = np.bincount(row, minlength=len(block))
                 some = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[some]
@@ -165,13 +166,13 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return wide.select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """id, the sorted shingles (64-bit numbers, as bytes) and a finer sketch of the named documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                value, row = shingles(block)
+                value, row = shingles(block, size)
                 cuts = np.searchsorted(row, np.arange(len(block) + 1))
                 held = [value[cuts[r] : cuts[r + 1]].tobytes() for r in range(len(block))]
                 some = np.flatnonzero(np.diff(cuts))
@@ -264,15 +265,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked if their sets of four-word shingles agree to 80 percent; component_id is the
-    least doc_id that can be reached, and the row of that doc_id is kept. A text of one to three words
+    Documents are linked if their sets of shingles of ``size`` words agree to 80 percent; component_id is the
+    least doc_id that can be reached, and the row of that doc_id is kept. A text of fewer words
     is one shingle; a text without words, or null, is linked with nothing. Rows that share a doc_id are
     one document. A row without a doc_id cannot be named by a link: it has no component and is kept.
     """
-    sketches = stored(sketch(docs), "sketches")
+    sketches = stored(sketch(docs, size), "sketches")
     some = sketches.filter("doc_id is not null and n > 0")
     reps = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.max("sketch").alias("sketch"))
     reps = stored(reps, "representatives")
@@ -285,7 +286,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("band", "key").agg(F.min("id").alias("lead"), F.max("id").alias("_h")).filter("lead < _h").drop("_h")
     buckets = stored(banded.join(shared, ["band", "key"]).distinct(), "buckets")
     stars = stored(_likely(buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), one), "stars")
-    sets = stored(_sets(docs, buckets.select("id").distinct()), "sets")
+    sets = stored(_sets(docs, buckets.select("id").distinct(), size), "sets")
     first = stored(_confirm(stars, sets), "links")
     copies = same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     labels = components(first.union(copies))
@@ -298,12 +299,12 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of documents without near duplicates: one row of each group, with the columns of the input.
 
     Of a group the row of the least doc_id stays; of rows that repeat a doc_id, one. Rows without a
     doc_id stay.
     """
-    ids = groups(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    ids = groups(docs, size).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -39,7 +39,7 @@ def op7_prefix_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_setsketch_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.groups(table(spark, folder, "documents"))
+    return neardup.groups(table(spark, folder, "documents"), size=4)
 
 
 def op9_pfair_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,11 +166,11 @@ def test_near_duplicates(docs, rows, empty):
             for b in label:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    got = neardup.groups(docs).collect()
+    got = neardup.groups(docs, size=4).collect()
     assert bag((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == bag(
         (d, len(sets[d]), label.get(d), d is None or label[d] == d) for d, *_ in rows
     )
-    kept = neardup.keep_first(docs)
+    kept = neardup.keep_first(docs, size=4)
     assert kept.columns == docs.columns and kept.count() == sum(label[d] == d for d in label) + 1
     assert neardup.groups(empty).count() == 0
 
