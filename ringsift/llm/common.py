@@ -35,18 +35,18 @@ def named(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("-"))
 
 
-def numbered(df: DataFrame, group: str, key: str, into: str) -> DataFrame:
+def numbered(df: DataFrame, group: str, key: str, into: str, tie: str | None = None) -> DataFrame:
     """Give the rows of each group numbers 0, 1, 2, ... without a gap.
 
     Rows are dealt by (group, hash cell of ``key``), counted per cell, and numbered inside the cell;
     the counts of earlier cells are added. One task never holds a whole group, however large it is.
-    ``group`` is never null. Order: hash cell, then key, null first; equal keys in any order.
+    ``group`` is never null. Order: hash cell, then key, null first, then ``tie``; what is equal in all comes in any order.
     """
     dealt = df.withColumn("_cell", cell(F.col(key)))
     counts = dealt.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_cell").orderBy(F.col(key).asc_nulls_first())
+    inside = Window.partitionBy(group, "_cell").orderBy(F.col(key).asc_nulls_first(), *([tie] if tie else []))
     ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1)
     joined = ranked.join(starts, [group, "_cell"])
     return joined.withColumn(into, (F.col("_start") + F.col("_rank")).cast("bigint")).drop("_cell", "_rank", "_start")

@@ -20,8 +20,6 @@ CYCLE = 1000
 BLOCK_ROWS = 8
 #: Without given weights, a source weighs its number of rows to this power.
 TEMPERATURE = 0.8
-#: Sources up to which the schedule is broadcast (a row of a few numbers each, and one cycle in all).
-BROADCAST_SOURCES = 4096
 
 
 def _shares(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, cycle: int) -> DataFrame:
@@ -58,10 +56,10 @@ def _cycle(shares: DataFrame) -> DataFrame:
     return slots.groupBy("_source").agg(F.sort_array(F.collect_list("at")).alias("slots"))
 
 
-def _slot(j: Column) -> Column:
-    """Slot of the j-th block of a source."""
-    a = F.col("a")
-    return F.floor(j / a).cast("bigint") * F.col("q") + F.element_at("slots", (j % a + 1).cast("int"))
+def _slot(j: Column, plan: str = "") -> Column:
+    """Slot of the j-th block of a source; ``plan`` is what the names of the plan's columns begin with."""
+    a = F.col(f"{plan}a")
+    return F.floor(j / a).cast("bigint") * F.col(f"{plan}q") + F.element_at(f"{plan}slots", (j % a + 1).cast("int"))
 
 
 def schedule(shares: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -82,22 +80,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     if block_rows < 1 or cycle < 1 or temperature < 0 or any(w < 0 for w in (weights or {}).values()):
         raise ValueError("block_rows and cycle are at least 1, weights and temperature not negative")
     columns = [c for c in docs.columns if c.lower() not in ("epoch", "block", "slot", "position", "release", "deadline")]
-    held = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("_source", named(F.col("source")))
+    # The input's columns travel as one, so that none clashes with those of the plan.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(whole.alias("_row"), F.col("doc_id").alias("_doc"), named(F.col("source")).alias("_source"), F.xxhash64(whole).alias("_hash"))
     plan = stored(schedule(_shares(docs, weights, temperature, cycle), block_rows), "pfair")
-    few = plan.count() <= BROADCAST_SOURCES
-    rows = numbered(held, "_source", "doc_id", "_r").join(F.broadcast(plan) if few else plan, "_source")
+    plan = plan.select("_source", *[F.col(c).alias(f"_plan_{c}") for c in ("n", "a", "q", "slots", "stop")])
+    n, a, q, stop = (F.col(f"_plan_{c}") for c in ("n", "a", "q", "stop"))
+    rows = numbered(held, "_source", "_doc", "_r", "_hash").join(plan, "_source")
     b = F.lit(block_rows)
-    rounds = F.floor((F.col("stop") + F.col("q") - 1) / F.col("q")) * F.col("a") * b
-    last = F.floor((rounds - 1 - F.col("_r")) / F.col("n"))
-    spread = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-    spread = spread.withColumn("_p", F.col("_r") + F.col("epoch") * F.col("n")).withColumn("block", F.floor(F.col("_p") / b).cast("bigint"))
-    spread = spread.withColumn("slot", _slot(F.col("block"))).filter(F.col("slot") < F.col("stop"))
+    rounds = F.floor((stop + q - 1) / q) * a * b
+    last = F.floor((rounds - 1 - F.col("_r")) / n)
+    spread = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
+    spread = spread.withColumn("_p", F.col("_r") + F.col("_epoch") * n).withColumn("_block", F.floor(F.col("_p") / b).cast("bigint"))
+    spread = spread.withColumn("_slot", _slot(F.col("_block"), "_plan_")).filter(F.col("_slot") < stop)
     return spread.select(
-        *[F.col(f"`{c}`") for c in columns],
-        "epoch", "block", "slot",
-        (F.col("slot") * b + F.col("_p") % b).alias("position"),
-        F.expr("(block * q) div a").alias("release"),
-        F.expr("((block + 1) * q + a - 1) div a").alias("deadline"),
+        *[F.col("_row").getField(c).alias(c) for c in columns],
+        F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_slot").alias("slot"),
+        (F.col("_slot") * b + F.col("_p") % b).alias("position"),
+        F.expr("(_block * _plan_q) div _plan_a").alias("release"),
+        F.expr("((_block + 1) * _plan_q + _plan_a - 1) div _plan_a").alias("deadline"),
     )
 
 

@@ -230,3 +230,41 @@ def test_deviation_beyond_int64_arithmetic(spark):
     rows = [(i, [float(2**29 * (i % 2)), float(i)], 0, 0) for i in range(6)]
     got = whitening.whiten(spark.createDataFrame(rows, VECTORS)).collect()
     assert {r.component for r in got} == {1} and len(got) == 6 and all(r.deviation is None for r in got)
+
+
+# Clashing columns, ties, deep pages, shingle sizes
+
+
+def test_mixture_with_clashing_columns_and_ties(spark):
+    from ringsift.llm import mixing
+
+    names = ["n", "q", "a", "slots", "stop", "_source", "_r", "_cell", "_rank", "_start", "_p"]
+    docs = spark.createDataFrame([(i // 3, f"t{i % 2}", ["x", "y", None][i % 3], *[i] * len(names)) for i in range(90)], "doc_id int, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = mixing.mix(docs, {"x": 2, "y": 1, None: 1}, block_rows=2)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    first = got.filter("epoch = 0")
+    assert sorted(map(str, first.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    again = mixing.mix(docs.repartition(5), {"x": 2, "y": 1, None: 1}, block_rows=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+
+
+def test_deep_pages_take_linear_work():
+    from ringsift.llm import mainpage
+
+    body = "<article><h1>Head</h1><p>First part, of some length, with marks in it.</p></article>"
+    assert mainpage.extract("<div>" * 100_000 + body) == "Head First part, of some length, with marks in it."
+    assert mainpage.extract("</b></div>" * 100_000 + body) == "Head First part, of some length, with marks in it."
+    assert mainpage.extract("<b>" * 50_000 + "<p>a</p>" * 50_000).count("a") == 50_000
+
+
+def test_shingle_size_is_a_parameter(spark):
+    from ringsift.llm import neardup
+
+    words = [f"w{i}" for i in range(60)]
+    near = words[:20] + ["x"] + words[21:40] + words[40:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, "a b c d"), (4, "a b c d")], "doc_id bigint, text string")
+    four = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs, size=4).collect()}
+    five = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(docs).collect()}
+    # 53 of 61 four-word and 51 of 61 five-word shingles are shared.
+    assert four == {1: (57, 1), 2: (57, 1), 3: (1, 3), 4: (1, 3)}
+    assert five == {1: (56, 1), 2: (56, 1), 3: (1, 3), 4: (1, 3)}
