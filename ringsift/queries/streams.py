@@ -17,7 +17,7 @@ from .registry import query
 
 
 #: Files that the events are replayed from, one per micro-batch, and by how much they overlap in time.
-FILES, OVERLAP_MS = 4, 12 * 3_600_000
+FILES, OVERLAP_MS = 3, 12 * 3_600_000
 #: Ids of the rows that close a stream, and how far behind the last event they lie.
 CLOSING, CLOSING_ROWS, CLOSING_MS = 1 << 40, 60, 60 * 86_400_000
 
