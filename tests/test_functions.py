@@ -136,7 +136,8 @@ def test_counts_near_words(one):
     text = "120 просмотров и 7000000 запросов, 45 поисков"
     assert one(T.view_count(F.col("x")), x=text) == 7_000_000
     assert one(T.view_count(F.col("x"), T.VIEWS_BELIEVED), x=text) == 120
-    assert one(T.review_count(F.col("x")), x="12 отзывов, 9000 оценок") == 12
+    assert one(T.review_count(F.col("x")), x="12 отзывов, 9000 оценок") == 9000
+    assert one(T.review_count(F.col("x"), T.REVIEWS_BELIEVED), x="12 отзывов, 9000 оценок") == 12
 
 
 def test_page_text_keeps_escaped_brackets(one):
