@@ -1,102 +1,122 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL functions only.
 
-Time runs in slots of one block. Source s with weight a/Q may place its i-th block from slot
-floor(i*Q/a) on (release) and must have placed it before slot ceil((i+1)*Q/a) (deadline). In every
-slot the released block with the earliest deadline goes. After t slots a source has placed more than
-t*a/Q - 1 and fewer than t*a/Q + 1 blocks. The weights of all sources add up to Q, so the schedule
-repeats after Q slots: one cycle is worked out, and every row finds its slot by arithmetic.
+Time runs in slots of one block. Source s with weight a, of weights that add up to q, may place its
+i-th block from slot floor(i*q/a) on (release) and must have placed it before slot ceil((i+1)*q/a)
+(deadline). In every slot the released block with the earliest deadline goes. After t slots a source
+has placed more than t*a/q - 1 and fewer than t*a/q + 1 blocks. The weights are whole numbers and are
+met as they are, so the schedule repeats after q slots: one cycle is worked out, and every row finds
+its slot by arithmetic and by its block's place in the cycle.
+
+Sources of one weight take turns, as their releases and deadlines are the same. The state of the
+schedule is one number per different weight, of which there are fewer than sqrt(2q); neither the
+number of sources nor that of rows makes it larger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import math
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import named, numbered, stored
 
-#: Slots that are shared by weight; every source has one slot of a cycle besides.
+#: Without given weights a source's weight is its share of so many slots, rounded, one at least.
 CYCLE = 1000
+#: Given weights, reduced to the smallest whole numbers, add up to this much at most; above it they are refused.
+LONGEST = 1 << 20
 #: Rows of a block.
 BLOCK_ROWS = 8
-#: Without given weights, a source weighs its number of rows to this power.
+#: Without given weights, a source's share goes by its number of rows to this power.
 TEMPERATURE = 0.8
+#: Slots that are worked out before their picks are put behind those of earlier slots.
+STRETCH = 1024
+
+
+def whole_weights(weights: dict[str | None, float | Fraction]) -> dict[str | None, int]:
+    """The smallest whole numbers in the same ratios; a float counts as the decimal that it is written as."""
+    exact = {k: w if isinstance(w, (int, Fraction)) else Fraction(str(w)) for k, w in weights.items()}
+    scale = math.lcm(*[Fraction(w).denominator for w in exact.values()])
+    whole = {k: int(w * scale) for k, w in exact.items()}
+    least = math.gcd(*whole.values()) or 1
+    whole = {k: w // least for k, w in whole.items()}
+    if any(w < 0 for w in whole.values()) or sum(whole.values()) > LONGEST:
+        raise ValueError(f"weights are not negative, and as whole numbers add up to {LONGEST} at most")
+    return whole
 
 
-def _shares(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, cycle: int) -> DataFrame:
-    """One row per source that has rows: n, slots of a cycle (a), length of the cycle (q)."""
+def _shares(docs: DataFrame, weights: dict[str | None, float | Fraction] | None, temperature: float, cycle: int) -> DataFrame:
+    """One row per source that takes part: rows (n), weight (a), all weights (q), turn among equal weights (x) of how many (m)."""
     counts = docs.groupBy(named(F.col("source")).alias("_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        raw = F.round(F.pow(F.col("n").cast("double"), F.lit(temperature)) * 1000)
+        raw = counts.withColumn("w", F.round(F.pow(F.col("n").cast("double"), F.lit(temperature)) * 1000).cast("bigint"))
+        total = raw.withColumn("t", F.greatest(F.sum("w").over(Window.partitionBy()), F.lit(1)))
+        known = total.withColumn("a", F.greatest(F.expr(f"({2 * cycle}L * w + t) div (2 * t)"), F.lit(1)).cast("bigint"))
     else:
-        given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("-" if k is None else f"={k}", float(w))])
-        raw = F.round(F.element_at(given, F.col("_source")) * 1_000_000)
-    every = Window.partitionBy()
-    known = counts.withColumn("w", F.coalesce(raw.cast("bigint"), F.lit(0)))
-    # Largest remainder: the shared slots are dealt out in whole numbers that add up.
-    dealt = known.withColumn("t", F.greatest(F.sum("w").over(every), F.lit(1))).withColumn("k", F.count(F.lit(1)).over(every))
-    dealt = dealt.withColumn("whole", F.expr(f"({cycle} * w) div t")).withColumn("rest", F.expr(f"({cycle} * w) % t"))
-    ranked = dealt.withColumn("place", F.row_number().over(every.orderBy(F.desc("rest"), "_source")))
-    left = F.when(F.sum("w").over(every) > 0, F.lit(cycle) - F.sum("whole").over(every)).otherwise(0)
-    return ranked.withColumn("a", 1 + F.col("whole") + F.when(F.col("place") <= left, 1).otherwise(0)).withColumn("q", F.sum("a").over(every)).select("_source", "n", "a", "q")
+        given = json.dumps({"-" if k is None else f"={k}": w for k, w in whole_weights(weights).items()})
+        pairs = F.explode(F.from_json(F.lit(given), "map<string, bigint>")).alias("_source", "a")
+        known = counts.join(docs.sparkSession.range(1).select(pairs), "_source").filter("a > 0")
+    alike = Window.partitionBy("a")
+    turns = known.withColumn("x", F.row_number().over(alike.orderBy("_source")) - 1).withColumn("m", F.count(F.lit(1)).over(alike))
+    return turns.select("_source", "n", "a", F.sum("a").over(Window.partitionBy()).alias("q"), F.col("x").cast("bigint").alias("x"), "m")
 
 
 def _cycle(shares: DataFrame) -> DataFrame:
-    """The slots of one cycle: which source places its k-th block where."""
-    lists = shares.groupBy().agg(F.sort_array(F.collect_list(F.struct("_source", "a"))).alias("s"), F.max("q").alias("q")).filter("q is not null")
+    """The slots of one cycle: _source places its k-th block at slot ``at``; one row per slot."""
+    weights = shares.groupBy("a", "m").agg(F.max("q").alias("q"))
+    lists = weights.groupBy().agg(F.sort_array(F.collect_list(F.struct("a", "m"))).alias("s"), F.max("q").alias("q")).filter("q is not null")
+    # The next block of weight i is the (done[i] div m)-th of the source whose turn is done[i] % m.
     best = """
       array_min(transform(
-        filter(sequence(0, size(s) - 1), i -> st.done[i] * q < (t + 1) * s[i].a),
-        i -> struct(((st.done[i] + 1) * q + s[i].a - 1) div s[i].a as deadline, i as i))).i"""
+        filter(sequence(0, size(s) - 1), i -> (st.done[i] div s[i].m) * q < (t + 1) * s[i].a),
+        i -> struct(((st.done[i] div s[i].m + 1) * q + s[i].a - 1) div s[i].a as deadline, i as i))).i"""
     step = f"""transform(array({best}), b -> named_struct(
-        'done', transform(st.done, (x, j) -> x + if(j = b, 1L, 0L)),
+        'done', transform(st.done, (d, j) -> d + if(j = b, 1L, 0L)),
         'picks', concat(st.picks, array(b))))[0]"""
-    picks = f"""aggregate(sequence(0L, q - 1L),
-        named_struct('done', array_repeat(0L, size(s)), 'picks', cast(array() as array<int>)), (st, t) -> {step}).picks"""
-    slots = lists.select("s", F.posexplode(F.expr(picks)).alias("at", "i")).select(F.expr("s[i]._source").alias("_source"), F.col("at").cast("bigint"))
-    return slots.groupBy("_source").agg(F.sort_array(F.collect_list("at")).alias("slots"))
-
-
-def _slot(j: Column, plan: str = "") -> Column:
-    """Slot of the j-th block of a source; ``plan`` is what the names of the plan's columns begin with."""
-    a = F.col(f"{plan}a")
-    return F.floor(j / a).cast("bigint") * F.col(f"{plan}q") + F.element_at(f"{plan}slots", (j % a + 1).cast("int"))
-
-
-def schedule(shares: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per source: n, a, q, its slots of a cycle, and the slot at which all sources have been used up."""
-    joined = shares.join(_cycle(shares), "_source")
-    return joined.withColumn("stop", F.max(_slot(F.floor((F.col("n") - 1) / block_rows).cast("bigint")) + 1).over(Window.partitionBy()))
-
-
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+    none = "cast(array() as array<int>)"
+    stretch = f"""aggregate(sequence(c * {STRETCH}L, least(q, (c + 1) * {STRETCH}L) - 1),
+        named_struct('done', so.done, 'picks', {none}), (st, t) -> {step})"""
+    picks = f"""aggregate(sequence(0L, (q - 1) div {STRETCH}),
+        named_struct('done', array_repeat(0L, size(s)), 'picks', {none}),
+        (so, c) -> transform(array({stretch}), r -> named_struct('done', r.done, 'picks', concat(so.picks, r.picks)))[0]).picks"""
+    slots = lists.select("s", F.posexplode(F.expr(picks)).alias("at", "i")).select(F.expr("s[i].a").alias("a"), F.expr("s[i].m").alias("m"), F.col("at").cast("bigint"))
+    turn = slots.withColumn("j", F.row_number().over(Window.partitionBy("a").orderBy("at")) - 1)
+    dealt = turn.select("a", F.expr("j % m").alias("x"), F.expr("j div m").alias("k"), "at")
+    return shares.select("_source", "a", "x").join(dealt, ["a", "x"]).select("_source", "k", "at")
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """Interleave the rows of all sources to their target weights until every row has been placed.
 
     A source that is used up starts again (epoch 1, 2, ...), so no row is dropped and the shares hold
     up to the end. Adds epoch, block (number within the source), slot, position (of the row in the
     mixture), release and deadline to the columns of the input; a clashing input column is replaced.
-    Null is a source of its own; a source without a given weight, and any source if all weights are
-    zero, keeps one slot of a cycle. Rows that repeat are placed as often as they stand in the input.
+    Given weights are met exactly, in their ratios. Null is a source of its own; a source of weight 0,
+    or one that given weights do not name, has no share and takes no part. Empty texts and tables, very
+    long texts and null ids are rows like others. Rows that repeat are placed as often as they stand in the input.
     """
-    if block_rows < 1 or cycle < 1 or temperature < 0 or any(w < 0 for w in (weights or {}).values()):
-        raise ValueError("block_rows and cycle are at least 1, weights and temperature not negative")
+    if block_rows < 1 or cycle < 1 or temperature < 0:
+        raise ValueError("block_rows and cycle are at least 1, the temperature is not negative")
     columns = [c for c in docs.columns if c.lower() not in ("epoch", "block", "slot", "position", "release", "deadline")]
     # The input's columns travel as one, so that none clashes with those of the plan.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(whole.alias("_row"), F.col("doc_id").alias("_doc"), named(F.col("source")).alias("_source"), F.xxhash64(whole).alias("_hash"))
-    plan = stored(schedule(_shares(docs, weights, temperature, cycle), block_rows), "pfair")
-    plan = plan.select("_source", *[F.col(c).alias(f"_plan_{c}") for c in ("n", "a", "q", "slots", "stop")])
-    n, a, q, stop = (F.col(f"_plan_{c}") for c in ("n", "a", "q", "stop"))
+    shares = stored(_shares(docs, weights, temperature, cycle), "pfair_shares")
+    slots = stored(_cycle(shares), "pfair_cycle")
+    last = shares.withColumn("k", F.expr(f"((n - 1) div {block_rows}) % a")).join(slots, ["_source", "k"])
+    stop = last.agg(F.max(F.expr(f"((n - 1) div {block_rows}) div a * q + at + 1")).alias("_stop"))
+    plan = shares.join(F.broadcast(stop)).select("_source", "_stop", *[F.col(c).alias(f"_plan_{c}") for c in ("n", "a", "q")])
     rows = numbered(held, "_source", "_doc", "_r", "_hash").join(plan, "_source")
-    b = F.lit(block_rows)
-    rounds = F.floor((stop + q - 1) / q) * a * b
-    last = F.floor((rounds - 1 - F.col("_r")) / n)
-    spread = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
-    spread = spread.withColumn("_p", F.col("_r") + F.col("_epoch") * n).withColumn("_block", F.floor(F.col("_p") / b).cast("bigint"))
-    spread = spread.withColumn("_slot", _slot(F.col("_block"), "_plan_")).filter(F.col("_slot") < stop)
-    return spread.select(
+    epochs = F.expr(f"sequence(0L, (((_stop + _plan_q - 1) div _plan_q) * _plan_a * {block_rows}L - 1 - _r) div _plan_n)")
+    spread = rows.withColumn("_epoch", F.explode(epochs)).withColumn("_p", F.expr("_r + _epoch * _plan_n")).withColumn("_block", F.expr(f"_p div {block_rows}"))
+    found = spread.withColumn("_k", F.expr("_block % _plan_a")).join(slots.select("_source", F.col("k").alias("_k"), F.col("at").alias("_at")), ["_source", "_k"])
+    placed = found.withColumn("_slot", F.expr("_block div _plan_a * _plan_q + _at")).filter("_slot < _stop")
+    return placed.select(
         *[F.col("_row").getField(c).alias(c) for c in columns],
         F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_slot").alias("slot"),
-        (F.col("_slot") * b + F.col("_p") % b).alias("position"),
+        F.expr(f"_slot * {block_rows} + _p % {block_rows}").alias("position"),
         F.expr("(_block * _plan_q) div _plan_a").alias("release"),
         F.expr("((_block + 1) * _plan_q + _plan_a - 1) div _plan_a").alias("deadline"),
     )
@@ -107,9 +127,8 @@ MIX_SQL = f"""WITH RECURSIVE n AS (
     SELECT coalesce('=' || source, '-') AS g, count(*) AS n FROM {{docs}} GROUP BY 1),
 w AS (SELECT g, n, CAST(round(pow(CAST(n AS DOUBLE), {TEMPERATURE}) * 1000) AS BIGINT) AS w FROM n),
 t AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS t FROM w),
-r AS (SELECT *, ({CYCLE} * w) // t AS whole, row_number() OVER (ORDER BY ({CYCLE} * w) % t DESC, g) AS place FROM t),
-a AS (SELECT g, n, 1 + whole + CASE WHEN place <= {CYCLE} - sum(whole) OVER () THEN 1 ELSE 0 END AS a FROM r),
-s AS (SELECT g, n, CAST(a AS BIGINT) AS a, CAST(sum(a) OVER () AS BIGINT) AS q, row_number() OVER (ORDER BY g) AS i FROM a),
+a AS (SELECT g, n, greatest(({2 * CYCLE} * w + t) // (2 * t), 1) AS a FROM t),
+s AS (SELECT g, n, CAST(a AS BIGINT) AS a, CAST(sum(a) OVER () AS BIGINT) AS q, row_number() OVER (ORDER BY a, g) AS i FROM a),
 l AS (SELECT list(a ORDER BY i) AS a, max(q) AS q, count(*) AS k FROM s),
 c AS (
     SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS b, list_transform(range(0, k), lambda x: CAST(0 AS BIGINT)) AS done FROM l

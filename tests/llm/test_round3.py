@@ -268,3 +268,64 @@ def test_shingle_size_is_a_parameter(spark):
     # 53 of 61 four-word and 51 of 61 five-word shingles are shared.
     assert four == {1: (57, 1), 2: (57, 1), 3: (1, 3), 4: (1, 3)}
     assert five == {1: (56, 1), 2: (56, 1), 3: (1, 3), 4: (1, 3)}
+
+
+def earliest_deadline_first(weights, slots):
+    """Which source goes in each slot, one slot after the other; ties go by weight, then by name."""
+    total, done, out = sum(weights.values()), dict.fromkeys(weights, 0), []
+    for t in range(slots):
+        ready = [((-(-(done[s] + 1) * total // w)), w, s) for s, w in weights.items() if done[s] * total // w <= t]
+        out.append(min(ready)[2])
+        done[out[-1]] += 1
+    return out
+
+
+def placed(spark, weights, counts, block_rows=1):
+    from ringsift.llm import mixing
+
+    rows = [(i, s) for s, n in counts.items() for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, block_rows=block_rows).select("source", "slot", "epoch", "position").collect()
+    assert sorted(r.position for r in got) == list(range(len(got)))
+    assert collections.Counter(r.source for r in got if r.epoch == 0) == {s: n for s, n in counts.items() if weights.get(s, 0) > 0}
+    return [r.source for r in sorted(got, key=lambda r: r.position)[::block_rows]]
+
+
+def test_mixture_is_that_of_earliest_deadlines(spark):
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 7, "b": 5, "c": 1, "d": 5, "e": 3}, {"a": 1, "b": 0, "c": 1499}):
+        order = placed(spark, weights, {s: 5 for s in weights})
+        kept = {s: w for s, w in weights.items() if w}
+        assert order == earliest_deadline_first(kept, len(order))
+
+
+def test_mixture_lags_less_than_one_block_behind_given_weights(spark):
+    from fractions import Fraction
+
+    small = {f"s{i}": Fraction(2, 3 * 200) for i in range(200)}
+    weights = {"big": Fraction(1, 3), **small, "never": 0}
+    order = placed(spark, weights, {"big": 600, **{s: 4 for s in small}, "never": 3}, block_rows=2)
+    done = collections.Counter()
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        assert abs(done["big"] - t * weights["big"]) < 1
+        if t % 50 == 0:
+            assert all(abs(done[x] - t * w) < 1 for x, w in weights.items())
+    assert done["never"] == 0
+
+
+def test_mixture_of_ten_thousand_sources(spark):
+    weights = {"big": 5000, **{f"s{i}": 1 for i in range(9999)}}
+    order = placed(spark, weights, {s: 1 for s in weights} | {"big": 40})
+    total, done = sum(weights.values()), collections.Counter()
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        assert abs(done["big"] * total - t * weights["big"]) < total
+    assert all(abs(done[s] * total - len(order) * w) < total for s, w in weights.items())
+
+
+def test_weights_of_a_mixture():
+    from ringsift.llm import mixing
+
+    assert mixing.whole_weights({"a": 0.1, "b": 0.25, None: 2}) == {"a": 2, "b": 5, None: 40}
+    for bad in ({"a": -1}, {"a": 1e-9, "b": 1}):
+        with pytest.raises(ValueError):
+            mixing.whole_weights(bad)
