@@ -329,3 +329,66 @@ def test_weights_of_a_mixture():
     for bad in ({"a": -1}, {"a": 1e-9, "b": 1}):
         with pytest.raises(ValueError):
             mixing.whole_weights(bad)
+
+
+# Secrets
+
+
+def test_findings_of_any_length_behind_keywords(spark):
+    from ringsift.llm import secrets
+
+    texts = ['say password: hunter2, and aws_secret_access_key="k9" now', 'api_key = "0123456789abcdef0123" end', "see token now", "", None,
+             "f(x)=12 and a/long/path-of/letters here", "bearer=x1 " * 3 + "end"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1)] * 2, "doc_id bigint, text string, value int")
+    got = [(r.doc_id, r.ordinal, r.value, r.copies) for r in secrets.findings(docs).collect()]
+    first = [(0, "hunter2"), (1, "aws_secret_access_key"), (2, "k9")]
+    want = [(0, o, v, 1) for o, v in first] + [(None, o, v, 2) for o, v in first]
+    want += [(1, 0, "0123456789abcdef0123", 1), (5, 0, "a/long/path-of/letters", 1)] + [(6, i, "x1", 1) for i in range(3)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_features_of_findings_by_hand(spark):
+    from ringsift.llm import secrets
+
+    docs = spark.createDataFrame([(1, "known word here"), (2, "known word of old"), (3, 'my x="https://a.com/KnownWord99/zq" 12 after')], "doc_id bigint, text string")
+    found = secrets.features(secrets.findings(docs), secrets.dictionary(docs)).collect()
+    assert [(r.value, r.length, r.coverage, r.path_depth, r.address) for r in found] == [("com/KnownWord99/zq", 18.0, 9 / 18, 4.0, 1.0)]
+    kinds = re.sub("[^aA0]", "_", re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", found[0].value.replace("a", "b")))))
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:]))
+    assert found[0].transitions == changes / 17 and found[0].digit_share == 2 / 18 and found[0].distinct_share == len(set(found[0].value)) / 18
+
+
+def test_forest_decides_on_what_no_rule_labels(spark):
+    from ringsift.llm import secrets
+
+    rng = np.random.default_rng(5)
+    word = lambda n, k="erionthaed": "".join(rng.choice(list(k), n))
+    key = lambda: word(32, "0123456789abcdefGHJKLM")
+    words = [word(int(n)) for n in rng.integers(4, 10, 60)]
+    some = lambda n: [str(x) for x in rng.choice(words, n)]
+    planted, rows = {}, []
+    for i in range(600):
+        # Keys with and without a keyword; words, numbers and paths; paths with a digit, which no rule knows.
+        kind = i % 6
+        value = [key(), key(), word(20), word(17, "0123456789"), "/".join(some(5)), "/".join(some(5)) + "/v1"][kind]
+        planted[hashlib.sha256(value.encode()).hexdigest()] = kind
+        rows.append((i, " ".join([*some(2), *(["token", "="] if kind == 0 else []), value, *some(2)])))
+    got = [r for r in secrets.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.value_sha256 in planted]
+    assert len(got) == 600
+    left = [(planted[r.value_sha256], r.is_secret) for r in got if r.label is None]
+    kinds = collections.Counter(k for k, _ in left)
+    assert 30 < kinds[0] < 70 and kinds[1] == kinds[5] == 100 and len(kinds) == 3
+    hits = sum(k < 2 and said for k, said in left)
+    assert hits / sum(said for _, said in left) > 0.95 and hits / sum(k < 2 for k, _ in left) > 0.95
+
+
+def test_judged_findings_go_first(spark):
+    from ringsift.llm import secrets
+
+    docs = spark.createDataFrame([(i, f"see {'abcdefgh' * 2}{i:03d} and {'z1' * 10}{i:03d} here") for i in range(60)], "doc_id bigint, text string")
+    sha = lambda v: hashlib.sha256(v.encode()).hexdigest()
+    judged = [(sha(f"{'abcdefgh' * 2}{i:03d}"), 0) for i in range(30)] + [(sha(f"{'z1' * 10}{i:03d}"), 1) for i in range(30)]
+    got = secrets.score(docs, spark.createDataFrame(judged, "value_sha256 string, label int")).collect()
+    assert len(got) == 120 and sum(r.label is None for r in got) == 60
+    assert all(r.is_secret == (r.ordinal == 1) for r in got)
