@@ -13,6 +13,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,12 +28,24 @@ from .run import with_event_time
 MINUTE_MS = 60_000
 
 
+#: Cells of event time that rows wait in, rows that are put aside or handled at a time, and rows up to which one part
+#: may reach into later cells, so that a quiet key has few parts.
+CELL_MS, BLOCK_ROWS, PART_ROWS = 6 * HOUR_MS, 1 << 15, 1 << 10
+
+_ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    "array<double>": pa.list_(pa.float64()),
+}
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key wait in a list until the watermark has passed them; then ``step`` gets them by event time.
+    """Rows of a key wait in parts until the watermark has passed them; then ``step`` gets them by event time.
 
-    A key has one timer per batch, at its earliest waiting row. ``rows`` names the columns that wait
-    (ts first), ``order`` how they are sorted, ``kept`` the schema of the key's value. A key without a
-    row for ``horizon`` milliseconds of event time forgets everything.
+    A part is one value of the state: the packed rows that came together and begin in one time cell. What is due
+    is read cell by cell and given to ``step`` in blocks that follow one another, so a task holds a block and a cell
+    of one key, however many rows wait. A key has one timer per batch, at its earliest waiting row. ``rows`` names
+    the columns that wait (ts first), ``order`` how they are sorted, ``kept`` the schema of the key's value. A key
+    without a row for ``horizon`` milliseconds of event time forgets everything.
     """
 
     rows = ""
@@ -42,44 +56,87 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [f.strip().split()[0] for f in self.rows.split(",")]
-        self.waiting = handle.getListState("waiting", self.rows)
+        self.schema = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in self.rows.split(","))])
+        self.waiting = handle.getMapState("waiting", "cell bigint, part bigint", "rows binary")
+        self.parts = handle.getValueState("parts", "n bigint")
         self.value = handle.getValueState("value", self.kept)
         self.seen = handle.getValueState("seen", "ts bigint")
 
     def load(self, empty: tuple) -> tuple:
         return tuple(self.value.get()) if self.value.exists() else empty
 
+    def put_aside(self, table: pa.Table) -> None:
+        """Pack rows into parts. Every row of a part lies in the cell the part is filed under, or behind it."""
+        cell = table["ts"].to_numpy() // CELL_MS
+        order = np.argsort(cell, kind="stable")
+        table, cell = table.take(order).combine_chunks(), cell[order]
+        n = self.parts.get()[0] if self.parts.exists() else 0
+        at = 0
+        while at < len(cell):
+            to = max(int(np.searchsorted(cell, cell[at], side="right")), min(at + PART_ROWS, len(cell)))
+            packed = table.slice(at, to - at).to_batches()[0].serialize().to_pybytes()
+            self.waiting.updateValue((int(cell[at]), n), (packed,))
+            at, n = to, n + 1
+        self.parts.update((n,))
+
+    def take_back(self, part: tuple) -> pa.Table:
+        (packed,) = self.waiting.getValue(part)
+        self.waiting.removeKey(part)
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(packed), self.schema)])
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        first, came, n = None, [], 0
         for pdf in rows:
             if len(pdf):
-                columns = [[None if v is None or v is pd.NA or v != v else v for v in c] if k == "O" and n != "x" else c
-                           for n in self.names for c, k in [(pdf[n].tolist(), pdf[n].dtype.kind)]]
-                columns = [[list(v) for v in c] if n == "x" else c for n, c in zip(self.names, columns)]
-                self.waiting.appendList(list(zip(*columns)))
-                first = min(columns[0]) if first is None else min(first, *columns[0])
+                came.append(pa.Table.from_arrays([pa.array(pdf[f.name], type=f.type, from_pandas=True) for f in self.schema], schema=self.schema))
+                n += len(pdf)
+                first = int(pdf["ts"].min()) if first is None else min(first, int(pdf["ts"].min()))
+            if n >= BLOCK_ROWS:
+                self.put_aside(pa.concat_tables(came))
+                came, n = [], 0
+        if came:
+            self.put_aside(pa.concat_tables(came))
         if first is not None:
-            self.handle.registerTimer(int(first) + 1)
+            self.handle.registerTimer(first + 1)
         return iter(())
 
+    def due(self, passed: int) -> Iterator[pa.Table]:
+        """Rows before the watermark, in blocks that follow one another; what is read too early is put aside again."""
+        parts = sorted((tuple(k) for k in self.waiting.keys()), reverse=True) if self.waiting.exists() else []
+        held = self.schema.empty_table()
+        ready = lambda: bool(parts) and parts[-1][0] * CELL_MS < passed
+        while ready():
+            read = [held]
+            while ready() and (len(read) == 1 or sum(t.num_rows for t in read) < BLOCK_ROWS):
+                cell = parts[-1][0]
+                while parts and parts[-1][0] == cell:
+                    read.append(self.take_back(parts.pop()))
+            # Nothing that is still unread comes before its cell.
+            end = parts[-1][0] * CELL_MS if ready() else passed
+            table = pa.concat_tables(read)
+            early = pc.less(table["ts"], end)
+            held = table.filter(pc.invert(early))
+            yield table.filter(early)
+        wake = [parts[-1][0] * CELL_MS] if parts else []
+        if held.num_rows:
+            self.put_aside(held)
+            wake.append(pc.min(held["ts"]).as_py())
+        if wake:
+            self.handle.registerTimer(min(wake) + 1)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] < passed]
-        if due:
-            rest = [tuple(r) for r in rows if r[0] >= passed]
-            self.waiting.clear()
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(int(min(r[0] for r in rest)) + 1)
-            frame = pd.DataFrame([tuple(r) for r in due], columns=self.names).sort_values(self.order, kind="stable", ignore_index=True)
-            last = int(frame["ts"].iloc[-1])
+        last = None
+        for table in self.due(passed):
+            if table.num_rows:
+                frame = table.to_pandas().sort_values(self.order, kind="stable", ignore_index=True)
+                last = int(frame["ts"].iloc[-1])
+                yield self.step(key, frame)
+        if last is not None:
             self.seen.update((last,))
             if self.horizon is not None:
                 self.handle.registerTimer(last + self.horizon + 1)
-            yield self.step(key, frame)
-        elif not rows and self.horizon is not None and self.seen.exists() and self.seen.get()[0] + self.horizon < passed:
+        elif self.horizon is not None and not self.waiting.exists() and self.seen.exists() and self.seen.get()[0] + self.horizon < passed:
             self.forget()
 
     def step(self, key: Any, rows: pd.DataFrame) -> pd.DataFrame:
@@ -88,6 +145,7 @@ class _InOrder(StatefulProcessor):
     def forget(self) -> None:
         self.value.clear()
         self.seen.clear()
+        self.parts.clear()
 
     def close(self) -> None:
         pass
@@ -179,14 +237,22 @@ def immediate_labels(calls: DataFrame, days: int = 30, delay: str = "1 day") ->
 def deferred_labels(calls: DataFrame, hours: int = 24, delay: str = "1 day") -> DataFrame:
     """BLOCK for a missed call once the window behind it has passed without a call back.
 
-    Missed calls are joined with the calls back inside the window; what the watermark passes without a
-    partner comes out of the outer join with nulls.
+    Calls back are folded to the first and the last of a number and time cell, a quarter of the window long: a
+    missed call is answered if a cell's last call is not before it and the cell's first not behind its window, so it
+    meets five cells at most, however many calls a number has. What the watermark passes without a partner comes out
+    of the outer join with nulls.
     """
+    cell_ms = hours * HOUR_MS // 4
     timed = with_event_time(calls.filter(F.col("number").isNotNull()), delay=delay)
     missed = timed.filter((F.col("direction") == "INCOMING") & (F.col("state") == "MISSED"))
-    missed = missed.select("id", "user", "number", "ts", F.col("event_time").alias("missed_at"))
-    back = timed.filter(F.col("direction") == "OUTGOING").select(F.col("number").alias("_number"), F.col("event_time").alias("_back_at"))
-    near = f"number = _number AND _back_at >= missed_at AND _back_at <= missed_at + INTERVAL {hours} HOURS"
+    missed = missed.select("id", "user", "number", "ts", F.col("event_time").alias("missed_at"), F.floor(F.col("ts") / cell_ms).alias("cell"))
+    cells = timed.filter(F.col("direction") == "OUTGOING").groupBy("number", F.window("event_time", f"{cell_ms} milliseconds").alias("w")).agg(
+        F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    own = F.floor(F.unix_millis("w.start") / cell_ms)
+    # A cell answers calls of its own time and of the four cells before.
+    back = cells.select(F.col("number").alias("_number"), "_first", "_last", F.window_time("w").alias("_back_at"), F.explode(F.sequence(own - 4, own)).alias("_cell"))
+    near = (f"number = _number AND cell = _cell AND _last >= ts AND _first <= ts + {hours * HOUR_MS} "
+            f"AND _back_at >= missed_at AND _back_at <= missed_at + INTERVAL {5 * cell_ms} MILLISECONDS")
     alone = missed.join(back, F.expr(near), "left_outer").filter(F.col("_number").isNull())
     return alone.select("id", "user", "number", "ts", F.lit("BLOCK").alias("label"), (F.col("ts") + hours * HOUR_MS).alias("due"))
 
@@ -395,20 +461,19 @@ class _UserModel(_InOrder):
         w0, b0 = initial_weights()
         version, steps, b, w = self.load((0, 0, b0, w0.tolist()))
         w = np.array(w)
-        x = np.array(rows["x"].tolist(), dtype=float)
+        x = np.stack(rows["x"].to_numpy())
         wanted = (rows["label"] == "BLOCK").to_numpy(dtype=float)
         weight = np.where(rows["explicit"], EXPLICIT_WEIGHT, IMPLICIT_WEIGHT)
         versions = rows["model_version"].tolist()
-        out = []
+        counts, before, biases, weights = np.empty(len(rows), dtype=np.int64), np.empty(len(rows)), np.empty(len(rows)), np.empty(x.shape)
         for i in range(len(rows)):
             if versions[i] != version:
                 version, steps, b, w = versions[i], 0, b0, w0.copy()
-            w, b, p = sgd_step(w, b, x[i], wanted[i], weight[i])
+            w, b, before[i] = sgd_step(w, b, x[i], wanted[i], weight[i])
             steps += 1
-            out.append((steps, p, b, w.tolist()))
+            counts[i], biases[i], weights[i] = steps, b, w
         self.value.update((int(version), int(steps), float(b), w.tolist()))
-        return pd.concat([rows[["id"]].assign(user=key[0]), pd.DataFrame(out, columns=["steps", "p_before", "bias", "weights"])], axis=1)[
-            ["user", "id", "steps", "p_before", "bias", "weights"]]
+        return pd.DataFrame({"user": key[0], "id": rows["id"], "steps": counts, "p_before": before, "bias": biases, "weights": list(weights)})
 
 
 def user_models(labels: DataFrame, initial: DataFrame | None = None, delay: str = "1 day") -> DataFrame:
