@@ -191,6 +191,14 @@ def _place(x: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < x))
 
 
+def _smallest(d: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the m smallest values of every row, of equal ones the first; no row is sorted as a whole."""
+    edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+    taken, level = d < edge, d == edge
+    taken |= level & (np.cumsum(level, axis=1, dtype=np.int32) <= m - taken.sum(axis=1, keepdims=True))
+    return np.nonzero(taken)[1].reshape(len(d), m)
+
+
 def near_rows(df: DataFrame, key: str, features: list[str], k: int = 5, seed: int = 42, tables: int = TABLES,
               cell_rows: int = CELL_ROWS) -> DataFrame:
     """key, near (keys of the k nearest rows found), distance: one row per row of ``df``; keys are unique.
@@ -226,26 +234,28 @@ def near_rows(df: DataFrame, key: str, features: list[str], k: int = 5, seed: in
     key_type = df.schema[key].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        keys = np.array(group.column(key).to_pylist(), dtype=object)
-        order = np.argsort(keys)
-        keys, points = keys[order], np.array(group.column("_p").to_pylist(), dtype=float)[order]
+        group = group.sort_by(key)
+        keys = group.column(key).combine_chunks()
+        points = group.column("_p").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
         squares = (points**2).sum(axis=1)
-        at, to, apart = [], [], []
-        for i in range(0, len(keys), 512):
+        m = min(k, len(keys) - 1)
+        to, apart, unknown = [], [], np.isnan(squares).any()
+        for i in range(0, len(keys) if m else 0, 512):
             d = squares[i : i + 512, None] + squares[None, :] - 2 * points[i : i + 512] @ points.T
-            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(keys) - 1)]
-            at.append(np.repeat(np.arange(i, i + len(d)), best.shape[1]))
-            to.append(best.ravel())
-            gaps = points[at[-1]] - points[to[-1]]
+            if unknown:
+                d[np.isnan(d)] = np.inf
+            d[np.arange(len(d)), i + np.arange(len(d))] = np.finfo(float).max
+            to.append(_smallest(d, m).ravel())
+            gaps = points[np.repeat(np.arange(i, i + len(d)), m)] - points[to[-1]]
             apart.append((gaps**2).sum(axis=1))
-        at, to = np.concatenate(at), np.concatenate(to)
-        kind = group.schema.field(key).type
-        return pa.table({key: pa.array(keys[at].tolist(), kind), "_near": pa.array(keys[to].tolist(), kind), "_d": np.concatenate(apart)})
-
-    pairs = found.groupBy("_cell", "_part").applyInArrow(compare, f"`{key}` {key_type}, _near {key_type}, _d double")
-    # At most k candidates per row and table.
-    best = pairs.groupBy(key, "_near").agg(F.min("_d").alias("_d")).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_near"))), 1, k).alias("_b"))
+        near = keys.take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *to])))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *apart])), near], names=["_d", "_near"])
+        starts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * m)
+        return pa.table({key: keys, "_b": pa.ListArray.from_arrays(starts, pairs)})
+
+    # At most k candidates per row and table; a pair that several tables found has the same distance in each.
+    rows = found.groupBy("_cell", "_part").applyInArrow(compare, f"`{key}` {key_type}, _b array<struct<_d:double,_near:{key_type}>>")
+    best = rows.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_b")))), 1, k).alias("_b")).filter(F.size("_b") > 0)
     return best.select(key, F.col("_b._near").alias("near"), F.sqrt(F.col("_b")[F.size("_b") - 1]["_d"]).alias("distance"))
 
 

@@ -163,3 +163,13 @@ def test_calls_back_meet_missed_calls_by_cell(spark, flood, tmp_path):
             if not any(r.ts <= b <= r.ts + E.DAY_MS for b in backs[r.number])]
     got = [r.id for r in R.run_to_table(job, "deferred").filter(F.col("id") < 1 << 40).collect()]
     assert sorted(got) == sorted(want) and len(want) > 48
+
+
+def test_smallest_takes_the_first_of_equal_values():
+    from ringsift.plans.model import _smallest
+
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=(40, 300)), rng.integers(0, 3, (40, 300)).astype(float), np.full((40, 300), np.inf)):
+        for m in (1, 5, 299):
+            want = np.sort(np.argsort(values, axis=1, kind="stable")[:, :m], axis=1)
+            assert (_smallest(values, m) == want).all()
