@@ -167,14 +167,25 @@ def _nfc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
+#: What ``html.unescape`` takes for a character reference.
+CHARREF = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(html_lib.unescape, na_action="ignore")
+    return s.map(lambda refs: [html_lib.unescape(r) for r in refs], na_action="ignore")
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities to characters. Only texts with an ampersand go to Python."""
-    return F.coalesce(_unescape_udf(F.when(c.contains("&"), c)), c)
+    """HTML entities to characters. Only the references go to Python, not the texts around them."""
+    refs = let(c, lambda x: F.when(x.contains("&"), F.regexp_extract_all(x, F.lit(CHARREF), F.lit(0))))
+
+    def put(pair: Column) -> Column:
+        gaps = F.split(pair["t"], CHARREF, -1)
+        whole = F.zip_with(gaps, F.concat(pair["r"], F.array(F.lit(""))), lambda gap, ref: F.concat(gap, ref))
+        return F.when(F.size(pair["r"]) > 0, F.array_join(whole, "")).otherwise(pair["t"])
+
+    return let(F.struct(c.alias("t"), _unescape_udf(refs).alias("r")), put)
 
 
 def app_category(c: Column) -> Column:

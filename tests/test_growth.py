@@ -173,3 +173,17 @@ def test_smallest_takes_the_first_of_equal_values():
         for m in (1, 5, 299):
             want = np.sort(np.argsort(values, axis=1, kind="stable")[:, :m], axis=1)
             assert (_smallest(values, m) == want).all()
+
+
+def test_only_references_go_to_python(spark):
+    import html
+
+    from ringsift.functions import text as T
+
+    texts = ["", "&", "a &amp; b", "&amp;amp;", "&notit; &notin; &#65;&#x42 &#0; &#xD800; &#1114112;", "&lt", "x&copy y;&", "мир &nbsp;&hellip;", "&" * 5,
+             "no reference", "&thisisaverylongnamethatisnoreferenceatall;z", "\U0001f600&Aacute\U0001f600;", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string").repartition(2)
+    got = rows.select("id", T.unescape(F.col("x")).alias("y"))
+    assert [r.y for r in got.orderBy("id").collect()] == [None if x is None else html.unescape(x) for x in texts]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan[plan.index("_unescape_udf("):].split("\n")[0]
