@@ -544,8 +544,13 @@ def tag_category(tags: Column) -> Column:
     """Struct(category, feature, source, confidence) of a map element's tags, null for non-organisations.
 
     ``tags`` is map<string,string>. Exact (key, value) pairs come first, in the order of the
-    registry; then keys that count whatever their value; then three looser fallbacks.
+    registry; then keys that count whatever their value; then three looser fallbacks. A pair is
+    looked up under its key, so the work of an element follows its tags, not the registry.
     """
+    return let(tags, _tag_category)
+
+
+def _tag_category(tags: Column) -> Column:
     from ..rules import (
         ADDRESS_TAGS, NAME_TAGS, NEGATIVE_TAGS, ORGANISATION_TAGS, TAG_RULES,
     )
@@ -560,10 +565,14 @@ def tag_category(tags: Column) -> Column:
             lit(source).alias("source"), lit(conf).alias("confidence"),
         )
 
-    negative = F.lit(False)
+    negative, barred = F.lit(False), {}
     for key, value in NEGATIVE_TAGS:
-        own = F.coalesce(F.try_element_at(tags, F.lit(key)), F.lit(""))
-        negative = negative | (F.array_contains(F.map_keys(tags), key) if value == "*" else own == value)
+        if value == "*":
+            negative = negative | F.array_contains(F.map_keys(tags), key)
+        else:
+            barred.setdefault(key, []).append(value)
+    for key, values in barred.items():
+        negative = negative | F.coalesce(F.try_element_at(tags, F.lit(key)), F.lit("")).isin(values)
     exact = [r for r in TAG_RULES if r[2] != "*"]
     wild = [r for r in TAG_RULES if r[2] == "*"]
     rules = F.array(
@@ -572,18 +581,28 @@ def tag_category(tags: Column) -> Column:
             for c, k, v, f, p in exact
         ]
     )
-    hit = F.try_element_at(F.filter(rules, lambda r: F.try_element_at(tags, r["k"]) == r["v"]), F.lit(1))
-    out = F.when(negative, F.lit(None)).when(
-        hit.isNotNull(), answer(hit["c"], hit["f"], F.concat(F.lit("osm_"), hit["c"], F.lit("_"), hit["v"]), hit["p"])
-    )
-    for c, k, _, f, p in wild:
-        out = out.when(F.array_contains(F.map_keys(tags), k), answer(c, f, f"osm_{c}_{k}", p))
+    places: dict[str, dict[str, int]] = {}
+    for i, (_, k, v, _, _) in enumerate(exact):
+        places.setdefault(k, {}).setdefault(v, i)
+    found = [
+        F.try_element_at(F.create_map(*[F.lit(x) for pair in at.items() for x in pair]), F.try_element_at(tags, F.lit(k)))
+        for k, at in places.items()
+    ]
     hint, named, placed = has_any(ORGANISATION_TAGS), has_any(NAME_TAGS), has_any(ADDRESS_TAGS)
-    return (
-        out.when(hint & named, answer("other", "business", "osm_other_business", 0.72))
-        .when(hint, answer("other", "business", "osm_org_hint", 0.66))
-        .when(placed & named, answer("other", "business", "osm_addressed_business", 0.62))
-    )
+
+    def judged(hit: Column) -> Column:
+        out = F.when(negative, F.lit(None)).when(
+            hit.isNotNull(), answer(hit["c"], hit["f"], F.concat(F.lit("osm_"), hit["c"], F.lit("_"), hit["v"]), hit["p"])
+        )
+        for c, k, _, f, p in wild:
+            out = out.when(F.array_contains(F.map_keys(tags), k), answer(c, f, f"osm_{c}_{k}", p))
+        return (
+            out.when(hint & named, answer("other", "business", "osm_other_business", 0.72))
+            .when(hint, answer("other", "business", "osm_org_hint", 0.66))
+            .when(placed & named, answer("other", "business", "osm_addressed_business", 0.62))
+        )
+
+    return let(F.get(rules, F.array_min(F.array(*found))), judged)
 
 
 def profile_scores(answers: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.once import settle
 from ..operators import decide as D
 from ..operators import events as E
 from .bindings import Tables
@@ -242,7 +243,8 @@ def _(t: Tables):
         .when(k == 2, F.create_map(lit("craft"), F.col("p_name"))).when(k == 3, F.create_map(lit("shop"), F.col("p_name"), lit("name"), lit("n"))).when(k == 4, F.create_map(lit("building"), F.col("p_name")))
         .when(k == 5, F.create_map(lit("addr:city"), lit("c"), lit("name"), F.col("p_name"))).when(k == 6, F.create_map(lit("amenity"), lit("bench"), lit("name"), F.col("p_name"))).otherwise(F.create_map(lit("note"), F.col("p_name")))
     )
-    return t.part.select(F.col("p_partkey").alias("id"), D.tag_category(tags).alias("c")).filter("c is not null").select("id", "c.category", "c.source", "c.confidence")
+    rows = settle(t.part, {"c": D.tag_category(tags)}).filter("c is not null")
+    return rows.select(F.col("p_partkey").alias("id"), "c.category", "c.source", "c.confidence")
 
 
 

@@ -187,3 +187,22 @@ def test_only_references_go_to_python(spark):
     assert [r.y for r in got.orderBy("id").collect()] == [None if x is None else html.unescape(x) for x in texts]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" in plan[plan.index("_unescape_udf("):].split("\n")[0]
+
+
+def test_tag_pairs_are_looked_up_under_their_key(spark):
+    """The answer is that of the registry read from its start, and no list of all rules is filtered."""
+    from ringsift import rules
+    from ringsift.operators import decide
+
+    exact = [r for r in rules.TAG_RULES if r[2] != "*"]
+    tags = [{k: v} for _, k, v, _, _ in exact] + [{a[1]: a[2], b[1]: b[2]} for a, b in zip(exact, exact[50:] + exact[:50]) if a[1] != b[1]]
+    tags += [{"amenity": "bench", "shop": "bakery"}, {"barrier": "gate", "office": "notary"}, {"craft": "x"}, {}, {"note": "n"}]
+    df = spark.createDataFrame(list(enumerate(tags)), "id int, t map<string,string>").select("id", decide.tag_category(F.col("t")).alias("c"))
+    assert "filter(" not in df._jdf.queryExecution().analyzed().toString()
+    got = {r.id: r.c for r in df.collect()}
+    for i, t in enumerate(tags[:-5]):
+        c, k, v, f, p = next(r for r in exact if t.get(r[1]) == r[2])
+        assert got[i] is None or (got[i].category, got[i].feature, got[i].source, got[i].confidence) == (c, f, f"osm_{c}_{v}", p)
+        assert (got[i] is None) == any(t.get(k) == v or (v == "*" and k in t) for k, v in rules.NEGATIVE_TAGS)
+    end = [got[len(tags) - 5 + i] for i in range(5)]
+    assert [e and e.source for e in end] == [None, None, "osm_craft_craft", None, None]
