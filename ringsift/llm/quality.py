@@ -289,8 +289,9 @@ def train(docs: DataFrame) -> tuple[Broadcast, DataFrame]:
         if size > LISTED:
             break
         least = rank_
-    top = model.filter(F.col("rank") >= least).drop("rank").toPandas()
-    listed = Listed(*[top[c].to_numpy(dtype=np.int64) for c in ("hi", "lo")], top[["log0", "log1"]].to_numpy(dtype=np.int32).T)
+    # As Arrow columns whatever the session's settings: as rows of Python objects an n-gram takes over 600 bytes.
+    top = model.filter(F.col("rank") >= least).drop("rank").toArrow()
+    listed = Listed(*[top[c].to_numpy() for c in ("hi", "lo")], np.stack([top[c].to_numpy() for c in ("log0", "log1")]))
     return docs.sparkSession.sparkContext.broadcast(listed), model.filter(F.col("rank") < least).drop("rank")
 
 

@@ -1,6 +1,7 @@
 """The n-gram model of the quality rules: whole alphabets, smoothing against a plain model, n-grams outside the list."""
 
 import collections
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -78,3 +79,24 @@ def test_rows_do_not_depend_on_the_list(spark, monkeypatch):
     assert sorted(quality.assess(table).collect(), key=key) == want
     monkeypatch.setattr(quality, "LISTED", 0)
     assert quality.keep_good(table).count() == sum(r.kept for r in want) > 0
+
+
+def test_the_list_reaches_the_driver_as_columns(spark):
+    """In a session without the Arrow setting each n-gram came as a row of Python objects, 600 bytes and more."""
+    rng = np.random.default_rng(6)
+    texts = [("".join(chr(c) for c in rng.integers(0x4E00, 0x5E00, 2000)),) for _ in range(40)]
+    table = spark.createDataFrame(texts, "text string").repartition(3)
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+    spark.conf.set(arrow, "false")
+    tracemalloc.start()
+    try:
+        held, others = quality.train(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, before)
+    listed = held.value
+    assert listed.logs.shape == (2, len(listed.hashes)) and len(listed.hashes) > 75_000 and others.isEmpty()
+    assert listed.logs.max() < 0 and (np.diff(listed.hashes) > 0).all()
+    assert peak < 200 * len(listed.hashes)
