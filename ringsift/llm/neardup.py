@@ -242,27 +242,39 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFr
     return spread(rows, "band", "key", "x", "y").groupBy("band", "key", "x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, label: the least id that can be reached over the links (a, b); ids without a link are left out.
+def _step(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over the edges (u, v), u > v."""
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u")
+    return small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour at most, and none if it has larger ones."""
+    ends = edges.select(F.inline(F.array(*[F.struct(F.col(c).alias("id"), F.lit(c == "u").alias("low"), F.lit(c == "v").alias("high")) for c in ("u", "v")])))
+    per_id = ends.groupBy("id").agg(F.count_if("low").alias("n"), F.max("high").alias("high"))
+    return not per_id.agg(F.max((F.col("n") > 1) | (F.col("n") > 0) & F.col("high"))).collect()[0][0]
+
+
+def _led(links: DataFrame) -> DataFrame:
+    """id, label: the least id that can be reached over the links (a, b), for all ids that reach a smaller one.
 
     Large-star and small-star steps in turn: every id hands its larger, then its smaller neighbours to
-    the least one it knows, until nothing changes. Neighbours of one id are never gathered.
+    the least one it knows, until only stars around the least ids are left. Neighbours of one id are never gathered.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
-        sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == last:
-            break
-        last = sums
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+    while not _settled(edges):
+        edges = stored(_step(edges), "edges")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, label: the least id that can be reached over the links (a, b); ids without a link are left out."""
+    led = _led(links)
+    return led.union(led.select(F.col("label").alias("id"), "label").distinct())
 
 
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -289,10 +301,11 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     sets = stored(_sets(docs, buckets.select("id").distinct(), size), "sets")
     first = stored(_confirm(stars, sets), "links")
     copies = same.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(first.union(copies))
+    # An id without a label leads its component.
+    labels = _led(first.union(copies))
     more = stored(_across(buckets.select("band", "key", "id"), labels, one, sets).join(stars, ["a", "b"], "left_anti").distinct(), "across")
     second = _confirm(more, sets)
-    labels = components(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(second).union(copies))
+    labels = _led(labels.select(F.col("label").alias("a"), F.col("id").alias("b")).union(second))
 
     named = known.join(labels.select("id", "label"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("component_id"))
     out = sketches.join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -15,6 +15,7 @@ must lie within three interquartile ranges of their quartiles, on the logarithmi
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -169,11 +170,14 @@ def _smoothed(counts: DataFrame) -> DataFrame:
         # Below the top, an n-gram counts the different code points seen before it.
         seen = [F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in ("c0", "c1")]
         tables.append(stored(tables[-1].groupBy(*_suffix(size)).agg(*seen), "grams"))
+    # How many n-grams of each size have the counts 1 to 4: one job for all sizes.
+    few = [F.count(F.when(F.col(c) == i, 1)).alias(f"{c}_{i}") for c in ("c0", "c1") for i in range(1, 5)]
+    every = functools.reduce(DataFrame.union, [t.select(F.lit(ORDER - i).alias("size"), "c0", "c1") for i, t in enumerate(tables)])
+    found = {row["size"]: row.asDict() for row in every.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *few).collect()}
     lower = None
     for size in range(1, ORDER + 1):
-        held = tables[ORDER - size]
-        row = held.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(c) == i, 1)).alias(f"{c}_{i}") for c in ("c0", "c1") for i in range(1, 5)]).first()
-        drops = {c: _discounts([row[f"{c}_{i}"] for i in range(1, 5)]) for c in ("c0", "c1")}
+        held, row = tables[ORDER - size], found.get(size, {})
+        drops = {c: _discounts([row.get(f"{c}_{i}", 0) for i in range(1, 5)]) for c in ("c0", "c1")}
         sums = [F.sum(c).alias(f"{c}_all") for c in drops]
         sums += [F.count(F.when(F.col(c) >= 3 if i == 3 else F.col(c) == i, 1)).alias(f"{c}_{i}") for c in drops for i in (1, 2, 3)]
         contexts = held.select(*_context(), "c0", "c1").groupBy("hi", "lo").agg(*sums).withColumnsRenamed({"hi": "_chi", "lo": "_clo"})
@@ -181,7 +185,7 @@ def _smoothed(counts: DataFrame) -> DataFrame:
         joined = held.withColumns({"_chi": chi, "_clo": clo}).join(contexts, ["_chi", "_clo"])
         if lower is None:
             # One more than all code points, for those never met.
-            joined = joined.withColumns({"q0": F.lit(1 / (row["n"] + 1)), "q1": F.lit(1 / (row["n"] + 1))})
+            joined = joined.withColumns({f"q{f}": F.lit(1 / (row.get("n", 0) + 1)) for f in (0, 1)})
         else:
             shi, slo = _suffix(size - 1)
             joined = joined.withColumns({"_shi": shi, "_slo": slo}).join(lower, ["_shi", "_slo"])

@@ -51,7 +51,8 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 def powers(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        out = np.full(max(n, BLOCK_BYTES + 1), base & _MASK, dtype=np.uint64)
+        # Twice what is asked for, up to a block: who reads short texts holds short tables.
+        out = np.full(max(1, n, min(2 * n, BLOCK_BYTES + 1)), base & _MASK, dtype=np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
         if n <= BLOCK_BYTES + 1:
