@@ -238,17 +238,25 @@ def _keyed(vocabulary: DataFrame, counts: np.ndarray, as_pivots: bool, name: str
     return spread(vocabulary.select("word", "id"), "id").mapInArrow(run, schema)
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """A table that is never sent to the driver whole, however small Spark takes it for.
+
+    The keys of a word are sized like the word, and a written table by its packed bytes.
+    """
+    return df.hint("merge")
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: every pair of words exactly one edit apart, once, the smaller word first.
 
     ``vocabulary`` is a written table of distinct words with a number each: word, n, id.
     """
     counts = gram_counts(vocabulary)
-    met = _keyed(vocabulary, counts, True, "s").join(_keyed(vocabulary, counts, False, "r"), "key")
+    met = _whole(_keyed(vocabulary, counts, True, "s")).join(_whole(_keyed(vocabulary, counts, False, "r")), "key")
     met = met.filter("s_last <= r_last and abs(s_size - r_size) <= 1 and s <> r and bit_count(s_letters ^ r_letters) <= 2")
     pairs = met.select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct()
     for side in ("s", "r"):
-        pairs = pairs.join(vocabulary.select(F.col("id").alias(side), F.struct("word", "n").alias(f"_{side}")), side)
+        pairs = _whole(pairs).join(_whole(vocabulary.select(F.col("id").alias(side), F.struct("word", "n").alias(f"_{side}"))), side)
     near = pairs.filter(F.levenshtein(F.col("_s.word"), F.col("_r.word"), 1) == 1).select(F.least("_s", "_r").alias("a"), F.greatest("_s", "_r").alias("b"))
     return near.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
 
@@ -258,7 +266,7 @@ def roots(forms: DataFrame) -> DataFrame:
     out = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = out.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        out = stored(out.join(onward, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
+        out = stored(_whole(out).join(_whole(onward), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")), "roots")
         if not out.filter("moved").limit(1).count():
             return out.select("word", "root")
         out = out.drop("moved")
@@ -281,5 +289,5 @@ def variants(docs: DataFrame) -> DataFrame:
     judged = best.select("word", "n_near", F.when(fits, F.col("best.other")).alias("form"), F.when(fits, -F.col("best.less")).alias("form_n"))
     judged = stored(judged, "forms")
     ends = roots(judged.filter("form is not null"))
-    out = vocabulary.join(judged.join(ends, "word", "left"), "word", "left")
+    out = _whole(vocabulary).join(_whole(_whole(judged).join(_whole(ends), "word", "left")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), "form_n")

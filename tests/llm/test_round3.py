@@ -153,6 +153,22 @@ def test_every_edit_is_found(spark):
     assert {(r.a, r.b) for r in pairs} == want and len(pairs) == len(want)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """The keys of a word weigh many times what Spark takes them for, so no plan may send them to the driver."""
+    plans, keep = [], spelling.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(spelling, "stored", seen)
+    rows = rows_of([" ".join(["grammar"] * 40 + ["gramar"] * 15 + ["gramr"] * 4)])
+    out = spelling.variants(spark.createDataFrame(rows, DOCS))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.word: r.root for r in out.collect()} == dict.fromkeys(["grammar", "gramar", "gramr"], "grammar")
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_pivots_do_not_overlap_and_cost_least():
     rng = np.random.default_rng(7)
     place = np.sort(np.array([rng.choice(9, 3, replace=False) for _ in range(500)]), axis=1)
