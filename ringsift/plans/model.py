@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -182,13 +183,10 @@ def search(train: DataFrame, test: DataFrame, features: list[str], label: str, c
     return out
 
 
-#: Rows that one task compares with one another, and projections tried, when near rows are looked for.
+#: Rows of a cell, and cells in which near rows of a row are looked for, its own among them.
 CELL_ROWS, TABLES = 2048, 8
-
-
-def _place(x: Column, cuts: list[float]) -> Column:
-    """Number of the part between the cuts that x lies in."""
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < x))
+#: Cells that one task holds as one, and parts of a cell whose rows are compared as a whole.
+ROOM, LEAVES = 16, 16
 
 
 def _smallest(d: np.ndarray, m: int) -> np.ndarray:
@@ -199,63 +197,253 @@ def _smallest(d: np.ndarray, m: int) -> np.ndarray:
     return np.nonzero(taken)[1].reshape(len(d), m)
 
 
+def _points(column: pa.Array | pa.ChunkedArray, wide: int) -> np.ndarray:
+    """Lists of ``wide`` numbers as a matrix; null reads as nan."""
+    flat = pc.list_flatten(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, wide)
+
+
+def _cells(laid: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Number of the cell of every row. ``cuts[i][node]`` are the cuts along way i of a part that the ways before it left."""
+    node = np.zeros(len(laid), dtype=np.int64)
+    for i, cut in enumerate(cuts):
+        node = node * (cut.shape[1] + 1) + (cut[node] < laid[:, i : i + 1]).sum(axis=1)
+    return node
+
+
+def _reached(laid: np.ndarray, cuts: list[np.ndarray], edge: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell for the nearest cells, ``most`` a row at most, that could hold a row nearer than the root of ``edge``; not its own cell."""
+    own, row, node, gap = _cells(laid, cuts), np.arange(len(laid)), np.zeros(len(laid), dtype=np.int64), np.zeros(len(laid))
+    for i, cut in enumerate(cuts):
+        x, end = laid[row, i : i + 1], np.full((len(row), 1), np.inf)
+        low, high = np.concatenate([-end, cut[node]], axis=1), np.concatenate([cut[node], end], axis=1)
+        wide = gap[:, None] + np.maximum(np.maximum(low - x, x - high), 0) ** 2
+        at, part = np.nonzero(wide < edge[row][:, None])
+        row, node, gap = row[at], node[at] * low.shape[1] + part, wide[at, part]
+    other = node != own[row]
+    order = np.lexsort((gap[other], row[other]))
+    row, node = row[other][order], node[other][order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < most
+    return row[first], node[first]
+
+
+def _leaves(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of the rows of each leaf, in order: rows are halved along their widest side until ``most`` at most are left."""
+    done, left = [], [np.arange(len(points))]
+    while left:
+        at = left.pop()
+        if len(at) <= most:
+            done.append(at)
+            continue
+        part = points[at]
+        order = np.argsort(part[:, np.ptp(part, axis=0).argmax()], kind="stable")
+        left += [np.sort(at[order[len(at) // 2 :]]), np.sort(at[order[: len(at) // 2]])]
+    return done
+
+
+def _nearest(points: np.ndarray, k: int, most: int, asked: np.ndarray | None = None, edge: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the k nearest points of every asked row, -1 where there are fewer; ``edge`` is the squared distance that they must stay below.
+
+    Without ``asked`` the points ask for each other: the leaf of a row bounds what it looks for elsewhere.
+    A leaf is compared with the rows only for which it may hold a nearer point.
+    """
+    leaves, own = _leaves(points, most) if len(points) else [], asked is None
+    asked = points if own else asked
+    edge = np.full(len(asked), np.inf) if edge is None else edge.copy()
+    near, apart = np.full((len(asked), k), -1), np.full((len(asked), k), np.inf)
+
+    def meet(at: np.ndarray, rows: np.ndarray, part: np.ndarray, same: bool) -> None:
+        # Distances from the middle of the leaf, so that little is lost where its rows are near.
+        middle = part.mean(axis=0)
+        p, q = part - middle, asked[rows] - middle
+        pp, qq = (p**2).sum(axis=1), (q**2).sum(axis=1)
+        d = qq[:, None] + pp[None, :] - 2 * q @ p.T
+        if same:
+            d[np.arange(len(d)), np.arange(len(d))] = np.inf
+        # What is nearer only by rounding is not nearer.
+        hit = d < (edge[rows] - 1e-15 * (qq + pp.max()))[:, None]
+        some = np.flatnonzero(hit.any(axis=1))
+        if len(some):
+            rows = rows[some]
+            both = np.concatenate([apart[rows], np.where(hit[some], d[some], np.inf)], axis=1)
+            taken = _smallest(both, k)
+            near[rows] = np.take_along_axis(np.concatenate([near[rows], np.broadcast_to(at, (len(rows), len(at)))], axis=1), taken, axis=1)
+            apart[rows] = np.take_along_axis(both, taken, axis=1)
+            edge[rows] = np.minimum(edge[rows], apart[rows].max(axis=1))
+
+    with np.errstate(all="ignore"):
+        of = np.empty(len(points), dtype=np.int64)
+        for i, at in enumerate(leaves):
+            of[at] = i
+            if own:
+                meet(at, at, points[at], True)
+        for i, at in enumerate(leaves):
+            part = points[at]
+            beyond = np.maximum(np.maximum(part.min(axis=0) - asked, asked - part.max(axis=0)), 0)
+            open_ = np.einsum("ij,ij->i", beyond, beyond) < edge
+            rows = np.flatnonzero(open_ & (of != i) if own else open_)
+            for j in range(0, len(rows), 1024):
+                meet(at, rows[j : j + 1024], part, False)
+    return near
+
+
+def _once(keys: pa.Array, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows without repeats of key and point, and for every row which of them it is."""
+    codes = keys.dictionary_encode(null_encoding="encode")
+    if len(codes.dictionary) == len(keys):
+        return np.arange(len(keys)), np.arange(len(keys))
+    _, first, of = np.unique(np.column_stack([codes.indices, points]), axis=0, return_index=True, return_inverse=True)
+    return first, of.ravel()
+
+
+def _listed(keys: pa.Array, asked: np.ndarray, points: np.ndarray, near: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+    """The near rows of every asked row as a list of squared distance and key, and the k-th of the distances."""
+    there = near >= 0
+    gaps = asked[np.repeat(np.arange(len(near)), there.sum(axis=1))] - points[near[there]]
+    apart = np.full(near.shape, np.inf)
+    apart[there] = (gaps**2).sum(axis=1)
+    pairs = pa.StructArray.from_arrays([pa.array(apart[there]), keys.take(pa.array(near[there]))], names=["_d", "_near"])
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pairs), np.sort(apart, axis=1)[:, k - 1]
+
+
 def near_rows(df: DataFrame, key: str, features: list[str], k: int = 5, seed: int = 42, tables: int = TABLES,
               cell_rows: int = CELL_ROWS) -> DataFrame:
     """key, near (keys of the k nearest rows found), distance: one row per row of ``df``; keys are unique.
 
-    Every table draws its own directions and cuts the rows into cells at their quantiles along them, so
-    that a cell holds about ``cell_rows`` rows whatever their number. Rows are compared inside their
-    cells; the nearest of all tables stay. Ties go to the smaller key.
+    Rows are cut into cells at quantiles along random directions at right angles, each direction inside
+    the parts that the ones before it left, so that a task gets about ``ROOM * cell_rows`` rows whatever
+    their number. All near rows inside a cell are found; then a row asks the nearest other cells that
+    could hold nearer ones, ``tables`` with its own at most. Ties go to the smaller key of a leaf. Of a
+    row with unknown values nothing is near; it takes the first rows of its cell.
     """
-    rows = write_once(df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_p")), "points")
-    n = rows.count()
-    cells = max(1, -(-n // cell_rows))
-    # Cells are cut along few directions: each halves what the one before it left.
-    turns = max(1, min(len(features), int(np.log2(cells)) if cells > 1 else 1))
-    parts = int(np.ceil(cells ** (1.0 / turns)))
-    rng = np.random.default_rng(seed)
-    marks = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)])
-    found = None
-    for table in range(tables):
-        ways = rng.normal(size=(turns, len(features)))
-        ways /= np.linalg.norm(ways, axis=1, keepdims=True)
-        along = [F.aggregate(F.zip_with("_p", F.array(*[F.lit(float(v)) for v in way]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for way in ways]
-        laid = rows.withColumns({f"_x{i}": c for i, c in enumerate(along)})
-        cell = F.lit(table)
-        if parts > 1:
-            cuts = laid.agg(*[F.percentile_approx(f"_x{i}", marks, 10_000).alias(f"_x{i}") for i in range(turns)]).first()
-            places = [_place(F.col(f"_x{i}"), cuts[f"_x{i}"]) for i in range(turns)]
-            cell = F.concat_ws(":", F.lit(table), *places)
-        laid = laid.select(key, "_p", cell.cast("string").alias("_cell"))
-        found = laid if found is None else found.unionByName(laid)
-    # Equal points pile up in one cell: it is split, and every part keeps more rows than are looked for.
-    sizes = found.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    found = found.join(sizes, "_cell").withColumn("_part", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / (4 * cell_rows)))).drop("_n")
+    spark, wide = df.sparkSession, len(features)
+    rows = write_once(df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_p"), F.xxhash64(key).alias("_h")), "points")
+    n, room, leaf = rows.count(), ROOM * cell_rows, max(k + 1, cell_rows // LEAVES)
+    cells = max(1, -(-n // room))
+    turns = max(1, min(wide, int(np.log2(cells)) if cells > 1 else 1))
+    ways = np.linalg.qr(np.random.default_rng(seed).normal(size=(wide, turns)))[0]
+    cuts: list[np.ndarray] = []
+    nodes = 1
+    for i in range(turns if cells > 1 else 0):
+        parts = int(np.ceil(round((cells / nodes) ** (1.0 / (turns - i)), 9)))
+
+        def along(batches: Iterator[pa.RecordBatch], i: int = i, before: list[np.ndarray] = list(cuts)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                laid = _points(batch.column(0), wide) @ ways
+                laid = laid[np.isfinite(laid).all(axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(_cells(laid, before)), pa.array(laid[:, i])], names=["node", "x"])
+
+        marks = F.array(*[F.lit((j + 1) / parts) for j in range(parts - 1)])
+        cut = np.full((nodes, parts - 1), np.inf)
+        # At most as many rows as cells.
+        found = rows.select("_p").mapInArrow(along, "node bigint, x double").groupBy("node").agg(F.percentile_approx("x", marks, 1000).alias("cuts"))
+        for row in found.collect() if parts > 1 else []:
+            cut[row.node] = row.cuts
+        cuts.append(cut)
+        nodes *= parts
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _points(batch.column(0), wide)
+            cell = _cells(points @ ways, cuts)
+            part = np.where(piled(points), batch.column(1).to_numpy() % shares[cell], 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), batch.column(1), pa.array(starts[cell] + part)], names=[key, "_p", "_h", "_g"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = np.bincount(_cells(_points(batch.column(0), wide) @ ways, cuts), minlength=nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count)), pa.array(count[count > 0])], names=["cell", "n"])
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _points(batch.column(0), wide)
+            yield batch.filter(pa.array((shares > 1)[_cells(points @ ways, cuts)] & np.isfinite(points).all(axis=1)))
+
+    def piled(points: np.ndarray) -> np.ndarray:
+        unknown = ~np.isfinite(points).all(axis=1)
+        return unknown | np.fromiter((p.tobytes() in piles for p in points + 0.0), bool, len(points)) if piles else unknown
+
+    # Equal points, and unknown ones, pile up in one cell: these are dealt to parts that keep more rows than are looked
+    # for. The others stay together in the first part, which is the one that other cells ask.
+    shares = np.ones(nodes, dtype=np.int64)
+    for row in rows.select("_p").mapInArrow(number, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        shares[row.cell] = -(-row.n // (4 * room))
+    starts = np.cumsum(shares) - shares
+    piles: set[bytes] = set()
+    if (shares > 1).any():
+        # At most as many rows as cells.
+        often = rows.select("_p").mapInArrow(crowded, "_p array<double>").groupBy("_p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > room)
+        piles = {(np.array(row._p) + 0.0).tobytes() for row in often.collect()}
     key_type = df.schema[key].dataType.simpleString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = f"`{key}` {key_type}, _b array<struct<_d:double,_near:{key_type}>>"
 
-    def compare(group: pa.Table) -> pa.Table:
+    def inside(group: pa.Table) -> pa.Table:
+        group = group.sort_by(key)
+        keys, points = group.column(key).combine_chunks(), _points(group.column("_p"), wide)
+        first, of = _once(keys, points)
+        known = np.isfinite(points[first]).all(axis=1)
+        rows, rest = np.flatnonzero(known), np.flatnonzero(~known)
+        near = np.full((len(first), k + 1), -1)
+        found = _nearest(points[first[rows]], k, leaf)
+        near[rows, :k] = -np.sort(-np.where(found >= 0, rows[found], -1), axis=1) if len(rows) else found
+        few = min(k, max(0, len(rows) - 1))
+        near[rows, few : few + len(rest[: k - few])] = rest[: k - few]
+        near[rest, : min(k, len(first))] = np.arange(min(k, len(first)))
+        for i in rest[rest < k]:
+            others = np.delete(np.arange(min(k + 1, len(first))), i)
+            near[i, :k] = np.concatenate([others, np.full(k - len(others), -1)])
+        # A row that is there twice is the nearest of itself.
+        twice = known & (np.bincount(of, minlength=len(first)) > 1)
+        near[twice, k] = np.flatnonzero(twice)
+        near = np.where(near >= 0, first[near], -1)[of] if len(first) else near
+        rows = np.flatnonzero(known[of])
+        lists, edge = _listed(keys, points, points, near, k)
+        edge[np.isnan(edge)] = np.inf
+        out = pa.table({key: keys, "_p": group.column("_p"), "_h": group.column("_h"), "_g": group.column("_g"), "_edge": edge, "_b": lists})
+        asks, cell = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        step = max(1, min(1024, (1 << 22) // nodes))
+        for j in range(0, len(rows) if cuts else 0, step):
+            at = rows[j : j + step]
+            row, node = _reached(points[at] @ ways, cuts, edge[at], tables - 1)
+            asks.append(at[row])
+            cell.append(node)
+        asks, cell = np.concatenate(asks), np.concatenate(cell)
+        ends = np.searchsorted(asks, np.arange(len(keys) + 1)).astype(np.int32)
+        return out.append_column("_to", pa.ListArray.from_arrays(pa.array(ends), pa.array(starts[cell])))
+
+    def across(group: pa.Table) -> pa.Table:
         group = group.sort_by(key)
-        keys = group.column(key).combine_chunks()
-        points = group.column("_p").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
-        squares = (points**2).sum(axis=1)
-        m = min(k, len(keys) - 1)
-        to, apart, unknown = [], [], np.isnan(squares).any()
-        for i in range(0, len(keys) if m else 0, 512):
-            d = squares[i : i + 512, None] + squares[None, :] - 2 * points[i : i + 512] @ points.T
-            if unknown:
-                d[np.isnan(d)] = np.inf
-            d[np.arange(len(d)), i + np.arange(len(d))] = np.finfo(float).max
-            to.append(_smallest(d, m).ravel())
-            gaps = points[np.repeat(np.arange(i, i + len(d)), m)] - points[to[-1]]
-            apart.append((gaps**2).sum(axis=1))
-        near = keys.take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *to])))
-        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *apart])), near], names=["_d", "_near"])
-        starts = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * m)
-        return pa.table({key: keys, "_b": pa.ListArray.from_arrays(starts, pairs)})
-
-    # At most k candidates per row and table; a pair that several tables found has the same distance in each.
-    rows = found.groupBy("_cell", "_part").applyInArrow(compare, f"`{key}` {key_type}, _b array<struct<_d:double,_near:{key_type}>>")
-    best = rows.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_b")))), 1, k).alias("_b")).filter(F.size("_b") > 0)
+        keys, points, own = group.column(key).combine_chunks(), _points(group.column("_p"), wide), group.column("_at").to_numpy() == 0
+        held, asks = np.flatnonzero(own & np.isfinite(points).all(axis=1)), np.flatnonzero(~own)
+        held = held[_once(keys.take(pa.array(held)), points[held])[0]]
+        near = _nearest(points[held], k, leaf, points[asks], group.column("_edge").to_numpy()[asks])
+        some = (near >= 0).any(axis=1)
+        lists, _ = _listed(keys.take(pa.array(held)), points[asks[some]], points[held], near[some], k)
+        return pa.table({key: keys.take(pa.array(asks[some])), "_b": lists})
+
+    put = rows.select("_p", "_h", key).mapInArrow(place, f"`{key}` {key_type}, _p array<double>, _h bigint, _g bigint")
+    # Rows are few bytes and much work: they are dealt to as many tasks as the session names.
+    kept = f"`{key}` {key_type}, _p array<double>, _h bigint, _g bigint, _edge double, _b array<struct<_d:double,_near:{key_type}>>, _to array<bigint>"
+    own = put.repartition(tasks, "_g").groupBy("_g").applyInArrow(inside, kept)
+    if not cuts:
+        found = own.select(key, "_b")
+    else:
+        own = write_once(own, "near-inside")
+        # A cell that very many rows ask is held by several tasks; at most as many rows as cells.
+        crowd = own.select(F.explode("_to").alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * room).collect()
+        sent = own.select(key, "_p", "_h", "_edge", F.posexplode(F.concat(F.array("_g"), "_to")).alias("_at", "_g"))
+        copy = F.lit(0).cast("bigint")
+        if crowd:
+            times = F.create_map(*[F.lit(v).cast("bigint") for r in crowd for v in (r._g, -(-r.n // (8 * room)))])[F.col("_g")]
+            sent = sent.withColumn("_times", F.coalesce(times, F.lit(1).cast("bigint")))
+            every = F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)
+            copy = F.explode(F.when(F.col("_at") == 0, every).otherwise(F.array(F.pmod("_h", "_times"))))
+        sent = sent.select(key, "_p", "_edge", "_at", "_g", copy.alias("_copy")).repartition(tasks, "_g", "_copy")
+        found = own.select(key, "_b").unionByName(sent.groupBy("_g", "_copy").applyInArrow(across, listed))
+    # A pair that was found from several cells has the same distance in each.
+    best = found.groupBy(key).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_b")))), 1, k).alias("_b")).filter(F.size("_b") > 0)
     return best.select(key, F.col("_b._near").alias("near"), F.sqrt(F.col("_b")[F.size("_b") - 1]["_d"]).alias("distance"))
 
 

@@ -126,6 +126,71 @@ def test_near_rows_of_equal_points_and_few_rows(spark):
     assert made.count() == 1802 and made.filter("parent = id").count() == 0
 
 
+def test_near_rows_are_found_beyond_their_cell(spark):
+    """Rows on both sides of a border find each other, and equal points count as often as they occur."""
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(3000, 3)) * [1, 5, 0.2], rng.integers(0, 3, (600, 3)).astype(float)])
+    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in enumerate(points)], "id bigint, a double, b double, c double")
+    found = {r.id: r for r in M.near_rows(df, "id", ["a", "b", "c"], k=4, cell_rows=16).collect()}
+    assert len(found) == 3600
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    want = np.sort(apart, axis=1)[:, 3]
+    assert all(len(set(r.near)) == 4 and i not in r.near and r.distance == pytest.approx(apart[i, r.near].max(), abs=1e-9) for i, r in found.items())
+    assert np.mean([found[i].distance <= want[i] + 1e-9 for i in range(3600)]) > 0.995
+
+
+def test_near_rows_of_a_cell_that_all_rows_ask(spark, monkeypatch):
+    """A cell that is asked by very many rows is held by several tasks, and answers all of them."""
+    monkeypatch.setattr(M, "ROOM", 1)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(600, 8))
+    points[:20] *= 0.01
+    names = [f"f{i}" for i in range(8)]
+    df = spark.createDataFrame([(f"k{i:03d}", *map(float, p)) for i, p in enumerate(points)], "id string, " + ", ".join(f"{c} double" for c in names))
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    found = {r.id: r.near for r in M.near_rows(df, "id", names, k=3, tables=1000, cell_rows=16).collect()}
+    assert found == {f"k{i:03d}": [f"k{j:03d}" for j in np.argsort(apart[i])[:3]] for i in range(600)}
+
+
+def test_near_rows_of_unknown_values(spark):
+    rows = [(i, float(i), 0.0) for i in range(900)] + [(1000 + i, None, float(i)) for i in range(30)] + [(2000, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double")
+    found = {r.id: r for r in M.near_rows(df, "id", ["a", "b"], k=2, cell_rows=16).collect()}
+    assert len(found) == 931 and all(len(r.near) == 2 and i not in r.near for i, r in found.items())
+    assert all(max(r.near) < 900 for i, r in found.items() if i < 900) and found[5].near == [4, 6] and found[0].distance == 2.0
+    assert M.near_rows(df.filter("id >= 1000"), "id", ["a", "b"], k=2).count() == 31
+    assert M.near_rows(df.limit(0), "id", ["a", "b"]).count() == 0 and M.near_rows(df.limit(1), "id", ["a", "b"]).count() == 0
+    pair = M.near_rows(df.filter("id in (7, 1003)"), "id", ["a", "b"]).collect()
+    assert sorted((r.id, r.near) for r in pair) == [(7, [1003]), (1003, [7])]
+
+
+def test_near_rows_beside_a_pile_of_equal_points(spark):
+    """A point that very many rows share is dealt to several tasks; the rows around it still find each other."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(4000, 3))
+    points[:2500] = points[0] * [1, 0, -0.0]
+    rows = [(int(i), *map(float, p)) for i, p in enumerate(points)] + [(4000 + i, None, 0.0, 0.0) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double")
+    found = {r.id: r for r in M.near_rows(df, "id", ["a", "b", "c"], k=4, cell_rows=16).collect()}
+    assert len(found) == 5200 and all(len(set(r.near)) == 4 and i not in r.near for i, r in found.items())
+    assert all(found[i].distance == 0.0 and max(found[i].near) < 2500 for i in range(2500))
+    apart = np.sqrt(((points[2500:, None] - points[None]) ** 2).sum(axis=2))
+    apart[np.arange(1500), 2500 + np.arange(1500)] = np.inf
+    want = np.sort(apart, axis=1)[:, 3]
+    assert np.mean([found[2500 + i].distance <= want[i] + 1e-9 for i in range(1500)]) > 0.995
+
+
+def test_repeated_rows_count_once(spark):
+    """Every row twice: it is its own nearest, and the others are there once each."""
+    df = spark.createDataFrame([(i // 2, float(i // 2) ** 1.1, 0.0) for i in range(1200)], "id bigint, a double, b double")
+    for cell_rows in (16, 512):
+        found = {r.id: r.near for r in M.near_rows(df, "id", ["a", "b"], k=4, cell_rows=cell_rows).collect()}
+        assert found[0] == [0, 1, 2, 3] and found[599] == [599, 598, 597, 596] and len(found) == 600
+        assert all(v == [i, i - 1, i + 1, i - 2] for i, v in found.items() if 1 < i < 598)
+
+
 # Clamped walk
 
 

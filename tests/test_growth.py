@@ -175,6 +175,44 @@ def test_smallest_takes_the_first_of_equal_values():
             assert (_smallest(values, m) == want).all()
 
 
+def test_a_row_is_compared_with_few_leaves(monkeypatch):
+    """The nearest are those of all pairs, with a small part of the pairs looked through."""
+    from ringsift.plans import model as M
+
+    seen, pick = [], M._smallest
+    monkeypatch.setattr(M, "_smallest", lambda d, m: seen.append(d.size) or pick(d, m))
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.random((6000, 4)), rng.integers(0, 4, (2000, 4)) + 0.5, np.full((400, 4), 1e6), 1e6 + rng.random((50, 4))])
+    asked = rng.random((100, 4)) * 2
+
+    def apart(rows):
+        return ((rows[:, None] - points[None]) ** 2).sum(axis=2)
+
+    near = M._nearest(points, 5, 64)
+    assert sum(seen) < len(points) ** 2 / 10
+    for at in range(0, len(points), 650):
+        rows = np.arange(at, min(at + 650, len(points)))
+        d = apart(points[rows])
+        d[np.arange(len(rows)), rows] = np.inf
+        got = np.sort(np.take_along_axis(d, near[rows], axis=1), axis=1)
+        assert np.allclose(got, np.sort(d, axis=1)[:, :5], rtol=1e-9, atol=1e-12)
+    d = apart(asked)[:, :6000]
+    edge = np.sort(d, axis=1)[:, 3]
+    near = M._nearest(points[:6000], 5, 64, asked, edge * (1 + 1e-9))
+    assert [sorted(r[r >= 0]) for r in near] == [sorted(r) for r in np.argsort(d, axis=1)[:, :4]]
+    assert (M._nearest(points[:0], 5, 64, asked, edge) == -1).all() and M._nearest(points[:0], 5, 64).shape == (0, 5)
+    assert sorted(M._nearest(points[:3], 5, 64)[1]) == [-1, -1, -1, 0, 2]
+
+
+def test_search_in_cells_is_dealt_to_as_many_tasks_as_named(spark):
+    """Cells are few bytes and much work: partitions of them are not put together."""
+    from ringsift.plans import model as M
+
+    df = spark.range(2000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
+    plan = M.near_rows(df, "id", ["a", "b"], cell_rows=16)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan.split("FlatMapGroupsInArrow")[1]
+
+
 def test_only_references_go_to_python(spark):
     import html
 
